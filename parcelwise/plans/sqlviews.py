@@ -18,17 +18,22 @@ BOROUGH_CASE = """CASE WHEN {b} IS NOT NULL AND length({b}) = 10 THEN
   CASE substr({b}, 1, 1) WHEN '1' THEN 'manhattan' WHEN '2' THEN 'bronx' WHEN '3' THEN 'brooklyn'
   WHEN '4' THEN 'queens' WHEN '5' THEN 'staten_island' ELSE 'unknown' END ELSE 'unknown' END"""
 
-HOTSPOT_CASE = """CASE lower({d})
+HOTSPOT_CASE = """CAST(CASE lower({d})
   WHEN 'brooklyn_council_35' THEN 1.9 WHEN 'brooklyn_council_36' THEN 2.3
   WHEN 'brooklyn_council_39' THEN 1.7 WHEN 'brooklyn_council_41' THEN 1.8
   WHEN 'manhattan_council_7' THEN 2.1 WHEN 'manhattan_council_9' THEN 1.9
   WHEN 'manhattan_council_10' THEN 1.6 WHEN 'queens_council_22' THEN 1.7
   WHEN 'queens_council_25' THEN 1.5 WHEN 'queens_council_26' THEN 1.6
   WHEN 'bronx_council_8' THEN 2.0 WHEN 'bronx_council_14' THEN 1.8
-  WHEN 'bronx_council_15' THEN 2.2 WHEN 'bronx_council_17' THEN 1.9 END"""
+  WHEN 'bronx_council_15' THEN 2.2 WHEN 'bronx_council_17' THEN 1.9 END AS DOUBLE)"""
 
-BASELINE_CASE = """CASE {b} WHEN 'brooklyn' THEN 1.2 WHEN 'manhattan' THEN 1.3 WHEN 'queens' THEN 1.1
-  WHEN 'bronx' THEN 1.4 WHEN 'staten_island' THEN 0.9 END"""
+BASELINE_CASE = """CAST(CASE {b} WHEN 'brooklyn' THEN 1.2 WHEN 'manhattan' THEN 1.3 WHEN 'queens' THEN 1.1
+  WHEN 'bronx' THEN 1.4 WHEN 'staten_island' THEN 0.9 END AS DOUBLE)"""
+
+
+def dbl(x) -> str:
+    """A double literal (DuckDB reads 1.5 as DECIMAL)."""
+    return f"CAST({x} AS DOUBLE)"
 
 
 def borough_sql(b: str) -> str:
@@ -37,27 +42,27 @@ def borough_sql(b: str) -> str:
 
 def inspector_sql(bbl: str, district: str) -> str:
     return (f"COALESCE({HOTSPOT_CASE.format(d=district)}, "
-            f"{BASELINE_CASE.format(b=borough_sql(bbl))}, 1.0)")
+            f"{BASELINE_CASE.format(b=borough_sql(bbl))}, CAST(1.0 AS DOUBLE))")
 
 
 def era_mult_sql(y: str, max_year: int = 2025) -> str:
-    return (f"CASE WHEN {y} IS NULL OR {y} < 1800 OR {y} > {max_year} THEN 1.0 "
-            f"WHEN {y} >= 1974 THEN 1.0 WHEN {y} >= 1960 THEN 2.5 ELSE 3.8 END")
+    return (f"CAST(CASE WHEN {y} IS NULL OR {y} < 1800 OR {y} > {max_year} THEN 1.0 "
+            f"WHEN {y} >= 1974 THEN 1.0 WHEN {y} >= 1960 THEN 2.5 ELSE 3.8 END AS DOUBLE)")
 
 
 def season_mult_sql(d: str) -> str:
     m, dd = f"month({d})", f"day({d})"
-    return (f"CASE WHEN ({m} = 1 AND {dd} >= 15) OR {m} = 2 OR ({m} = 3 AND {dd} <= 15) THEN 2.0 "
+    return (f"CAST(CASE WHEN ({m} = 1 AND {dd} >= 15) OR {m} = 2 OR ({m} = 3 AND {dd} <= 15) THEN 2.0 "
             f"WHEN {m} = 12 OR ({m} = 4 AND {dd} <= 15) OR {m} = 11 OR ({m} = 10 AND {dd} >= 15) THEN 1.5 "
-            f"WHEN {m} >= 10 OR {m} <= 5 THEN 1.2 ELSE 1.0 END")
+            f"WHEN {m} >= 10 OR {m} <= 5 THEN 1.2 ELSE 1.0 END AS DOUBLE)")
 
 
 def temp_risk_sql(t: str) -> str:
-    return f"CASE WHEN {t} IS NULL THEN 1.0 WHEN {t} < 55 THEN 2.0 WHEN {t} < 62 THEN 1.5 ELSE 1.0 END"
+    return f"CAST(CASE WHEN {t} IS NULL THEN 1.0 WHEN {t} < 55 THEN 2.0 WHEN {t} < 62 THEN 1.5 ELSE 1.0 END AS DOUBLE)"
 
 
 def complaint_risk_sql(n: str) -> str:
-    return f"CASE WHEN {n} >= 5 THEN 3.0 WHEN {n} >= 3 THEN 2.0 WHEN {n} >= 1 THEN 1.5 ELSE 1.0 END"
+    return f"CAST(CASE WHEN {n} >= 5 THEN 3.0 WHEN {n} >= 3 THEN 2.0 WHEN {n} >= 1 THEN 1.5 ELSE 1.0 END AS DOUBLE)"
 
 
 VIEWS = {
