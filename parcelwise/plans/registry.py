@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from parcelwise.plans import batch_queries, more_queries, stream_queries  # noqa: F401
+    from parcelwise.plans import batch_queries, more_queries, agg_queries, stream_queries  # noqa: F401
