@@ -196,11 +196,14 @@ def fine_exposure(violations: DataFrame) -> DataFrame:
 
 
 def property_scores(violations: DataFrame) -> DataFrame:
-    """Per-property risk score on a 0–100 scale (mean violation score × 10, 2 dp),
-    violation count and last violation date."""
-    # risk_score × 10 = 2 × quantity; summing the integral quantities is exact in
-    # any order, so the score does not depend on the partitioning.
+    """Per-property risk score on a 0–100 scale — the mean severity of the
+    property's open hazardous (class B/C) violations (risk_score × 10 = 2 × quantity),
+    2 dp; null when it has none — with its violation count and last violation date.
+    Sums of the integral quantities are exact in any order, so the score does not
+    depend on how partial aggregates are combined."""
+    hazard = (~F.col("is_resolved")) & F.col("violation_class").isin("B", "C")
     return violations.groupBy("property_id").agg(
-        F.bround(F.sum("quantity") * 2.0 / F.count(F.lit(1)), 2).alias("risk_score"),
+        F.bround(F.try_divide(F.sum(F.when(hazard, F.col("quantity"))) * 2.0, F.count_if(hazard)), 2)
+        .alias("risk_score"),
         F.count(F.lit(1)).alias("violation_count"),
         F.max("issued_date").alias("last_violation"))

@@ -283,7 +283,9 @@ def q_fine_exposure(spark, d):
 
 
 PROPERTY_SCORE_SQL = """
-SELECT property_id, round_even(sum(quantity) * 2.0 / count(*), 2) AS risk_score,
+SELECT property_id,
+       round_even(sum(quantity) FILTER (WHERE NOT is_resolved AND violation_class IN ('B', 'C')) * 2.0::DOUBLE
+                  / NULLIF(count(*) FILTER (WHERE NOT is_resolved AND violation_class IN ('B', 'C')), 0), 2) AS risk_score,
        CAST(count(*) AS BIGINT) AS violation_count, max(issued_date) AS last_violation
 FROM violations GROUP BY property_id"""
 
