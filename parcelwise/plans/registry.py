@@ -34,4 +34,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from parcelwise.plans import (agg_queries, batch_queries, listing_queries, more_queries,  # noqa: F401
-                                  peer_queries, stream_queries, window_queries)
+                                  peer_queries, stream_queries, temporal_queries,
+                                  window_queries)
