@@ -16,12 +16,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """``streaming=True`` turns every table into a file stream with the batch schema
+    (the path is a one-file glob, so new files landing next to it are not picked up)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.streaming = streaming
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if not self.streaming:
+            return self.spark.read.parquet(path)
+        schema = self.spark.read.parquet(path).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
