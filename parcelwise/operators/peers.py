@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -90,11 +91,17 @@ def _eq_null_safe(cols_a: list[str], cols_b: list[str]) -> Column:
     return cond
 
 
-def peer_stats(prepared: DataFrame) -> DataFrame:
+def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     """Per building: similar_count (all peers), scored peers, cent sum, strictly-below
-    count and exact median (in cents) of scored peers."""
+    count and exact median (in cents) of scored peers.
+
+    The cell pairs and the merged histogram feed several joins; with
+    ``materialize`` they are persisted (memory, spilling to disk) so each is
+    computed once — a lost executor's blocks are recomputed from lineage."""
     cdf = cells(prepared)
     pairs = cell_pairs(cdf)
+    if materialize:
+        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
     tkeys = [f"t_{c}" for c in CELL]
     # Totals of each target cell's peer set (the building itself included).
     tot = pairs.groupBy(*tkeys).agg(F.sum("n").alias("m_n"), F.sum("ns").alias("m_ns"), F.sum("sc").alias("m_sc"))
@@ -105,6 +112,8 @@ def peer_stats(prepared: DataFrame) -> DataFrame:
             .groupBy(*tkeys, "cents").agg(F.sum("cnt").alias("cnt")))
     w = Window.partitionBy(*tkeys).orderBy("cents")
     hist = hist.withColumn("cum_le", F.sum("cnt").over(w)).withColumn("cum_lt", F.col("cum_le") - F.col("cnt"))
+    if materialize:
+        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
 
     # Exclusions: the building itself and other buildings of the same parcel that
     # it would match — grouped per (parcel, cell) so a crowded parcel stays one row.
