@@ -104,7 +104,8 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
         pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
     tkeys = [f"t_{c}" for c in CELL]
     # Totals of each target cell's peer set (the building itself included).
-    tot = pairs.groupBy(*tkeys).agg(F.sum("n").alias("m_n"), F.sum("ns").alias("m_ns"), F.sum("sc").alias("m_sc"))
+    tot = pairs.groupBy(*tkeys).agg(F.sum("n").alias("m_n"), F.sum("ns").alias("m_ns"),
+                                    F.coalesce(F.sum("sc"), F.lit(0)).alias("m_sc"))
     # Merged score histogram of each target cell's peer set, with cumulative counts.
     hist_c = prepared.filter(F.col("cents").isNotNull()).groupBy(*CELL, "cents").agg(F.count(F.lit(1)).alias("cnt"))
     hist = (pairs.select(*tkeys, *[f"c_{c}" for c in CELL])
@@ -124,7 +125,7 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     ex_pairs = (tgt.join(g, (F.col("bbl") == F.col("g_bbl")) & (F.col("borough_l") == F.col("g_borough_l")))
                 .filter(_peer_predicate(F.col("y_key"), F.col("u_key"), F.col("g_y_key"), F.col("g_u_key"))))
     ex = ex_pairs.groupBy("property_id").agg(F.sum("g_n").alias("e_n"), F.sum("g_ns").alias("e_ns"),
-                                             F.sum("g_sc").alias("e_sc"))
+                                             F.coalesce(F.sum("g_sc"), F.lit(0)).alias("e_sc"))
     g_hist = prepared.filter(F.col("cents").isNotNull()).groupBy("bbl", *CELL, "cents") \
         .agg(F.count(F.lit(1)).alias("cnt"))
     ex_hist = (ex_pairs.select("property_id", "g_bbl", *[f"g_{c}" for c in CELL])
