@@ -43,7 +43,7 @@ def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
     y, u = F.col("year_built"), F.col("units")
     p = properties.join(scores.select("property_id", "risk_score"), "property_id", "left")
     return p.select(
-        "property_id", "bbl", "tenant_id", "borough", "units", "year_built", "risk_score",
+        "property_id", "bbl", "tenant_id", "borough", "units", "year_built", "building_class", "risk_score",
         F.lower(F.coalesce(F.col("borough"), F.lit(""))).alias("borough_l"),
         F.when(y.isNotNull() & (y != 0), y).alias("y_key"),
         F.when(u.isNotNull() & (u > 0), u).alias("u_key"),
@@ -271,3 +271,80 @@ def portfolio_peer_ranking(prepared: DataFrame) -> DataFrame:
         F.when(F.col("avg_risk") > market_avg, "Above Market Average").otherwise("Below Market Average")
         .alias("performance"),
         rec.alias("recommendation"))
+
+
+# ------------------------------------------------------------- k nearest
+KCELL = CELL + ["class_l"]
+
+
+def _distance(t_y: Column, t_u: Column, t_cls: Column, c_y: Column, c_u: Column, c_cls: Column) -> Column:
+    """Similarity distance: age gap in 15-year units + relative size gap + 1 if the
+    building class differs; an axis with a missing value contributes 0."""
+    dy = F.when(t_y.isNull() | c_y.isNull(), F.lit(0.0)).otherwise(F.abs(c_y - t_y) / 15.0)
+    du = F.when(t_u.isNull() | c_u.isNull(), F.lit(0.0)).otherwise(F.abs(c_u - t_u) / t_u)
+    dc = F.when(t_cls.eqNullSafe(c_cls), F.lit(0.0)).otherwise(F.lit(1.0))
+    return dy + du + dc
+
+
+def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
+    """The k most similar peers of every building (ties → smaller id).
+
+    Exact and bounded: candidate *cells* are ranked by distance per target cell and
+    kept while fewer than k + m buildings are strictly closer (m = the largest number
+    of buildings sharing one parcel, which bounds the exclusions); each kept cell
+    contributes only its k + m lowest-id buildings; the final top-k per building is
+    the two-phase ``top_n_per_key``."""
+    from parcelwise.operators.windows import top_n_per_key
+
+    p = prepared.withColumn("class_l", F.col("building_class"))
+    m = p.groupBy("bbl").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
+    cap = int(k + m)
+    cdf = p.groupBy(*KCELL).agg(F.count(F.lit(1)).alias("n"))
+    yb = F.floor(F.col("y_key") / YEAR_BUCKET)
+    ub = F.floor(F.log(F.col("u_key").cast("double")) / UNIT_BUCKET)
+    t = cdf.select(*[F.col(c).alias(f"t_{c}") for c in KCELL],
+                   F.explode(_tokens(F.col("y_key"), yb, True)).alias("ytok"),
+                   _tokens(F.col("u_key"), ub, True).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
+    c = cdf.select(*[F.col(x).alias(f"c_{x}") for x in KCELL], "n",
+                   F.explode(_tokens(F.col("y_key"), yb, False)).alias("ytok"),
+                   _tokens(F.col("u_key"), ub, False).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
+    pairs = (t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
+             .filter(_peer_predicate(F.col("t_y_key"), F.col("t_u_key"), F.col("c_y_key"), F.col("c_u_key")))
+             .withColumn("d", _distance(F.col("t_y_key"), F.col("t_u_key"), F.col("t_class_l"),
+                                        F.col("c_y_key"), F.col("c_u_key"), F.col("c_class_l"))))
+    tk = [f"t_{x}" for x in KCELL]
+    per_d = pairs.groupBy(*tk, "d").agg(F.sum("n").alias("nd"))
+    w = Window.partitionBy(*tk).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    keep_d = per_d.withColumn("closer", F.coalesce(F.sum("nd").over(w), F.lit(0))).filter(F.col("closer") < cap)
+    kd = keep_d.select(*[F.col(x).alias(f"k_{x}") for x in tk], F.col("d").alias("k_d"))
+    kept = pairs.join(kd, _eq_null_safe(tk + ["d"], [f"k_{x}" for x in tk] + ["k_d"]), "left_semi")
+    members = top_n_per_key(p.select(*KCELL, F.col("property_id").alias("peer_id"), F.col("bbl").alias("peer_bbl"),
+                                     F.col("cents").alias("peer_cents")),
+                            KCELL, [F.asc("peer_id")], cap, rank_col=None)
+    expanded = (kept.select(*tk, *[F.col(f"c_{x}") for x in KCELL], "d")
+                .join(members.select(*[F.col(x).alias(f"m_{x}") for x in KCELL], "peer_id", "peer_bbl", "peer_cents"),
+                      _eq_null_safe([f"c_{x}" for x in KCELL], [f"m_{x}" for x in KCELL])))
+    targets = p.select("property_id", "bbl", "cents", *KCELL)
+    tj = (targets.join(expanded, _eq_null_safe(KCELL, tk))
+          .filter(F.col("peer_bbl") != F.col("bbl"))
+          .select("property_id", "cents", "d", "peer_id", "peer_cents"))
+    top = top_n_per_key(tj, ["property_id"], [F.asc("d"), F.asc("peer_id")], k, rank_col=None)
+    return top
+
+
+def peer_topn(prepared: DataFrame, k: int = 100) -> DataFrame:
+    """R27 report per scored building: peer count, peer average, strict percentile, ranking text."""
+    top = nearest_peers(prepared, k)
+    agg = top.groupBy("property_id").agg(
+        F.count(F.lit(1)).alias("peer_count"), F.count("peer_cents").alias("_ns"),
+        F.sum("peer_cents").alias("_sc"),
+        F.count_if(F.col("peer_cents") < F.col("cents")).alias("_below"))
+    t = prepared.filter(F.col("cents").isNotNull()).select("property_id", "risk_score")
+    j = t.join(agg, "property_id", "left")
+    ns = F.coalesce(F.col("_ns"), F.lit(0))
+    pct = F.when(ns > 0, F.bround(F.col("_below") / ns * 100, 0))
+    ranking = F.when(pct < 50, F.concat(F.lit("Top "), pct.cast("long").cast("string"), F.lit("%"))) \
+        .otherwise(F.concat(F.lit("Bottom "), (100 - pct).cast("long").cast("string"), F.lit("%")))
+    return j.select("property_id", F.coalesce(F.col("peer_count"), F.lit(0)).alias("peer_count"),
+                    F.when(ns > 0, F.bround(F.col("_sc") / ns / 100.0, 1)).alias("peer_average"),
+                    pct.alias("percentile"), F.when(ns > 0, ranking).alias("ranking"))

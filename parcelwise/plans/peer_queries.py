@@ -19,7 +19,7 @@ def _prepared(spark, d):
 
 BUILDINGS_SQL = f"""
 s AS ({PROPERTY_SCORE_SQL}),
-b AS (SELECT p.property_id, p.bbl, p.tenant_id, p.borough, p.units, p.year_built, s.risk_score,
+b AS (SELECT p.property_id, p.bbl, p.tenant_id, p.borough, p.units, p.year_built, p.building_class, s.risk_score,
              lower(COALESCE(p.borough, '')) AS bl,
              CASE WHEN p.year_built IS NOT NULL AND p.year_built <> 0 THEN p.year_built END AS yk,
              CASE WHEN p.units > 0 THEN p.units END AS uk,
@@ -111,3 +111,31 @@ SELECT tenant_id, CAST(portfolio_size AS BIGINT) AS portfolio_size, round_even(a
 FROM r""")
 def q_portfolio_peer_ranking(spark, d):
     return P.portfolio_peer_ranking(_prepared(spark, d))
+
+
+@query("peer_topn", f"""
+WITH {BUILDINGS_SQL},
+pr AS (SELECT t.property_id AS tid, t.cents AS tc, c.property_id AS cid, c.cents AS cc,
+              CASE WHEN t.yk IS NULL OR c.yk IS NULL THEN 0.0::DOUBLE ELSE abs(c.yk - t.yk) / 15.0::DOUBLE END
+              + CASE WHEN t.uk IS NULL OR c.uk IS NULL THEN 0.0::DOUBLE ELSE abs(c.uk - t.uk) / t.uk END
+              + CASE WHEN t.building_class IS NOT DISTINCT FROM c.building_class THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
+                AS d
+       FROM b t JOIN b c ON t.bl = c.bl AND t.bbl <> c.bbl
+       WHERE (c.uk IS NULL OR t.uk IS NULL OR (c.uk / t.uk >= 0.7 AND c.uk / t.uk <= 1.3))
+         AND (c.yk IS NULL OR t.yk IS NULL OR abs(c.yk - t.yk) <= 15)),
+r AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY d, cid) AS rn FROM pr),
+a AS (SELECT tid, count(*) AS peer_count, count(cc) AS ns, sum(cc) AS sc,
+             count(*) FILTER (WHERE cc < tc) AS below FROM r WHERE rn <= 100 GROUP BY tid),
+x AS (SELECT b.property_id, CAST(COALESCE(a.peer_count, 0) AS BIGINT) AS peer_count, a.ns, a.sc,
+             CASE WHEN a.ns > 0 THEN round_even(a.below / a.ns * 100, 0) END AS percentile
+      FROM b LEFT JOIN a ON a.tid = b.property_id WHERE b.cents IS NOT NULL)
+SELECT property_id, peer_count, CASE WHEN ns > 0 THEN round_even(sc / ns / 100.0::DOUBLE, 1) END AS peer_average,
+       percentile,
+       CASE WHEN ns > 0 THEN CASE WHEN percentile < 50 THEN 'Top ' || CAST(CAST(percentile AS BIGINT) AS VARCHAR) || '%'
+                                  ELSE 'Bottom ' || CAST(CAST(100 - percentile AS BIGINT) AS VARCHAR) || '%' END END
+         AS ranking
+FROM x""")
+def q_peer_topn(spark, d):
+    """The 100 most similar peers (age, size, class; same borough) and the
+    building's standing among them."""
+    return P.peer_topn(_prepared(spark, d), 100)

@@ -188,3 +188,35 @@ def test_peer_stats_against_pairs(spark):
         if sc:
             med = statistics.median([round(s * 100) for s in sc])
             assert g.median_cents == pytest.approx(med)
+
+
+def test_nearest_peers_hot_cell(spark):
+    rnd = random.Random(11)
+    b = []
+    for i in range(200):
+        hot = i % 3 == 0
+        b.append((i, "3000010001" if i % 13 == 0 else f"3{i:05d}0001", "t", "brooklyn",
+                  20 if hot else rnd.choice([0, 10, 15, 20, 25]), 1950 if hot else rnd.choice([None, 1940, 1955, 1965]),
+                  rnd.choice(["A", "B"]), None if i % 7 == 0 else round(rnd.randrange(0, 10000) / 100, 2)))
+    props = spark.createDataFrame([x[:6] + (x[6],) for x in b], "property_id long, bbl string, tenant_id string, "
+                                  "borough string, units int, year_built int, building_class string")
+    scores = spark.createDataFrame([(x[0], x[7]) for x in b], "property_id long, risk_score double")
+    got = {}
+    for r in P.nearest_peers(P.prepare(props, scores), k=10).collect():
+        got.setdefault(r.property_id, set()).add(r.peer_id)
+    for t in b:
+        cands = []
+        for c in b:
+            if c[1] == t[1]:
+                continue
+            tu, cu = (t[4] if t[4] > 0 else None), (c[4] if c[4] > 0 else None)
+            ty, cy = t[5] or None, c[5] or None
+            if tu and cu and not (0.7 <= cu / tu <= 1.3):
+                continue
+            if ty and cy and abs(cy - ty) > 15:
+                continue
+            d = (0.0 if ty is None or cy is None else abs(cy - ty) / 15.0) \
+                + (0.0 if tu is None or cu is None else abs(cu - tu) / tu) + (0.0 if c[6] == t[6] else 1.0)
+            cands.append((d, c[0]))
+        want = {cid for _, cid in sorted(cands)[:10]}
+        assert got.get(t[0], set()) == want
