@@ -41,6 +41,8 @@ CELL = ["borough_l", "y_key", "u_key"]
 def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
     """One row per building with normalised match keys and its 2-dp score in cents."""
     y, u = F.col("year_built"), F.col("units")
+    if "building_class" not in properties.columns:
+        properties = properties.withColumn("building_class", F.lit(None).cast("string"))
     p = properties.join(scores.select("property_id", "risk_score"), "property_id", "left")
     return p.select(
         "property_id", "bbl", "tenant_id", "borough", "units", "year_built", "building_class", "risk_score",

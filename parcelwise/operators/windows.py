@@ -1,8 +1,9 @@
 """Ranking and window operators that stay exact when one key holds a third of the rows.
 
-* ``top_n_per_key`` — newest/highest N per key in two phases: rank inside
-  (key, salt) sub-groups, keep ≤ N per sub-group, then rank the ≤ N·S survivors
-  per key.  No window partition ever holds more than one salt slice of a key.
+* ``top_n_per_key`` — newest/highest N per key.  Heavy hitters (keys with at
+  least 1/100 000 of the rows — a bounded, broadcastable list) are ranked inside
+  salt slices of ~threshold rows and then their ≤ N-per-slice survivors are
+  ranked again; every other key is ranked in a single window.
 * ``first_k_flags`` — admission of the first k rows per key (k may vary per key),
   built on the same two phases and joined back on the row id.
 * ``strict_percentile`` — share of a cohort strictly below each score, from a
@@ -19,42 +20,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-DEFAULT_SALTS = 32
+HOT_KEY_BOUND = 100_000      # at most this many keys can be "hot" (each holds ≥ 1/BOUND of the rows)
+MIN_HOT_ROWS = 200_000       # below this a key is sorted whole by one task
 
 
-def _salt(cols: list[str], salts: int) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts))
+def heavy_hitters(df: DataFrame, keys: list[str], bound: int = HOT_KEY_BOUND, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Keys holding at least 1/``bound`` of the rows (and more than ``min_rows``), with the
+    number of slices ``_parts`` = ceil(rows / threshold) each should be split into.
+
+    The per-key counts are a partial aggregation; the total is one scalar.  By
+    construction at most ``bound`` keys qualify, so the result may be broadcast."""
+    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = cnt.agg(F.sum("_n")).first()[0] or 0
+    threshold = max(1, -(-total // bound), min_rows + 1)
+    return (cnt.filter(F.col("_n") >= threshold)
+            .select(*keys, F.ceil(F.col("_n") / F.lit(threshold)).cast("int").alias("_parts")))
+
+
+def _tag_hot(df: DataFrame, keys: list[str], hot: DataFrame, id_cols: list[str]) -> DataFrame:
+    tagged = df.join(F.broadcast(hot), keys, "left")   # ≤ HOT_KEY_BOUND rows
+    slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), F.coalesce(F.col("_parts"), F.lit(1)))
+    return tagged.withColumn("_hot", F.col("_parts").isNotNull()).withColumn("_salt", slice_).drop("_parts")
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
-                  salts: int = DEFAULT_SALTS, rank_col: str | None = "rank") -> DataFrame:
-    """Exact top-n rows per key under a total order (``order`` must break all ties)."""
-    row_cols = df.columns
-    salted = df.withColumn("_salt", _salt(row_cols, salts))
+                  bound: int = HOT_KEY_BOUND, rank_col: str | None = "rank",
+                  min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Exact top-n rows per key under a total order (``order`` must break all ties).
+
+    Cold keys are ranked in one window.  Hot keys (heavy hitters) are ranked inside
+    ⌈rows / threshold⌉ salt slices first, and only their ≤ n per slice survivors are
+    ranked again — no window partition exceeds ~threshold rows."""
+    cols = df.columns
+    hot = heavy_hitters(df, keys, bound, min_rows=max(n, min_rows))
+    t = _tag_hot(df, keys, hot, cols)
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    phase1 = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_r1", "_salt")
+    p1 = t.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
+    cold = p1.filter(~F.col("_hot"))
     w2 = Window.partitionBy(*keys).orderBy(*order)
-    out = phase1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= n)
-    return out.withColumnRenamed("_r2", rank_col) if rank_col else out.drop("_r2")
+    warm = (p1.filter(F.col("_hot")).drop("_r").withColumn("_r", F.row_number().over(w2))
+            .filter(F.col("_r") <= n))
+    out = cold.unionByName(warm).select(*cols, "_r")
+    return out.withColumnRenamed("_r", rank_col) if rank_col else out.drop("_r")
 
 
 def first_k_flags(df: DataFrame, keys: list[str], order: list[Column], id_col: str,
-                  k_col: str, k_max: int, salts: int = DEFAULT_SALTS, flag: str = "admitted") -> DataFrame:
+                  k_col: str, k_max: int, bound: int = HOT_KEY_BOUND, flag: str = "admitted",
+                  min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Flag the first ``k_col`` rows per key (``k_col`` ≤ ``k_max``), all other rows False.
 
-    ``id_col`` must be unique.  The admitted set is at most k per key, found in
-    two phases; the flag is attached with a join on the unique id."""
-    cols = list(dict.fromkeys(keys + [id_col, k_col] + [c for c in df.columns]))
-    base = df.select(*cols)
-    salted = base.withColumn("_salt", _salt([id_col], salts))
+    ``id_col`` must be unique.  The admitted set (≤ k per key) is found with the
+    heavy-hitter-aware two phases of ``top_n_per_key`` and attached by a join on the id."""
+    base = df
+    hot = heavy_hitters(base, keys, bound, min_rows=max(k_max, min_rows))
+    t = _tag_hot(base, keys, hot, [id_col])
     w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    p1 = (salted.withColumn("_r1", F.row_number().over(w1))
-          .filter((F.col("_r1") <= F.col(k_col)) & (F.col("_r1") <= k_max)))
+    p1 = (t.withColumn("_r", F.row_number().over(w1))
+          .filter((F.col("_r") <= F.col(k_col)) & (F.col("_r") <= k_max)))
+    cold = p1.filter(~F.col("_hot")).select(id_col, F.col("_r").alias("position"))
     w2 = Window.partitionBy(*keys).orderBy(*order)
-    p2 = (p1.withColumn("_r2", F.row_number().over(w2)).filter(F.col("_r2") <= F.col(k_col))
-          .select(F.col(id_col), F.col("_r2").alias("position")))
-    return (df.join(p2, id_col, "left")
-            .withColumn(flag, F.col("position").isNotNull()))
+    warm = (p1.filter(F.col("_hot")).withColumn("_r2", F.row_number().over(w2))
+            .filter(F.col("_r2") <= F.col(k_col)).select(id_col, F.col("_r2").alias("position")))
+    admitted = cold.unionByName(warm)
+    return df.join(admitted, id_col, "left").withColumn(flag, F.col("position").isNotNull())
 
 
 def strict_percentile(df: DataFrame, cohort: list[str], score: str, out: str = "percentile") -> DataFrame:

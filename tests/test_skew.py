@@ -41,7 +41,7 @@ def ev(spark):
 def test_top_n_per_key(spark, ev):
     rows, df = ev
     got = {(r.k, r.id, r["rank"]) for r in
-           W.top_n_per_key(df, ["k"], [F.desc("v"), F.asc("id")], 5, salts=4).collect()}
+           W.top_n_per_key(df, ["k"], [F.desc("v"), F.asc("id")], 5, bound=4, min_rows=0).collect()}
     want = set()
     for k in {r[1] for r in rows}:
         sel = sorted([r for r in rows if r[1] == k], key=lambda r: (-r[3], r[0]))[:5]
@@ -61,7 +61,7 @@ def test_first_k_flags(spark, ev):
 
 
 def first_k(df):
-    return W.first_k_flags(df, ["k"], [F.asc("ts"), F.asc("id")], "id", "quota", 30, salts=4)
+    return W.first_k_flags(df, ["k"], [F.asc("ts"), F.asc("id")], "id", "quota", 30, bound=4, min_rows=0)
 
 
 def test_trailing_count(spark, ev):
