@@ -8,11 +8,13 @@ every time reference (``as_of``) explicitly so that both sides agree.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from parcelwise.plans.sqlviews import with_views
+from parcelwise.session import ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -20,11 +22,24 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Jobs are defined on a UTC clock; a caller's session gets that zone (runtime SQL conf)."""
+    if spark.conf.get("spark.sql.session.timeZone", None) not in ("UTC", "Etc/UTC"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _prepare(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql)
         return fn

@@ -53,6 +53,7 @@ def get_spark(master: str | None = None, app: str = "parcelwise",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,3 +76,33 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (for written tables and stream state)."""
     base = checkpoint_dir(spark).rstrip("/")
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base) if base.startswith("/") else f"{base}/{name}-{os.urandom(6).hex()}"
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``parcelwise`` importable in Python workers (pandas UDF jobs pickle its
+    functions by reference).  Skipped when the package was submitted with
+    ``--py-files`` / ``spark.submit.pyFiles``; otherwise the package is zipped once
+    per SparkContext and added with ``addPyFile`` (served to executors by the driver)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    if "parcelwise" in (sc.getConf().get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(key)
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="parcelwise-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
