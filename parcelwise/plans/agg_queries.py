@@ -235,7 +235,7 @@ SELECT p.tenant_id, CAST(count(*) FILTER (WHERE COALESCE(hc.n, 0) >= 3) AS BIGIN
 FROM properties p LEFT JOIN hc ON p.property_id = hc.property_id GROUP BY p.tenant_id""")
 def q_heat_alert_count(spark, d):
     v = _v(spark, d)
-    return A.heat_alert_count(v.properties(), S.complaint_counts(v.complaints(), EVENT_AS_OF, 30))
+    return A.heat_alert_count(v.properties(), S.complaint_counts(v.complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, 30))
 
 
 @query("high_risk_properties", """

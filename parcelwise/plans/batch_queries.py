@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parcelwise.functions import dims as D
 from parcelwise.operators import feed
 from parcelwise.plans.registry import query
 from parcelwise.sources.tables import Tables
@@ -45,7 +46,7 @@ FROM j"""
 
 def scored(spark, d):
     v = _v(spark, d)
-    return feed.feed_scored(v.violations(), v.complaints(), v.properties())
+    return feed.feed_scored(v.violations(), v.complaints(types=D.RELEVANT_311_TYPES), v.properties())
 
 
 @query("feed_scored", FEED_SCORED_SQL)
@@ -62,7 +63,7 @@ def q_feed_violations_agg(spark, d):
 @query("feed_complaints_agg", FEED_C_SQL)
 def q_feed_complaints_agg(spark, d):
     v = _v(spark, d)
-    return feed.complaints_agg(feed.relevant_complaints(v.complaints()), v.properties())
+    return feed.complaints_agg(feed.relevant_complaints(v.complaints(types=D.RELEVANT_311_TYPES)), v.properties())
 
 
 @query("feed_joined", f"""
@@ -75,7 +76,7 @@ def q_feed_joined(spark, d):
     v = _v(spark, d)
     props = v.properties()
     va = feed.violations_agg(v.violations(), props)
-    ca = feed.complaints_agg(feed.relevant_complaints(v.complaints()), props)
+    ca = feed.complaints_agg(feed.relevant_complaints(v.complaints(types=D.RELEVANT_311_TYPES)), props)
     return feed.feed_joined(va, ca)
 
 

@@ -28,7 +28,7 @@ def _v(spark, d):
 
 def _scored(spark, d):
     v = _v(spark, d)
-    return FE.feed_scored(v.violations(), v.complaints(), v.properties())
+    return FE.feed_scored(v.violations(), v.complaints(types=D.RELEVANT_311_TYPES), v.properties())
 
 
 # ------------------------------------------------------------------ sources
@@ -43,7 +43,7 @@ def q_src_hpd(spark, d):
 SELECT * FROM complaints WHERE complaint_type IN ('HEAT/HOT WATER', 'PLUMBING')
   AND created >= TIMESTAMP '{EVENT_AS_OF}' - INTERVAL 90 DAY""")
 def q_src_311(spark, d):
-    return FE.relevant_complaints(_v(spark, d).complaints(), EVENT_AS_OF, D.FEED_DAYS_BACK)
+    return FE.relevant_complaints(_v(spark, d).complaints(types=D.RELEVANT_311_TYPES), EVENT_AS_OF, D.FEED_DAYS_BACK)
 
 
 @query("src_dataset_slice", f"""

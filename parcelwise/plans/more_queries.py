@@ -170,7 +170,7 @@ SELECT *, {_case_map('urgency', {k: v[0] for k, v in D.HEAT_URGENCY.items()})} A
 FROM hf""")
 def q_heat_forecast(spark, d):
     v = _v(spark, d)
-    return S.heat_forecast(v.properties(), v.complaints(), EVENT_AS_OF, AVG_TEMP)
+    return S.heat_forecast(v.properties(), v.complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, AVG_TEMP)
 
 
 @query("complaints_lookback", """
@@ -179,7 +179,7 @@ WHERE complaint_type = 'HEAT/HOT WATER' AND created >= TIMESTAMP '2024-01-31' -
 GROUP BY property_id""")
 def q_complaints_lookback(spark, d):
     """Inclusive 30-day lookback per property, no upper bound."""
-    return S.complaint_counts(_v(spark, d).complaints(), EVENT_AS_OF, 30)
+    return S.complaint_counts(_v(spark, d).complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, 30)
 
 
 def _winter_sql() -> str:
@@ -209,7 +209,7 @@ FROM l"""
 
 def _winter(spark, d):
     v = _v(spark, d)
-    f = S.heat_forecast(v.properties(), v.complaints(), EVENT_AS_OF, AVG_TEMP)
+    f = S.heat_forecast(v.properties(), v.complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, AVG_TEMP)
     return S.winter_risk(f, v.violations(), VIOLATION_AS_OF)
 
 
@@ -237,7 +237,7 @@ SELECT property_id, bbl, year_built, council_district, heat_complaints_30d,
 FROM hf""")
 def q_integrated_risk(spark, d):
     v = _v(spark, d)
-    return S.integrated_risk(v.properties(), v.complaints(), EVENT_AS_OF, AVG_TEMP)
+    return S.integrated_risk(v.properties(), v.complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, AVG_TEMP)
 
 
 @query("heat_probability_14d", """
@@ -251,7 +251,7 @@ SELECT property_id, complaints_14d, round_even(complaints_14d * 0.87::DOUBLE * 1
 FROM b""")
 def q_heat_probability(spark, d):
     v = _v(spark, d)
-    return S.heat_probability_14d(v.properties(), v.complaints(), EVENT_AS_OF, AVG_TEMP)
+    return S.heat_probability_14d(v.properties(), v.complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, AVG_TEMP)
 
 
 # ------------------------------------------------- classes and levels

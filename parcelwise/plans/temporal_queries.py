@@ -16,7 +16,7 @@ def _v(spark, d):
 
 
 def _heat(v):
-    return (v.complaints().filter(F.col("complaint_type") == "HEAT/HOT WATER")
+    return (v.complaints(types=["HEAT/HOT WATER"]).filter(F.col("complaint_type") == "HEAT/HOT WATER")
             .select("unique_key", "property_id", "created"))
 
 

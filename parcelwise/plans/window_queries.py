@@ -96,7 +96,7 @@ SELECT unique_key, property_id, created,
                            RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS heat_complaints_30d
 FROM complaints WHERE complaint_type = 'HEAT/HOT WATER'""")
 def q_heat_complaints_30d(spark, d):
-    c = (_v(spark, d).complaints().filter(F.col("complaint_type") == "HEAT/HOT WATER")
+    c = (_v(spark, d).complaints(types=["HEAT/HOT WATER"]).filter(F.col("complaint_type") == "HEAT/HOT WATER")
          .select("unique_key", "property_id", "created"))
     return W.trailing_count(c, "property_id", "created", 30 * 86400, "unique_key", out="heat_complaints_30d")
 
