@@ -8,7 +8,7 @@ window aggregate expresses them.  Spark still partitions the work:
   limiter state is provably back to its initial value (gap > window for the
   sliding log — every logged request has been evicted; gap ≥ period for the
   token bucket — the bucket has refilled to capacity).  Segments are found with
-  a lag window and a running sum; rows are hash-partitioned on (client,
+  time-bucketed as-of scans; rows are hash-partitioned on (client,
   segment) and sorted, and one ``mapInPandas`` pass folds run after run — so a
   busy client is split along time and no per-group Python call is paid;
 * the fold itself is a small Python step per request.
@@ -30,12 +30,19 @@ OUT_SCHEMA = "client long, request_id long, ts timestamp_ntz, admitted boolean"
 
 
 def _segments(requests: DataFrame, reset_us: int, strict: bool) -> DataFrame:
-    e = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("client").orderBy("ts", "request_id")
-    gap = e - F.lag(e).over(w)
-    new = F.when(gap.isNull(), 1).when((gap > reset_us) if strict else (gap >= reset_us), 1).otherwise(0)
-    return (requests.select("client", "request_id", "ts").withColumn("_new", new)
-            .withColumn("segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new"))
+    """Segment id (= epoch of the segment's first request) for every request.
+
+    A new segment starts at a distinct timestamp whose gap to the client's previous
+    distinct timestamp exceeds the reset (``>`` when ``strict``, else ``≥``).  Both
+    steps are time-bucketed as-of scans, so a client with a third of all requests is
+    split along time instead of sorted whole in one task."""
+    from parcelwise.operators.temporal import asof_epoch, previous_distinct
+    r = requests.select("client", "request_id", "ts").withColumn("_e", F.unix_micros(F.col("ts").cast("timestamp")))
+    prev = previous_distinct(r, ["client"], "_e", out="_prev")
+    gap = F.col("_e") - F.col("_prev")
+    starts = prev.filter(F.col("_prev").isNull() | ((gap > reset_us) if strict else (gap >= reset_us))) \
+        .select("client", F.col("_e").alias("_start"))
+    return asof_epoch(r, starts, "client", "_e", "_start", out="segment").drop("_e")
 
 
 # --------------------------------------------------------------- sliding log

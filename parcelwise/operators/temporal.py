@@ -27,24 +27,34 @@ def _epoch(c: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
-def asof_epoch(probes: DataFrame, events: DataFrame, key: str, probe_e: str, event_e: str,
+def asof_epoch(probes: DataFrame, events: DataFrame, key: str | list[str], probe_e: str, event_e: str,
                bucket_us: int = DAY_US, out: str = "asof_e") -> DataFrame:
     """For each probe row, the greatest ``event_e`` ≤ ``probe_e`` of the same key (epoch longs)."""
+    keys = [key] if isinstance(key, str) else list(key)
     p = probes.withColumn("_kind", F.lit(1)).withColumn("_t", F.col(probe_e))
-    e = events.select(key, F.col(event_e).alias("_t")).withColumn("_kind", F.lit(0))
+    e = events.select(*keys, F.col(event_e).alias("_t")).withColumn("_kind", F.lit(0))
     u = p.unionByName(e, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / bucket_us))
     ev = F.when(F.col("_kind") == 0, F.col("_t"))
-    w_in = (Window.partitionBy(key, "_b").orderBy("_t", "_kind")
+    w_in = (Window.partitionBy(*keys, "_b").orderBy("_t", "_kind")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = u.withColumn("_local", F.max(ev).over(w_in)).filter(F.col("_kind") == 1)
-    per_bucket = e.withColumn("_b", F.floor(F.col("_t") / bucket_us)).groupBy(key, "_b").agg(F.max("_t").alias("_bm"))
-    w_b = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = (e.withColumn("_b", F.floor(F.col("_t") / bucket_us)).groupBy(*keys, "_b")
+                  .agg(F.max("_t").alias("_bm")))
+    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     # Probe buckets without events still need the carry: collect all buckets that occur.
-    buckets = (local.select(key, "_b").distinct().withColumn("_bm", F.lit(None).cast("long"))
-               .unionByName(per_bucket).groupBy(key, "_b").agg(F.max("_bm").alias("_bm")))
-    carry = buckets.withColumn("_prev", F.max("_bm").over(w_b)).select(key, "_b", "_prev")
-    j = local.join(carry, [key, "_b"], "left")
-    return j.withColumn(out, F.coalesce("_local", "_prev")).drop("_kind", "_t", "_b", "_local", "_prev")
+    buckets = (local.select(*keys, "_b").distinct().withColumn("_bm", F.lit(None).cast("long"))
+               .unionByName(per_bucket).groupBy(*keys, "_b").agg(F.max("_bm").alias("_bm")))
+    carry = buckets.withColumn("_carry", F.max("_bm").over(w_b)).select(*keys, "_b", "_carry")
+    j = local.join(carry, keys + ["_b"], "left")
+    return j.withColumn(out, F.coalesce("_local", "_carry")).drop("_kind", "_t", "_b", "_local", "_carry")
+
+
+def previous_distinct(df: DataFrame, keys: list[str], e: str, out: str = "prev_e") -> DataFrame:
+    """One row per distinct (keys, e) with the previous distinct epoch of the same key —
+    the as-of scan at e − 1 µs (timestamps are whole microseconds)."""
+    d = df.select(*keys, e).distinct()
+    probes = d.withColumn("_pe", F.col(e) - 1)
+    return asof_epoch(probes, d.select(*keys, F.col(e).alias("_ee")), keys, "_pe", "_ee", out=out).drop("_pe")
 
 
 def asof_backward(probes: DataFrame, events: DataFrame, key: str, probe_ts: str, event_ts: str,

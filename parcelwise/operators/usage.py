@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from parcelwise.functions import dims as D
 from parcelwise.functions import rules as R
@@ -57,12 +56,18 @@ def tier_building_cap(checks: DataFrame, accounts: DataFrame, cap: int = D.FREE_
 
 def hit_rate(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """A request is a cache hit when the same client asked the same endpoint
-    within the TTL; rate = hits / (hits + misses), 0.0 when there are none."""
-    w = Window.partitionBy("client", "endpoint").orderBy("ts", "request_id")
-    prev = F.lag("ts").over(w)
-    r = requests.withColumn("hit", F.coalesce(
-        F.col("ts") <= prev + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS"), F.lit(False)))
-    agg = r.groupBy("endpoint").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    within the TTL before it (in (ts, id) order); rate = hits / (hits + misses), 0.0
+    when there are none.  The previous request comes from a time-bucketed as-of scan,
+    plus an aggregate for requests sharing a timestamp — no per-key sort."""
+    from parcelwise.operators.temporal import previous_distinct
+    keys = ["client", "endpoint"]
+    r = requests.select(*keys, "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_e"))
+    first = r.groupBy(*keys, "_e").agg(F.min("request_id").alias("_first"))
+    prev = previous_distinct(r, keys, "_e", out="_prev")
+    j = r.join(first, keys + ["_e"]).join(prev, keys + ["_e"])
+    ttl = int(ttl_seconds) * 1_000_000
+    hit = (F.col("request_id") != F.col("_first")) | F.coalesce(F.col("_e") - F.col("_prev") <= ttl, F.lit(False))
+    agg = j.groupBy("endpoint").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
     return agg.withColumn("hit_rate", F.coalesce(
         F.bround(F.try_divide(F.col("hits"), F.col("hits") + F.col("misses")), 4), F.lit(0.0)))
 

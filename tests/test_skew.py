@@ -220,3 +220,27 @@ def test_nearest_peers_hot_cell(spark):
             cands.append((d, c[0]))
         want = {cid for _, cid in sorted(cands)[:10]}
         assert got.get(t[0], set()) == want
+
+
+def test_hit_rate_with_ties(spark):
+    from parcelwise.operators import usage as U
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        c = 0 if i % 3 == 0 else rnd.randrange(1, 6)
+        ts = T0 + dt.timedelta(minutes=rnd.randrange(0, 3000) // 7 * 7)     # many equal timestamps
+        rows.append((i, c, rnd.choice(["a", "b"]), ts))
+    df = spark.createDataFrame(rows, "request_id long, client long, endpoint string, ts timestamp_ntz")
+    got = {r.endpoint: (r.hits, r.misses) for r in U.hit_rate(df, 3600).collect()}
+    want = {}
+    for ep in ("a", "b"):
+        hits = misses = 0
+        for c in {r[1] for r in rows}:
+            sel = sorted([r for r in rows if r[1] == c and r[2] == ep], key=lambda r: (r[3], r[0]))
+            for prev, cur in zip([None] + sel[:-1], sel):
+                if prev is not None and cur[3] - prev[3] <= dt.timedelta(hours=1):
+                    hits += 1
+                else:
+                    misses += 1
+        want[ep] = (hits, misses)
+    assert got == want
