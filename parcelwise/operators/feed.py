@@ -30,11 +30,14 @@ def _keyed(df: DataFrame, properties: DataFrame) -> DataFrame:
 
 def hpd_violations(violations: DataFrame, as_of: str | None = None,
                    days_back: int | None = D.FEED_DAYS_BACK, classes=("A", "B", "C")) -> DataFrame:
-    """Recent housing violations of class A/B/C (falls back to all classes when none)."""
+    """Recent housing violations of class A/B/C; when that slice is empty the
+    class filter is dropped (the feed's retry).  Class is upper-cased and trimmed."""
     v = violations.filter(F.col("source") == "HPD")
     if as_of is not None and days_back is not None:
         v = v.filter(F.col("issued_date") >= F.date_sub(F.lit(as_of).cast("date"), days_back))
-    return v.filter(F.upper(F.trim("violation_class")).isin(*classes))
+    v = v.withColumn("violation_class", F.upper(F.trim("violation_class")))
+    by_class = v.filter(F.col("violation_class").isin(*classes))
+    return v if by_class.isEmpty() else by_class
 
 
 def relevant_complaints(complaints: DataFrame, as_of: str | None = None,

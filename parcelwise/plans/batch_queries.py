@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import dims as D
 from parcelwise.operators import feed
+from parcelwise.operators import sinks as SK
+from parcelwise.session import scratch_path
 from parcelwise.plans.registry import query
 from parcelwise.sources.tables import Tables
 
@@ -82,16 +84,16 @@ def q_feed_joined(spark, d):
 
 @query("export_full", FEED_SCORED_SQL)
 def q_export_full(spark, d):
-    """K1: the full scored feed (the sink writes it as CSV; see operators.sinks)."""
-    return scored(spark, d)
+    """K1: the full scored feed written as CSV to the shared folder and read back typed."""
+    return SK.round_trip(spark, scored(spark, d), scratch_path(spark, "export-full"), "csv")
 
 
 @query("export_sample", f"""
 WITH s AS (SELECT * FROM ({FEED_SCORED_SQL}))
 SELECT * FROM s ORDER BY compliance_risk_score DESC, bbl LIMIT 100""")
 def q_export_sample(spark, d):
-    """K2: top 100 by score."""
-    return feed.top_scored(scored(spark, d), 100)
+    """K2: top 100 by score, written as JSON records."""
+    return SK.round_trip(spark, feed.top_scored(scored(spark, d), 100), scratch_path(spark, "export-sample"), "json")
 
 
 @query("feed_summary", f"""
@@ -117,4 +119,5 @@ SELECT printf('SAMPLE-%04d', rank) AS bbl, total_violations, class_b_violations,
        compliance_risk_score, CAST(rank AS INTEGER) AS rank
 FROM t WHERE rank <= 50""")
 def q_export_demo(spark, d):
-    return feed.anonymised_demo(scored(spark, d), 50)
+    """K3: top 50 with the parcel key replaced by its rank label, written as CSV."""
+    return SK.round_trip(spark, feed.anonymised_demo(scored(spark, d), 50), scratch_path(spark, "export-demo"), "csv")

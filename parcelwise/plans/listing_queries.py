@@ -236,7 +236,9 @@ WHERE property_id IN (SELECT property_id FROM properties WHERE tenant_id = '{TEN
 def q_compliance_report(spark, d):
     v = _v(spark, d)
     ids = L.tenant_scope(v.properties(), TENANT).select("property_id")
-    return L.compliance_report(v.violations(), ids, "1998-01-01", "1998-12-31", include_resolved=False)
+    rep = L.compliance_report(v.violations(), ids, "1998-01-01", "1998-12-31", include_resolved=False)
+    from parcelwise.operators import sinks as SK
+    return SK.round_trip(spark, rep, scratch_path(spark, "report"), "json")
 
 
 @query("hash_keys", """
