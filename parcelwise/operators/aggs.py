@@ -229,3 +229,14 @@ def scan_result(targets: DataFrame, violations: DataFrame) -> DataFrame:
     j = targets.select("tenant_id", "property_id").join(per, "property_id", "left")
     return j.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("properties_scanned"),
                                       F.coalesce(F.sum("n"), F.lit(0)).alias("violations_found"))
+
+
+def outreach_email(summary: DataFrame) -> DataFrame:
+    """R22 (summary text): one outreach message per tenant from A18's counts."""
+    text = F.format_string(
+        "Hello,\n\nYour portfolio: %d buildings.\n\nKey findings:\n"
+        "- %d high-risk buildings (score >= 70)\n- %d buildings built before 1974 (2.5x - 3.8x era risk)\n"
+        "- winter heat-season exposure $%d - $%d\n",
+        F.col("total_buildings"), F.col("high_risk_count"), F.col("pre1974_count"),
+        F.col("winter_risk_low"), F.col("winter_risk_high").cast("long"))
+    return summary.select("tenant_id", text.alias("email"))

@@ -198,7 +198,7 @@ def q_portfolio_extremes(spark, d):
     return A.portfolio_extremes(v.properties(), S.property_scores(vio), S.fine_exposure(vio))
 
 
-@query("outreach_summary", f"""
+OUTREACH_SQL = f"""
 WITH s AS ({PROPERTY_SCORE_SQL}),
 j AS (SELECT p.tenant_id, COALESCE(p.year_built, 2000) AS y, s.risk_score
       FROM properties p LEFT JOIN s ON p.property_id = s.property_id),
@@ -209,7 +209,10 @@ a AS (SELECT tenant_id, CAST(count(*) AS BIGINT) AS total_buildings,
       FROM j GROUP BY tenant_id)
 SELECT *, pre1960_count * 15000 AS winter_risk_low, pre1960_count * 15000 * 1.5::DOUBLE AS winter_risk_high,
        high_risk_count * 8000 AS annual_risk_low, high_risk_count * 8000 * 2 AS annual_risk_high
-FROM a""")
+FROM a"""
+
+
+@query("outreach_summary", OUTREACH_SQL)
 def q_outreach_summary(spark, d):
     v = _v(spark, d)
     return A.outreach_summary(v.properties(), S.property_scores(v.violations()))
@@ -260,3 +263,17 @@ def q_scan_result(spark, d):
 def q_scan_targets(spark, d):
     """F6 scan_all: every monitored property (an id list is a left semi join, see portfolio_semi)."""
     return _v(spark, d).properties().filter(F.col("is_monitored")).select("tenant_id", "property_id", "bbl")
+
+
+@query("outreach_email", f"""
+WITH o AS ({OUTREACH_SQL})
+SELECT tenant_id, printf('Hello,\n\nYour portfolio: %d buildings.\n\nKey findings:\n'
+                         || '- %d high-risk buildings (score >= 70)\n- %d buildings built before 1974 (2.5x - 3.8x era risk)\n'
+                         || '- winter heat-season exposure $%d - $%d\n',
+                         total_buildings, high_risk_count, pre1974_count, winter_risk_low,
+                         CAST(winter_risk_high AS BIGINT)) AS email
+FROM o""")
+def q_outreach_email(spark, d):
+    """The outreach message per tenant."""
+    v = _v(spark, d)
+    return A.outreach_email(A.outreach_summary(v.properties(), S.property_scores(v.violations())))
