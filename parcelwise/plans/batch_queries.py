@@ -41,7 +41,8 @@ j AS (
          COALESCE(class_b_violations, 0) AS class_b_violations,
          COALESCE(relevant_311_complaints, 0) AS relevant_311_complaints
   FROM va FULL OUTER JOIN ca ON va.bbl = ca.bbl)
-SELECT *, round_even(class_b_violations * 2.0 + relevant_311_complaints * 1.5 + total_violations * 0.5, 2)
+SELECT *, round_even(class_b_violations * 2.0::DOUBLE + relevant_311_complaints * 1.5::DOUBLE
+                     + total_violations * 0.5::DOUBLE, 2)
           AS compliance_risk_score
 FROM j"""
 

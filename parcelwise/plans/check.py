@@ -51,6 +51,26 @@ def normalise(rows: list[tuple]) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+SPARK_TO_DUCK = {
+    "StringType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+    "BooleanType": "BOOLEAN", "DateType": "DATE", "TimestampNTZType": "TIMESTAMP", "TimestampType": "TIMESTAMP",
+    "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT",
+}
+
+
+def type_mismatches(spark_df, con, sql: str) -> list[str]:
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    rel = con.sql(f"SELECT * FROM ({sql}) LIMIT 0")
+    duck_types = {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    out = []
+    for f in spark_df.schema.fields:
+        want = SPARK_TO_DUCK.get(type(f.dataType).__name__, type(f.dataType).__name__)
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs duck {got}")
+    return out
+
+
 def compare(spark_df, con, sql: str):
     cols = sorted(spark_df.columns)
     s_rows = [tuple(r[c] for c in cols) for r in spark_df.collect()]
@@ -67,6 +87,9 @@ def compare(spark_df, con, sql: str):
     for x, y in zip(a, b):
         if x != y:
             return False, f"first diff: spark={x} duck={y}"
+    bad_types = type_mismatches(spark_df, con, sql)
+    if bad_types:
+        return False, "types differ: " + "; ".join(bad_types)
     return True, f"{len(a)} rows"
 
 
