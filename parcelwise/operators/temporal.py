@@ -96,9 +96,13 @@ def conversion(complaints: DataFrame, violations: DataFrame, key: str, c_ts: str
             .withColumn("lag_hours", F.when(conv, F.bround(lag_us / 3_600_000_000.0, 4))))
 
 
-def conversion_summary(conv: DataFrame, by: str) -> DataFrame:
-    """Conversion rate and mean lag per group."""
+def conversion_summary(conv: DataFrame, by: str, c_ts: str = "created") -> DataFrame:
+    """Conversion rate (4 dp) and mean lag in hours (2 dp) per group.  The lag is summed
+    in integer microseconds, so the mean does not depend on how partial sums combine."""
+    lag_us = F.when(F.col("converted"), _epoch("first_violation") - _epoch(c_ts))
     return conv.groupBy(by).agg(
         F.count(F.lit(1)).alias("complaints"), F.count_if("converted").alias("converted"),
-        F.bround(F.count_if("converted") / F.count(F.lit(1)), 4).alias("conversion_rate"),
-        F.bround(F.avg("lag_hours"), 2).alias("avg_lag_hours"))
+        F.sum(lag_us).alias("_lag"), F.count(lag_us).alias("_n")).select(
+        by, "complaints", "converted",
+        F.bround(F.col("converted") / F.col("complaints"), 4).alias("conversion_rate"),
+        F.bround(F.try_divide(F.col("_lag"), F.col("_n")) / 3_600_000_000.0, 2).alias("avg_lag_hours"))

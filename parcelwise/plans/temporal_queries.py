@@ -36,6 +36,23 @@ def q_complaint_conversion(spark, d):
     return T.conversion(_heat(v), v.class_c_events(), "property_id", "created", "issued", 14)
 
 
+@query("complaint_conversion_rate", """
+WITH h AS (SELECT unique_key, property_id, created FROM complaints WHERE complaint_type = 'HEAT/HOT WATER'),
+f AS (SELECT h.*, (SELECT min(issued) FROM class_c_events v WHERE v.property_id = h.property_id
+                   AND v.issued >= h.created) AS nxt FROM h),
+c AS (SELECT property_id, COALESCE(nxt <= created + INTERVAL 14 DAY, false) AS conv,
+             CASE WHEN nxt <= created + INTERVAL 14 DAY THEN epoch_us(nxt) - epoch_us(created) END AS lag FROM f)
+SELECT property_id, CAST(count(*) AS BIGINT) AS complaints, CAST(count(*) FILTER (WHERE conv) AS BIGINT) AS converted,
+       round_even(count(*) FILTER (WHERE conv) / count(*), 4) AS conversion_rate,
+       round_even(sum(lag) / count(lag) / 3600000000.0::DOUBLE, 2) AS avg_lag_hours
+FROM c GROUP BY property_id""")
+def q_complaint_conversion_rate(spark, d):
+    """J13 summary: share of heat complaints followed by a class-C record within 14 days, and the lag."""
+    v = _v(spark, d)
+    conv = T.conversion(_heat(v), v.class_c_events(), "property_id", "created", "issued", 14)
+    return T.conversion_summary(conv, "property_id")
+
+
 @query("snapshot_asof", """
 WITH h AS (SELECT unique_key, property_id, created FROM complaints WHERE complaint_type = 'HEAT/HOT WATER'),
 a AS (SELECT h.*, (SELECT max(issued) FROM class_c_events v WHERE v.property_id = h.property_id
