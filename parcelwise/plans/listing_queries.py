@@ -338,53 +338,56 @@ def q_dedup_violations(spark, d):
 
 
 # ------------------------------------------------------------ maintenance
-def _incoming(props):
-    b = F.col("bbl")
-    new_bbl = F.when(F.col("property_id") % 2 == 0, b).otherwise(F.concat(F.lit("6"), F.substring(b, 2, 9)))
-    return props.select("tenant_id", new_bbl.alias("bbl"), "address", "units", "year_built")
-
-
 @query("property_insert", """
-WITH inc AS (SELECT tenant_id, CASE WHEN property_id % 2 = 0 THEN bbl ELSE '6' || substr(bbl, 2, 9) END AS bbl
-             FROM properties),
+WITH inc AS (SELECT building_class AS tenant_id, bbl FROM properties
+             UNION ALL
+             SELECT tenant_id, bbl FROM properties WHERE property_id IN (SELECT property_id FROM complaints)),
 k AS (SELECT DISTINCT tenant_id, bbl FROM inc)
 SELECT tenant_id, bbl, CASE WHEN EXISTS (SELECT 1 FROM properties p WHERE p.tenant_id = k.tenant_id AND p.bbl = k.bbl)
                             THEN 'rejected' ELSE 'inserted' END AS status
 FROM k""")
 def q_property_insert(spark, d):
-    p = _v(spark, d).properties()
-    inc = _incoming(p)
-    merged, rejected = L.insert_if_absent(p.select("tenant_id", "bbl", "address", "units", "year_built"),
-                                          inc, ["tenant_id", "bbl"])
+    """A registration batch — every parcel re-registered under its building-class
+    portfolio (new keys) plus the parcels with complaints re-sent by their own tenant
+    (duplicates, rejected)."""
+    v = _v(spark, d)
+    p = v.properties()
+    cols = ["tenant_id", "bbl", "address", "units", "year_built"]
+    inc = (p.select(F.col("building_class").alias("tenant_id"), *cols[1:])
+           .unionByName(p.join(v.complaints().select("property_id"), "property_id", "left_semi").select(*cols)))
+    merged, rejected = L.insert_if_absent(p.select(*cols), inc, ["tenant_id", "bbl"])
     inserted = merged.join(p.select("tenant_id", "bbl"), ["tenant_id", "bbl"], "left_anti")
     return (inserted.select("tenant_id", "bbl", F.lit("inserted").alias("status"))
             .unionByName(rejected.select("tenant_id", "bbl", F.lit("rejected").alias("status"))))
 
 
 @query("property_update", """
-SELECT property_id, tenant_id, bbl,
-       CASE WHEN property_id % 7 = 0 THEN units + 1 ELSE units END AS units,
-       CASE WHEN property_id % 14 = 0 THEN NULL ELSE year_built END AS year_built,
-       is_monitored
-FROM properties""")
+WITH c AS (SELECT DISTINCT property_id FROM violations WHERE violation_class = 'C' AND NOT is_resolved)
+SELECT p.property_id, p.tenant_id, p.bbl, p.units,
+       CASE WHEN p.year_built > 2025 THEN NULL ELSE p.year_built END AS year_built,
+       CASE WHEN p.property_id IN (SELECT property_id FROM c) THEN true ELSE p.is_monitored END AS is_monitored
+FROM properties p""")
 def q_property_update(spark, d):
-    """Changes: every 7th property gets units+1; every 14th an explicit NULL year (applied)."""
-    p = _v(spark, d).properties().select("property_id", "tenant_id", "bbl", "units", "year_built", "is_monitored")
-    ch = (p.filter(F.col("property_id") % 7 == 0)
-          .select("property_id", (F.col("units") + 1).alias("units"), F.lit(True).alias("units_set"),
-                  F.lit(None).cast("int").alias("year_built"),
-                  (F.col("property_id") % 14 == 0).alias("year_built_set")))
-    return L.partial_update(p, ch, "property_id", ["units", "year_built"])
+    """A partial update — out-of-range years are cleared (an explicit NULL is
+    applied) and properties with an open class-C violation are switched to monitored;
+    no other field changes."""
+    v = _v(spark, d)
+    p = v.properties().select("property_id", "tenant_id", "bbl", "units", "year_built", "is_monitored")
+    bad_year = (p.filter(F.col("year_built") > 2025)
+                .select("property_id", F.lit(None).cast("int").alias("year_built"), F.lit(True).alias("year_built_set")))
+    open_c = (v.violations().filter((F.col("violation_class") == "C") & ~F.col("is_resolved"))
+              .select("property_id").distinct()
+              .select("property_id", F.lit(True).alias("is_monitored"), F.lit(True).alias("is_monitored_set")))
+    changes = bad_year.join(open_c, "property_id", "full")
+    return L.partial_update(p, changes, "property_id", ["year_built", "is_monitored"])
 
 
 @query("property_delete", """
-SELECT p.* FROM properties p
-WHERE NOT EXISTS (SELECT 1 FROM properties x
-                  WHERE x.property_id % 5 = 0 AND x.property_id = p.property_id AND x.tenant_id = p.tenant_id)""")
+SELECT p.* FROM properties p WHERE p.is_monitored""")
 def q_property_delete(spark, d):
-    """Delete requests for every 5th property, scoped by its tenant."""
+    """Each tenant deletes its unmonitored properties (delete keys are tenant-scoped)."""
     p = _v(spark, d).properties()
-    dels = p.filter(F.col("property_id") % 5 == 0).select("tenant_id", "property_id")
+    dels = p.filter(~F.col("is_monitored")).select("tenant_id", "property_id")
     return L.delete_by_key(p, dels, ["tenant_id", "property_id"])
 
 
