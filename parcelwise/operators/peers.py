@@ -65,9 +65,16 @@ def _tokens(col: Column, bucket: Column, target: bool) -> Column:
     return F.array(F.coalesce(bucket.cast("string"), F.lit("W")), F.lit("A"))
 
 
-def cells(prepared: DataFrame) -> DataFrame:
-    return prepared.groupBy(*CELL).agg(
-        F.count(F.lit(1)).alias("n"), F.count("cents").alias("ns"), F.sum("cents").alias("sc"))
+def cells(prepared: DataFrame, with_hist: bool = False) -> DataFrame:
+    """One row per cell: counts, cent sum and (optionally) the cell's score histogram as
+    an array of (cents, cnt) — at most 10 001 entries, one per 2-dp score.  Built as
+    one two-level aggregation (GROUP BY keeps the wildcard NULL keys together)."""
+    per = prepared.groupBy(*CELL, "cents").agg(F.count(F.lit(1)).alias("cnt"))
+    aggs = [F.sum("cnt").alias("n"), F.sum(F.when(F.col("cents").isNotNull(), F.col("cnt"))).alias("ns"),
+            F.sum(F.col("cents") * F.col("cnt")).alias("sc")]
+    if with_hist:
+        aggs.append(F.collect_list(F.when(F.col("cents").isNotNull(), F.struct("cents", "cnt"))).alias("hist"))
+    return per.groupBy(*CELL).agg(*aggs).withColumn("ns", F.coalesce("ns", F.lit(0)))
 
 
 def cell_pairs(cell_df: DataFrame) -> DataFrame:
@@ -77,7 +84,8 @@ def cell_pairs(cell_df: DataFrame) -> DataFrame:
     t = cell_df.select(*[F.col(c).alias(f"t_{c}") for c in CELL],
                        F.explode(_tokens(F.col("y_key"), yb, True)).alias("ytok"),
                        _tokens(F.col("u_key"), ub, True).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
-    c = cell_df.select(*[F.col(x).alias(f"c_{x}") for x in CELL], "n", "ns", "sc",
+    extra = ["hist"] if "hist" in cell_df.columns else []
+    c = cell_df.select(*[F.col(x).alias(f"c_{x}") for x in CELL], "n", "ns", "sc", *extra,
                        F.explode(_tokens(F.col("y_key"), yb, False)).alias("ytok"),
                        _tokens(F.col("u_key"), ub, False).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
     j = t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
@@ -100,19 +108,23 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     The cell pairs and the merged histogram feed several joins; with
     ``materialize`` they are persisted (memory, spilling to disk) so each is
     computed once — a lost executor's blocks are recomputed from lineage."""
-    cdf = cells(prepared)
-    pairs = cell_pairs(cdf)
+    def keep(df):
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
+
+    cdf = cells(prepared, with_hist=True)
+    tkeys = [f"t_{c}" for c in CELL]
+    # Cell pairs, co-partitioned on the target cell: the totals, the merged histogram's
+    # aggregation and its cumulative window all reuse this one partitioning.
+    pairs = cell_pairs(cdf).repartition(*tkeys)
     if materialize:
         pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    tkeys = [f"t_{c}" for c in CELL]
     # Totals of each target cell's peer set (the building itself included).
     tot = pairs.groupBy(*tkeys).agg(F.sum("n").alias("m_n"), F.sum("ns").alias("m_ns"),
                                     F.coalesce(F.sum("sc"), F.lit(0)).alias("m_sc"))
-    # Merged score histogram of each target cell's peer set, with cumulative counts.
-    hist_c = prepared.filter(F.col("cents").isNotNull()).groupBy(*CELL, "cents").agg(F.count(F.lit(1)).alias("cnt"))
-    hist = (pairs.select(*tkeys, *[f"c_{c}" for c in CELL])
-            .join(hist_c, _eq_null_safe([f"c_{c}" for c in CELL], CELL))
-            .groupBy(*tkeys, "cents").agg(F.sum("cnt").alias("cnt")))
+    # Merged score histogram of each target cell's peer set (candidate cells' histogram
+    # arrays exploded — no join), with cumulative counts.
+    hist = (pairs.select(*tkeys, F.explode("hist").alias("h"))
+            .groupBy(*tkeys, F.col("h.cents").alias("cents")).agg(F.sum("h.cnt").alias("cnt")))
     w = Window.partitionBy(*tkeys).orderBy("cents")
     hist = hist.withColumn("cum_le", F.sum("cnt").over(w)).withColumn("cum_lt", F.col("cum_le") - F.col("cnt"))
     if materialize:
@@ -124,8 +136,8 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
                                              F.sum("cents").alias("g_sc"))
     g = grp.select(F.col("bbl").alias("g_bbl"), *[F.col(c).alias(f"g_{c}") for c in CELL], "g_n", "g_ns", "g_sc")
     tgt = prepared.select("property_id", "bbl", "cents", *CELL)
-    ex_pairs = (tgt.join(g, (F.col("bbl") == F.col("g_bbl")) & (F.col("borough_l") == F.col("g_borough_l")))
-                .filter(_peer_predicate(F.col("y_key"), F.col("u_key"), F.col("g_y_key"), F.col("g_u_key"))))
+    ex_pairs = keep(tgt.join(g, (F.col("bbl") == F.col("g_bbl")) & (F.col("borough_l") == F.col("g_borough_l")))
+                    .filter(_peer_predicate(F.col("y_key"), F.col("u_key"), F.col("g_y_key"), F.col("g_u_key"))))
     ex = ex_pairs.groupBy("property_id").agg(F.sum("g_n").alias("e_n"), F.sum("g_ns").alias("e_ns"),
                                              F.coalesce(F.sum("g_sc"), F.lit(0)).alias("e_sc"))
     g_hist = prepared.filter(F.col("cents").isNotNull()).groupBy("bbl", *CELL, "cents") \
@@ -136,28 +148,31 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
                      _eq_null_safe(["g_bbl"] + [f"g_{c}" for c in CELL], ["h_bbl"] + [f"h_{c}" for c in CELL]))
                .groupBy("property_id", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")))
 
-    base = (tgt.join(tot, _eq_null_safe(CELL, tkeys)).drop(*tkeys)
-            .join(ex, "property_id"))
-    base = base.select("property_id", "cents", *CELL,
-                       (F.col("m_n") - F.col("e_n")).alias("similar_count"),
-                       (F.col("m_ns") - F.col("e_ns")).alias("scored_peers"),
-                       (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"),
-                       F.col("e_ns").alias("k"))
-    # Strictly-below count: own cents is in the peer-set histogram (self is included there).
-    below_m = base.join(hist.select(*tkeys, F.col("cents").alias("h_cents"), "cum_lt"),
-                        _eq_null_safe(CELL, tkeys) & (F.col("cents") == F.col("h_cents")), "left") \
-        .select("property_id", F.coalesce("cum_lt", F.lit(0)).alias("m_below"))
+    ex_hist = keep(ex_hist)
+    base = keep(tgt.join(tot, _eq_null_safe(CELL, tkeys)).drop(*tkeys)
+                .join(ex, "property_id")
+                .select("property_id", "cents", *CELL,
+                        (F.col("m_n") - F.col("e_n")).alias("similar_count"),
+                        (F.col("m_ns") - F.col("e_ns")).alias("scored_peers"),
+                        (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"),
+                        F.col("e_ns").alias("k")))
+    # One lookup of each building in its cell's merged histogram (already partitioned on
+    # the cell) serves both: the row at its own score gives the strictly-below count
+    # (self is in that histogram) and the rows around the middle are the median
+    # candidates.  Median: P = M \ E; P_j = min v in M with cumM(v) - cumE(v) >= j.
+    n2 = F.col("scored_peers")
+    j1, j2 = F.floor((n2 + 1) / 2).cast("long"), (F.floor(n2 / 2) + 1).cast("long")
+    in_win = (n2 > 0) & (F.col("cum_le") >= F.col("j1")) & (F.col("cum_lt") < F.col("j2") + F.col("k"))
+    own = (F.col("v") - F.col("cents")) == 0
+    look = keep(base.select("property_id", "cents", *CELL, j1.alias("j1"), j2.alias("j2"), "k", "scored_peers")
+                .join(hist.select(*tkeys, F.col("cents").alias("v"), "cum_le", "cum_lt"),
+                      _eq_null_safe(CELL, tkeys) & (in_win | own))
+                .select("property_id", "j1", "j2", "v", "cum_le", "cum_lt", in_win.alias("in_win"), own.alias("own")))
+    below_m = look.filter("own").select("property_id", F.col("cum_lt").alias("m_below"))
     below_e = (tgt.select("property_id", "cents").join(ex_hist, "property_id")
                .groupBy("property_id").agg(F.sum(F.when(F.col("e_cents") < F.col("cents"), F.col("e_cnt")))
                                            .alias("e_below")))
-    # Exact median: P = M \ E; P_j = min v in M with cumM(v) - cumE(v) >= j.
-    n2 = F.col("scored_peers")
-    j1, j2 = F.floor((n2 + 1) / 2).cast("long"), (F.floor(n2 / 2) + 1).cast("long")
-    cand = (base.filter(n2 > 0).select("property_id", *CELL, j1.alias("j1"), j2.alias("j2"), "k")
-            .join(hist.select(*tkeys, F.col("cents").alias("v"), "cum_le", "cum_lt"), _eq_null_safe(CELL, tkeys))
-            .filter((F.col("cum_le") >= F.col("j1")) & (F.col("cum_lt") < F.col("j2") + F.col("k")))
-            .select("property_id", "j1", "j2", "v", "cum_le"))
-    cum_e = (cand.join(ex_hist, "property_id", "left")
+    cum_e = (look.filter("in_win").join(ex_hist, "property_id", "left")
              .groupBy("property_id", "j1", "j2", "v", "cum_le")
              .agg(F.coalesce(F.sum(F.when(F.col("e_cents") <= F.col("v"), F.col("e_cnt"))), F.lit(0)).alias("ce")))
     rank_p = F.col("cum_le") - F.col("ce")
@@ -167,8 +182,8 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     out = (base.join(below_m, "property_id", "left").join(below_e, "property_id", "left")
            .join(med, "property_id", "left"))
     return out.select("property_id", "similar_count", "scored_peers", "sum_cents",
-                      (F.col("m_below") - F.coalesce("e_below", F.lit(0))).alias("below"),
-                      ((F.col("p1") + F.col("p2")) / 2.0).alias("median_cents"))
+                      (F.coalesce("m_below", F.lit(0)) - F.coalesce("e_below", F.lit(0))).alias("below"),
+                      F.when(F.col("scored_peers") > 0, (F.col("p1") + F.col("p2")) / 2.0).alias("median_cents"))
 
 
 def _fmt0(x: Column) -> Column:
