@@ -9,10 +9,10 @@ between cells, not buildings:
 1. ``cells``: buildings grouped by (borough, year key, units key) with counts,
    integer-cent score sums and a score histogram.
 2. A bucketed equi-join of target cells to candidate cells.  Target cells emit
-   the neighbouring year buckets (width 16) and log-unit buckets
-   (width ln(1.3/0.7)) plus a wildcard token; candidate cells emit their own
-   bucket plus an "any" token, so every qualifying cell pair meets exactly
-   once, then the exact predicate filters.
+   every year bucket (width 5) and log-unit bucket (width 0.1) their range
+   touches, plus a wildcard token; candidate cells emit their own bucket plus an
+   "any" token, so every qualifying cell pair meets exactly once, then the exact
+   predicate filters.
 3. Per-target statistics are the target cell's totals minus the building
    itself and other buildings on the same parcel (aggregated per parcel group).
    The exact median is an order statistic of the merged histogram.
@@ -33,8 +33,8 @@ from pyspark.sql import Window
 from parcelwise.functions import dims as D
 from parcelwise.functions import rules as R
 
-YEAR_BUCKET = 16                               # |Δyear| ≤ 15 → neighbouring buckets
-UNIT_BUCKET = math.log(1.3 / 0.7)              # ln ratio in [ln .7, ln 1.3] → neighbouring buckets
+YEAR_BUCKET = 5      # a target emits exactly the year buckets covering [year − 15, year + 15]
+UNIT_BUCKET = 0.1    # ln(units) buckets; a target emits those covering [ln 0.7u, ln 1.3u], ±1 for float safety
 CELL = ["borough_l", "y_key", "u_key"]
 
 
@@ -58,11 +58,35 @@ def _peer_predicate(t_y: Column, t_u: Column, c_y: Column, c_u: Column) -> Colum
     return unit_ok & year_ok
 
 
-def _tokens(col: Column, bucket: Column, target: bool) -> Column:
+def _year_tokens(y: Column, target: bool) -> Column:
+    """Join tokens on the year axis.  A target emits every bucket its ±15 range touches
+    plus "W" (meets wildcard candidates); a candidate emits its bucket (or "W" when its
+    year is missing) plus "A" (met by wildcard targets, which emit only "A")."""
     if target:
-        return F.when(col.isNull(), F.array(F.lit("A"))).otherwise(
-            F.array((bucket - 1).cast("string"), bucket.cast("string"), (bucket + 1).cast("string"), F.lit("W")))
-    return F.array(F.coalesce(bucket.cast("string"), F.lit("W")), F.lit("A"))
+        lo, hi = F.floor((y - 15) / YEAR_BUCKET), F.floor((y + 15) / YEAR_BUCKET)
+        return F.when(y.isNull(), F.array(F.lit("A"))).otherwise(
+            F.concat(F.transform(F.sequence(lo, hi), lambda b: b.cast("string")), F.array(F.lit("W"))))
+    return F.array(F.coalesce(F.floor(y / YEAR_BUCKET).cast("string"), F.lit("W")), F.lit("A"))
+
+
+def _unit_tokens(u: Column, target: bool) -> Column:
+    """Same on ln(units): a target covers ratios 0.7–1.3, widened by one bucket each side."""
+    if target:
+        lo = F.floor(F.log(u.cast("double") * 0.7) / UNIT_BUCKET) - 1
+        hi = F.floor(F.log(u.cast("double") * 1.3) / UNIT_BUCKET) + 1
+        return F.when(u.isNull(), F.array(F.lit("A"))).otherwise(
+            F.concat(F.transform(F.sequence(lo, hi), lambda b: b.cast("string")), F.array(F.lit("W"))))
+    b = F.floor(F.log(u.cast("double")) / UNIT_BUCKET)
+    return F.array(F.coalesce(b.cast("string"), F.lit("W")), F.lit("A"))
+
+
+def _token_rows(df: DataFrame, prefix: str, target: bool, keep: list[str], extra: list[str] = ()) -> DataFrame:
+    """One row per (cell, year token, units token): every qualifying (target, candidate)
+    cell pair shares exactly one token pair."""
+    return (df.select(*[F.col(c).alias(f"{prefix}{c}") for c in keep], *extra,
+                      F.explode(_year_tokens(F.col("y_key"), target)).alias("ytok"),
+                      _unit_tokens(F.col("u_key"), target).alias("_ut"))
+            .select("*", F.explode("_ut").alias("utok")).drop("_ut"))
 
 
 def cells(prepared: DataFrame, with_hist: bool = False) -> DataFrame:
@@ -79,15 +103,9 @@ def cells(prepared: DataFrame, with_hist: bool = False) -> DataFrame:
 
 def cell_pairs(cell_df: DataFrame) -> DataFrame:
     """(target cell, candidate cell) pairs satisfying the peer predicate — each once."""
-    yb = F.floor(F.col("y_key") / YEAR_BUCKET)
-    ub = F.floor(F.log(F.col("u_key").cast("double")) / UNIT_BUCKET)
-    t = cell_df.select(*[F.col(c).alias(f"t_{c}") for c in CELL],
-                       F.explode(_tokens(F.col("y_key"), yb, True)).alias("ytok"),
-                       _tokens(F.col("u_key"), ub, True).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
     extra = ["hist"] if "hist" in cell_df.columns else []
-    c = cell_df.select(*[F.col(x).alias(f"c_{x}") for x in CELL], "n", "ns", "sc", *extra,
-                       F.explode(_tokens(F.col("y_key"), yb, False)).alias("ytok"),
-                       _tokens(F.col("u_key"), ub, False).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
+    t = _token_rows(cell_df, "t_", True, CELL)
+    c = _token_rows(cell_df, "c_", False, CELL, ["n", "ns", "sc", *extra])
     j = t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
     return j.filter(_peer_predicate(F.col("t_y_key"), F.col("t_u_key"), F.col("c_y_key"), F.col("c_u_key"))) \
             .drop("ytok", "utok")
@@ -317,14 +335,8 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     m = p.groupBy("bbl").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
     cap = int(k + m)
     cdf = p.groupBy(*KCELL).agg(F.count(F.lit(1)).alias("n"))
-    yb = F.floor(F.col("y_key") / YEAR_BUCKET)
-    ub = F.floor(F.log(F.col("u_key").cast("double")) / UNIT_BUCKET)
-    t = cdf.select(*[F.col(c).alias(f"t_{c}") for c in KCELL],
-                   F.explode(_tokens(F.col("y_key"), yb, True)).alias("ytok"),
-                   _tokens(F.col("u_key"), ub, True).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
-    c = cdf.select(*[F.col(x).alias(f"c_{x}") for x in KCELL], "n",
-                   F.explode(_tokens(F.col("y_key"), yb, False)).alias("ytok"),
-                   _tokens(F.col("u_key"), ub, False).alias("_ut")).select("*", F.explode("_ut").alias("utok")).drop("_ut")
+    t = _token_rows(cdf, "t_", True, KCELL)
+    c = _token_rows(cdf, "c_", False, KCELL, ["n"])
     pairs = (t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
              .filter(_peer_predicate(F.col("t_y_key"), F.col("t_u_key"), F.col("c_y_key"), F.col("c_u_key")))
              .withColumn("d", _distance(F.col("t_y_key"), F.col("t_u_key"), F.col("t_class_l"),
