@@ -42,7 +42,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = get_spark(f"local[{cpus}]", app="parcelwise-bench", shuffle_partitions=2 * cpus,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
+    spark = get_spark(f"local[{cpus}]", app="parcelwise-bench", shuffle_partitions=parts,
                       extra={"spark.driver.memory": "16g"})
     load_all()
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
@@ -60,7 +61,7 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "sum_median_query_sec", "value": round(sum(results.values()), 3), "unit": "sec",
                       "queries": results, "sf": sf, "cpus": cpus,
-                      "settings": {"spark.sql.shuffle.partitions": 2 * cpus, "aqe": True}}))
+                      "settings": {"spark.sql.shuffle.partitions": parts, "aqe": True}}))
     spark.stop()
 
 

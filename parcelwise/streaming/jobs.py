@@ -207,20 +207,6 @@ def connection_sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFra
                       F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "requests")
 
 
-def stream_conversion(complaints: DataFrame, violations: DataFrame, within_days: int = 14) -> DataFrame:
-    """J13 stream: stream-stream inner join with watermarks on both sides and a
-    time-range condition, so the join state is bounded by 14 days + delay."""
-    c = event_time(complaints.filter(F.col("complaint_type") == "HEAT/HOT WATER"), "created", "c_time") \
-        .withWatermark("c_time", WATERMARK).select("unique_key", F.col("property_id").alias("c_pid"), "c_time")
-    v = event_time(violations, "issued", "v_time").withWatermark("v_time", WATERMARK) \
-        .select("violation_key", F.col("property_id").alias("v_pid"), "v_time")
-    cond = ((F.col("c_pid") == F.col("v_pid")) & (F.col("v_time") >= F.col("c_time"))
-            & (F.col("v_time") <= F.col("c_time") + F.expr(f"INTERVAL {int(within_days)} DAYS")))
-    return c.join(v, cond).select("unique_key", "violation_key", F.col("c_pid").alias("property_id"),
-                                  F.col("c_time").cast("timestamp_ntz").alias("created"),
-                                  F.col("v_time").cast("timestamp_ntz").alias("issued"))
-
-
 def limiter_stream(requests: DataFrame, kind: str, **params) -> DataFrame:
     """ST3/ST4 in a stream: per-client state with ``applyInPandasWithState``."""
     if kind == "sliding":
