@@ -20,7 +20,7 @@ def quota_admission(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     so the admitted ones are exactly the first ``limit`` of the month."""
     acc = accounts.select(F.col("account_key").alias("client"), "tier")
     r = (requests.select("request_id", "client", "ts")
-         .withColumn("month", F.date_trunc("month", F.col("ts")))
+         .withColumn("month", F.date_trunc("month", F.col("ts")).cast("timestamp_ntz"))
          .join(acc, "client", "left")
          .withColumn("quota", _limit_for(F.col("tier"), 0)))
     return first_k_flags(r, ["client", "month"], [F.asc("ts"), F.asc("request_id")], "request_id",
@@ -30,7 +30,7 @@ def quota_admission(requests: DataFrame, accounts: DataFrame) -> DataFrame:
 def usage_report(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """J12/A20 per account and month: used (admitted only), limit, remaining.
     Unknown keys never reach the report (inner join)."""
-    per = (requests.withColumn("month", F.date_trunc("month", F.col("ts")))
+    per = (requests.withColumn("month", F.date_trunc("month", F.col("ts")).cast("timestamp_ntz"))
            .groupBy("client", "month").agg(F.count(F.lit(1)).alias("requests")))
     acc = accounts.select(F.col("account_key").alias("client"), "email", "tier")
     lim = _limit_for(F.coalesce(F.col("tier"), F.lit("free")), 10)
