@@ -1,6 +1,7 @@
 """Benchmark the headline queries.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
+    (optional: BENCH_QUERIES=a,b  BENCH_SHUFFLE_PARTITIONS=n  BENCH_EVENT_LOG=<scratch dir>)
 
 Each query is run once to warm up and then three times; the median wall time
 of a full evaluation (``noop`` sink: every row computed, nothing collected) is
@@ -43,10 +44,18 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
-    spark = get_spark(f"local[{cpus}]", app="parcelwise-bench", shuffle_partitions=parts,
-                      extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):      # stage/task times without the UI: a scratch folder
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = get_spark(f"local[{cpus}]", app="parcelwise-bench", shuffle_partitions=parts, extra=extra)
     load_all()
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
+    # Process warm-up (JIT of the common operators), so the first timed query does not
+    # carry the JVM's start-up; not timed.
+    for _ in range(3):
+        for name in HEADLINE[:2]:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.catalog.clearCache()
     results = {}
     for name in names:
         fn = QUERIES[name]
