@@ -34,3 +34,15 @@ def test_stream_conversion_is_batch_on_decided_rows(spark):
 def test_rescore_stream_equals_batch_feed(spark):
     cols = ["bbl", "total_violations", "class_b_violations", "relevant_311_complaints", "compliance_risk_score"]
     assert _rows(QUERIES["stream_rescore"](spark, MEDIUM), cols) == _rows(QUERIES["feed_scored"](spark, MEDIUM), cols)
+
+
+def test_heat_alert_stream_equals_batch_windows(spark):
+    from parcelwise.sources.tables import Tables
+    heat = (Tables(spark, MEDIUM).views.complaints().filter(F.col("complaint_type") == "HEAT/HOT WATER")
+            .withColumn("t", F.col("created").cast("timestamp")))
+    wm = heat.agg(F.max("t")).first()[0]
+    batch = (heat.groupBy("property_id", F.window("t", "30 days", "1 day")).agg(F.count(F.lit(1)).alias("complaints"))
+             .filter((F.col("complaints") >= 3) & (F.col("window.end") <= F.lit(wm) - F.expr("INTERVAL 1 DAY")))
+             .select("property_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "complaints"))
+    cols = ["property_id", "window_start", "complaints"]
+    assert _rows(QUERIES["stream_heat_alerts"](spark, MEDIUM), cols) == _rows(batch, cols)
