@@ -341,6 +341,7 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
              .filter(_peer_predicate(F.col("t_y_key"), F.col("t_u_key"), F.col("c_y_key"), F.col("c_u_key")))
              .withColumn("d", _distance(F.col("t_y_key"), F.col("t_u_key"), F.col("t_class_l"),
                                         F.col("c_y_key"), F.col("c_u_key"), F.col("c_class_l"))))
+    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)   # ranked per distance and joined back
     tk = [f"t_{x}" for x in KCELL]
     per_d = pairs.groupBy(*tk, "d").agg(F.sum("n").alias("nd"))
     w = Window.partitionBy(*tk).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
@@ -357,6 +358,8 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     tj = (targets.join(expanded, _eq_null_safe(KCELL, tk))
           .filter(F.col("peer_bbl") != F.col("bbl"))
           .select("property_id", "cents", "d", "peer_id", "peer_cents"))
+    # counted for heavy hitters, then ranked: computed once
+    tj = tj.persist(StorageLevel.MEMORY_AND_DISK)
     top = top_n_per_key(tj, ["property_id"], [F.asc("d"), F.asc("peer_id")], k, rank_col=None)
     return top
 
