@@ -9,6 +9,7 @@ the windows closed by the final watermark = max event time − delay).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from parcelwise.operators import limiters as LIM
@@ -100,6 +101,8 @@ def q_queue_last_100(spark, d):
     """W7/ST5: the newest 100 undelivered messages per connection (two-phase top-N)."""
     fan = J.fanout(_violation_updates(_b(spark, d)), _current_subs_batch(spark, d)) \
         .select("property_id", "update_id", "severity", "ts", "connection")
+    # the fan-out is counted for heavy hitters and then ranked: computed once
+    fan = fan.persist(StorageLevel.MEMORY_AND_DISK)
     return W.top_n_per_key(fan, ["connection"], [F.desc("ts"), F.desc("update_id")], 100)
 
 
