@@ -17,10 +17,11 @@ document, and then its common prefix, hence the longest previous factor, reaches
 ``length``; a next smaller position outside the run always has a shorter one.  Positions
 with a previous factor of that length mark their bytes.
 
-Groups of copies: a run of positions identical to one of a smaller document in the same map
-chunk is marked at once and not sent, since whatever it would match, the sent one does
-too.  A third of all rows with one passage thus costs a bucket one copy for each chunk.
-Marks and texts meet by a hash of doc_id, never by content.
+Groups of copies: a run of positions identical to one of a smaller document is marked at
+once, and what it would match the other one does too.  This is done in each map chunk, where
+such runs are not even sent, and again in each bucket before its suffixes are sorted.  A
+third of all rows with one passage thus costs a bucket one copy for each chunk.  Marks and
+texts meet by doc_id, never by content.
 
 Defined cases: a null text is the empty text; texts shorter than ``length`` lose nothing;
 matches never cross documents; very long texts are cut into overlapping pieces that give
@@ -52,30 +53,45 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h * MUL
 
 
-def prefix_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` bytes from each position of a uint8 array (by doubling)."""
-    if len(data) < length:
-        return np.zeros(0, np.uint64)
-    out, done, h, size, left = None, 0, _mix(data.astype(np.uint64) + np.uint64(1)), 1, length
-    while left:
+BYTE = _mix(np.arange(1, 257, dtype=np.uint64))                   # a hash of each byte value
+STEP = _mix(np.arange(1001, 1033, dtype=np.uint64)) | np.uint64(1)     # odd multipliers
+BLOCK = 1 << 15          # positions hashed at once: the arrays stay in the processor's cache
+
+
+def _hash_block(data: np.ndarray, length: int) -> np.ndarray:
+    out, done, h, size, left, n = None, 0, BYTE[data], 1, length, len(data) - length + 1
+    for level in range(length.bit_length()):
         if left & 1:
-            part = h[done:len(data) - length + 1 + done]
-            out = part.copy() if out is None else _mix(out ^ (part >> np.uint64(7))) + part
+            part = h[done:done + n]
+            out = part.copy() if out is None else out * STEP[level + 16] + part
             done += size
         left >>= 1
         if left:
-            h = _mix(h[:-size] + (h[size:] >> np.uint64(11))) ^ h[size:]
+            h = h[:-size] * STEP[level] + h[size:]
             size *= 2
     return out
 
 
-def window_minima(h: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` neighbouring values."""
-    size = 1
-    while size * 2 <= width:
-        h = np.minimum(h[:-size], h[size:])
-        size *= 2
-    return h if size == width else np.minimum(h[:len(h) - (width - size)], h[width - size:])
+def prefix_hashes(data: np.ndarray, length: int) -> np.ndarray:
+    """Hash of the ``length`` bytes from each position of a uint8 array (by doubling)."""
+    n = max(len(data) - length + 1, 0)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        out[at:at + BLOCK] = _hash_block(data[at:at + BLOCK + length - 1], length)
+    return out
+
+
+def window_minima(data: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """For each ``length`` bytes the smallest hash of the ``anchor``-byte strings in them."""
+    n, width = max(len(data) - length + 1, 0), length - anchor + 1
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        h, size = _mix(_hash_block(data[at:at + BLOCK + length - 1], anchor)), 1
+        while size * 2 <= width:
+            h = np.minimum(h[:-size], h[size:])
+            size *= 2
+        out[at:at + BLOCK] = h if size == width else np.minimum(h[:len(h) - (width - size)], h[width - size:])
+    return out
 
 
 def runs_of(chunk: list[tuple[int, bytes]], length: int, anchor: int):
@@ -87,7 +103,7 @@ def runs_of(chunk: list[tuple[int, bytes]], length: int, anchor: int):
     begin = np.cumsum(sizes) - sizes
     if not len(data):
         return data, None
-    low = window_minima(prefix_hashes(data, anchor), length - anchor + 1)
+    low = window_minima(data, length, anchor)
     valid = np.ones(len(low), bool)
     tails = ranges(begin + sizes - length + 1, np.full(len(sizes), length - 1))
     valid[tails[tails < len(low)]] = False
@@ -128,12 +144,14 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarra
     return np.add.reduceat(~equal, np.cumsum(sizes) - sizes) == 0
 
 
-def _copies_in_chunk(data: np.ndarray, runs, length: int) -> np.ndarray:
-    """Which runs repeat, byte for byte, a run of a smaller document of the chunk."""
-    low, docs, _, at, count = runs
-    whole = prefix_hashes(data, length)
-    key = _mix(whole[at] ^ _mix(whole[at + count - 1] + count.astype(np.uint64)))
-    order = np.lexsort((docs, key))
+def copies(data: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Which runs repeat, byte for byte, a run of a smaller document (``hashes``: of the prefix at each place)."""
+    key = _mix(hashes[at] ^ _mix(hashes[at + count - 1] + count.astype(np.uint64)))
+    order = np.argsort(key)
+    start, n = group_ends(key[order])
+    shared = np.repeat(n > 1, n)
+    order = order[shared]
+    order = order[np.lexsort((docs[order], key[order]))]
     start, n = group_ends(key[order])
     first = np.repeat(order[start], n)
     later = (docs[order] > docs[first]) & (count[order] == count[first])
@@ -156,11 +174,12 @@ def _unpack(block: bytes, arrays: int) -> list[np.ndarray]:
     return [np.frombuffer(raw, "<i8", n)] + [np.frombuffer(raw, "<i4", n, 8 * n + 4 * n * i) for i in range(arrays)]
 
 
-SENT = "bucket int, runs binary, bytes binary, marks boolean"
+SENT = "bucket int, marks boolean, runs array<binary>, bytes array<binary>"
+SUB = 4          # a bucket is searched in so many parts, which bounds the memory of a task
 
 
 def _send(length: int, anchor: int, buckets: int, parts: int):
-    """Map side: runs to their buckets (marks = false); marks of copies within the chunk by doc_id part (marks = true)."""
+    """Map side: runs to their buckets; marks of copies within the chunk (marks = true) to the part of their doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for chunk in _chunks(batches, length):
@@ -170,20 +189,22 @@ def _send(length: int, anchor: int, buckets: int, parts: int):
                 continue
             low, piece, pos, at, count = runs
             docs, pos = ids[piece], pos + base[piece]
-            copy = _copies_in_chunk(data, (low, docs, pos, at, count), length)
-            out = {"bucket": [], "runs": [], "bytes": [], "marks": []}
-
-            def put(bucket, block, blob, marks):
-                for name, x in zip(out, (bucket, block, blob, marks)):
-                    out[name].append(x)
-
+            copy = copies(data, prefix_hashes(data, length), docs, at, count, length)
+            out = []
             for part, sel in _by(docs[copy] % parts, np.flatnonzero(copy)):
-                put(part, _pack(docs[sel], pos[sel], pos[sel] + count[sel] + length - 1), None, True)
-            for bucket, sel in _by((low[~copy] % np.uint64(buckets)).astype(np.int64), np.flatnonzero(~copy)):
-                put(bucket, _pack(docs[sel], pos[sel], count[sel]),
-                    press.compress(data[ranges(at[sel], count[sel] + length - 1)].tobytes()), False)
-            yield table({"bucket": (out["bucket"], pa.int32()), "runs": (out["runs"], pa.binary()),
-                         "bytes": (out["bytes"], pa.binary()), "marks": (out["marks"], pa.bool_())})
+                out.append((part, True, [_pack(docs[sel], pos[sel], pos[sel] + count[sel] + length - 1)], None))
+            sent = np.flatnonzero(~copy)
+            text, ends = data.tobytes(), at + count + length - 1
+            rows: dict[int, tuple[list[bytes], list[bytes]]] = {}
+            for key, sel in _by((low[sent] % np.uint64(buckets * SUB)).astype(np.int64), sent):
+                bytes_ = b"".join([text[s:e] for s, e in zip(at[sel].tolist(), ends[sel].tolist())])
+                blocks = rows.setdefault(key // SUB, ([b""] * SUB, [b""] * SUB))
+                blocks[0][key % SUB] = _pack(docs[sel], pos[sel], count[sel])
+                blocks[1][key % SUB] = press.compress(bytes_)
+            out += [(bucket, False, *blocks) for bucket, blocks in rows.items()]
+            bucket, marks, metas, blobs = zip(*out)
+            yield table({"bucket": (bucket, pa.int32()), "marks": (marks, pa.bool_()),
+                         "runs": (metas, pa.list_(pa.binary())), "bytes": (blobs, pa.list_(pa.binary()))})
     return run
 
 
@@ -221,54 +242,82 @@ def previous_factors(prefixes: list[np.ndarray], docs: np.ndarray) -> np.ndarray
 
 def repeated_in_bucket(docs: np.ndarray, pos: np.ndarray, count: np.ndarray, data: np.ndarray, length: int):
     """(doc, start, end) of the byte ranges of the bucket's runs that repeat a smaller document."""
-    sizes = count.astype(np.int64) + length - 1
+    docs, pos, count = (x.astype(np.int64) for x in (docs, pos, count))
+    sizes = count + length - 1
     begin = np.cumsum(sizes) - sizes
-    places = ranges(begin, count.astype(np.int64))
-    owner = np.repeat(np.arange(len(docs)), count)
-    h = prefix_hashes(data, length)[places]
-    order = np.argsort(h, kind="stable")
-    start, n = group_ends(h[order])
-    by_hash = docs[owner[order]]
-    mixed = np.minimum.reduceat(by_hash, start) < np.maximum.reduceat(by_hash, start) if len(start) else np.zeros(0, bool)
-    chosen = np.sort(order[np.repeat(mixed, n)])
+    hashes = prefix_hashes(data, length)
+    copy = copies(data, hashes, docs, begin, count, length)
+    rest = np.flatnonzero(~copy)
+    places = ranges(begin[rest], count[rest])
+    owner = np.repeat(rest, count[rest])
+    chosen = _shared(hashes[places], docs, owner)
     found = np.zeros(len(places), bool)
     if len(chosen):
         found[chosen] = previous_factors(prefix_words(data, places[chosen], length), docs[owner[chosen]])
     hits = np.flatnonzero(found)
     new = np.r_[True, (hits[1:] != hits[:-1] + 1) | (owner[hits[1:]] != owner[hits[:-1]])] if len(hits) else np.zeros(0, bool)
-    first = hits[new]
-    last = hits[np.r_[new[1:], True]] if len(hits) else hits
-    who = owner[first]
-    offset = places - begin[owner]
-    return docs[who], pos[who] + offset[first], pos[who] + offset[last] + length
+    first, last = hits[new], hits[np.r_[new[1:], True]] if len(hits) else hits
+    who, shift = owner[first], pos[owner[first]] - begin[owner[first]]
+    return (np.concatenate([docs[copy], docs[who]]), np.concatenate([pos[copy], shift + places[first]]),
+            np.concatenate([pos[copy] + sizes[copy], shift + places[last] + length]))
+
+
+def _shared(h: np.ndarray, docs: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Indices (ascending) of the hashes that occur in more than one document."""
+    left = np.arange(len(h))
+    for mul in (STEP[30], STEP[31]):     # a cheap first sieve: hashes alone in their slot of a count table
+        bits = max(int(4 * len(left)).bit_length(), 8)
+        slot = ((h[left] * mul) >> np.uint64(64 - bits)).astype(np.int64)
+        left = left[np.bincount(slot, minlength=1 << bits)[slot] > 1]
+    order = left[np.argsort(h[left])]
+    start, n = group_ends(h[order])
+    if not len(start):
+        return start
+    by_hash = docs[owner[order]]
+    mixed = np.minimum.reduceat(by_hash, start) < np.maximum.reduceat(by_hash, start)
+    return np.sort(order[np.repeat(mixed, n)])
+
+
+HELD = 1 << 20           # marks that a search task gathers before it sends them
 
 
 def _search(length: int, parts: int):
-    """Reduce side: rows of a bucket come together (sorted by bucket); marks go on unchanged."""
-    def marks_of(blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Reduce side: rows of a bucket come together (sorted by bucket); marks of the map side go on."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         open_ = zstandard.ZstdDecompressor()
-        metas = [_unpack(m, 2) for m, _ in blocks]
-        docs, pos, count = (np.concatenate(x) for x in zip(*metas))
-        data = np.frombuffer(b"".join(open_.decompress(x) for _, x in blocks), np.uint8)
-        docs, start, end = repeated_in_bucket(docs, pos, count, data, length)
-        rows = list(_by(docs % parts, np.arange(len(docs))))
-        yield table({"part": ([p for p, _ in rows], pa.int32()),
-                     "block": ([_pack(docs[s], start[s], end[s]) for _, s in rows], pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blocks = None, []
+        def flush() -> Iterator[pa.RecordBatch]:
+            docs, start, end = (np.concatenate(x) for x in zip(*held))
+            rows = list(_by(docs % parts, np.arange(len(docs))))
+            held.clear()
+            yield table({"part": ([p for p, _ in rows], pa.int32()),
+                         "block": ([_pack(docs[s], start[s], end[s]) for _, s in rows], pa.binary())})
+
+        def search(rows: list[tuple[list[bytes], list[bytes]]]) -> Iterator[pa.RecordBatch]:
+            for i in range(SUB):
+                blocks = [(runs[i], blob[i]) for runs, blob in rows if runs[i]]
+                if not blocks:
+                    continue
+                docs, pos, count = (np.concatenate(x) for x in zip(*(_unpack(m, 2) for m, _ in blocks)))
+                data = np.frombuffer(b"".join([open_.decompress(x) for _, x in blocks]), np.uint8)
+                held.append(repeated_in_bucket(docs, pos, count, data, length))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from flush()
+
+        bucket, rows = None, []
         for b in batches:
-            for key, runs, blob, marks in zip(*(c.to_pylist() for c in b.columns)):
+            for key, marks, runs, blob in zip(*(c.to_pylist() for c in b.columns)):
                 if marks:
-                    yield table({"part": ([key], pa.int32()), "block": ([runs], pa.binary())})
+                    held.append(tuple(_unpack(runs[0], 2)))
                     continue
                 if key != bucket:
-                    if blocks:
-                        yield from marks_of(blocks)
-                    bucket, blocks = key, []
-                blocks.append((runs, blob))
-        if blocks:
-            yield from marks_of(blocks)
+                    yield from search(rows)
+                    bucket, rows = key, []
+                rows.append((runs, blob))
+        yield from search(rows)
+        if held:
+            yield from flush()
     return run
 
 
@@ -327,7 +376,7 @@ def lpf_dedup(docs: DataFrame, length: int = 50, anchor: int = 12) -> DataFrame:
     spark = docs.sparkSession
     texts = keyed_texts(docs)
     p = shuffle_partitions(spark)
-    buckets, parts = 8 * p, 4 * p + 1
+    buckets, parts = 4 * p, p
     sent = texts.mapInArrow(_send(length, anchor, buckets, parts), SENT)
     marks = sent.repartition(p, "bucket").sortWithinPartitions("bucket") \
         .mapInArrow(_search(length, parts), "part int, block binary")
