@@ -19,8 +19,12 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from parcelwise.llm.common import ranges
+
 # The word patterns of the two tokenizer files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,8 +33,12 @@ _CUT = {"word": re.compile(r"[ \n]+"), "byte": re.compile(r" (?=\S)(?<=\S )")}
 _PIECES = {"word": regex.compile(WORD_PATTERN), "byte": regex.compile(BYTE_PATTERN)}
 
 
+_ODD_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"     # white space of Latin-1 besides space and line feed
+PUNCTUATION = frozenset(".,;:!?")
+
+
 class ChunkEncoder:
-    def __init__(self, path: str, kind: str, remembered: int = 600_000):
+    def __init__(self, path: str, kind: str, remembered: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.kind, self.remembered = kind, remembered
@@ -43,15 +51,12 @@ class ChunkEncoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():   # byte-level: one character stands for one byte
             self.token_bytes[i] = len(token.removesuffix("</w>") if kind == "word" else token)
+        self.lead = " " if kind == "byte" else ""     # stands before every chunk but the first
         self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        first, *rest = _CUT[self.kind].split(text)
-        return [first, *[" " + c for c in rest]] if self.kind == "byte" else [first, *rest]
+        self.first: dict[str, bytes] = {}             # chunks without the lead
 
     def _plain(self, chunk: str) -> bool:
-        return chunk < "Ā" and (chunk.isascii() or max(chunk) < "Ā") \
-            and ("<" not in chunk or not any(s in chunk for s in self.special))
+        return (chunk.isascii() or max(chunk) < "\u0100") and ("<" not in chunk or not any(s in chunk for s in self.special))
 
     def _model_ids(self, pieces: list[str]) -> list[bytes]:
         """The model's ids of each piece, found by the bytes they stand for."""
@@ -65,35 +70,95 @@ class ChunkEncoder:
         ends = (4 * cuts).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
-    def _learn(self, new: list[str]) -> None:
-        known, find, lower = self.known, _PIECES[self.kind].findall, self.kind == "word"
-        cut, others = [], []
+    def _learn(self, new: list[str], lead: str, into: dict[str, bytes], plain: bool) -> None:
+        """Put the ids of the chunks, each with ``lead`` before it, into a dictionary; ``plain``: all are known to be."""
+        find, lower = _PIECES[self.kind].findall, self.kind == "word"
+        alone: dict[str, str] = {}                    # chunk: its only piece
+        pairs: dict[str, tuple[str, str]] = {}        # chunk: letters and a punctuation mark
+        several: dict[str, list[str]] = {}
+        others = []
         for c in new:
-            if c and self._plain(c):
-                cut.append((c, find(c.lower() if lower else c)))
-            else:
+            if not c or not (plain or self._plain(c)):
                 others.append(c)
-        pieces = list({p for _, ps in cut for p in ps if p not in known})
-        for at in range(0, len(pieces), 5000):
-            part = pieces[at:at + 5000]
-            known.update(zip(part, self._model_ids(part)))
-        for c, ps in cut:
-            if len(ps) != 1 or c not in known:
-                known[c] = b"".join([known[p] for p in ps])
-        for c, e in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
+                continue
+            t = c.lower() if lower else c
+            if t.isalpha():
+                alone[c] = lead + t
+            elif t[-1] in PUNCTUATION and t[:-1].isalpha():
+                pairs[c] = (lead + t[:-1], t[-1])
+            else:
+                several[c] = find(lead + t)
+        pieces = set(alone.values())
+        pieces.update(*pairs.values(), *several.values())
+        wanted, ids = list(pieces), {}
+        for at in range(0, len(wanted), 5000):
+            part = wanted[at:at + 5000]
+            ids.update(zip(part, self._model_ids(part)))
+        into.update((c, ids[p]) for c, p in alone.items())
+        into.update((c, ids[a] + ids[b]) for c, (a, b) in pairs.items())
+        into.update((c, b"".join([ids[p] for p in ps])) for c, ps in several.items())
+        whole = self.whole.encode_batch_fast([lead + c for c in others], add_special_tokens=False)
+        into.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(others, whole))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(t) for t in texts]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {}
-            new = set().union(*cut)
-        if new:
-            self._learn(list(new))
-        known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        """The ids of any texts as little-endian unsigned 32-bit integers."""
+        cut = [_CUT[self.kind].split(t) for t in texts]
+        self._know({c[0] for c in cut}, "", self.first)
+        self._know(set().union(*[c[1:] for c in cut]), self.lead, self.known)
+        get, first = self.known.__getitem__, self.first
+        return [first[c[0]] + b"".join(map(get, c[1:])) for c in cut]
+
+    def _know(self, chunks, lead: str, into: dict[str, bytes], plain: bool = False) -> None:
+        if len(into) > self.remembered:
+            into.clear()
+        if new := [c for c in chunks if c not in into]:
+            self._learn(new, lead, into, plain)
+
+    def _regular(self, text: str) -> bool:
+        """Whether the spaces of the text (Latin-1 only) are the cuts: for ``byte`` files each between other characters."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        if "<" in text and any(s in text for s in self.special):
+            return False
+        if self.kind == "word":
+            return True
+        return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " "
+                    or any(c in text for c in _ODD_SPACE))
+
+    def _regular_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of regular texts: Arrow cuts the words and numbers the distinct ones, numpy puts their ids in place."""
+        if self.kind == "word":
+            texts = [t.lower().replace("\n", " ") for t in texts]
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        at = lists.offsets.to_numpy()
+        words = lists.values.dictionary_encode()
+        which = words.indices.to_numpy().astype(np.int64)
+        distinct = words.dictionary.to_pylist()
+        heads = [t.partition(" ")[0] for t in texts]
+        which[at[:-1]] = np.arange(len(heads)) + len(distinct)
+        self._know(distinct, self.lead, self.known, plain=True)
+        self._know(dict.fromkeys(heads), "", self.first, plain=True)
+        blocks = [*map(self.known.__getitem__, distinct), *map(self.first.__getitem__, heads)]
+        sizes = np.fromiter(map(len, blocks), np.int64, len(blocks)) // 4
+        ids, begin = np.frombuffer(b"".join(blocks), "<u4"), np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        ends = np.r_[0, np.cumsum(counts)]
+        return ids[ranges(begin[which], counts)], ends[at]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column one after another (null: empty), and where each text's begin (and the last ends)."""
+        texts = [t or "" for t in column.to_pylist()]
+        regular = [self._regular(t) for t in texts]
+        if all(regular):
+            return self._regular_ids(texts)
+        ids, ends = self._regular_ids([t for t, r in zip(texts, regular) if r] or [""])
+        rest = iter(self.encode([t for t, r in zip(texts, regular) if not r]))
+        spans = iter(zip(ends[:-1].tolist(), ends[1:].tolist()))
+        parts = [ids[slice(*next(spans))] if r else np.frombuffer(next(rest), "<u4") for r in regular]
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
 
 
 @lru_cache(maxsize=2)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from parcelwise.llm.common import keyed_texts, saved, shuffle_partitions, slices, table, utf8
+from parcelwise.llm.common import keyed_texts, saved, shuffle_partitions, slices, table
 from parcelwise.llm.encoding import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -45,15 +45,14 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(path: str, kind: str, end: int, capacity: int):
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kind)
-        for b in slices(batches, 1, 4 << 20):
+        for b in slices(batches, 1, 8 << 20):
             out = []
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode([t.decode() for t in utf8(b.column(1))])):
-                ids += tail
-                out += [(doc, i, s, e - s, zlib.crc32(ids[4 * s:4 * e])) for i, (s, e) in enumerate(cuts(len(ids) // 4, capacity))]
+            flat, ends = enc.encode_column(b.column(1))
+            flat, ends = np.insert(flat, ends[1:], end).astype("<u4"), ends + np.arange(len(ends))
+            for doc, first, last in zip(b.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                out += [(doc, i, s, e - s, zlib.crc32(flat[first + s:first + e])) for i, (s, e) in enumerate(cuts(last - first, capacity))]
             doc, piece, start, length, crc = zip(*out)
             yield table({"doc_id": (doc, pa.int64()), "piece": (piece, pa.int32()), "start": (start, pa.int64()),
                          "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())})

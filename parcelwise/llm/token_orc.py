@@ -26,21 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from parcelwise.llm.common import keyed_texts, saved, scratch, shuffle_partitions, slices, table, utf8
+from parcelwise.llm.common import keyed_texts, saved, scratch, shuffle_partitions, slices, table
 from parcelwise.llm.encoding import encoder
 
 SCHEMA = "doc_id long, ids array<int>"
 
 
 def _encode(path: str, kind: str, end: int):
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kind)
-        for b in slices(batches, 1, 4 << 20):
-            blocks = [x + tail for x in enc.encode([t.decode() for t in utf8(b.column(1))])]
-            ends = np.cumsum([0] + [len(x) // 4 for x in blocks])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blocks), "<i4")))
+        for b in slices(batches, 1, 8 << 20):
+            flat, ends = enc.encode_column(b.column(1))
+            flat = np.insert(flat, ends[1:], end).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends + np.arange(len(ends)), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), ids], names=["doc_id", "ids"])
     return run
 
