@@ -80,17 +80,17 @@ def split(nodes: DataFrame, family: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, mix: Mixture) -> DataFrame:
     """``leaves`` (domain, lang, source, tokens) with ``given``: the tokens each leaf is to provide."""
     capacity = leaves.withColumn("capacity", F.col("tokens") * mix.epochs)
-    total = leaves.agg(F.expr(f"coalesce(sum(tokens), 0) * {int(mix.numerator)} div {int(mix.denominator)}").alias("wanted"))
     above = None
     for i, level in enumerate(LEVELS):
         path = list(LEVELS[:i + 1])
-        nodes = capacity.groupBy(*path).agg(F.sum("capacity").alias("capacity")).withColumn("w", weight(mix, level))
-        if above is None:      # one row joined to the top of the tree
-            root = total.withColumn("root", F.lit(1))
-            room = nodes.agg(F.sum("capacity").alias("room")).withColumn("root", F.lit(1))
-            top = root.join(room, "root").select("root", F.least("wanted", "room").alias("budget"))
-            nodes = nodes.withColumn("root", F.lit(1)).join(top, "root")
-            above = split(nodes, ["root"], level).drop("root")
+        nodes = capacity.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens")) \
+            .withColumn("w", weight(mix, level))
+        if above is None:      # the domains are one family; its budget is the root's
+            root = Window.partitionBy(F.lit(0))
+            wanted = F.expr(f"all_tokens * {int(mix.numerator)} div {int(mix.denominator)}")
+            nodes = nodes.withColumn("root", F.lit(0)).withColumn("all_tokens", F.sum("tokens").over(root)) \
+                .withColumn("budget", F.least(wanted, F.sum("capacity").over(root)))
+            above = split(nodes, ["root"], level)
         else:
             nodes = nodes.join(above, path[:-1])
             above = split(nodes, path[:-1], level)
