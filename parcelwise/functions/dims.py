@@ -204,7 +204,6 @@ PROFIT_MARGIN = 0.85
 FREE_TIER_BUILDINGS = 3
 RELEVANT_311_TYPES = ["HEAT/HOT WATER", "PLUMBING"]
 FEED_DAYS_BACK = 90
-FEED_RECORD_LIMIT = 50000
 HIGH_RISK_SCORE = 70            # 0-100 property scale
 HIGH_RISK_VIOLATION = 7.0       # violation risk_score scale
 WINTER_LOSS_PER_PRE1960 = 15000

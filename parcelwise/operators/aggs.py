@@ -124,11 +124,12 @@ def dashboard_metrics(properties: DataFrame, violations: DataFrame, as_of: str)
 
 def violation_stats(properties: DataFrame, violations: DataFrame) -> DataFrame:
     """A11 per tenant."""
-    v = violations.join(properties.select("property_id", "tenant_id"), "property_id")
-    agg = v.groupBy("tenant_id").agg(
+    per = violations.groupBy("property_id").agg(
         F.count(F.lit(1)).alias("total"),
         _cnt(F.col("is_resolved")).alias("resolved"),
         _cnt(F.col("risk_score") >= D.HIGH_RISK_VIOLATION).alias("high_risk"))
+    agg = (per.join(properties.select("property_id", "tenant_id"), "property_id").groupBy("tenant_id")
+           .agg(*[F.sum(c).alias(c) for c in ("total", "resolved", "high_risk")]))
     return agg.withColumn("pending", F.col("total") - F.col("resolved"))
 
 
@@ -219,7 +220,7 @@ def heat_alert_count(properties: DataFrame, heat_counts: DataFrame, threshold: i
 
 def high_risk_properties(properties: DataFrame, violations: DataFrame) -> DataFrame:
     """Distinct properties with a violation of risk_score ≥ 7 (left semi join)."""
-    hi = violations.filter(F.col("risk_score") >= D.HIGH_RISK_VIOLATION).select("property_id")
+    hi = violations.filter(F.col("risk_score") >= D.HIGH_RISK_VIOLATION).select("property_id").distinct()
     return properties.select("tenant_id", "property_id", "bbl").join(hi, "property_id", "left_semi")
 
 

@@ -11,7 +11,7 @@ window aggregate expresses them.  Spark still partitions the work:
   time-bucketed as-of scans; rows are hash-partitioned on (client,
   segment) and sorted, and one ``mapInPandas`` pass folds run after run — so a
   busy client is split along time and no per-group Python call is paid;
-* the fold itself is a small Python step per request.
+* the fold itself is one integer rule per request, shared by batch and stream.
 
 The streaming versions keep the same state per client with
 ``applyInPandasWithState``.
@@ -24,7 +24,6 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 OUT_SCHEMA = "client long, request_id long, ts timestamp_ntz, admitted boolean"
 
@@ -45,24 +44,55 @@ def _segments(requests: DataFrame, reset_us: int, strict: bool) -> DataFrame:
     return asof_epoch(r, starts, "client", "_e", "_start", out="segment").drop("_e")
 
 
-# --------------------------------------------------------------- sliding log
-def sliding_fold(ts_us, max_messages: int, window_us: int, log=None):
-    """Admit iff fewer than ``max_messages`` admitted requests have ts ≥ now − window."""
-    log = deque(log or [])
-    out = []
-    for now in ts_us:
-        while log and log[0] < now - window_us:
-            log.popleft()
-        if len(log) >= max_messages:
-            out.append(False)
-        else:
-            log.append(now)
-            out.append(True)
-    return out, list(log)
+class SlidingLog:
+    """At most ``limit`` admitted requests in any window: a request passes when the ``limit``-th last
+    admitted one lies before the window.  State: the last ``limit`` admitted times."""
 
+    state_schema = "log array<long>"
 
-def _fold_sorted(seg: DataFrame, step) -> DataFrame:
-    """Run ``step(state, ts_us) -> (admitted, state)`` over every (client, segment) run.
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us = limit, window_us
+
+    def load(self, stored: tuple | None) -> deque:
+        return deque(stored[0] if stored else (), maxlen=self.limit)
+
+    def dump(self, ring: deque) -> tuple:
+        return (list(ring),)
+
+    def admit(self, ring: deque, now: int) -> bool:
+        if len(ring) == self.limit and not (ring and ring[0] < now - self.window_us):
+            return False
+        ring.append(now)
+        return True
+
+
+class TokenBucket:
+    """``rate`` tokens of burst, refilled evenly over ``per_us``, as one theoretical arrival time: the time
+    at which the bucket would be full again.  A request passes while that time is at most ``rate - 1``
+    token intervals ahead, and moves it by one.  Times count in 1/rate microseconds, so an
+    interval is the integer ``per_us`` and nothing is rounded.  State: that time."""
+
+    state_schema = "full_at string"     # a decimal integer: it can exceed 64 bits for large rates
+
+    def __init__(self, rate: int, per_us: int):
+        self.rate, self.per_us = rate, per_us
+
+    def load(self, stored: tuple | None) -> list[int]:
+        return [int(stored[0])] if stored else []
+
+    def dump(self, state: list[int]) -> tuple:
+        return (str(state[0]),)
+
+    def admit(self, state: list[int], now: int) -> bool:
+        clock = now * self.rate
+        full_at = max(state[0], clock) if state else clock
+        passes = full_at - clock <= (self.rate - 1) * self.per_us
+        state[:] = [full_at + self.per_us if passes else full_at]
+        return passes
+
+
+def _fold_sorted(seg: DataFrame, rule) -> DataFrame:
+    """Fold ``rule`` over every (client, segment) run.
 
     Rows are hash-partitioned on (client, segment) — segments of one busy client
     land in different tasks — and sorted inside each partition, so one pass of
@@ -72,98 +102,44 @@ def _fold_sorted(seg: DataFrame, step) -> DataFrame:
                .repartition("client", "segment")
                .sortWithinPartitions("client", "segment", "ts", "request_id"))
 
-    def run(it):
-        cur, state = None, None
-        for pdf in it:
-            keys = list(zip(pdf["client"].tolist(), pdf["segment"].tolist()))
-            out = []
-            for k, t in zip(keys, pdf["_us"].tolist()):
-                if k != cur:
-                    cur, state = k, None
-                ok, state = step(state, t)
-                out.append(ok)
-            yield pd.DataFrame({"client": pdf["client"].values, "request_id": pdf["request_id"].values,
-                                "ts": pdf["ts"].values, "admitted": out})
+    def run(batches):
+        current, state = None, None
+        for pdf in batches:
+            admitted = []
+            for client, segment, now in zip(pdf["client"].tolist(), pdf["segment"].tolist(), pdf["_us"].tolist()):
+                if (client, segment) != current:
+                    current, state = (client, segment), rule.load(None)
+                admitted.append(rule.admit(state, now))
+            yield pdf[["client", "request_id", "ts"]].assign(admitted=admitted)
 
     return ordered.mapInPandas(run, OUT_SCHEMA)
 
 
+def sliding_rule(max_messages: int = 100, window_seconds: int = 60) -> SlidingLog:
+    return SlidingLog(max_messages, int(window_seconds) * 1_000_000)
+
+
+def bucket_rule(rate: int = 1000, per: float = 60.0) -> TokenBucket:
+    return TokenBucket(rate, int(per * 1_000_000))
+
+
 def rate_limit_sliding(requests: DataFrame, max_messages: int = 100, window_seconds: int = 60) -> DataFrame:
-    window_us = int(window_seconds) * 1_000_000
-    seg = _segments(requests, window_us, strict=True)
-
-    def step(log, now):
-        log = log if log is not None else deque()
-        while log and log[0] < now - window_us:
-            log.popleft()
-        if len(log) >= max_messages:
-            return False, log
-        log.append(now)
-        return True, log
-
-    return _fold_sorted(seg, step)
-
-
-# -------------------------------------------------------------- token bucket
-def bucket_fold(ts_us, rate: float, per: float, allowance: float | None = None, last_us: int | None = None):
-    """Refill rate/per tokens per second up to ``rate``; a request needs one token.
-    A new client starts with a full bucket at its first request."""
-    out = []
-    for now in ts_us:
-        if allowance is None:
-            allowance, last_us = float(rate), now
-        passed = (now - last_us) / 1e6
-        last_us = now
-        allowance += passed * (rate / per)
-        if allowance > rate:
-            allowance = float(rate)
-        if allowance < 1.0:
-            out.append(False)
-        else:
-            allowance -= 1.0
-            out.append(True)
-    return out, allowance, last_us
+    rule = sliding_rule(max_messages, window_seconds)
+    return _fold_sorted(_segments(requests, rule.window_us, strict=True), rule)
 
 
 def rate_limit_token_bucket(requests: DataFrame, rate: int = 1000, per: float = 60.0) -> DataFrame:
-    seg = _segments(requests, int(per * 1_000_000), strict=False)
-
-    def step(st, now):
-        allowance, last = st if st is not None else (float(rate), now)
-        allowance += ((now - last) / 1e6) * (rate / per)
-        if allowance > rate:
-            allowance = float(rate)
-        if allowance < 1.0:
-            return False, (allowance, now)
-        return True, (allowance - 1.0, now)
-
-    return _fold_sorted(seg, step)
-
-
-# ---------------------------------------------------------------- streaming
-def sliding_state_fn(max_messages: int, window_seconds: int):
-    """State function for ``applyInPandasWithState``: state = admitted log (≤ max_messages)."""
-    window_us = int(window_seconds) * 1_000_000
-
-    def fn(key, pdfs, state):
-        log = list(state.get[0]) if state.exists else []
-        frames = list(pdfs)
-        pdf = pd.concat(frames).sort_values(["ts", "request_id"], kind="mergesort")
-        us = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        adm, log = sliding_fold(us, max_messages, window_us, log)
-        state.update((log,))
-        yield pd.DataFrame({"client": pdf["client"].values, "request_id": pdf["request_id"].values,
-                            "ts": pdf["ts"].values, "admitted": adm})
-    return fn
-
-
-def bucket_state_fn(rate: int, per: float):
-    def fn(key, pdfs, state):
-        allowance, last = (state.get[0], state.get[1]) if state.exists else (None, None)
-        pdf = pd.concat(list(pdfs)).sort_values(["ts", "request_id"], kind="mergesort")
-        us = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        adm, allowance, last = bucket_fold(us, rate, per, allowance, last)
-        state.update((allowance, last))
-        yield pd.DataFrame({"client": pdf["client"].values, "request_id": pdf["request_id"].values,
-                            "ts": pdf["ts"].values, "admitted": adm})
-    return fn
+    rule = bucket_rule(rate, per)
+    return _fold_sorted(_segments(requests, rule.per_us, strict=False), rule)
+
+
+def state_function(rule):
+    """The rule for ``applyInPandasWithState``: a micro-batch's requests of a client in (ts, id) order."""
+    def fold(key, frames, state):
+        pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="mergesort")
+        held = rule.load(state.get if state.exists else None)
+        times = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
+        admitted = [rule.admit(held, now) for now in times]
+        state.update(rule.dump(held))
+        yield pdf[["client", "request_id", "ts"]].assign(admitted=admitted)
+    return fold

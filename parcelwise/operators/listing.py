@@ -65,7 +65,7 @@ def property_search(scored: DataFrame, bbl=None, borough=None, min_risk=None, ma
 def property_lookup(properties: DataFrame, ids: DataFrame, tenant_id: str | None = None) -> DataFrame:
     """point lookups by id (+ tenant) as a semi join against the requested ids."""
     p = properties if tenant_id is None else tenant_scope(properties, tenant_id)
-    return p.join(ids, "property_id", "left_semi")
+    return p.join(ids.select("property_id").distinct(), "property_id", "left_semi")
 
 
 def bbl_quality(raw: DataFrame, col: str = "raw_bbl") -> DataFrame:

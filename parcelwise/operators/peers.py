@@ -328,7 +328,7 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     kept while fewer than k + m buildings are strictly closer (m = the largest number
     of buildings sharing one parcel, which bounds the exclusions); each kept cell
     contributes only its k + m lowest-id buildings; the final top-k per building is
-    the two-phase ``top_n_per_key``."""
+    ``top_n_per_key``."""
     from parcelwise.operators.windows import top_n_per_key
 
     p = prepared.withColumn("class_l", F.col("building_class"))
@@ -358,8 +358,6 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     tj = (targets.join(expanded, _eq_null_safe(KCELL, tk))
           .filter(F.col("peer_bbl") != F.col("bbl"))
           .select("property_id", "cents", "d", "peer_id", "peer_cents"))
-    # counted for heavy hitters, then ranked: computed once
-    tj = tj.persist(StorageLevel.MEMORY_AND_DISK)
     top = top_n_per_key(tj, ["property_id"], [F.asc("d"), F.asc("peer_id")], k, rank_col=None)
     return top
 

@@ -23,8 +23,7 @@ def quota_admission(requests: DataFrame, accounts: DataFrame) -> DataFrame:
          .withColumn("month", F.date_trunc("month", F.col("ts")).cast("timestamp_ntz"))
          .join(acc, "client", "left")
          .withColumn("quota", _limit_for(F.col("tier"), 0)))
-    return first_k_flags(r, ["client", "month"], [F.asc("ts"), F.asc("request_id")], "request_id",
-                         "quota", max(D.TIER_LIMITS.values()))
+    return first_k_flags(r, ["client", "month"], [F.asc("ts"), F.asc("request_id")], "request_id", "quota")
 
 
 def usage_report(requests: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -1,11 +1,9 @@
 """Ranking and window operators that stay exact when one key holds a third of the rows.
 
-* ``top_n_per_key`` — newest/highest N per key.  Heavy hitters (keys with at
-  least 1/100 000 of the rows — a bounded, broadcastable list) are ranked inside
-  salt slices of ~threshold rows and then their ≤ N-per-slice survivors are
-  ranked again; every other key is ranked in a single window.
-* ``first_k_flags`` — admission of the first k rows per key (k may vary per key),
-  built on the same two phases and joined back on the row id.
+* ``top_n_per_key`` — newest/highest N per key in one window; the partial group limit
+  cuts every map task's rows to N per key before the shuffle.
+* ``first_k_flags`` — admission of the first k rows per key (k may vary per key): ranked
+  in hash slices of bounded size first, then among the slices' first k.
 * ``strict_percentile`` — share of a cohort strictly below each score, from a
   per-cohort score histogram (≤ 10 001 distinct 2-dp scores in 0–100), so a hot
   cohort is pre-aggregated before any window runs.
@@ -20,69 +18,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-HOT_KEY_BOUND = 100_000      # at most this many keys can be "hot" (each holds ≥ 1/BOUND of the rows)
-MIN_HOT_ROWS = 200_000       # below this a key is sorted whole by one task
-
-
-def heavy_hitters(df: DataFrame, keys: list[str], bound: int = HOT_KEY_BOUND, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Keys holding at least 1/``bound`` of the rows (and more than ``min_rows``), with the
-    number of slices ``_parts`` = ceil(rows / threshold) each should be split into.
-
-    The per-key counts are a partial aggregation; the total is one scalar.  By
-    construction at most ``bound`` keys qualify, so the result may be broadcast."""
-    cnt = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = cnt.agg(F.sum("_n")).first()[0] or 0
-    threshold = max(1, -(-total // bound), min_rows + 1)
-    return (cnt.filter(F.col("_n") >= threshold)
-            .select(*keys, F.ceil(F.col("_n") / F.lit(threshold)).cast("int").alias("_parts")))
-
-
-def _tag_hot(df: DataFrame, keys: list[str], hot: DataFrame, id_cols: list[str]) -> DataFrame:
-    tagged = df.join(F.broadcast(hot), keys, "left")   # ≤ HOT_KEY_BOUND rows
-    slice_ = F.pmod(F.xxhash64(*[F.col(c) for c in id_cols]), F.coalesce(F.col("_parts"), F.lit(1)))
-    return tagged.withColumn("_hot", F.col("_parts").isNotNull()).withColumn("_salt", slice_).drop("_parts")
+SLICE_ROWS = 100_000      # rows of a key that are sorted together when its first k are looked for
 
 
 def top_n_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
-                  bound: int = HOT_KEY_BOUND, rank_col: str | None = "rank",
-                  min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                  rank_col: str | None = "rank") -> DataFrame:
     """Exact top-n rows per key under a total order (``order`` must break all ties).
 
-    Cold keys are ranked in one window.  Hot keys (heavy hitters) are ranked inside
-    ⌈rows / threshold⌉ salt slices first, and only their ≤ n per slice survivors are
-    ranked again — no window partition exceeds ~threshold rows."""
-    cols = df.columns
-    hot = heavy_hitters(df, keys, bound, min_rows=max(n, min_rows))
-    t = _tag_hot(df, keys, hot, cols)
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    p1 = t.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
-    cold = p1.filter(~F.col("_hot"))
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    warm = (p1.filter(F.col("_hot")).drop("_r").withColumn("_r", F.row_number().over(w2))
-            .filter(F.col("_r") <= n))
-    out = cold.unionByName(warm).select(*cols, "_r")
+    For n up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) Catalyst cuts each
+    map task's rows to n per key before the shuffle, so a hot key (NULL included) costs n rows
+    for each task."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     return out.withColumnRenamed("_r", rank_col) if rank_col else out.drop("_r")
 
 
 def first_k_flags(df: DataFrame, keys: list[str], order: list[Column], id_col: str,
-                  k_col: str, k_max: int, bound: int = HOT_KEY_BOUND, flag: str = "admitted",
-                  min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Flag the first ``k_col`` rows per key (``k_col`` ≤ ``k_max``), all other rows False.
-
-    ``id_col`` must be unique.  The admitted set (≤ k per key) is found with the
-    heavy-hitter-aware two phases of ``top_n_per_key`` and attached by a join on the id."""
-    base = df
-    hot = heavy_hitters(base, keys, bound, min_rows=max(k_max, min_rows))
-    t = _tag_hot(base, keys, hot, [id_col])
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    p1 = (t.withColumn("_r", F.row_number().over(w1))
-          .filter((F.col("_r") <= F.col(k_col)) & (F.col("_r") <= k_max)))
-    cold = p1.filter(~F.col("_hot")).select(id_col, F.col("_r").alias("position"))
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    warm = (p1.filter(F.col("_hot")).withColumn("_r2", F.row_number().over(w2))
-            .filter(F.col("_r2") <= F.col(k_col)).select(id_col, F.col("_r2").alias("position")))
-    admitted = cold.unionByName(warm)
-    return df.join(admitted, id_col, "left").withColumn(flag, F.col("position").isNotNull())
+                  k_col: str, flag: str = "admitted", slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Flag the first ``k_col`` rows per key (the same k on all rows of a key), all other rows False;
+    ``position`` is the rank of a flagged row.
+
+    A key's rows are ranked inside ``ceil(rows / slice_rows)`` slices chosen by a hash of ``id_col``;
+    only the first k of each slice can be among the first k, and these are ranked once more.  The other
+    rows keep their slice, so no sort holds a whole hot key."""
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).alias("_slices"))
+    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_slices")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    sliced = df.join(counts, same).drop(*[f"_k_{k}" for k in keys]) \
+        .withColumn("_slice", F.pmod(F.xxhash64(id_col), F.col("_slices"))).drop("_slices")
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    sliced = sliced.withColumn("_first", F.row_number().over(inside) <= F.col(k_col))
+    group = F.when(F.col("_first"), F.lit(-1)).otherwise(F.col("_slice"))
+    ranked = sliced.withColumn("_group", group)
+    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_group").orderBy(*order)))
+    position = F.when(F.col("_first") & (F.col("_r") <= F.col(k_col)), F.col("_r"))
+    return ranked.withColumn("position", position).withColumn(flag, F.col("position").isNotNull()) \
+        .drop("_slice", "_first", "_group", "_r")
 
 
 def strict_percentile(df: DataFrame, cohort: list[str], score: str, out: str = "percentile") -> DataFrame:

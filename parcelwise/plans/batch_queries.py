@@ -113,6 +113,16 @@ def q_feed_summary(spark, d):
     return feed.feed_summary(scored(spark, d))
 
 
+@query("feed_top3", f"""
+WITH s AS (SELECT * FROM ({FEED_SCORED_SQL}))
+SELECT bbl, compliance_risk_score, total_violations, class_b_violations, relevant_311_complaints
+FROM s ORDER BY compliance_risk_score DESC, bbl LIMIT 3""")
+def q_feed_top3(spark, d):
+    """The three highest scores of the feed summary."""
+    return feed.top_scored(scored(spark, d), 3).select("bbl", "compliance_risk_score", "total_violations",
+                                                       "class_b_violations", "relevant_311_complaints")
+
+
 @query("export_demo_anonymised", f"""
 WITH s AS (SELECT * FROM ({FEED_SCORED_SQL})),
 t AS (SELECT *, row_number() OVER (ORDER BY compliance_risk_score DESC, bbl) AS rank FROM s)

@@ -48,7 +48,7 @@ def q_src_311(spark, d):
 
 @query("src_dataset_slice", f"""
 SELECT {VCOLS_SQL} FROM violations WHERE issued_date >= DATE '2001-01-01'
-ORDER BY issued_date DESC, {VCOLS_SQL.replace('issued_date, ', '')} LIMIT 50000""")
+ORDER BY issued_date DESC, {VCOLS_SQL.replace('issued_date, ', '')}""")
 def q_src_dataset_slice(spark, d):
     return FD.dataset_slice(_v(spark, d).violations(), "issued_date", "2001-01-01")
 
@@ -94,12 +94,11 @@ def q_latest_n(spark, d):
 
 @query("property_bundle", f"""
 WITH k AS (SELECT DISTINCT bbl FROM properties),
-vf AS (SELECT p.bbl, v.source, row_number() OVER (PARTITION BY p.bbl, v.source ORDER BY v.issued_date DESC) AS rn
-       FROM violations v JOIN properties p ON v.property_id = p.property_id),
+vf AS (SELECT p.bbl, v.source FROM violations v JOIN properties p ON v.property_id = p.property_id),
 cf AS (SELECT p.bbl FROM complaints c JOIN properties p ON c.property_id = p.property_id
        WHERE c.created >= TIMESTAMP '{EVENT_AS_OF}' - INTERVAL 30 DAY),
 vc AS (SELECT bbl, count(*) FILTER (WHERE source = 'DOB') AS d, count(*) FILTER (WHERE source = 'HPD') AS h,
-              count(*) FILTER (WHERE source = 'FDNY') AS f FROM vf WHERE rn <= 1000 GROUP BY bbl),
+              count(*) FILTER (WHERE source = 'FDNY') AS f FROM vf GROUP BY bbl),
 cc AS (SELECT bbl, count(*) AS c FROM cf GROUP BY bbl)
 SELECT k.bbl, CAST(COALESCE(d, 0) AS INTEGER) AS n_dob, CAST(COALESCE(h, 0) AS INTEGER) AS n_hpd,
        CAST(COALESCE(c, 0) AS INTEGER) AS n_complaints, CAST(COALESCE(f, 0) AS INTEGER) AS n_permits

@@ -9,7 +9,6 @@ the windows closed by the final watermark = max event time − delay).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from parcelwise.operators import limiters as LIM
@@ -75,39 +74,31 @@ def q_subscription_stats(spark, d):
                  F.count_distinct(F.when(F.col("_auth"), F.col("connection"))).alias("authenticated_connections"))
 
 
-VIOLATION_UPDATES_SQL = "SELECT * FROM updates WHERE update_type = 'purchase'"
-
-
-def _violation_updates(v):
-    """Push updates are new class-C records (the purchase events)."""
-    return v.updates().filter(F.col("update_type") == "purchase")
-
-
 @query("stream_fanout", f"""
-WITH s AS ({SUBS_SQL}), u AS ({VIOLATION_UPDATES_SQL})
+WITH s AS ({SUBS_SQL}), u AS (SELECT * FROM updates)
 SELECT u.property_id, u.update_id, u.update_type, u.severity, u.ts, s.connection FROM u JOIN s ON u.property_id = s.property_id""")
 def q_stream_fanout(spark, d):
     """ST2/K5: update stream ⋈ current subscriptions (static) → one row per subscriber."""
-    fan = J.fanout(_violation_updates(_s(spark, d)), _current_subs_batch(spark, d))
+    fan = J.fanout(_s(spark, d).updates(), _current_subs_batch(spark, d))
     return _read(spark, J.run_available_now(spark, fan, "fanout"))
 
 
 @query("queue_last_100", f"""
-WITH s AS ({SUBS_SQL}), u AS ({VIOLATION_UPDATES_SQL}),
+WITH s AS ({SUBS_SQL}), u AS (SELECT * FROM updates),
 f AS (SELECT u.property_id, u.update_id, u.severity, u.ts, s.connection FROM u JOIN s ON u.property_id = s.property_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY connection ORDER BY ts DESC, update_id DESC) AS rank FROM f)
 SELECT * EXCLUDE (rank), CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 100""")
 def q_queue_last_100(spark, d):
-    """W7/ST5: the newest 100 undelivered messages per connection (two-phase top-N)."""
-    fan = J.fanout(_violation_updates(_b(spark, d)), _current_subs_batch(spark, d)) \
-        .select("property_id", "update_id", "severity", "ts", "connection")
-    # the fan-out is counted for heavy hitters and then ranked: computed once
-    fan = fan.persist(StorageLevel.MEMORY_AND_DISK)
-    return W.top_n_per_key(fan, ["connection"], [F.desc("ts"), F.desc("update_id")], 100)
+    """W7/ST5: the newest 100 undelivered messages per connection."""
+    newest = [F.desc("ts"), F.desc("update_id")]
+    # a connection's newest 100 are among the newest 100 of each of its properties
+    updates = W.top_n_per_key(_b(spark, d).updates(), ["property_id"], newest, 100, rank_col=None)
+    fan = J.fanout(updates, _current_subs_batch(spark, d)).select("property_id", "update_id", "severity", "ts", "connection")
+    return W.top_n_per_key(fan, ["connection"], newest, 100)
 
 
 ROUTING_SQL = f"""
-WITH s AS ({SUBS_SQL}), u AS ({VIOLATION_UPDATES_SQL}),
+WITH s AS ({SUBS_SQL}), u AS (SELECT * FROM updates),
 f AS (SELECT u.property_id, u.update_id, u.severity, u.ts, s.connection FROM u JOIN s ON u.property_id = s.property_id),
 j AS (SELECT f.*, a.tier FROM f JOIN accounts a ON f.connection = a.account_key),
 e AS (SELECT * FROM j WHERE CASE severity WHEN 'CRITICAL' THEN true WHEN 'HIGH' THEN tier IN ('pro', 'enterprise')
@@ -119,7 +110,7 @@ FROM c"""
 
 
 def _routing_stream(spark, d):
-    fan = J.fanout(_violation_updates(_s(spark, d)), _current_subs_batch(spark, d))
+    fan = J.fanout(_s(spark, d).updates(), _current_subs_batch(spark, d))
     return J.alert_routing(fan, J.alert_settings(_b(spark, d).accounts()))
 
 
@@ -206,7 +197,7 @@ def q_connection_sessions(spark, d):
 
 @query("stream_new_violations", "SELECT DISTINCT source, order_key, line_no FROM violations")
 def q_stream_new_violations(spark, d):
-    """ST7: records unseen by (source, external id) — dropDuplicatesWithinWatermark."""
+    """ST7: records unseen by (source, external id), for all time."""
     return _read(spark, J.run_available_now(spark, J.new_violations(_s(spark, d).violations()), "new-violations"))
 
 

@@ -23,8 +23,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Broadcast only what AQE has measured to be small.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # AQE may broadcast up to this measured size; file-size estimates keep Spark's own threshold.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -45,7 +44,7 @@ def get_spark(master: str | None = None, app: str = "parcelwise",
     for k, v in conf.items():
         if active is None or active.conf.get(k, None) is None:
             builder = builder.config(k, v)
-    if active is None and "spark.checkpoint.dir" not in conf \
+    if active is None and "spark.checkpoint.dir" not in conf and _is_local(master or SparkConf().get("spark.master", "local")) \
             and SparkConf().get("spark.checkpoint.dir", None) is None:
         # Unset on this machine (local runs, tests): use a fresh scratch folder.
         builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(
@@ -57,6 +56,11 @@ def get_spark(master: str | None = None, app: str = "parcelwise",
     return spark
 
 
+def _is_local(master: str) -> bool:
+    """One machine, one process: a folder of this machine is shared by all of Spark."""
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
@@ -65,6 +69,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not _is_local(sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="parcelwise-ckpt-", dir=os.environ.get("PARCELWISE_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():

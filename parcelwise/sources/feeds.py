@@ -2,7 +2,7 @@
 
 Landed snapshots are read with explicit schemas (never inferred); the parcel
 key is always a string.  Per-parcel "newest N" reads are computed for all
-parcels at once with the skew-safe two-phase top-N.
+parcels at once with one window top-N.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.functions import dims as D
 from parcelwise.functions import rules as R
 from parcelwise.operators.windows import top_n_per_key
 
@@ -32,10 +31,11 @@ LEDGER_SCHEMA = T.StructType([
 ])
 
 
-def dataset_slice(df: DataFrame, date_col: str, since: str, limit: int = D.FEED_RECORD_LIMIT) -> DataFrame:
-    """S3: filter + newest first + record limit (the limit is the feed's contract)."""
-    return df.filter(F.col(date_col) >= F.lit(since).cast("date")).orderBy(
-        F.desc(date_col), *[F.asc(c) for c in df.columns if c != date_col]).limit(limit)
+def dataset_slice(df: DataFrame, date_col: str, since: str, limit: int | None = None) -> DataFrame:
+    """S3: the whole slice since a date, newest first; ``limit`` is a caller's page size."""
+    out = df.filter(F.col(date_col) >= F.lit(since).cast("date")).orderBy(
+        F.desc(date_col), *[F.asc(c) for c in df.columns if c != date_col])
+    return out if limit is None else out.limit(limit)
 
 
 def dob_feed(violations: DataFrame, properties: DataFrame) -> DataFrame:
@@ -70,19 +70,19 @@ def dob_violations(feed: DataFrame, limit: int = 50) -> DataFrame:
         R.classify_category("violation_category").alias("violation_class"), "rank")
 
 
-def property_bundle(keys: DataFrame, feeds: dict[str, DataFrame | None], limit: int = 1000) -> DataFrame:
-    """Per parcel a struct of feed arrays.  Each array holds the newest
-    ``limit`` rows of that feed (the client's per-feed limit), so no array grows
-    with the data.  ``None`` marks a failed feed (→ empty array); feeds left out
+def property_bundle(keys: DataFrame, feeds: dict[str, DataFrame | None], limit: int | None = None) -> DataFrame:
+    """Per parcel a struct of feed arrays, each with all rows of that feed, newest
+    first, or a caller's newest ``limit``.  ``None`` marks a failed feed (→ empty array); feeds left out
     of ``feeds`` are absent from the struct."""
     out = keys.select("bbl").distinct()
     for name, f in feeds.items():
         if f is None:
             out = out.withColumn(name, F.array())
             continue
-        rows = top_n_per_key(f, ["bbl"], [F.desc("ts")] + [F.asc(c) for c in f.columns if c not in ("bbl", "ts")],
-                             limit, rank_col=None)
-        packed = rows.groupBy("bbl").agg(F.collect_list(F.struct(*[c for c in f.columns if c != "bbl"])).alias(name))
+        fields = ["ts"] + [c for c in f.columns if c not in ("bbl", "ts")]
+        rows = f if limit is None else top_n_per_key(
+            f, ["bbl"], [F.desc("ts")] + [F.asc(c) for c in fields[1:]], limit, rank_col=None)
+        packed = rows.groupBy("bbl").agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias(name))
         out = out.join(packed, "bbl", "left").withColumn(name, F.coalesce(F.col(name), F.array()))
     return out
 

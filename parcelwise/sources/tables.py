@@ -19,7 +19,8 @@ class Tables:
     """``streaming=True`` turns every table into a file stream with the batch schema
     (the path is a one-file glob, so new files landing next to it are not picked up)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False, files_per_trigger: int = 1000):
+        self.files_per_trigger = files_per_trigger
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.streaming = streaming
@@ -29,7 +30,7 @@ class Tables:
         if not self.streaming:
             return self.spark.read.parquet(path)
         schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_trigger).parquet(f"{self.sf_dir}/{name}.parque[t]")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
