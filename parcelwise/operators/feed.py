@@ -28,16 +28,22 @@ def _keyed(df: DataFrame, properties: DataFrame) -> DataFrame:
     return df.join(p, "property_id")
 
 
+def recent_hpd(violations: DataFrame, as_of: str | None, days_back: int | None) -> DataFrame:
+    """Housing violations since the cutoff, class upper-cased and trimmed."""
+    v = violations.filter(F.col("source") == "HPD")
+    if as_of is not None and days_back is not None:
+        v = v.filter(F.col("issued_date") >= F.date_sub(F.lit(as_of).cast("date"), days_back))
+    return v.withColumn("violation_class", F.upper(F.trim("violation_class")))
+
+
 def hpd_violations(violations: DataFrame, as_of: str | None = None,
                    days_back: int | None = D.FEED_DAYS_BACK, classes=("A", "B", "C")) -> DataFrame:
     """Recent housing violations of class A/B/C; when that slice is empty the
     class filter is dropped (the feed's retry).  Class is upper-cased and trimmed."""
-    v = violations.filter(F.col("source") == "HPD")
-    if as_of is not None and days_back is not None:
-        v = v.filter(F.col("issued_date") >= F.date_sub(F.lit(as_of).cast("date"), days_back))
-    v = v.withColumn("violation_class", F.upper(F.trim("violation_class")))
-    by_class = v.filter(F.col("violation_class").isin(*classes))
-    return v if by_class.isEmpty() else by_class
+    v = recent_hpd(violations, as_of, days_back)
+    wanted = F.coalesce(F.col("violation_class").isin(*classes), F.lit(False))
+    some = F.coalesce(v.agg(F.max(wanted)).scalar(), F.lit(False))       # a scalar subquery: no action while building
+    return v.filter(wanted | ~some)
 
 
 def relevant_complaints(complaints: DataFrame, as_of: str | None = None,

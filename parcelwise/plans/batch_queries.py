@@ -20,17 +20,24 @@ def _v(spark, d):
     return Tables(spark, d).views
 
 
-FEED_V_SQL = """
+# The two feeds that are scored: housing violations of classes A to C (all classes when there are
+# none of these) and heat and plumbing complaints, both of the last 90 days.
+FEED_V_SQL = f"""
+WITH recent AS (SELECT * EXCLUDE (violation_class), upper(trim(violation_class)) AS violation_class FROM violations
+                WHERE source = 'HPD' AND issued_date >= DATE '{VIOLATION_AS_OF}' - 90),
+feed_violations AS (SELECT * FROM recent WHERE violation_class IN ('A', 'B', 'C')
+                    OR NOT EXISTS (SELECT 1 FROM recent WHERE violation_class IN ('A', 'B', 'C')))
 SELECT p.bbl, CAST(count(*) AS BIGINT) AS total_violations,
        CAST(count(*) FILTER (WHERE v.violation_class = 'B') AS BIGINT) AS class_b_violations
-FROM violations v JOIN properties p ON v.property_id = p.property_id
+FROM feed_violations v JOIN properties p ON v.property_id = p.property_id
 WHERE p.bbl IS NOT NULL AND trim(p.bbl) <> ''
 GROUP BY p.bbl"""
 
-FEED_C_SQL = """
+FEED_C_SQL = f"""
 SELECT p.bbl, CAST(count(*) AS BIGINT) AS relevant_311_complaints
 FROM complaints c JOIN properties p ON c.property_id = p.property_id
-WHERE c.complaint_type IN ('HEAT/HOT WATER', 'PLUMBING') AND p.bbl IS NOT NULL AND trim(p.bbl) <> ''
+WHERE c.complaint_type IN ('HEAT/HOT WATER', 'PLUMBING') AND c.created >= TIMESTAMP '{EVENT_AS_OF}' - INTERVAL 90 DAY
+  AND p.bbl IS NOT NULL AND trim(p.bbl) <> ''
 GROUP BY p.bbl"""
 
 FEED_SCORED_SQL = f"""
@@ -43,13 +50,20 @@ j AS (
   FROM va FULL OUTER JOIN ca ON va.bbl = ca.bbl)
 SELECT *, round_even(class_b_violations * 2.0::DOUBLE + relevant_311_complaints * 1.5::DOUBLE
                      + total_violations * 0.5::DOUBLE, 2)
-          AS compliance_risk_score
+          AS compliance_risk_score,
+       DATE '{VIOLATION_AS_OF}' AS data_freshness_date, CAST(90 AS INTEGER) AS data_coverage_days
 FROM j"""
 
 
+def feed_sources(v):
+    """S1 and S2 of the views: the violations and complaints that the feed scores."""
+    return (feed.hpd_violations(v.violations(), VIOLATION_AS_OF, D.FEED_DAYS_BACK),
+            feed.relevant_complaints(v.complaints(types=D.RELEVANT_311_TYPES), EVENT_AS_OF, D.FEED_DAYS_BACK))
+
+
 def scored(spark, d):
     v = _v(spark, d)
-    return feed.feed_scored(v.violations(), v.complaints(types=D.RELEVANT_311_TYPES), v.properties())
+    return feed.feed_scored(*feed_sources(v), v.properties(), as_of=VIOLATION_AS_OF, coverage_days=D.FEED_DAYS_BACK)
 
 
 @query("feed_scored", FEED_SCORED_SQL)
@@ -60,13 +74,13 @@ def q_feed_scored(spark, d):
 @query("feed_violations_agg", FEED_V_SQL)
 def q_feed_violations_agg(spark, d):
     v = _v(spark, d)
-    return feed.violations_agg(v.violations(), v.properties())
+    return feed.violations_agg(feed_sources(v)[0], v.properties())
 
 
 @query("feed_complaints_agg", FEED_C_SQL)
 def q_feed_complaints_agg(spark, d):
     v = _v(spark, d)
-    return feed.complaints_agg(feed.relevant_complaints(v.complaints(types=D.RELEVANT_311_TYPES)), v.properties())
+    return feed.complaints_agg(feed_sources(v)[1], v.properties())
 
 
 @query("feed_joined", f"""
@@ -78,9 +92,8 @@ FROM va FULL OUTER JOIN ca ON va.bbl = ca.bbl""")
 def q_feed_joined(spark, d):
     v = _v(spark, d)
     props = v.properties()
-    va = feed.violations_agg(v.violations(), props)
-    ca = feed.complaints_agg(feed.relevant_complaints(v.complaints(types=D.RELEVANT_311_TYPES)), props)
-    return feed.feed_joined(va, ca)
+    violations, complaints = feed_sources(v)
+    return feed.feed_joined(feed.violations_agg(violations, props), feed.complaints_agg(complaints, props))
 
 
 @query("export_full", FEED_SCORED_SQL)
@@ -127,7 +140,7 @@ def q_feed_top3(spark, d):
 WITH s AS (SELECT * FROM ({FEED_SCORED_SQL})),
 t AS (SELECT *, row_number() OVER (ORDER BY compliance_risk_score DESC, bbl) AS rank FROM s)
 SELECT printf('SAMPLE-%04d', rank) AS bbl, total_violations, class_b_violations, relevant_311_complaints,
-       compliance_risk_score, CAST(rank AS INTEGER) AS rank
+       compliance_risk_score, data_freshness_date, data_coverage_days, CAST(rank AS INTEGER) AS rank
 FROM t WHERE rank <= 50""")
 def q_export_demo(spark, d):
     """K3: top 50 with the parcel key replaced by its rank label, written as CSV."""

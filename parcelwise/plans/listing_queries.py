@@ -10,6 +10,7 @@ from parcelwise.operators import listing as L
 from parcelwise.operators import scoring as S
 from parcelwise.operators import windows as W
 from parcelwise.plans.batch_queries import FEED_SCORED_SQL
+from parcelwise.plans.batch_queries import scored as _scored
 from parcelwise.plans.more_queries import EVENT_AS_OF, PROPERTY_SCORE_SQL, VIOLATION_AS_OF
 from parcelwise.plans.registry import query
 from parcelwise.session import scratch_path
@@ -26,11 +27,6 @@ def _v(spark, d):
     return Tables(spark, d).views
 
 
-def _scored(spark, d):
-    v = _v(spark, d)
-    return FE.feed_scored(v.violations(), v.complaints(types=D.RELEVANT_311_TYPES), v.properties())
-
-
 # ------------------------------------------------------------------ sources
 @query("src_hpd_violations", f"""
 SELECT * FROM violations

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from parcelwise.operators import limiters as LIM
 from parcelwise.operators import windows as W
 from parcelwise.operators import feed as FE
-from parcelwise.plans.batch_queries import FEED_SCORED_SQL
+from parcelwise.functions import dims as D
+from parcelwise.plans.batch_queries import FEED_SCORED_SQL, VIOLATION_AS_OF, feed_sources
 from parcelwise.plans.registry import query
 from parcelwise.sources.tables import Tables
 from parcelwise.streaming import jobs as J
@@ -308,20 +309,25 @@ def q_sustained_breach(spark, d):
 def q_stream_rescore(spark, d):
     """ST15: the violation stream keeps per-property counts (complete mode); every
     epoch re-scores the feed from them and replaces the published table."""
-    sv = _s(spark, d).violations()
-    counts = sv.groupBy("property_id").agg(F.count(F.lit(1)).alias("n"),
+    sv = FE.recent_hpd(_s(spark, d).violations(), VIOLATION_AS_OF, D.FEED_DAYS_BACK)
+    counts = sv.groupBy("property_id").agg(F.count(F.lit(1)).alias("every"),
+                                           F.count_if(F.col("violation_class").isin("A", "B", "C")).alias("classed"),
                                            F.count_if(F.col("violation_class") == "B").alias("nb"))
     b = _b(spark, d)
-    props, complaints = b.properties(), b.complaints()
+    props = b.properties()
+    complaints = feed_sources(b)[1]
 
     def publish(batch, epoch, out):
-        keyed = (batch.join(props.select("property_id", "bbl"), "property_id").groupBy("bbl")
+        some = F.coalesce(batch.agg(F.max(F.col("classed") > 0)).scalar(), F.lit(False))   # else the class filter is dropped
+        keyed = (batch.withColumn("n", F.when(some, F.col("classed")).otherwise(F.col("every"))).filter("n > 0")
+                 .join(props.select("property_id", "bbl"), "property_id").groupBy("bbl")
                  .agg(F.sum("n").alias("total_violations"), F.sum("nb").alias("class_b_violations")))
-        ca = FE.complaints_agg(FE.relevant_complaints(complaints), props)
+        ca = FE.complaints_agg(complaints, props)
         from parcelwise.functions import rules as R
         scored = FE.feed_joined(keyed, ca).withColumn(
             "compliance_risk_score",
-            R.compliance_score("class_b_violations", "relevant_311_complaints", "total_violations"))
+            R.compliance_score("class_b_violations", "relevant_311_complaints", "total_violations")) \
+            .withColumns({"data_freshness_date": F.lit(VIOLATION_AS_OF).cast("date"), "data_coverage_days": F.lit(D.FEED_DAYS_BACK)})
         scored.write.mode("overwrite").parquet(out)
 
     return _read(spark, J.run_available_now(spark, counts, "rescore", "complete", publish))

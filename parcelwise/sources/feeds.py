@@ -20,6 +20,8 @@ FEED_CSV_SCHEMA = T.StructType([
     T.StructField("class_b_violations", T.LongType()),
     T.StructField("relevant_311_complaints", T.LongType()),
     T.StructField("compliance_risk_score", T.DoubleType()),
+    T.StructField("data_freshness_date", T.DateType()),
+    T.StructField("data_coverage_days", T.IntegerType()),
 ])
 
 LEDGER_SCHEMA = T.StructType([
