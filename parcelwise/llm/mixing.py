@@ -12,8 +12,8 @@ until the budget left per weight no longer fills the next one.
 A leaf takes whole epochs while its budget covers all its tokens, then a prefix of one more
 epoch: documents in the order of a seeded digest of (seed, epoch, doc_id), up to the one
 that reaches the quota.  The prefix is found without sorting a leaf: tokens are summed by
-(leaf, epoch, first four hex digits of the digest), a running sum over these at most 65 536
-sums finds the one where the quota ends, earlier ones are taken whole, and only the
+(leaf, epoch, first four hex digits of the digest), running sums over at most 256 first
+pairs of digits and over the 256 second pairs of each find the one where the quota ends, earlier ones are taken whole, and only the
 documents of that one are ordered.
 
 All budgets are integers, so the result does not depend on the order of evaluation.
@@ -121,9 +121,14 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column) -> DataFrame:
         .withColumn("place", F.md5(F.concat_ws(":", F.lit(mixture.seed), F.col("whole"), F.col("doc_id")).cast("binary"))) \
         .withColumn("slot", F.substring("place", 1, 4))
     keyed = saved(keyed, "mix_places")
-    slots = keyed.groupBy(*leaf, "slot").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.partitionBy(*leaf).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)     # at most 65 536 rows
-    slots = slots.withColumn("ahead", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(quota.select(*leaf, "part"), leaf)
+    two = F.substring("slot", 1, 2).alias("two")
+    slots = keyed.groupBy(*leaf, two, "slot").agg(F.sum("n_tokens").alias("tokens"))
+    running = lambda by, order: F.coalesce(F.sum("tokens").over(
+        Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = slots.groupBy(*leaf, "two").agg(F.sum("tokens").alias("tokens")) \
+        .select(*leaf, "two", running(leaf, "two").alias("base"))             # at most 256 rows of a leaf in a window
+    slots = slots.withColumn("ahead", running([*leaf, "two"], "slot")).join(coarse, [*leaf, "two"]) \
+        .withColumn("ahead", F.col("ahead") + F.col("base")).join(quota.select(*leaf, "part"), leaf)
     placed = keyed.join(slots.select(*leaf, "slot", "ahead", "part", F.col("tokens").alias("slot_tokens")), [*leaf, "slot"])
     # slots that end before the quota are taken, slots that begin at or after it are not, the one between is cut
     inside = (F.col("ahead") < F.col("part")) & (F.col("ahead") + F.col("slot_tokens") >= F.col("part"))
