@@ -42,9 +42,11 @@ def violation_summary(violations: DataFrame) -> DataFrame:
              .alias("avg_days_open")).drop("_days")
 
 
-def property_risk_level(summary: DataFrame) -> DataFrame:
-    """R13 over A2."""
-    return summary.select("property_id", "total", "open", "class_b", "class_c",
+def property_risk_level(summary: DataFrame, properties: DataFrame) -> DataFrame:
+    """R13 over A2 for every property; one without violations is CLEAN."""
+    every = properties.select("property_id").join(summary, "property_id", "left") \
+        .na.fill(0, ["total", "open", "class_b", "class_c"])
+    return every.select("property_id", "total", "open", "class_b", "class_c",
                           R.risk_level("class_c", "class_b", "open", "total").alias("risk_level"))
 
 

@@ -35,12 +35,14 @@ def q_violation_summary(spark, d):
 
 
 @query("property_risk_level", f"""
-SELECT property_id, total, open, class_b, class_c,
+SELECT property_id, COALESCE(total, 0) AS total, COALESCE(open, 0) AS open, COALESCE(class_b, 0) AS class_b,
+       COALESCE(class_c, 0) AS class_c,
        CASE WHEN class_c > 0 THEN 'CRITICAL' WHEN class_b > 2 THEN 'HIGH' WHEN open > 5 THEN 'MEDIUM'
             WHEN total > 0 THEN 'LOW' ELSE 'CLEAN' END AS risk_level
-FROM ({SUMMARY_SQL})""")
+FROM properties LEFT JOIN ({SUMMARY_SQL}) s USING (property_id)""")
 def q_property_risk_level(spark, d):
-    return A.property_risk_level(A.violation_summary(_v(spark, d).violations()))
+    v = _v(spark, d)
+    return A.property_risk_level(A.violation_summary(v.violations()), v.properties())
 
 
 @query("portfolio_violation_summary", f"""

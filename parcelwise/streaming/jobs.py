@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from parcelwise.functions import rules as R
@@ -158,21 +159,31 @@ def error_rate_5m(requests: DataFrame) -> DataFrame:
                       F.bround(rate, 6).alias("errors_per_second"), (rate > 0.05).alias("alert"))
 
 
-def p95_latency_5m(requests: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """ST13: nearest-rank p95 latency per 5-minute window (approximate sketch,
-    exact while a window holds fewer values than the accuracy)."""
+def latency_histogram_5m(requests: DataFrame) -> DataFrame:
+    """ST13: requests per 5-minute window and latency value, once the watermark closes the window."""
     r = event_time(requests, "ts")
-    agg = (r.withWatermark("event_time", "10 minutes").groupBy(F.window("event_time", "5 minutes"))
-           .agg(F.percentile_approx("latency", 0.95, 10000).alias("p95_latency"), F.count(F.lit(1)).alias("requests")))
-    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "requests", "p95_latency",
-                      (F.col("p95_latency") > threshold).alias("alert"))
+    agg = (r.withWatermark("event_time", "10 minutes").groupBy(F.window("event_time", "5 minutes"), "latency")
+           .agg(F.count(F.lit(1)).alias("requests")))
+    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "latency", "requests")
+
+
+def p95_latency(histogram: DataFrame, threshold: float) -> DataFrame:
+    """ST13: exact nearest-rank p95 per window from (window_start, latency, requests) counts: the smallest
+    latency that at least 95 % of the window's requests do not exceed."""
+    by_window = Window.partitionBy("window_start")
+    upto = by_window.orderBy("latency").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = histogram.filter(F.col("latency").isNotNull()).withColumn("_upto", F.sum("requests").over(upto)) \
+        .withColumn("_all", F.sum("requests").over(by_window))
+    p95 = ranked.filter(F.col("_upto") * 100 >= F.col("_all") * 95).groupBy("window_start").agg(F.min("latency").alias("p95_latency"))
+    total = histogram.groupBy("window_start").agg(F.sum("requests").alias("requests"))
+    return total.join(p95, "window_start", "left").select(
+        "window_start", "requests", "p95_latency", (F.col("p95_latency") > threshold).alias("alert"))
 
 
 def sustained_breach(series: DataFrame, flag: str, ts: str, step_seconds: int, min_steps: int) -> DataFrame:
     """ST14: gaps-and-islands over consecutive breaching windows; an island counts
     when it spans ≥ ``min_steps`` consecutive windows.  The window runs over one
     row per time window (bounded by the time span, not the data volume)."""
-    from pyspark.sql import Window
     b = series.filter(F.col(flag)).select(ts)
     idx = (F.unix_micros(F.col(ts).cast("timestamp")) / (step_seconds * 1_000_000)).cast("long")
     w = Window.orderBy(ts)

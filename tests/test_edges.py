@@ -77,3 +77,32 @@ def test_hpd_feed_retries_without_class_filter(spark):
     v2 = spark.createDataFrame([("HPD", " b ", dt.date(2024, 1, 1)), ("HPD", "x", dt.date(2024, 1, 1))],
                                "source string, violation_class string, issued_date date")
     assert [r.violation_class for r in FE.hpd_violations(v2, "2024-01-31", 90).collect()] == ["B"]
+
+
+def test_property_without_violations_is_clean(spark):
+    from parcelwise.operators import aggs as A
+    props = spark.createDataFrame([(1,), (2,)], "property_id long")
+    v = spark.createDataFrame([(1, "B", False, None, None)],
+                              "property_id long, violation_class string, is_resolved boolean, resolved_date date, issued_date date")
+    got = {r.property_id: (r.total, r.risk_level) for r in A.property_risk_level(A.violation_summary(v), props).collect()}
+    assert got == {1: (1, "LOW"), 2: (0, "CLEAN")}
+
+
+def test_p95_is_exact_for_large_windows(spark):
+    from parcelwise.streaming import jobs as J
+    counts = spark.range(40_000).select(F.lit(0).alias("window_start"), (F.col("id") / 7).alias("latency"), F.lit(1).cast("long").alias("requests"))
+    r = J.p95_latency(counts, 150.0).first()
+    assert (r.requests, r.p95_latency, r.alert) == (40_000, 37_999 / 7, True)
+
+
+def test_shared_folder_is_required_off_local_mode(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from parcelwise import session as S
+    context = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(
+        master=master, getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            S.checkpoint_dir(context(master))
