@@ -71,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, max_bytes: int) -> I
             end = min(max(end, start + 1), b.num_rows)
             yield b.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()     # a worker lives on after its task
 
 
 def group_ends(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -162,10 +162,10 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(w):
                 keys.append(key)
                 langs.append(lang)
-                where.append(w)
-                counts.append(c)
-        yield table({"key": (keys, pa.int64()), "lang": (langs, pa.string()), "buckets": (where, pa.list_(pa.int32())),
-                     "counts": (counts, pa.list_(pa.int32()))})
+                where.append(w.astype("<i4").tobytes())
+                counts.append(c.astype("<i4").tobytes())
+        yield table({"key": (keys, pa.int64()), "lang": (langs, pa.string()), "buckets": (where, pa.binary()),
+                     "counts": (counts, pa.binary())})
 
 
 def train(labelled: DataFrame, sample: int = 4000) -> Model:
@@ -186,9 +186,9 @@ def train(labelled: DataFrame, sample: int = 4000) -> Model:
     for lang, n in langs.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / len(langs) / n))).otherwise(share)
     chosen = labelled.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)).select("key", "text", "lang")
-    rows = chosen.mapInArrow(_sample, "key long, lang string, buckets array<int>, counts array<int>").limit(2 * sample).collect()
+    rows = chosen.mapInArrow(_sample, "key long, lang string, buckets binary, counts binary").limit(2 * sample).collect()
     index = {c: i for i, c in enumerate(model.classes)}
-    data = [(np.array(r["buckets"], np.int64), np.array(r["counts"], np.int64), index[r["lang"]], r["key"])
+    data = [(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64), index[r["lang"]], r["key"])
             for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))]
     ftrl([d[:3] for d in data if d[3] % 5], model)
     calibrate([d[:3] for d in data if d[3] % 5 == 0], model)
