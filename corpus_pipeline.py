@@ -48,7 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in sequences of 2048 tokens."""
     ship_package(spark)
-    return packing.pack(docs, queries.tokenizer("byte_bpe_50k.json"), kind="byte", end=0, capacity=2048)
+    return packing.pack(docs, queries.tokenizer("byte_bpe_50k.json"), kind="byte", end=0, capacity=2048, remembered=800_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

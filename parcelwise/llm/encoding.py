@@ -38,7 +38,7 @@ PUNCTUATION = frozenset(".,;:!?")
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, kind: str, remembered: int = 800_000):
+    def __init__(self, path: str, kind: str, remembered: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.kind, self.remembered = kind, remembered
@@ -162,6 +162,6 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, kind: str) -> ChunkEncoder:
+def encoder(path: str, kind: str, remembered: int = 1_200_000) -> ChunkEncoder:
     """The worker's encoder of a file."""
-    return ChunkEncoder(path, kind)
+    return ChunkEncoder(path, kind, remembered)

@@ -44,9 +44,9 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return list(zip(edges, edges[1:]))
 
 
-def _pieces(path: str, kind: str, end: int, capacity: int):
+def _pieces(path: str, kind: str, end: int, capacity: int, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, kind)
+        enc = encoder(path, kind, remembered)
         for b in slices(batches, 1, 4 << 20):
             out = []
             flat, ends = enc.encode_column(b.column(1))
@@ -152,9 +152,11 @@ def _place(plan: list[tuple[int, int, int, int, int, int]]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 0, capacity: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = saved(keyed_texts(docs).mapInArrow(_pieces(tokenizer, kind, end, capacity), PIECES), "pieces")
+def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 0, capacity: int = 2048,
+         remembered: int = 1_200_000) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    ``remembered``: chunks that a worker's encoder keeps (memory and time only)."""
+    pieces = saved(keyed_texts(docs).mapInArrow(_pieces(tokenizer, kind, end, capacity, remembered), PIECES), "pieces")
     lengths = pieces.groupBy("length").count()            # at most ``capacity`` rows
     plan, _ = best_fit_decreasing({r["length"]: r["count"] for r in lengths.collect()}, capacity)
     return numbered(pieces).mapInArrow(_place(plan), PIECES + ", sequence_id long, offset long")
