@@ -6,19 +6,18 @@ is within ±15 (unless either is missing).  Every building of a *cell*
 (borough, year, units) has the same peers up to itself, so the theta join runs
 between cells, not buildings:
 
-1. ``cells``: buildings grouped by (borough, year key, units key) with counts,
-   integer-cent score sums and a score histogram.
-2. A bucketed equi-join of target cells to candidate cells.  Target cells emit
-   every year bucket (width 5) and log-unit bucket (width 0.1) their range
-   touches, plus a wildcard token; candidate cells emit their own bucket plus an
-   "any" token, so every qualifying cell pair meets exactly once, then the exact
-   predicate filters.
+1. Buildings grouped by (borough, year key, units key, integer-cent score).
+2. Two bucketed equi-joins, one an axis: the scores are summed over the years
+   within a target year's range, then over the unit counts within a target cell's.
+   A target emits every year bucket (width 5) or log-unit bucket (width 0.1) its
+   range touches, plus a wildcard token; a candidate emits its own bucket plus an
+   "any" token, so both meet exactly once, then the exact test filters.
 3. Per-target statistics are the target cell's totals minus the building
    itself and other buildings on the same parcel (aggregated per parcel group).
    The exact median is an order statistic of the merged histogram.
 
-Work is bounded by (cells × neighbouring cells × distinct scores), not by the
-square of any group; a cell holding a third of all rows is one row here.
+Work is bounded by (cells × (years + unit counts in range) × distinct scores), not by
+the square of any group; a cell holding a third of all rows is one row a score here.
 """
 
 from __future__ import annotations
@@ -36,6 +35,7 @@ from parcelwise.functions import rules as R
 YEAR_BUCKET = 5      # a target emits exactly the year buckets covering [year − 15, year + 15]
 UNIT_BUCKET = 0.1    # ln(units) buckets; a target emits those covering [ln 0.7u, ln 1.3u], ±1 for float safety
 CELL = ["borough_l", "y_key", "u_key"]
+T_CELL = [f"t_{c}" for c in CELL]
 
 
 def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
@@ -52,10 +52,12 @@ def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
         F.round(F.col("risk_score") * 100).cast("long").alias("cents"))
 
 
-def _peer_predicate(t_y: Column, t_u: Column, c_y: Column, c_u: Column) -> Column:
-    unit_ok = c_u.isNull() | t_u.isNull() | ((c_u / t_u >= 0.7) & (c_u / t_u <= 1.3))
-    year_ok = c_y.isNull() | t_y.isNull() | (F.abs(c_y - t_y) <= 15)
-    return unit_ok & year_ok
+def _unit_ok(t_u: Column, c_u: Column) -> Column:
+    return c_u.isNull() | t_u.isNull() | ((c_u / t_u >= 0.7) & (c_u / t_u <= 1.3))
+
+
+def _year_ok(t_y: Column, c_y: Column) -> Column:
+    return c_y.isNull() | t_y.isNull() | (F.abs(c_y - t_y) <= 15)
 
 
 def _year_tokens(y: Column, target: bool) -> Column:
@@ -89,28 +91,6 @@ def _token_rows(df: DataFrame, prefix: str, target: bool, keep: list[str], extra
             .select("*", F.explode("_ut").alias("utok")).drop("_ut"))
 
 
-def cells(prepared: DataFrame, with_hist: bool = False) -> DataFrame:
-    """One row per cell: counts, cent sum and (optionally) the cell's score histogram as
-    an array of (cents, cnt) — at most 10 001 entries, one per 2-dp score.  Built as
-    one two-level aggregation (GROUP BY keeps the wildcard NULL keys together)."""
-    per = prepared.groupBy(*CELL, "cents").agg(F.count(F.lit(1)).alias("cnt"))
-    aggs = [F.sum("cnt").alias("n"), F.sum(F.when(F.col("cents").isNotNull(), F.col("cnt"))).alias("ns"),
-            F.sum(F.col("cents") * F.col("cnt")).alias("sc")]
-    if with_hist:
-        aggs.append(F.collect_list(F.when(F.col("cents").isNotNull(), F.struct("cents", "cnt"))).alias("hist"))
-    return per.groupBy(*CELL).agg(*aggs).withColumn("ns", F.coalesce("ns", F.lit(0)))
-
-
-def cell_pairs(cell_df: DataFrame) -> DataFrame:
-    """(target cell, candidate cell) pairs satisfying the peer predicate — each once."""
-    extra = ["hist"] if "hist" in cell_df.columns else []
-    t = _token_rows(cell_df, "t_", True, CELL)
-    c = _token_rows(cell_df, "c_", False, CELL, ["n", "ns", "sc", *extra])
-    j = t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
-    return j.filter(_peer_predicate(F.col("t_y_key"), F.col("t_u_key"), F.col("c_y_key"), F.col("c_u_key"))) \
-            .drop("ytok", "utok")
-
-
 def _eq_null_safe(cols_a: list[str], cols_b: list[str]) -> Column:
     cond = None
     for a, b in zip(cols_a, cols_b):
@@ -119,78 +99,111 @@ def _eq_null_safe(cols_a: list[str], cols_b: list[str]) -> Column:
     return cond
 
 
+def merged_scores(prepared: DataFrame, scores: bool = True) -> DataFrame:
+    """(target cell, cents, cnt): the scores of all buildings that the cell's peer predicate
+    admits, the cell itself included; NULL cents counts the unscored ones.
+
+    The predicate is a year test and a unit test, so the sum runs over one axis at a time:
+    first over the candidates' years for each target year, then over their unit counts for
+    each target cell.  The work per cell is the sum of the two ranges, not their product, and
+    the intermediate is at most one row per (borough, year, units, score).  With ``scores``
+    off only scored and unscored buildings are told apart (cents 0 and NULL)."""
+    cents = F.col("cents") if scores else F.when(F.col("cents").isNotNull(), F.lit(0).cast("long"))
+    entries = prepared.groupBy(*CELL, cents.alias("cents")).agg(F.count(F.lit(1)).alias("cnt"))
+    t_cells = prepared.select(*CELL).distinct()
+    years = (t_cells.select(F.col("borough_l").alias("t_borough_l"), F.col("y_key").alias("t_y_key")).distinct()
+             .withColumn("t_ytok", F.explode(_year_tokens(F.col("t_y_key"), True))))
+    c = entries.withColumn("ytok", F.explode(_year_tokens(F.col("y_key"), False)))
+    by_year = (years.join(c, (F.col("t_borough_l") == F.col("borough_l")) & (F.col("t_ytok") == F.col("ytok")))
+               .filter(_year_ok(F.col("t_y_key"), F.col("y_key")))
+               .groupBy("t_borough_l", "t_y_key", "u_key", "cents").agg(F.sum("cnt").alias("cnt")))
+    targets = (t_cells.select(F.col("borough_l").alias("b"), F.col("y_key").alias("y"), F.col("u_key").alias("t_u_key"))
+               .withColumn("t_utok", F.explode(_unit_tokens(F.col("t_u_key"), True))))
+    c = by_year.withColumn("utok", F.explode(_unit_tokens(F.col("u_key"), False)))
+    return (targets.join(c, _eq_null_safe(["b", "y"], ["t_borough_l", "t_y_key"]) & (F.col("t_utok") == F.col("utok")))
+            .filter(_unit_ok(F.col("t_u_key"), F.col("u_key")))
+            .groupBy("t_borough_l", "t_y_key", "t_u_key", "cents").agg(F.sum("cnt").alias("cnt")))
+
+
+def _totals(merged: DataFrame) -> DataFrame:
+    """Per target cell: all, scored and cent sum of its peer set (the cell's own buildings included)."""
+    return merged.groupBy(*T_CELL).agg(
+        F.sum("cnt").alias("m_n"), F.coalesce(F.sum(F.when(F.col("cents").isNotNull(), F.col("cnt"))), F.lit(0)).alias("m_ns"),
+        F.coalesce(F.sum(F.col("cents") * F.col("cnt")), F.lit(0)).alias("m_sc"))
+
+
+def _parcel_pairs(prepared: DataFrame) -> DataFrame:
+    """(building, cell of its parcel that it would match): what its peer set leaves out, the
+    building itself included; a crowded parcel is one row per cell."""
+    grp = prepared.groupBy("bbl", *CELL).agg(F.count(F.lit(1)).alias("g_n"), F.count("cents").alias("g_ns"),
+                                             F.sum("cents").alias("g_sc"))
+    g = grp.select(F.col("bbl").alias("g_bbl"), *[F.col(c).alias(f"g_{c}") for c in CELL], "g_n", "g_ns", "g_sc")
+    return (prepared.select("property_id", "bbl", "cents", *CELL)
+            .join(g, (F.col("bbl") == F.col("g_bbl")) & (F.col("borough_l") == F.col("g_borough_l")))
+            .filter(_year_ok(F.col("y_key"), F.col("g_y_key")) & _unit_ok(F.col("u_key"), F.col("g_u_key"))))
+
+
+def _left_out(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("property_id").agg(F.sum("g_n").alias("e_n"), F.sum("g_ns").alias("e_ns"),
+                                            F.coalesce(F.sum("g_sc"), F.lit(0)).alias("e_sc"))
+
+
+def peer_counts(prepared: DataFrame) -> DataFrame:
+    """J4 per building: similar_count (all peers) and scored_peers, without histograms."""
+    tot = _totals(merged_scores(prepared, scores=False))
+    return (prepared.select("property_id", *CELL).join(tot, _eq_null_safe(CELL, T_CELL))
+            .join(_left_out(_parcel_pairs(prepared)), "property_id")
+            .select("property_id", (F.col("m_n") - F.col("e_n")).alias("similar_count"),
+                    (F.col("m_ns") - F.col("e_ns")).alias("scored_peers")))
+
+
 def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     """Per building: similar_count (all peers), scored peers, cent sum, strictly-below
     count and exact median (in cents) of scored peers.
 
-    The cell pairs and the merged histogram feed several joins; with
-    ``materialize`` they are persisted (memory, spilling to disk) so each is
-    computed once — a lost executor's blocks are recomputed from lineage."""
+    The merged histogram and the exclusions feed several joins; with ``materialize``
+    they are persisted (memory, spilling to disk) so each is computed once — a lost
+    executor's blocks are recomputed from lineage."""
     def keep(df):
         return df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
 
-    cdf = cells(prepared, with_hist=True)
-    tkeys = [f"t_{c}" for c in CELL]
-    # Cell pairs, co-partitioned on the target cell: the totals, the merged histogram's
-    # aggregation and its cumulative window all reuse this one partitioning.
-    pairs = cell_pairs(cdf).repartition(*tkeys)
-    if materialize:
-        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    # Totals of each target cell's peer set (the building itself included).
-    tot = pairs.groupBy(*tkeys).agg(F.sum("n").alias("m_n"), F.sum("ns").alias("m_ns"),
-                                    F.coalesce(F.sum("sc"), F.lit(0)).alias("m_sc"))
-    # Merged score histogram of each target cell's peer set (candidate cells' histogram
-    # arrays exploded — no join), with cumulative counts.
-    hist = (pairs.select(*tkeys, F.explode("hist").alias("h"))
-            .groupBy(*tkeys, F.col("h.cents").alias("cents")).agg(F.sum("h.cnt").alias("cnt")))
-    w = Window.partitionBy(*tkeys).orderBy("cents")
-    hist = hist.withColumn("cum_le", F.sum("cnt").over(w)).withColumn("cum_lt", F.col("cum_le") - F.col("cnt"))
-    if materialize:
-        hist = hist.persist(StorageLevel.MEMORY_AND_DISK)
-
-    # Exclusions: the building itself and other buildings of the same parcel that
-    # it would match — grouped per (parcel, cell) so a crowded parcel stays one row.
-    grp = prepared.groupBy("bbl", *CELL).agg(F.count(F.lit(1)).alias("g_n"), F.count("cents").alias("g_ns"),
-                                             F.sum("cents").alias("g_sc"))
-    g = grp.select(F.col("bbl").alias("g_bbl"), *[F.col(c).alias(f"g_{c}") for c in CELL], "g_n", "g_ns", "g_sc")
-    tgt = prepared.select("property_id", "bbl", "cents", *CELL)
-    ex_pairs = keep(tgt.join(g, (F.col("bbl") == F.col("g_bbl")) & (F.col("borough_l") == F.col("g_borough_l")))
-                    .filter(_peer_predicate(F.col("y_key"), F.col("u_key"), F.col("g_y_key"), F.col("g_u_key"))))
-    ex = ex_pairs.groupBy("property_id").agg(F.sum("g_n").alias("e_n"), F.sum("g_ns").alias("e_ns"),
-                                             F.coalesce(F.sum("g_sc"), F.lit(0)).alias("e_sc"))
+    merged = keep(merged_scores(prepared))
+    w = Window.partitionBy(*T_CELL).orderBy("cents")
+    hist = (merged.filter(F.col("cents").isNotNull())
+            .withColumn("cum_le", F.sum("cnt").over(w)).withColumn("cum_lt", F.col("cum_le") - F.col("cnt"))
+            .withColumnRenamed("cents", "v").drop("cnt"))
+    ex_pairs = keep(_parcel_pairs(prepared))
     g_hist = prepared.filter(F.col("cents").isNotNull()).groupBy("bbl", *CELL, "cents") \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    ex_hist = (ex_pairs.select("property_id", "g_bbl", *[f"g_{c}" for c in CELL])
-               .join(g_hist.select(F.col("bbl").alias("h_bbl"), *[F.col(c).alias(f"h_{c}") for c in CELL],
-                                   F.col("cents").alias("e_cents"), F.col("cnt").alias("e_cnt")),
-                     _eq_null_safe(["g_bbl"] + [f"g_{c}" for c in CELL], ["h_bbl"] + [f"h_{c}" for c in CELL]))
-               .groupBy("property_id", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")))
-
-    ex_hist = keep(ex_hist)
-    base = keep(tgt.join(tot, _eq_null_safe(CELL, tkeys)).drop(*tkeys)
-                .join(ex, "property_id")
-                .select("property_id", "cents", *CELL,
-                        (F.col("m_n") - F.col("e_n")).alias("similar_count"),
-                        (F.col("m_ns") - F.col("e_ns")).alias("scored_peers"),
-                        (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"),
+    ex_hist = keep(ex_pairs.select("property_id", "g_bbl", *[f"g_{c}" for c in CELL])
+                   .join(g_hist.select(F.col("bbl").alias("h_bbl"), *[F.col(c).alias(f"h_{c}") for c in CELL],
+                                       F.col("cents").alias("e_cents"), F.col("cnt").alias("e_cnt")),
+                         _eq_null_safe(["g_bbl"] + [f"g_{c}" for c in CELL], ["h_bbl"] + [f"h_{c}" for c in CELL]))
+                   .groupBy("property_id", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")))
+    n2 = F.col("m_ns") - F.col("e_ns")
+    base = keep(prepared.select("property_id", "cents", *CELL).join(_totals(merged), _eq_null_safe(CELL, T_CELL))
+                .join(_left_out(ex_pairs), "property_id")
+                .select("property_id", "cents", *CELL, (F.col("m_n") - F.col("e_n")).alias("similar_count"),
+                        n2.alias("scored_peers"), (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"),
+                        F.floor((n2 + 1) / 2).cast("long").alias("j1"), (F.floor(n2 / 2) + 1).cast("long").alias("j2"),
                         F.col("e_ns").alias("k")))
-    # One lookup of each building in its cell's merged histogram (already partitioned on
-    # the cell) serves both: the row at its own score gives the strictly-below count
-    # (self is in that histogram) and the rows around the middle are the median
-    # candidates.  Median: P = M \ E; P_j = min v in M with cumM(v) - cumE(v) >= j.
-    n2 = F.col("scored_peers")
-    j1, j2 = F.floor((n2 + 1) / 2).cast("long"), (F.floor(n2 / 2) + 1).cast("long")
-    in_win = (n2 > 0) & (F.col("cum_le") >= F.col("j1")) & (F.col("cum_lt") < F.col("j2") + F.col("k"))
-    own = (F.col("v") - F.col("cents")) == 0
-    look = keep(base.select("property_id", "cents", *CELL, j1.alias("j1"), j2.alias("j2"), "k", "scored_peers")
-                .join(hist.select(*tkeys, F.col("cents").alias("v"), "cum_le", "cum_lt"),
-                      _eq_null_safe(CELL, tkeys) & (in_win | own))
-                .select("property_id", "j1", "j2", "v", "cum_le", "cum_lt", in_win.alias("in_win"), own.alias("own")))
-    below_m = look.filter("own").select("property_id", F.col("cum_lt").alias("m_below"))
-    below_e = (tgt.select("property_id", "cents").join(ex_hist, "property_id")
+    # Strictly below: the building's own score is in its cell's histogram, an equi-lookup.
+    below_m = (base.join(hist, _eq_null_safe([*CELL, "cents"], [*T_CELL, "v"]))
+               .select("property_id", F.col("cum_lt").alias("m_below")))
+    below_e = (base.select("property_id", "cents").join(ex_hist, "property_id")
                .groupBy("property_id").agg(F.sum(F.when(F.col("e_cents") < F.col("cents"), F.col("e_cnt")))
                                            .alias("e_below")))
-    cum_e = (look.filter("in_win").join(ex_hist, "property_id", "left")
+    # Median: P = M \ E; P_j = min v in M with cumM(v) - cumE(v) >= j, and only values whose
+    # ranks lie in [j1, j2 + k) can hold it.  Buildings of a cell mostly share (j1, j2, k), so
+    # the histogram is searched once for each of these, then handed to the buildings.
+    rank = ["j1", "j2", "k"]
+    near = (base.filter(F.col("scored_peers") > 0).select(*CELL, *rank).distinct()
+            .join(hist, _eq_null_safe(CELL, T_CELL) & (F.col("cum_le") >= F.col("j1"))
+                  & (F.col("cum_lt") < F.col("j2") + F.col("k")))
+            .select(*T_CELL, *[F.col(c).alias(f"n_{c}") for c in rank], "v", "cum_le"))
+    cum_e = (base.select("property_id", *CELL, *rank)
+             .join(near, _eq_null_safe([*CELL, *rank], [*T_CELL, *[f"n_{c}" for c in rank]]))
+             .join(ex_hist, "property_id", "left")
              .groupBy("property_id", "j1", "j2", "v", "cum_le")
              .agg(F.coalesce(F.sum(F.when(F.col("e_cents") <= F.col("v"), F.col("e_cnt"))), F.lit(0)).alias("ce")))
     rank_p = F.col("cum_le") - F.col("ce")
@@ -325,38 +338,40 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     """The k most similar peers of every building (ties → smaller id).
 
     Exact and bounded: candidate *cells* are ranked by distance per target cell and
-    kept while fewer than k + m buildings are strictly closer (m = the largest number
-    of buildings sharing one parcel, which bounds the exclusions); each kept cell
-    contributes only its k + m lowest-id buildings; the final top-k per building is
-    ``top_n_per_key``."""
+    kept for a building while fewer than k + m buildings are strictly closer (m = the number
+    of buildings on its own parcel, which bounds its exclusions); each kept cell
+    contributes its 2 k lowest-id buildings, at most k of one parcel: of those, at most k are
+    on the target's parcel.  The final top-k per building is ``top_n_per_key``."""
     from parcelwise.operators.windows import top_n_per_key
 
     p = prepared.withColumn("class_l", F.col("building_class"))
-    m = p.groupBy("bbl").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
-    cap = int(k + m)
+    mates = p.groupBy("bbl").agg(F.count(F.lit(1)).alias("mates"))
+    targets = p.select("property_id", "bbl", "cents", *KCELL).join(mates, "bbl")
+    crowd = targets.groupBy(*[F.col(x).alias(f"w_{x}") for x in KCELL]).agg(F.max("mates").alias("most"))
     cdf = p.groupBy(*KCELL).agg(F.count(F.lit(1)).alias("n"))
     t = _token_rows(cdf, "t_", True, KCELL)
     c = _token_rows(cdf, "c_", False, KCELL, ["n"])
     pairs = (t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
-             .filter(_peer_predicate(F.col("t_y_key"), F.col("t_u_key"), F.col("c_y_key"), F.col("c_u_key")))
+             .filter(_year_ok(F.col("t_y_key"), F.col("c_y_key")) & _unit_ok(F.col("t_u_key"), F.col("c_u_key")))
              .withColumn("d", _distance(F.col("t_y_key"), F.col("t_u_key"), F.col("t_class_l"),
                                         F.col("c_y_key"), F.col("c_u_key"), F.col("c_class_l"))))
     pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)   # ranked per distance and joined back
     tk = [f"t_{x}" for x in KCELL]
     per_d = pairs.groupBy(*tk, "d").agg(F.sum("n").alias("nd"))
     w = Window.partitionBy(*tk).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    keep_d = per_d.withColumn("closer", F.coalesce(F.sum("nd").over(w), F.lit(0))).filter(F.col("closer") < cap)
-    kd = keep_d.select(*[F.col(x).alias(f"k_{x}") for x in tk], F.col("d").alias("k_d"))
-    kept = pairs.join(kd, _eq_null_safe(tk + ["d"], [f"k_{x}" for x in tk] + ["k_d"]), "left_semi")
-    members = top_n_per_key(p.select(*KCELL, F.col("property_id").alias("peer_id"), F.col("bbl").alias("peer_bbl"),
-                                     F.col("cents").alias("peer_cents")),
-                            KCELL, [F.asc("peer_id")], cap, rank_col=None)
-    expanded = (kept.select(*tk, *[F.col(f"c_{x}") for x in KCELL], "d")
+    keep_d = (per_d.withColumn("closer", F.coalesce(F.sum("nd").over(w), F.lit(0)))
+              .join(crowd, _eq_null_safe(tk, [f"w_{x}" for x in KCELL])).filter(F.col("closer") < k + F.col("most")))
+    kd = keep_d.select(*[F.col(x).alias(f"k_{x}") for x in tk], F.col("d").alias("k_d"), "closer")
+    kept = pairs.join(kd, _eq_null_safe(tk + ["d"], [f"k_{x}" for x in tk] + ["k_d"]))
+    of_parcel = top_n_per_key(p.select(*KCELL, F.col("property_id").alias("peer_id"), F.col("bbl").alias("peer_bbl"),
+                                       F.col("cents").alias("peer_cents")),
+                              [*KCELL, "peer_bbl"], [F.asc("peer_id")], k, rank_col=None)
+    members = top_n_per_key(of_parcel, KCELL, [F.asc("peer_id")], 2 * k, rank_col=None)
+    expanded = (kept.select(*tk, *[F.col(f"c_{x}") for x in KCELL], "d", "closer")
                 .join(members.select(*[F.col(x).alias(f"m_{x}") for x in KCELL], "peer_id", "peer_bbl", "peer_cents"),
                       _eq_null_safe([f"c_{x}" for x in KCELL], [f"m_{x}" for x in KCELL])))
-    targets = p.select("property_id", "bbl", "cents", *KCELL)
     tj = (targets.join(expanded, _eq_null_safe(KCELL, tk))
-          .filter(F.col("peer_bbl") != F.col("bbl"))
+          .filter((F.col("peer_bbl") != F.col("bbl")) & (F.col("closer") < k + F.col("mates")))
           .select("property_id", "cents", "d", "peer_id", "peer_cents"))
     top = top_n_per_key(tj, ["property_id"], [F.asc("d"), F.asc("peer_id")], k, rank_col=None)
     return top

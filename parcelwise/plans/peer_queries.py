@@ -42,8 +42,7 @@ FROM b LEFT JOIN pr ON pr.tid = b.property_id GROUP BY b.property_id""")
 def q_peer_pairs(spark, d):
     """The peer relation, reported per building as its peer counts (pairs are
     aggregated at cell level and never listed)."""
-    st = P.peer_stats(_prepared(spark, d))
-    return st.select("property_id", "similar_count", "scored_peers")
+    return P.peer_counts(_prepared(spark, d))
 
 
 def _fmt0(x: str) -> str:
