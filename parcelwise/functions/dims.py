@@ -208,6 +208,19 @@ HIGH_RISK_SCORE = 70            # 0-100 property scale
 HIGH_RISK_VIOLATION = 7.0       # violation risk_score scale
 WINTER_LOSS_PER_PRE1960 = 15000
 ANNUAL_LOSS_PER_HIGH_RISK = 8000
+WINTER_TEMPLATE_RANGE = (15000, 25000)     # a pre-1960 building, on the report page
+ANNUAL_TEMPLATE_RANGE = (5000, 15000)      # a pre-1974 building, on the report page
+
+# FIXED VALUES — retention by data class
+RETENTION = {
+    "violations": {"keep_months": 84},
+    "audit_logs": {"keep_months": 84},
+    "api_logs": {"keep_days": 90},
+    "metrics": {"keep_months": 12},
+}
+
+# FIXED VALUES — properties a tenant may hold unless its plan says otherwise
+TENANT_PROPERTIES = 100
 
 # Message protocol of the push feed.
 MESSAGE_TYPES = ["SUBSCRIBE", "UNSUBSCRIBE", "GET_STATUS", "PING", "AUTHENTICATE"]

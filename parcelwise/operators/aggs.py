@@ -143,8 +143,8 @@ def violations_by(properties: DataFrame, violations: DataFrame, dim: str) -> Dat
 
 
 def violations_by_map(long_form: DataFrame, dim: str) -> DataFrame:
-    """A12 as the API returns it: one ``map<string,bigint>`` per tenant (≤ a handful of keys)."""
-    return long_form.groupBy("tenant_id").agg(
+    """A12 as the API returns it: one ``map<string,bigint>`` per tenant (≤ a handful of keys; a NULL one is left out)."""
+    return long_form.filter(F.col(dim).isNotNull()).groupBy("tenant_id").agg(
         F.map_from_entries(F.collect_list(F.struct(dim, "violations"))).alias(f"by_{dim}"))
 
 
@@ -200,7 +200,9 @@ def outreach_summary(properties: DataFrame, scores: DataFrame) -> DataFrame:
         (F.col("pre1960_count") * D.WINTER_LOSS_PER_PRE1960).alias("winter_risk_low"),
         (F.col("pre1960_count") * D.WINTER_LOSS_PER_PRE1960 * 1.5).alias("winter_risk_high"),
         (F.col("high_risk_count") * D.ANNUAL_LOSS_PER_HIGH_RISK).alias("annual_risk_low"),
-        (F.col("high_risk_count") * D.ANNUAL_LOSS_PER_HIGH_RISK * 2).alias("annual_risk_high"))
+        (F.col("high_risk_count") * D.ANNUAL_LOSS_PER_HIGH_RISK * 2).alias("annual_risk_high"),
+        *[(F.col("pre1960_count") * x).alias(f"page_winter_{end}") for x, end in zip(D.WINTER_TEMPLATE_RANGE, ("low", "high"))],
+        *[(F.col("pre1974_count") * x).alias(f"page_annual_{end}") for x, end in zip(D.ANNUAL_TEMPLATE_RANGE, ("low", "high"))])
 
 
 def business_stats(accounts: DataFrame) -> DataFrame:
@@ -234,12 +236,22 @@ def scan_result(targets: DataFrame, violations: DataFrame) -> DataFrame:
                                       F.coalesce(F.sum("n"), F.lit(0)).alias("violations_found"))
 
 
-def outreach_email(summary: DataFrame) -> DataFrame:
-    """R22 (summary text): one outreach message per tenant from A18's counts."""
-    text = F.format_string(
-        "Hello,\n\nYour portfolio: %d buildings.\n\nKey findings:\n"
-        "- %d high-risk buildings (score >= 70)\n- %d buildings built before 1974 (2.5x - 3.8x era risk)\n"
-        "- winter heat-season exposure $%d - $%d\n",
-        F.col("total_buildings"), F.col("high_risk_count"), F.col("pre1974_count"),
-        F.col("winter_risk_low"), F.col("winter_risk_high").cast("long"))
-    return summary.select("tenant_id", text.alias("email"))
+# FIXED VALUES — wording of the outreach message (%d: buildings, high-risk, pre-1974)
+OUTREACH_TEXT = (
+    "I ran your NYC property portfolio through a risk analysis.\n\n"
+    "**Your Portfolio: %d Buildings**\n\n"
+    "Key Findings:\n"
+    "• %d HIGH-RISK buildings (violation probability ≥70%%)\n"
+    "• %d PRE-1974 buildings (2.5x - 3.8x elevated risk)\n"
+    "• Winter heat season = $10K-$25K Class C fine exposure\n\n"
+    "**See attached detailed risk report.**\n\n"
+    "Want a 7-day free trial? Just reply to this email.\n")
+
+
+def outreach_email(summary: DataFrame, recipient: str | None = None) -> DataFrame:
+    """R22 (summary text): one outreach message per tenant from A18's counts; ``recipient`` names
+    the column of the greeted person (missing or blank: a general greeting)."""
+    name = F.trim(F.col(recipient)) if recipient else F.lit(None).cast("string")
+    greeting = F.when(F.length(name) > 0, F.concat(F.lit("Hi "), name, F.lit(","))).otherwise("Hello,")
+    body = F.format_string(OUTREACH_TEXT, F.col("total_buildings"), F.col("high_risk_count"), F.col("pre1974_count"))
+    return summary.select("tenant_id", F.concat(greeting, F.lit("\n\n"), body).alias("email"))

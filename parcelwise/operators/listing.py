@@ -100,6 +100,12 @@ def retention_split(df: DataFrame, ts_col: str, as_of: str, keep_days: int | Non
     return df.withColumn("retained", t >= cutoff)
 
 
+def retained_rows(df: DataFrame, dataset: str, ts_col: str, as_of: str) -> DataFrame:
+    """F13 summary: rows of a data class inside and outside its retention."""
+    return (retention_split(df, ts_col, as_of, **D.RETENTION[dataset]).groupBy("retained")
+            .agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit(dataset)))
+
+
 def high_risk_topk(scored: DataFrame, limit: int = 20) -> DataFrame:
     """Order by score desc (key as tie-break), head(limit)."""
     return scored.orderBy(F.desc("compliance_risk_score"), F.asc("bbl")).limit(limit)

@@ -8,7 +8,7 @@ property table on its key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.functions import dims as D
@@ -55,6 +55,31 @@ def era_detail(properties: DataFrame) -> DataFrame:
         arrays(2).alias("risk_factors"), arrays(3).alias("action_items"))
 
 
+def property_report(properties: DataFrame, as_of: str) -> DataFrame:
+    """The report of a single property, for every building; the era part only with a known year."""
+    era_part = era_detail(properties.filter(F.col("year_built") != 0)).drop("year_built")
+    p = properties.join(era_part, "property_id", "left")
+    rule = F.lit("-" * 70)
+
+    def field(label: str, column: str, missing: str) -> Column:
+        return F.concat(F.lit(f"{label}: "), F.coalesce(F.col(column).cast("string"), F.lit(missing)))
+
+    def bullets(head: str, column: str) -> Column:
+        lines = F.transform(column, lambda x: F.concat(F.lit("  • "), x))
+        return F.when(F.size(column) > 0, F.concat_ws("\n", F.lit(head), lines, F.lit("")))
+
+    era = F.when(F.col("era").isNotNull(), F.concat_ws(
+        "\n", F.lit("BUILDING ERA RISK ANALYSIS"), rule, field("Era", "era", ""),
+        F.concat(F.lit("Risk Multiplier: "), F.col("multiplier").cast("string"), F.lit("x")),
+        field("Explanation", "explanation", ""), F.lit(""), bullets("Risk Factors:", "risk_factors"),
+        bullets("Recommended Actions:", "action_items")))
+    return p.select("property_id", F.concat_ws(
+        "\n", F.lit("PROPERTY RISK ASSESSMENT"), F.lit(""), F.lit("PROPERTY INFORMATION"), rule,
+        field("Address", "address", "Unknown"), field("BBL", "bbl", "N/A"), field("Units", "units", "N/A"),
+        field("Year Built", "year_built", "Unknown"), field("Borough", "borough", "Unknown"), F.lit(""), era, F.lit(""),
+        F.concat(F.lit("Date: "), F.date_format(F.lit(as_of).cast("date"), "MMMM dd, yyyy"))).alias("report"))
+
+
 def inspector_scores(properties: DataFrame) -> DataFrame:
     m = R.inspector_multiplier("bbl", "council_district")
     return properties.select("property_id", "bbl", "council_district",

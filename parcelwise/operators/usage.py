@@ -53,6 +53,13 @@ def tier_building_cap(checks: DataFrame, accounts: DataFrame, cap: int = D.FREE_
     return j.withColumn("allowed", (F.col("tier") != "free") | F.col("slot").isNotNull())
 
 
+def tenant_property_limit(properties: DataFrame, limit: int = D.TENANT_PROPERTIES) -> DataFrame:
+    """The first ``limit`` properties of a tenant (by id) are within its plan."""
+    flagged = first_k_flags(properties.select("tenant_id", "property_id", F.lit(limit).alias("properties_limit")),
+                            ["tenant_id"], [F.asc("property_id")], "property_id", "properties_limit", "within_limit")
+    return flagged.drop("position")
+
+
 def hit_rate(requests: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
     """A request is a cache hit when the same client asked the same endpoint
     within the TTL before it (in (ts, id) order); rate = hits / (hits + misses), 0.0

@@ -145,6 +145,32 @@ def q_violations_by_source(spark, d):
     return A.violations_by(v.properties(), v.violations(), "source")
 
 
+def _map_sql(dim: str) -> str:
+    return f"""
+SELECT tenant_id, string_agg({dim} || ':' || n, ',' ORDER BY {dim}) AS counts
+FROM (SELECT p.tenant_id, v.{dim}, count(*) AS n FROM violations v JOIN properties p ON v.property_id = p.property_id
+      WHERE v.{dim} IS NOT NULL GROUP BY 1, 2) GROUP BY tenant_id"""
+
+
+def _map_text(spark, d, dim):
+    """A12 as maps, printed in key order."""
+    v = _v(spark, d)
+    by = A.violations_by_map(A.violations_by(v.properties(), v.violations(), dim), dim)
+    entries = F.array_sort(F.map_entries(f"by_{dim}"))
+    return by.select("tenant_id", F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+                     .alias("counts"))
+
+
+@query("violations_by_class_map", _map_sql("violation_class"))
+def q_violations_by_class_map(spark, d):
+    return _map_text(spark, d, "violation_class")
+
+
+@query("violations_by_source_map", _map_sql("source"))
+def q_violations_by_source_map(spark, d):
+    return _map_text(spark, d, "source")
+
+
 EXPOSURE_SQL = """
 SELECT property_id, count(*) AS open_violations, count(*) FILTER (WHERE violation_class = 'C') AS class_c,
        sum(CASE violation_class WHEN 'C' THEN 5000 WHEN 'B' THEN 2500 WHEN 'A' THEN 500 ELSE 0 END) AS exposure
@@ -210,7 +236,9 @@ a AS (SELECT tenant_id, CAST(count(*) AS BIGINT) AS total_buildings,
              CAST(count(*) FILTER (WHERE y < 1960) AS BIGINT) AS pre1960_count
       FROM j GROUP BY tenant_id)
 SELECT *, pre1960_count * 15000 AS winter_risk_low, pre1960_count * 15000 * 1.5::DOUBLE AS winter_risk_high,
-       high_risk_count * 8000 AS annual_risk_low, high_risk_count * 8000 * 2 AS annual_risk_high
+       high_risk_count * 8000 AS annual_risk_low, high_risk_count * 8000 * 2 AS annual_risk_high,
+       pre1960_count * 15000 AS page_winter_low, pre1960_count * 25000 AS page_winter_high,
+       pre1974_count * 5000 AS page_annual_low, pre1974_count * 15000 AS page_annual_high
 FROM a"""
 
 
@@ -269,13 +297,16 @@ def q_scan_targets(spark, d):
 
 @query("outreach_email", f"""
 WITH o AS ({OUTREACH_SQL})
-SELECT tenant_id, printf('Hello,\n\nYour portfolio: %d buildings.\n\nKey findings:\n'
-                         || '- %d high-risk buildings (score >= 70)\n- %d buildings built before 1974 (2.5x - 3.8x era risk)\n'
-                         || '- winter heat-season exposure $%d - $%d\n',
-                         total_buildings, high_risk_count, pre1974_count, winter_risk_low,
-                         CAST(winter_risk_high AS BIGINT)) AS email
+SELECT tenant_id, CASE WHEN pre1974_count > 0 THEN 'Hi ' || tenant_id || ',' ELSE 'Hello,' END || E'\\n\\n'
+       || E'I ran your NYC property portfolio through a risk analysis.\\n\\n**Your Portfolio: ' || total_buildings
+       || E' Buildings**\\n\\nKey Findings:\\n• ' || high_risk_count || E' HIGH-RISK buildings (violation probability ≥70%)\\n• '
+       || pre1974_count || E' PRE-1974 buildings (2.5x - 3.8x elevated risk)\\n'
+       || E'• Winter heat season = $10K-$25K Class C fine exposure\\n\\n**See attached detailed risk report.**\\n\\n'
+       || E'Want a 7-day free trial? Just reply to this email.\\n' AS email
 FROM o""")
 def q_outreach_email(spark, d):
-    """The outreach message per tenant."""
+    """The outreach message per tenant; tenants with old buildings are greeted by name."""
     v = _v(spark, d)
-    return A.outreach_email(A.outreach_summary(v.properties(), S.property_scores(v.violations())))
+    summary = A.outreach_summary(v.properties(), S.property_scores(v.violations()))
+    named = summary.withColumn("recipient", F.when(F.col("pre1974_count") > 0, F.col("tenant_id")))
+    return A.outreach_email(named, "recipient")

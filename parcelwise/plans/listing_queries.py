@@ -88,31 +88,70 @@ def q_latest_n(spark, d):
     return W.top_n_per_key(v, ["property_id"], order, 5)
 
 
-@query("property_bundle", f"""
+BUNDLE_SQL = f"""
 WITH k AS (SELECT DISTINCT bbl FROM properties),
-vf AS (SELECT p.bbl, v.source FROM violations v JOIN properties p ON v.property_id = p.property_id),
-cf AS (SELECT p.bbl FROM complaints c JOIN properties p ON c.property_id = p.property_id
-       WHERE c.created >= TIMESTAMP '{EVENT_AS_OF}' - INTERVAL 30 DAY),
-vc AS (SELECT bbl, count(*) FILTER (WHERE source = 'DOB') AS d, count(*) FILTER (WHERE source = 'HPD') AS h,
-              count(*) FILTER (WHERE source = 'FDNY') AS f FROM vf GROUP BY bbl),
-cc AS (SELECT bbl, count(*) AS c FROM cf GROUP BY bbl)
-SELECT k.bbl, CAST(COALESCE(d, 0) AS INTEGER) AS n_dob, CAST(COALESCE(h, 0) AS INTEGER) AS n_hpd,
-       CAST(COALESCE(c, 0) AS INTEGER) AS n_complaints, CAST(COALESCE(f, 0) AS INTEGER) AS n_permits
-FROM k LEFT JOIN vc ON k.bbl = vc.bbl LEFT JOIN cc ON k.bbl = cc.bbl""")
-def q_property_bundle(spark, d):
+vf AS (SELECT p.bbl, v.source, count(*) AS n,
+              string_agg(concat_ws('/', strftime(v.issued_date, '%Y-%m-%d'), v.order_key, v.line_no, v.violation_class,
+                                   v.is_resolved), ','
+                         ORDER BY v.issued_date DESC NULLS LAST, v.order_key DESC, v.line_no DESC) AS recs
+       FROM violations v JOIN properties p ON v.property_id = p.property_id GROUP BY p.bbl, v.source),
+cf AS (SELECT p.bbl, count(*) AS n,
+              string_agg(concat_ws('/', strftime(c.created, '%Y-%m-%d'), c.unique_key, c.complaint_type), ','
+                         ORDER BY c.created DESC NULLS LAST, c.unique_key DESC) AS recs
+       FROM complaints c JOIN properties p ON c.property_id = p.property_id
+       WHERE c.created >= TIMESTAMP '{EVENT_AS_OF}' - INTERVAL 30 DAY GROUP BY p.bbl)
+"""
+
+
+def _bundle_feeds(spark, d):
     v = _v(spark, d)
-    props = v.properties()
-    vio = v.violations().join(props.select("property_id", "bbl"), "property_id")
-
-    def feed(src):
-        return vio.filter(F.col("source") == src).select(
-            "bbl", F.col("issued_date").alias("ts"), "order_key", "line_no", "violation_class", "is_resolved")
+    keys = v.properties().select("property_id", "bbl")
+    vio = (v.violations().join(keys, "property_id")
+           .select("bbl", F.col("source").alias("feed"), F.col("issued_date").alias("ts"), "order_key", "line_no",
+                   "violation_class", "is_resolved"))
     comp = (v.complaints().filter(F.col("created") >= F.lit(EVENT_AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS"))
-            .join(props.select("property_id", "bbl"), "property_id")
-            .select("bbl", F.col("created").alias("ts"), "unique_key", "complaint_type"))
-    b = FD.property_bundle(props, {"dob": feed("DOB"), "hpd": feed("HPD"), "complaints": comp,
-                                   "permits": feed("FDNY")})
-    return b.select("bbl", *[F.size(c).alias(f"n_{c}") for c in ("dob", "hpd", "complaints", "permits")])
+            .join(keys, "property_id").select("bbl", F.col("created").alias("ts"), "unique_key", "complaint_type"))
+    return keys, vio, comp
+
+
+def _records(name: str, fields: list[str]):
+    """An array of records as text, record by record in its order."""
+    def text(r):
+        return F.concat_ws("/", F.date_format(r["ts"], "yyyy-MM-dd"), *[r[f].cast("string") for f in fields])
+    return F.array_join(F.transform(name, text), ",").alias(name)
+
+
+VIO_FIELDS, COMPLAINT_FIELDS = ["order_key", "line_no", "violation_class", "is_resolved"], ["unique_key", "complaint_type"]
+
+
+@query("property_bundle", f"""
+{BUNDLE_SQL}
+SELECT k.bbl, CAST(COALESCE(d.n, 0) AS INTEGER) AS n_dob, CAST(COALESCE(h.n, 0) AS INTEGER) AS n_hpd,
+       CAST(COALESCE(c.n, 0) AS INTEGER) AS n_complaints, CAST(COALESCE(f.n, 0) AS INTEGER) AS n_permits,
+       COALESCE(d.recs, '') AS dob, COALESCE(h.recs, '') AS hpd, COALESCE(c.recs, '') AS complaints,
+       COALESCE(f.recs, '') AS permits
+FROM k LEFT JOIN vf d ON k.bbl = d.bbl AND d.source = 'DOB' LEFT JOIN vf h ON k.bbl = h.bbl AND h.source = 'HPD'
+LEFT JOIN vf f ON k.bbl = f.bbl AND f.source = 'FDNY' LEFT JOIN cf c ON k.bbl = c.bbl""")
+def q_property_bundle(spark, d):
+    """All four feeds of every parcel, with their records."""
+    keys, vio, comp = _bundle_feeds(spark, d)
+    b = FD.property_bundle(keys, {"*": vio, "complaints": comp}, split={"dob": "DOB", "hpd": "HPD", "permits": "FDNY"})
+    return b.select("bbl", *[F.size(c).alias(f"n_{c}") for c in ("dob", "hpd", "complaints", "permits")],
+                    *[_records(c, VIO_FIELDS) for c in ("dob", "hpd", "permits")],
+                    _records("complaints", COMPLAINT_FIELDS))
+
+
+@query("property_bundle_partial", f"""
+{BUNDLE_SQL}
+SELECT k.bbl, COALESCE(d.recs, '') AS dob, 0 AS n_hpd, CAST(COALESCE(c.n, 0) AS INTEGER) AS n_complaints
+FROM k LEFT JOIN vf d ON k.bbl = d.bbl AND d.source = 'DOB' LEFT JOIN cf c ON k.bbl = c.bbl""")
+def q_property_bundle_partial(spark, d):
+    """S7/J7 with one failed feed (hpd: empty) and one left out (permits)."""
+    keys, vio, comp = _bundle_feeds(spark, d)
+    dob = vio.filter(F.col("feed") == "DOB").drop("feed")
+    b = FD.property_bundle(keys, {"dob": dob, "hpd": None, "complaints": comp})
+    return b.select("bbl", _records("dob", VIO_FIELDS), F.size("hpd").alias("n_hpd"),
+                    F.size("complaints").alias("n_complaints"))
 
 
 @query("src_feed_csv", FEED_SCORED_SQL)
@@ -214,14 +253,19 @@ def q_violations_by_address(spark, d):
 SELECT 'violations' AS dataset, issued_date >= DATE '{VIOLATION_AS_OF}' - INTERVAL 84 MONTH AS retained,
        CAST(count(*) AS BIGINT) AS rows FROM violations GROUP BY 2
 UNION ALL
-SELECT 'api_logs', CAST(ts AS DATE) >= DATE '{EVENT_AS_OF}' - 90, CAST(count(*) AS BIGINT) FROM requests GROUP BY 2""")
+SELECT 'api_logs', CAST(ts AS DATE) >= DATE '{EVENT_AS_OF}' - 90, CAST(count(*) AS BIGINT) FROM requests GROUP BY 2
+UNION ALL
+SELECT 'metrics', hour >= DATE '{EVENT_AS_OF}' - INTERVAL 12 MONTH, CAST(count(*) AS BIGINT)
+FROM (SELECT DISTINCT date_trunc('hour', ts) AS hour, endpoint FROM requests) GROUP BY 2""")
 def q_retention_split(spark, d):
+    """rows inside and outside the retention of their class; the metrics are hourly request counts."""
     v = _v(spark, d)
-    a = (L.retention_split(v.violations(), "issued_date", VIOLATION_AS_OF, keep_months=84)
-         .groupBy("retained").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit("violations")))
-    b = (L.retention_split(v.requests(), "ts", EVENT_AS_OF, keep_days=90)
-         .groupBy("retained").agg(F.count(F.lit(1)).alias("rows")).withColumn("dataset", F.lit("api_logs")))
-    return a.unionByName(b)
+    requests = v.requests()
+    metrics = requests.groupBy(F.date_trunc("hour", "ts").alias("hour"), "endpoint").agg(F.count(F.lit(1)).alias("n"))
+    parts = [L.retained_rows(v.violations(), "violations", "issued_date", VIOLATION_AS_OF),
+             L.retained_rows(requests, "api_logs", "ts", EVENT_AS_OF),
+             L.retained_rows(metrics, "metrics", "hour", EVENT_AS_OF)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("compliance_report", f"""

@@ -189,7 +189,8 @@ WITH r AS (SELECT client, ts, lag(ts) OVER (PARTITION BY client ORDER BY ts, req
 g AS (SELECT client, ts, sum(CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
                           OVER (PARTITION BY client ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM r),
 s AS (SELECT client, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
-             CAST(count(*) AS BIGINT) AS requests FROM g GROUP BY client, sid)
+             CAST(count(*) AS BIGINT) AS requests, max(ts) AS last_ping,
+             (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS uptime_seconds FROM g GROUP BY client, sid)
 SELECT * FROM s WHERE session_end <= (SELECT max(ts) FROM requests) - INTERVAL 1 DAY""")
 def q_connection_sessions(spark, d):
     """ST6: session windows (30 min gap) per client, emitted once the watermark closes them."""

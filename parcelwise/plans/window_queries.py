@@ -72,6 +72,15 @@ def q_tier_building_cap(spark, d):
     return U.tier_building_cap(_checks(v), v.accounts())
 
 
+@query("tenant_property_limit", """
+SELECT tenant_id, property_id, 20 AS properties_limit,
+       row_number() OVER (PARTITION BY tenant_id ORDER BY property_id) <= 20 AS within_limit
+FROM properties""")
+def q_tenant_property_limit(spark, d):
+    """The tenant's property limit (20 here: the default of 100 would cut nothing in small tables)."""
+    return U.tenant_property_limit(_v(spark, d).properties(), 20)
+
+
 @query("hit_rate", """
 WITH r AS (SELECT *, lag(ts) OVER (PARTITION BY client, endpoint ORDER BY ts, request_id) AS prev FROM requests),
 h AS (SELECT endpoint, COALESCE(ts <= prev + INTERVAL 3600 SECOND, false) AS hit FROM r)

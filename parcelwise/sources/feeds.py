@@ -72,20 +72,29 @@ def dob_violations(feed: DataFrame, limit: int = 50) -> DataFrame:
         R.classify_category("violation_category").alias("violation_class"), "rank")
 
 
-def property_bundle(keys: DataFrame, feeds: dict[str, DataFrame | None], limit: int | None = None) -> DataFrame:
-    """Per parcel a struct of feed arrays, each with all rows of that feed, newest
+def property_bundle(keys: DataFrame, feeds: dict[str, DataFrame | None], limit: int | None = None,
+                    split: dict[str, str] | None = None) -> DataFrame:
+    """Per parcel one array of records a feed, each with all rows of that feed, newest
     first, or a caller's newest ``limit``.  ``None`` marks a failed feed (→ empty array); feeds left out
-    of ``feeds`` are absent from the struct."""
+    of ``feeds`` are absent.  With ``split`` (feed name → value of the ``feed`` column) the feed
+    ``"*"`` holds several feeds, taken apart in one pass."""
     out = keys.select("bbl").distinct()
     for name, f in feeds.items():
         if f is None:
             out = out.withColumn(name, F.array())
             continue
-        fields = ["ts"] + [c for c in f.columns if c not in ("bbl", "ts")]
+        parts = split if name == "*" else {name: None}
+        fields = ["ts"] + [c for c in f.columns if c not in ("bbl", "ts", "feed")]
+        key = ["bbl", "feed"] if name == "*" else ["bbl"]
         rows = f if limit is None else top_n_per_key(
-            f, ["bbl"], [F.desc("ts")] + [F.asc(c) for c in fields[1:]], limit, rank_col=None)
-        packed = rows.groupBy("bbl").agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias(name))
-        out = out.join(packed, "bbl", "left").withColumn(name, F.coalesce(F.col(name), F.array()))
+            f, key, [F.desc("ts")] + [F.asc(c) for c in fields[1:]], limit, rank_col=None)
+        record = F.struct(*fields)
+        packed = rows.groupBy("bbl").agg(*[
+            F.sort_array(F.collect_list(record if value is None else F.when(F.col("feed") == value, record)), asc=False)
+            .alias(part) for part, value in parts.items()])
+        out = out.join(packed, "bbl", "left")
+        for part in parts:
+            out = out.withColumn(part, F.coalesce(F.col(part), F.array()))
     return out
 
 

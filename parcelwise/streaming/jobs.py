@@ -209,12 +209,16 @@ def stream_counters(updates: DataFrame) -> DataFrame:
 
 
 def connection_sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """ST6: activity sessions per client (session windows)."""
+    """ST6: activity sessions per client (session windows): connected at ``session_start``, last
+    heard of at ``last_ping``, ``uptime_seconds`` between the two."""
     r = event_time(requests, "ts")
     agg = (r.withWatermark("event_time", WATERMARK).groupBy("client", F.session_window("event_time", gap))
-           .agg(F.count(F.lit(1)).alias("requests")))
+           .agg(F.count(F.lit(1)).alias("requests"), F.max("event_time").alias("last")))
+    up = F.unix_micros("last") - F.unix_micros("session_window.start")
     return agg.select("client", F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "requests")
+                      F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "requests",
+                      F.col("last").cast("timestamp_ntz").alias("last_ping"),
+                      F.floor(up / 1_000_000).alias("uptime_seconds"))
 
 
 def limiter_stream(requests: DataFrame, kind: str, **params) -> DataFrame:
