@@ -2,15 +2,16 @@
 
 Both are a *segmented scan* instead of a pairwise join:
 
-1. probes and events are unioned and cut into (key, time bucket) segments;
+1. probes and events are unioned and cut into (key, minute) segments;
 2. inside a segment a running max (rows frame, O(n)) gives the latest event at
    or before each probe;
-3. one row per (key, bucket) carries the bucket's latest event, and a running
-   max over those rows gives the latest event of all *earlier* buckets.
+3. one row per (key, minute) carries the segment's latest event: a running max over a
+   day's minutes, and one over a key's days, give the latest event of all *earlier* segments.
 
-A key holding a third of all rows is split along time, and no (probe, event)
-pair is ever emitted.  The forward direction ("first event at or after")
-is the same scan over negated time.
+A key holding a third of all rows is split into minutes, no window holds more than a
+minute's rows, a day's minutes or a key's days, and no (probe, event) pair is ever emitted.
+The forward direction ("first event at or after") is the same scan over negated time.
+Rows with a NULL key are a key of their own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 DAY_US = 86_400_000_000
+MINUTE_US = 60_000_000
 
 
 def _epoch(c: str | Column) -> Column:
@@ -27,26 +29,43 @@ def _epoch(c: str | Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
 
 
+def running(df: DataFrame, keys: list[str], t: str, tie: str, value: str, total: bool, out: str,
+            segment_us: int = MINUTE_US) -> DataFrame:
+    """``out``: the sum (``total``) or the maximum of ``value`` over the rows of the same key up to
+    this one in (t, tie) order, t in microseconds."""
+    how = F.sum if total else F.max
+
+    def both(a: str, b: str) -> Column:
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if total else F.greatest(a, b)
+
+    cut = df.withColumn("_s", F.floor(F.col(t) / segment_us))
+    inside = Window.partitionBy(*keys, "_s").orderBy(t, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumn("_local", how(value).over(inside))
+    names = [f"_k_{k}" for k in keys]
+    segments = (cut.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_s").alias("_ks"))
+                .agg(how(value).alias("_v")).withColumn("_day", F.floor(F.col("_ks") * segment_us / DAY_US)))
+    earlier = (Window.unboundedPreceding, -1)
+    in_day = segments.withColumn("_in_day", how("_v").over(
+        Window.partitionBy(*names, "_day").orderBy("_ks").rowsBetween(*earlier)))
+    days = (segments.groupBy(*[F.col(n).alias(f"_d{n}") for n in names], F.col("_day").alias("_d_day"))
+            .agg(how("_v").alias("_v"))
+            .withColumn("_days", how("_v").over(
+                Window.partitionBy(*[f"_d{n}" for n in names]).orderBy("_d_day").rowsBetween(*earlier))).drop("_v"))
+    same_day = [F.col(n).eqNullSafe(F.col(f"_d{n}")) for n in names] + [F.col("_day").eqNullSafe(F.col("_d_day"))]
+    carry = in_day.join(days, same_day).select(*names, "_ks", both("_in_day", "_days").alias("_carry"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)] + [F.col("_s").eqNullSafe(F.col("_ks"))]
+    return (local.join(carry, same).withColumn(out, both("_local", "_carry"))
+            .drop(*names, "_s", "_ks", "_local", "_carry"))
+
+
 def asof_epoch(probes: DataFrame, events: DataFrame, key: str | list[str], probe_e: str, event_e: str,
-               bucket_us: int = DAY_US, out: str = "asof_e") -> DataFrame:
+               out: str = "asof_e") -> DataFrame:
     """For each probe row, the greatest ``event_e`` ≤ ``probe_e`` of the same key (epoch longs)."""
     keys = [key] if isinstance(key, str) else list(key)
     p = probes.withColumn("_kind", F.lit(1)).withColumn("_t", F.col(probe_e))
     e = events.select(*keys, F.col(event_e).alias("_t")).withColumn("_kind", F.lit(0))
-    u = p.unionByName(e, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / bucket_us))
-    ev = F.when(F.col("_kind") == 0, F.col("_t"))
-    w_in = (Window.partitionBy(*keys, "_b").orderBy("_t", "_kind")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = u.withColumn("_local", F.max(ev).over(w_in)).filter(F.col("_kind") == 1)
-    per_bucket = (e.withColumn("_b", F.floor(F.col("_t") / bucket_us)).groupBy(*keys, "_b")
-                  .agg(F.max("_t").alias("_bm")))
-    w_b = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # Probe buckets without events still need the carry: collect all buckets that occur.
-    buckets = (local.select(*keys, "_b").distinct().withColumn("_bm", F.lit(None).cast("long"))
-               .unionByName(per_bucket).groupBy(*keys, "_b").agg(F.max("_bm").alias("_bm")))
-    carry = buckets.withColumn("_carry", F.max("_bm").over(w_b)).select(*keys, "_b", "_carry")
-    j = local.join(carry, keys + ["_b"], "left")
-    return j.withColumn(out, F.coalesce("_local", "_carry")).drop("_kind", "_t", "_b", "_local", "_carry")
+    u = p.unionByName(e, allowMissingColumns=True).withColumn("_ev", F.when(F.col("_kind") == 0, F.col("_t")))
+    return running(u, keys, "_t", "_kind", "_ev", False, out).filter(F.col("_kind") == 1).drop("_kind", "_t", "_ev")
 
 
 def previous_distinct(df: DataFrame, keys: list[str], e: str, out: str = "prev_e") -> DataFrame:

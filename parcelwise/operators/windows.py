@@ -7,9 +7,8 @@
 * ``strict_percentile`` — share of a cohort strictly below each score, from a
   per-cohort score histogram (≤ 10 001 distinct 2-dp scores in 0–100), so a hot
   cohort is pre-aggregated before any window runs.
-* ``trailing_count`` — count of a key's events in the trailing ``seconds``; the
-  window is partitioned by (key, time bucket) with the previous bucket copied
-  in as context, so a hot key is split along time.
+* ``trailing_count`` — count of a key's events in the trailing ``seconds``, as the
+  difference of two running counts over (key, minute) segments.
 """
 
 from __future__ import annotations
@@ -75,23 +74,21 @@ def strict_percentile(df: DataFrame, cohort: list[str], score: str, out: str = "
             .withColumn("peers", F.col("_size") - 1).drop("_cents", "_size")
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, id_col: str,
-                   out: str = "trailing_count") -> DataFrame:
-    """For each row, the number of rows of the same key with ts in [ts - seconds, ts].
+def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "trailing_count") -> DataFrame:
+    """For each row, the number of rows of the same key with ts in [ts - seconds, ts]; 0 without a ts.
 
-    Rows are bucketed by ``floor(epoch / seconds)``; each bucket's window sees
-    its own rows plus the previous bucket's rows as context, which covers the
-    whole trailing range.  Context rows produce no output."""
-    epoch = F.unix_micros(F.col(ts).cast("timestamp"))
+    The difference of two running counts: rows up to ts, and rows before ts - seconds.  Both come
+    from one segmented scan over the key's distinct moments (``temporal.running``)."""
+    from parcelwise.operators.temporal import running
     span = int(seconds) * 1_000_000
-    base = df.withColumn("_e", epoch).withColumn("_b", F.floor(F.col("_e") / span))
-    own = base.withColumn("_own", F.lit(True))
-    ctx = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    u = own.unionByName(ctx)
-    w = Window.partitionBy(key, "_b").orderBy("_e").rangeBetween(-span, 0)
-    counted = u.withColumn(out, F.count(F.lit(1)).over(w))
-    # Equal timestamps are all counted by a range frame (peers), matching [ts - s, ts].
-    return counted.filter("_own").drop("_e", "_b", "_own")
+    base = df.withColumn("_e", F.unix_micros(F.col(ts).cast("timestamp")))
+    moments = base.groupBy(F.col(key).alias("_key"), F.col("_e").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    marks = F.array(F.struct(F.col("_at").alias("_t"), F.lit(0).alias("_kind"), F.col("_n").alias("_add")),
+                    F.struct((F.col("_at") - span - 1).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_add")))
+    scan = running(moments.select("_key", "_at", F.inline(marks)), ["_key"], "_t", "_kind", "_add", True, "_run")
+    counts = scan.groupBy("_key", "_at").agg(F.sum(F.when(F.col("_kind") == 0, F.col("_run")).otherwise(-F.col("_run"))).alias(out))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_e").eqNullSafe(F.col("_at"))
+    return base.join(counts, same).drop("_key", "_at", "_e")
 
 
 def date_spine(keys: DataFrame, start: str, end: str, col: str = "day") -> DataFrame:

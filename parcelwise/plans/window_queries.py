@@ -107,7 +107,7 @@ FROM complaints WHERE complaint_type = 'HEAT/HOT WATER'""")
 def q_heat_complaints_30d(spark, d):
     c = (_v(spark, d).complaints(types=["HEAT/HOT WATER"]).filter(F.col("complaint_type") == "HEAT/HOT WATER")
          .select("unique_key", "property_id", "created"))
-    return W.trailing_count(c, "property_id", "created", 30 * 86400, "unique_key", out="heat_complaints_30d")
+    return W.trailing_count(c, "property_id", "created", 30 * 86400, out="heat_complaints_30d")
 
 
 @query("violation_trend_30d", f"""

@@ -67,12 +67,38 @@ def first_k(df):
 
 def test_trailing_count(spark, ev):
     rows, df = ev
-    got = {r.id: r.trailing_count for r in W.trailing_count(df, "k", "ts", 6 * 3600, "id").collect()}
+    got = {r.id: r.trailing_count for r in W.trailing_count(df, "k", "ts", 6 * 3600).collect()}
     for r in rows:
         want = sum(1 for x in rows if x[1] == r[1] and r[2] - dt.timedelta(hours=6) <= x[2] <= r[2])
         assert got[r[0]] == want
 
 
+def test_one_day_of_a_hot_key_is_split(spark):
+    """A third of the rows on one key inside one day: right answers, from several tasks; a NULL key is a key."""
+    rnd = random.Random(5)
+    start = dt.datetime(2024, 1, 10)
+    rows = [(i, 0 if i % 3 == 0 else (None if i % 3 == 1 else i % 7),
+             start + dt.timedelta(seconds=rnd.randrange(0, 86400))) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k int, ts timestamp_ntz")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        probes = df.where("id % 2 = 0").withColumn("p", F.unix_micros(F.col("ts").cast("timestamp")))
+        events = df.where("id % 2 = 1").withColumn("e", F.unix_micros(F.col("ts").cast("timestamp")))
+        asof = T.asof_epoch(probes, events, "k", "p", "e").withColumn("task", F.spark_partition_id()).collect()
+        counts = {r.id: r.n for r in W.trailing_count(df, "k", "ts", 3600, out="n").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len({r.task for r in asof if r.k == 0}) > 1
+    assert len(asof) == 450
+    for r in asof:
+        past = [x[2] for x in rows if x[0] % 2 == 1 and x[1] == r.k and x[2] <= r.ts]
+        want = max(past) if past else None
+        assert r.asof_e == (None if want is None else int((want - dt.datetime(1970, 1, 1)).total_seconds()) * 10**6)
+    for i, k, ts in rows:
+        assert counts[i] == sum(1 for x in rows if x[1] == k and ts - dt.timedelta(hours=1) <= x[2] <= ts)
+
+
 def test_strict_percentile(spark):
     rnd = random.Random(3)
     rows = [(i, "hot" if i % 3 else f"c{i % 5}", round(rnd.randrange(0, 400) / 4, 2)) for i in range(300)]
@@ -200,13 +226,14 @@ def test_peer_stats_against_pairs(spark):
             assert g.median_cents == pytest.approx(med)
 
 
-def test_nearest_peers_hot_cell(spark):
+@pytest.mark.parametrize("crowd, hot_year", [(13, 1950), (2, None)])    # one parcel with half of all buildings
+def test_nearest_peers_hot_cell(spark, crowd, hot_year):
     rnd = random.Random(11)
     b = []
     for i in range(200):
         hot = i % 3 == 0
-        b.append((i, "3000010001" if i % 13 == 0 else f"3{i:05d}0001", "t", "brooklyn",
-                  20 if hot else rnd.choice([0, 10, 15, 20, 25]), 1950 if hot else rnd.choice([None, 1940, 1955, 1965]),
+        b.append((i, "3000010001" if i % crowd == 0 else f"3{i:05d}0001", "t", "brooklyn",
+                  20 if hot else rnd.choice([0, 10, 15, 20, 25]), hot_year if hot else rnd.choice([None, 1940, 1955, 1965]),
                   rnd.choice(["A", "B"]), None if i % 7 == 0 else round(rnd.randrange(0, 10000) / 100, 2)))
     props = spark.createDataFrame([x[:6] + (x[6],) for x in b], "property_id long, bbl string, tenant_id string, "
                                   "borough string, units int, year_built int, building_class string")
