@@ -112,7 +112,7 @@ SELECT event_id AS update_id, user_id AS property_id, event_type AS update_type,
        ts
 FROM events""",
     "subscriptions": """
-SELECT o_custkey AS connection, o_orderkey % 150 AS property_id,
+SELECT o_custkey AS connection, o_custkey // (1 + o_orderkey % 10) AS property_id,
        CASE WHEN o_orderstatus IN ('O', 'P') THEN 'SUBSCRIBE' WHEN o_orderstatus = 'F' THEN 'UNSUBSCRIBE' END AS action,
        o_orderdate AS ts, o_orderkey AS seq
 FROM orders""",

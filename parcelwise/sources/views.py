@@ -139,10 +139,11 @@ class Views:
         )
 
     def subscriptions(self) -> DataFrame:
+        """Subscribed properties spread over keys that grow with the customers."""
         st = F.col("o_orderstatus")
         return self.t.orders.select(
             F.col("o_custkey").alias("connection"),
-            (F.col("o_orderkey") % 150).alias("property_id"),
+            F.expr("o_custkey DIV (1 + o_orderkey % 10)").alias("property_id"),
             F.when(st.isin("O", "P"), "SUBSCRIBE").when(st == "F", "UNSUBSCRIBE").alias("action"),
             F.col("o_orderdate").alias("ts"),
             F.col("o_orderkey").alias("seq"),
