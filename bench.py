@@ -37,6 +37,11 @@ HEADLINE = [
     "rate_limit_sliding_batch",  # sequential fold per idle-gap segment
     "violation_trend_30d",     # date spine + running sum
     "stream_heat_alerts",      # watermarked sliding window stream
+    "peer_topn",               # k nearest peers by ranked cells
+    "stream_fanout",           # updates × subscribers
+    "queue_last_100",          # newest 100 a connection
+    "property_bundle",         # four feeds' records per parcel
+    "src_dob_violations",      # newest 50 per parcel
 ]
 
 
