@@ -6,7 +6,7 @@ gives lexical patterns from the words around it: the two words before it, and th
 word before with the word after.  Patterns and instances form a bipartite graph.  Spark
 scores it in rounds: a pattern's score for a kind is the mean score of its instances (plus one
 absent one, so that rare patterns stay weak), an instance that is no seed has the mean score
-of its patterns, a seed keeps 1 for its own kind.  Tokens in a high-confidence pattern (its
+of its patterns, a seed keeps 1 for its own kind.  Runs in a high-confidence pattern (its
 score and its number of distinct seeds reach a threshold) whose own score reaches one too
 are discovered entities of that kind.
 
@@ -43,6 +43,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT_OR_AT = re.compile(r"[0-9@]")
 SPACE = re.compile(r"\s")
+BRACKET = re.compile(r"[()]")
+GAP = re.compile(r"[)-]?[^\S\t\r\n](?:[-/\u2013][^\S\t\r\n]|([A-Za-z]{4}[^\S\t\r\n]))?[(-]?")
+IBAN_HEAD = re.compile(r"[A-Za-z]{2}[0-9]{2}")
 EDGES = ".,;:!?()[]{}<>\"'#$%&*=+-"
 Span = tuple[int, int]
 
@@ -98,26 +101,73 @@ def seeds(text: str) -> list[list[Span]]:
     return [find(text) for find in FIND]
 
 
-def candidates(text: str, taken: list[Span]) -> list[Span]:
-    """Identifier-like tokens that do not overlap ``taken``: 6 to 64 characters, five digits or an at sign."""
-    out, cur, taken = [], 0, sorted(taken)
-    at = 0
+def tokens(text: str) -> Iterator[Span]:
+    """Tokens between white space that have a digit or an at sign, without the punctuation at their edges."""
+    cur = 0
     while m := DIGIT_OR_AT.search(text, cur):
-        start = max(text.rfind(s, cur, m.start()) for s in " \n\t\r") + 1
-        start = max(start, cur)
+        start = m.start()
+        while start > cur and not text[start - 1].isspace():
+            start -= 1
         gap = SPACE.search(text, m.start())
-        stop = gap.start() if gap else len(text)
-        cur = stop
-        token = text[start:stop]
+        cur = gap.start() if gap else len(text)
+        token = text[start:cur]
         body = token.strip(EDGES)
         start += len(token) - len(token.lstrip(EDGES))
-        end = start + len(body)
-        if not 6 <= len(body) <= 64 or ("@" not in body and sum("0" <= c <= "9" for c in body) < 5):
-            continue
-        while at < len(taken) and taken[at][1] <= start:
+        yield start, start + len(body)
+
+
+def joins(body: str) -> bool:
+    """Whether a token can be a piece of an identifier written with spaces: no word with a digit in it (2nd, covid19)."""
+    if "@" in body or not body:
+        return False
+    return body.upper() == body or sum("0" <= c <= "9" for c in body) >= sum(c.isalpha() for c in body)
+
+
+def whole(text: str, start: int, end: int) -> Span:
+    """A run with the brackets that belong to ones inside it, and a plus sign before it."""
+    depth = lowest = 0
+    for b in BRACKET.findall(text, start, end):
+        depth += 1 if b == "(" else -1
+        lowest = min(lowest, depth)
+    if lowest < 0 and text[start - 1:start] == "(":
+        start -= 1
+    if depth > lowest and text[end:end + 1] == ")":
+        end += 1
+    return start - (text[start - 1:start] == "+"), end
+
+
+def candidates(text: str, taken: list[Span]) -> list[Span]:
+    """Identifier-like runs that do not overlap ``taken``: at least 6 characters, five digits or an at sign.
+
+    A run is as many tokens with digits as follow each other with a single space, bracket, hyphen or
+    slash between them; after a head like that of an IBAN (GB29) also over groups of four letters."""
+    out, runs, at = [], [], 0
+    covered: list[list[int]] = []
+    for s, e in sorted(taken):
+        if covered and s < covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    open_, head = False, False       # the last run can go on; it has an IBAN's head
+    for start, end in tokens(text):
+        while at < len(covered) and covered[at][1] <= start:
             at += 1
-        if not any(s < end and e > start for s, e in taken[at:at + 4]):
-            out.append((start, end))
+        if at < len(covered) and covered[at][0] < end:
+            open_ = False
+            continue
+        body = text[start:end]
+        piece = joins(body)
+        between = GAP.fullmatch(text, runs[-1][1], start) if open_ and piece else None
+        if between and (head or not between[1]):
+            runs[-1][1] = end
+        else:
+            runs.append([start, end])
+            head = IBAN_HEAD.fullmatch(body) is not None
+        open_ = piece
+    for start, end in runs:
+        body = text[start:end]
+        if end - start >= 6 and ("@" in body or sum("0" <= c <= "9" for c in body) >= 5):
+            out.append(whole(text, start, end))
     return out
 
 

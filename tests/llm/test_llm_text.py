@@ -120,6 +120,43 @@ def test_contextual_discovery(spark):
             assert r["n_discovered"] == 0 and r["spans"] == base
 
 
+def test_candidates_are_whole_runs():
+    """Identifiers written with spaces are one candidate each, with the context outside them."""
+    for text, want in [("phone 0171 555 1234 now", ["0171 555 1234"]), ("phone (974) 555-3436 now", ["(974) 555-3436"]),
+                       ("card 4111 1111 1111 1112, 2020 ok", ["4111 1111 1111 1112"]), ("(0171 / 555 1234)", ["0171 / 555 1234"]),
+                       ("to DE89 3704 0044 0532 0130 00. In 12 days", ["DE89 3704 0044 0532 0130 00"]),
+                       ("to gb29 nwbk 6016 1331 9268 19 or", ["gb29 nwbk 6016 1331 9268 19"]), ("a 12 FROM 345 b", []),
+                       ("key " + "a1" * 50 + " x", ["a1" * 50]), ("0171\u00a0555\u00a01234", ["0171\u00a0555\u00a01234"]),
+                       ("on 555-1234 2nd floor", ["555-1234"]), ("bob@corp 0171 555 1234", ["bob@corp", "0171 555 1234"]),
+                       ("0171 555\n1234 99", ["0171 555", "1234 99"]), ("+49 171 55 (12)", ["+49 171 55 (12)"]), ("1.2 3 4", [])]:
+        assert [text[s:e] for s, e in P.candidates(text, [])] == want, text
+    text = "at 10.0.0.1 0171 555 1234 +1 (974) 555-3436"
+    assert [text[s:e] for s, e in P.candidates(text, [(3, 11), (26, 43), (28, 30)])] == ["0171 555 1234"]
+    assert P.patterns("please call phone (974) 555-3436 before", 18, 32) == ("call phone _", "phone _ before")
+    assert len(P.candidates("1 " * 200_000 + "a" * 200_000 + "7" * 199_999, [])) == 2
+
+
+def test_contextual_discovery_of_spaced_identifiers(spark):
+    """Spaced numbers without a seed's form are found whole by the contexts that seeds taught."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    four = lambda: str(rnd.randrange(1000, 9999))
+    texts = [f"{word()} please call phone +1 ({rnd.randrange(200, 999)}) 555-{four()} before {word()}" for _ in range(60)]
+    while len(texts) < 120:
+        card = " ".join(four() for _ in range(4))
+        texts += [f"{word()} billed to card {card} on {word()}"] if valid("card", card) else []
+    bad = next(c for c in iter(lambda: " ".join(four() for _ in range(4)), None) if not valid("card", c))
+    planted = [("phone", f"0171 555 {four()}"), ("phone", f"({rnd.randrange(200, 999)}) 555-{four()}"),
+               ("card", bad), ("card", "DE89 3704 0044 0532 0130 00"), ("card", "GB29 NWBK 6016 1331 9268 19"), ("card", "k7" * 40)]
+    texts += [f"{word()} please call phone {x} before {word()}" if k == "phone" else f"{word()} billed to card {x} on {word()}" for k, x in planted]
+    texts += [f"{word()} order {word()} {four()} {four()} {word()}" for _ in range(30)]
+    rows = {r["doc_id"]: r for r in P.extract(docs_of(spark, texts)).collect()}
+    for i, (kind, x) in enumerate(planted, 120):
+        at = texts[i].index(x)
+        assert rows[i]["spans"] == f"{kind}:{at}:{at + len(x)}"
+    assert sum(r["n_discovered"] for r in rows.values()) == len(planted)
+
+
 def test_pii_odd_rows(spark, odd_docs, no_docs):
     assert {r["doc_id"] for r in P.extract(odd_docs).collect()} == set(range(len(ODD)))
     assert P.extract(no_docs).collect() == []
