@@ -19,9 +19,17 @@ with a previous factor of that length mark their bytes.
 
 Groups of copies: a run of positions identical to one of a smaller document is marked at
 once, and what it would match the other one does too.  This is done in each map chunk, where
-such runs are not even sent, and again in each bucket before its suffixes are sorted.  A
-third of all rows with one passage thus costs a bucket one copy for each chunk.  Marks and
-texts meet by doc_id, never by content.
+such runs are not even sent, and again in each bucket before its suffixes are sorted.  A run
+that reaches over an edge of a repeated passage, or around a frequent string inside varying
+text, has other bytes in every document, though, and is no copy.
+
+Hot anchors: runs are counted by a slot of their minimum in a sample of the texts.  Where a slot holds
+at least ``hot`` runs and eight times the mean slot, the runs' positions go on one by one,
+by the hash of their whole prefix instead of the anchor's.  That is a rule on the
+prefix alone too, so equal prefixes still meet, and the sample never changes a result.
+Of equal prefixes in a chunk only the smallest document's positions are sent, the others
+are marked at once: a prefix costs a bucket one document's positions for each chunk, and
+prefixes that differ are spread over all buckets.  Marks and texts meet by doc_id, never by content.
 
 Defined cases: a null text is the empty text; texts shorter than ``length`` lose nothing;
 matches never cross documents; very long texts are cut into overlapping pieces that give
@@ -32,6 +40,7 @@ empty result.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import group_ends, keyed_texts, ranges, shuffle_partitions, slices, table, utf8
+from parcelwise.llm.common import group_ends, keyed_texts, ranges, saved, shuffle_partitions, slices, table, utf8
 
 CHUNK = 6 << 20          # bytes of text in a map chunk
 PIECE = 1 << 20          # positions of a long text that are taken at once
@@ -178,10 +187,55 @@ SENT = "bucket int, marks boolean, runs array<binary>, bytes array<binary>"
 SUB = 4          # a bucket is searched in so many parts, which bounds the memory of a task
 
 
-def _send(length: int, anchor: int, buckets: int, parts: int):
-    """Map side: runs to their buckets; marks of copies within the chunk (marks = true) to the part of their doc_id."""
+SLOTS = 1 << 24          # runs are counted by their minimum modulo this
+SLICE = 1 << 20          # positions of hot runs that are taken at once
+BLOCK_CHARS = 1 << 16    # longer texts are sampled by blocks of so many characters
+
+
+def _count_runs(length: int, anchor: int, share: int):
+    """Runs by slot: of whole short texts, and of every block in ``share`` of the long ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pick = random.Random()
+        for b in slices(batches, 1, CHUNK):
+            chunk = []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                blocks = range(0, len(t), BLOCK_CHARS)
+                chunk += [(d, t[at:at + BLOCK_CHARS].encode()) for at in blocks if len(blocks) == 1 or not pick.randrange(share)]
+            runs = runs_of(chunk, length, anchor)[1]
+            if runs is not None:
+                slot, n = np.unique((runs[0] % np.uint64(SLOTS)).astype(np.int32), return_counts=True)
+                yield table({"slot": (slot, pa.int32()), "n": (n, pa.int64())})
+    return run
+
+
+def hot_slots(texts: DataFrame, length: int, anchor: int, hot: int, share: int) -> np.ndarray:
+    """Slots (ascending) that hold at least ``hot`` runs and eight times the mean, judged by one text in ``share``."""
+    some = texts.where("text is not null").where((F.length("text") > BLOCK_CHARS) | (F.rand() < 1 / share))
+    counts = saved(some.mapInArrow(_count_runs(length, anchor, share), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "anchor_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(hot, 8 * share * total / SLOTS)
+    return np.sort(counts.where(F.col("n") * share >= F.lit(least)).select("slot").toArrow().column(0).to_numpy())
+
+
+def hot_positions(data: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, count: np.ndarray, rows: np.ndarray, length: int):
+    """The positions of the runs ``rows``, in slices that keep equal prefixes together: run and place of
+    each, and whether a smaller document of the chunk has its prefix."""
+    places, owner = ranges(at[rows], count[rows]), np.repeat(rows, count[rows])
+    n = 1 + len(places) // SLICE
+    part = (_mix(hashes[places]) >> np.uint64(40)) % np.uint64(n)
+    for i in range(n if len(places) else 0):
+        here = np.flatnonzero(part == i)
+        who, place = owner[here], places[here]
+        chosen, found = _shared(hashes[place], docs, who), np.zeros(len(here), bool)
+        if len(chosen):
+            found[chosen] = previous_factors(prefix_words(data, place[chosen], length), docs[who[chosen]])
+        yield who, place, found
+
+
+def _send(length: int, anchor: int, buckets: int, parts: int, slots: np.ndarray):
+    """Map side: runs, and positions of hot ones (of ``slots``), to their buckets; marks of what repeats
+    a smaller document of the chunk (marks = true) to the part of their doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         for chunk in _chunks(batches, length):
             ids, base = (np.array(x, np.int64) for x in zip(*((d, at) for d, at, _ in chunk)))
             data, runs = runs_of([(i, t) for i, (_, _, t) in enumerate(chunk)], length, anchor)
@@ -189,19 +243,28 @@ def _send(length: int, anchor: int, buckets: int, parts: int):
                 continue
             low, piece, pos, at, count = runs
             docs, pos = ids[piece], pos + base[piece]
-            copy = copies(data, prefix_hashes(data, length), docs, at, count, length)
-            out = []
-            for part, sel in _by(docs[copy] % parts, np.flatnonzero(copy)):
-                out.append((part, True, [_pack(docs[sel], pos[sel], pos[sel] + count[sel] + length - 1)], None))
-            sent = np.flatnonzero(~copy)
-            text, ends = data.tobytes(), at + count + length - 1
-            rows: dict[int, tuple[list[bytes], list[bytes]]] = {}
-            for key, sel in _by((low[sent] % np.uint64(buckets * SUB)).astype(np.int64), sent):
-                bytes_ = b"".join([text[s:e] for s, e in zip(at[sel].tolist(), ends[sel].tolist())])
-                blocks = rows.setdefault(key // SUB, ([b""] * SUB, [b""] * SUB))
-                blocks[0][key % SUB] = _pack(docs[sel], pos[sel], count[sel])
-                blocks[1][key % SUB] = press.compress(bytes_)
-            out += [(bucket, False, *blocks) for bucket, blocks in rows.items()]
+            hashes = prefix_hashes(data, length)
+            copy = copies(data, hashes, docs, at, count, length)
+            hot = ~copy & np.isin((low % np.uint64(SLOTS)).astype(np.int32), slots)
+            text = data.tobytes()
+            yield from sent(text, low, docs, pos, at, count, np.flatnonzero(copy), np.flatnonzero(~copy & ~hot))
+            for who, place, found in hot_positions(data, hashes, docs, at, count, np.flatnonzero(hot), length):
+                yield from sent(text, _mix(hashes[place]), docs[who], pos[who] + place - at[who], place, np.ones(len(place), np.int64),
+                                np.flatnonzero(found), np.flatnonzero(~found))
+
+    def sent(text, key, docs, pos, at, count, marked, rest) -> Iterator[pa.RecordBatch]:
+        press, out = zstandard.ZstdCompressor(level=3), []
+        for part, sel in _by(docs[marked] % parts, marked):
+            out.append((part, True, [_pack(docs[sel], pos[sel], pos[sel] + count[sel] + length - 1)], None))
+        ends = at + count + length - 1
+        rows: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for part, sel in _by((key[rest] % np.uint64(buckets * SUB)).astype(np.int64), rest):
+            bytes_ = b"".join([text[s:e] for s, e in zip(at[sel].tolist(), ends[sel].tolist())])
+            blocks = rows.setdefault(part // SUB, ([b""] * SUB, [b""] * SUB))
+            blocks[0][part % SUB] = _pack(docs[sel], pos[sel], count[sel])
+            blocks[1][part % SUB] = press.compress(bytes_)
+        out += [(bucket, False, *blocks) for bucket, blocks in rows.items()]
+        if out:
             bucket, marks, metas, blobs = zip(*out)
             yield table({"bucket": (bucket, pa.int32()), "marks": (marks, pa.bool_()),
                          "runs": (metas, pa.list_(pa.binary())), "bytes": (blobs, pa.list_(pa.binary()))})
@@ -370,14 +433,15 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                      "block": ([press.compress(t) if t else b"" for t in utf8(b.column(2))], pa.binary())})
 
 
-def lpf_dedup(docs: DataFrame, length: int = 50, anchor: int = 12) -> DataFrame:
+def lpf_dedup(docs: DataFrame, length: int = 50, anchor: int = 12, hot: int = 1 << 16, share: int = 64) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, spans (starts and ends of the
     removed runs in turn), kept (the remaining bytes)."""
     spark = docs.sparkSession
     texts = keyed_texts(docs)
     p = shuffle_partitions(spark)
     buckets, parts = 4 * p, p
-    sent = texts.mapInArrow(_send(length, anchor, buckets, parts), SENT)
+    slots = hot_slots(texts, length, anchor, hot, share)
+    sent = texts.mapInArrow(_send(length, anchor, buckets, parts, slots), SENT)
     marks = sent.repartition(p, "bucket").sortWithinPartitions("bucket") \
         .mapInArrow(_search(length, parts), "part int, block binary")
     blocks = texts.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("part"), "doc_id", "text") \

@@ -203,6 +203,31 @@ def test_bucket_search_equals_brute_force(texts, length):
     assert {d: len(x) for d, x in gone.items()} == want
 
 
+def test_hot_anchor_is_dealt_over_buckets(spark, monkeypatch):
+    """A passage in varying texts: its edges are spread by whole prefixes, its inside is sent once a chunk, results as before."""
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choices("abcdefghij", k=n))
+    passage, short = text(120), text(30)
+    texts = [text(100) + (passage if i % 3 else short) + text(100) for i in range(300)] + ["ab" * 300, None, ""]
+    want = brute_passages([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
+    docs = docs_of(spark, texts).repartition(3)
+    slots = L.hot_slots(docs.select("doc_id", "text"), 50, 12, 100, 1)
+    assert 0 < len(slots) < 20
+    assert lpf(docs, hot=100, share=1) == lpf(docs, hot=1, share=1) == want
+
+    batch = L.table({"doc_id": (list(range(300)), L.pa.int64()), "text": (texts[:300], L.pa.string())})
+    monkeypatch.setattr(L, "SLICE", 1000)
+
+    def load(slots):        # bytes sent to each part of a bucket, without compression
+        out = {}
+        for b in L._send(50, 12, 16, 4, slots)(iter([batch])):
+            for r in b.to_pylist():
+                for i, blob in enumerate(r["bytes"] or []):
+                    out[r["bucket"], i] = out.get((r["bucket"], i), 0) + (len(L.zstandard.ZstdDecompressor().decompress(blob)) if blob else 0)
+        return max(out.values()) / (sum(out.values()) / len(out))
+    assert load(slots) < 2 < 4 < load(slots[:0])
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(L, "PIECE", 64)
     a = "".join(random.Random(1).choices("abcdef", k=900))
