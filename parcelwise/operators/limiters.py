@@ -19,6 +19,7 @@ The streaming versions keep the same state per client with
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 
 import pandas as pd
@@ -133,13 +134,49 @@ def rate_limit_token_bucket(requests: DataFrame, rate: int = 1000, per: float =
     return _fold_sorted(_segments(requests, rule.per_us, strict=False), rule)
 
 
-def state_function(rule):
-    """The rule for ``applyInPandasWithState``: a micro-batch's requests of a client in (ts, id) order."""
+STREAM_SCHEMA = OUT_SCHEMA + ", nth long, revision long, late boolean"
+HELD_SCHEMA = ", base_us long, held_us array<long>, held_id array<long>, revision long, late long"
+
+
+def state_function(rule, delay_us: int):
+    """The rule for ``applyInPandasWithState``, whatever the order and cutting of the micro-batches.
+
+    State: the rule's state after the requests up to ``base_us`` (the client's newest request less
+    the delay) and the requests since.  A micro-batch's requests are merged into these in (ts, id)
+    order and all are decided again, so a request is emitted once for each revision; ``latest``
+    keeps the last one.  A request at or before ``base_us`` on arrival is late: it is decided
+    with the state of that time, once, and marked."""
     def fold(key, frames, state):
-        pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="mergesort")
-        held = rule.load(state.get if state.exists else None)
-        times = pdf["ts"].astype("datetime64[us]").astype("int64").tolist()
-        admitted = [rule.admit(held, now) for now in times]
-        state.update(rule.dump(held))
-        yield pdf[["client", "request_id", "ts"]].assign(admitted=admitted)
+        *stored, base, times, ids, revision, late = state.get if state.exists else (None, None, [], [], 0, 0)
+        settled = rule.load(tuple(stored) if state.exists and stored[0] is not None else None)
+        held, out, client = list(zip(times, ids)), [], key[0]
+        for pdf in frames:
+            for now, rid in zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["request_id"].tolist()):
+                if base is None or now > base:
+                    held.append((now, rid))
+                else:
+                    late += 1
+                    out.append((rid, now, rule.admit(settled, base), -late, 0, True))
+        held.sort()
+        revision += 1
+        newest = held[-1][0] - delay_us if held else base
+        base = newest if base is None else max(base, newest)
+        cut = bisect_right(held, base, key=lambda x: x[0])
+        open_ = None
+        for i, (now, rid) in enumerate(held):
+            if i == cut:
+                open_ = rule.load(rule.dump(settled)) if settled else rule.load(None)
+            nth = out[-1][3] + 1 if i and held[i - 1] == held[i] else 0
+            out.append((rid, now, rule.admit(settled if open_ is None else open_, now), nth, revision, False))
+        rest = held[cut:]
+        state.update((*(rule.dump(settled) if settled else (None,)), base, [t for t, _ in rest], [r for _, r in rest], revision, late))
+        for at in range(0, len(out), 100_000):
+            rid, ts, admitted, nth, rev, was_late = zip(*out[at:at + 100_000])
+            yield pd.DataFrame({"client": [client] * len(rid), "request_id": rid, "ts": pd.to_datetime(list(ts), unit="us"),
+                                "admitted": admitted, "nth": nth, "revision": rev, "late": was_late})
     return fold
+
+
+def latest(decisions: DataFrame) -> DataFrame:
+    """The last decision of each request."""
+    return decisions.groupBy("client", "request_id", "ts", "nth").agg(F.max_by("admitted", "revision").alias("admitted")).drop("nth")

@@ -162,7 +162,7 @@ def q_rate_limit_sliding(spark, d):
     """ST3 in a stream: per-client admitted log in ``applyInPandasWithState``."""
     st = J.limiter_stream(_s(spark, d).requests(), "sliding", max_messages=SLIDING_MAX,
                           window_seconds=SLIDING_WINDOW_S)
-    return _read(spark, J.run_available_now(spark, st, "sliding"))
+    return LIM.latest(_read(spark, J.run_available_now(spark, st, "sliding")))
 
 
 @query("rate_limit_sliding_batch", SLIDING_SQL)
@@ -175,7 +175,7 @@ def q_rate_limit_sliding_batch(spark, d):
 def q_rate_limit_token_bucket(spark, d):
     """ST4 in a stream: (allowance, last) per client."""
     st = J.limiter_stream(_s(spark, d).requests(), "bucket", rate=BUCKET_RATE, per=BUCKET_PER_S)
-    return _read(spark, J.run_available_now(spark, st, "bucket"))
+    return LIM.latest(_read(spark, J.run_available_now(spark, st, "bucket")))
 
 
 @query("rate_limit_token_bucket_batch", BUCKET_SQL)
@@ -348,7 +348,7 @@ def q_stream_complaint_conversion(spark, d):
     class-C record or by the watermark passing their 14-day horizon."""
     s = _s(spark, d)
     st = J.stream_conversion_state(s.complaints(), s.class_c_events(), 14)
-    return _read(spark, J.run_available_now(spark, st, "conversion"))
+    return J.conversion_result(_read(spark, J.run_available_now(spark, st, "conversion")))
 
 
 # ------------------------------------------------------------------ messages

@@ -221,11 +221,13 @@ def connection_sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFra
                       F.floor(up / 1_000_000).alias("uptime_seconds"))
 
 
-def limiter_stream(requests: DataFrame, kind: str, **params) -> DataFrame:
-    """ST3/ST4 in a stream: per-client state with ``applyInPandasWithState``."""
+def limiter_stream(requests: DataFrame, kind: str, delay_seconds: int = 86_400, **params) -> DataFrame:
+    """ST3/ST4 in a stream: per-client state with ``applyInPandasWithState``.  Requests may be out of order
+    by ``delay_seconds``; read the sink through ``limiters.latest``."""
     rule = LIM.sliding_rule(**params) if kind == "sliding" else LIM.bucket_rule(**params)
     return (requests.select("client", "request_id", "ts").groupBy("client")
-            .applyInPandasWithState(LIM.state_function(rule), LIM.OUT_SCHEMA, rule.state_schema, "append",
+            .applyInPandasWithState(LIM.state_function(rule, delay_seconds * 1_000_000), LIM.STREAM_SCHEMA,
+                                    rule.state_schema + LIM.HELD_SCHEMA, "append",
                                     GroupStateTimeout.NoTimeout))
 
 
@@ -236,51 +238,52 @@ def streaming_tables(spark: SparkSession, sf_dir: str) -> Tables:
 # ----------------------------------------------- conversion as keyed state
 CONVERSION_SCHEMA = ("unique_key long, property_id long, created timestamp_ntz, first_violation timestamp_ntz, "
                      "converted boolean")
-CONVERSION_STATE = "keys array<long>, created array<long>"
+CONVERSION_STATE = "keys array<long>, created array<long>, first array<long>, records array<long>"
 
 
-def conversion_state_fn(within_days: int = 14):
-    """Per property: pending heat complaints wait for the next class-C record.  A
-    record within ``within_days`` converts every pending complaint; a later one (or
-    the watermark passing created + within_days) closes them unconverted.  State
-    holds only the still-open complaints of one property — never (complaint,
-    violation) pairs."""
+def conversion_state_fn(within_days: int = 14, delay_us: int = 86_400_000_000):
+    """Per property: each heat complaint with its next class-C record, whichever of them comes first in
+    the stream.  State holds the complaints whose next record is unknown or could still be
+    preceded by one within the watermark's delay, and the records a complaint within that delay
+    could still need - never (complaint, violation) pairs.  A complaint is emitted when a next record
+    is known, again when an earlier one arrives (``conversion_result`` keeps the earliest), or when
+    the watermark passes its 14 days."""
+    from bisect import bisect_left
+
     import pandas as pd
 
     span = int(within_days) * 86_400_000_000
 
     def fn(key, pdfs, state):
         pid = int(key[0])
-        keys, created = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        out = []
-
-        def close(upto_us=None, first=None):
-            nonlocal keys, created
-            keep_k, keep_c = [], []
-            for k, c in zip(keys, created):
-                if first is not None:
-                    conv = first - c <= span
-                    out.append((k, pid, c, first if conv else None, conv))
-                elif upto_us is not None and c + span < upto_us:
-                    out.append((k, pid, c, None, False))
-                else:
-                    keep_k.append(k)
-                    keep_c.append(c)
-            keys, created = keep_k, keep_c
-
-        if state.hasTimedOut:
-            close(upto_us=state.getCurrentWatermarkMs() * 1000)
-        else:
-            pdf = pd.concat(list(pdfs)).sort_values(["t_us", "kind", "key"], kind="mergesort")
-            for t_us, kind, k in zip(pdf["t_us"].tolist(), pdf["kind"].tolist(), pdf["key"].tolist()):
-                if kind == 0:
-                    keys.append(int(k))
-                    created.append(int(t_us))
-                else:
-                    close(first=int(t_us))
-        if keys:
-            state.update((keys, created))
-            state.setTimeoutTimestamp(min(created) // 1000 + span // 1000 + 1)
+        keys, created, first, records = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+        watermark = state.getCurrentWatermarkMs() * 1000
+        newest = watermark
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                is_record = pdf["kind"] == 1
+                records += pdf.loc[is_record, "t_us"].tolist()
+                created += pdf.loc[~is_record, "t_us"].tolist()
+                keys += pdf.loc[~is_record, "key"].tolist()
+                newest = max(newest, int(pdf["t_us"].max()) - delay_us)
+        first += [-1] * (len(keys) - len(first))
+        records = sorted(set(records))
+        out, kept = [], []
+        for k, c, known in zip(keys, created, first):
+            i = bisect_left(records, c)
+            if i < len(records) and (known < 0 or records[i] < known):
+                known = records[i]
+                conv = known - c <= span
+                out.append((k, pid, c, known if conv else None, conv))
+            if known < 0 and c + span < watermark:
+                out.append((k, pid, c, None, False))
+            elif known < 0 or known > newest:
+                kept.append((k, c, known))
+        records = records[bisect_left(records, newest):]
+        if kept or records:
+            state.update(tuple([list(x) for x in zip(*kept)] or [[], [], []]) + (records,))
+            wake = [(c + span if known < 0 else known) // 1000 + 1 for _, c, known in kept] + [t // 1000 + 1 for t in records[-1:]]
+            state.setTimeoutTimestamp(max(min(wake), state.getCurrentWatermarkMs() + 1))
         else:
             state.remove()
         if out:
@@ -293,14 +296,20 @@ def conversion_state_fn(within_days: int = 14):
     return fn
 
 
-def stream_conversion_state(complaints: DataFrame, violations: DataFrame, within_days: int = 14) -> DataFrame:
+def conversion_result(rows: DataFrame) -> DataFrame:
+    """One row per complaint: its earliest known record."""
+    return rows.groupBy("unique_key", "property_id", "created").agg(
+        F.min("first_violation").alias("first_violation"), F.max("converted").alias("converted"))
+
+
+def stream_conversion_state(complaints: DataFrame, violations: DataFrame, within_days: int = 14, delay_seconds: int = 86_400) -> DataFrame:
     c = (complaints.filter(F.col("complaint_type") == "HEAT/HOT WATER")
          .select("property_id", F.col("unique_key").alias("key"), F.col("created").cast("timestamp").alias("event_time"),
                  F.lit(0).alias("kind")))
     v = violations.select("property_id", F.col("violation_key").alias("key"),
                           F.col("issued").cast("timestamp").alias("event_time"), F.lit(1).alias("kind"))
-    u = (c.unionByName(v).withWatermark("event_time", WATERMARK)
+    u = (c.unionByName(v).withWatermark("event_time", f"{delay_seconds} seconds")
          .withColumn("t_us", F.unix_micros("event_time")))
     return (u.groupBy("property_id")
-            .applyInPandasWithState(conversion_state_fn(within_days), CONVERSION_SCHEMA, CONVERSION_STATE,
+            .applyInPandasWithState(conversion_state_fn(within_days, delay_seconds * 1_000_000), CONVERSION_SCHEMA, CONVERSION_STATE,
                                     "append", GroupStateTimeout.EventTimeTimeout))
