@@ -99,3 +99,26 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def table(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     """A record batch from ``name -> (values, type)``."""
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in columns.values()], names=list(columns))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 63-bit hash of each number."""
+    h = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h ^ (h >> np.uint64(31))).astype(np.int64) & np.int64((1 << 63) - 1)
+
+
+def word_hash(words: pa.Array) -> np.ndarray:
+    """A 63-bit hash of the bytes of each string."""
+    raw = words.cast(pa.large_binary())
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    sizes = np.diff(ends)
+    parts = mixed((np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)) * 257 + data + 1)
+    sums = np.zeros(len(sizes), np.int64)
+    if len(data):
+        sums[sizes > 0] = np.add.reduceat(parts, (ends[:-1] - ends[0])[sizes > 0])
+    return mixed(sums)

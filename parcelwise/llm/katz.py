@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from parcelwise.llm.common import keyed_texts, saved, shuffle_partitions, slices, table
+from parcelwise.llm.common import keyed_texts, mixed, saved, shuffle_partitions, slices, table, word_hash
 
 END = "\n"                  # no word holds white space
 K_LARGE = 5                 # counts above it are not discounted
@@ -75,14 +75,6 @@ def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of each number."""
-    h = x.astype(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return (h ^ (h >> np.uint64(31))).astype(np.int64) & np.int64((1 << 63) - 1)
-
-
 # --- the model's numbers ---
 
 def discounts(n: dict[int, int], k: int = K_LARGE) -> np.ndarray:
@@ -219,7 +211,7 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
                                        pa.array(data, pa.binary()), words], names=["bucket", "slice", "kind", "data", "words"])
 
 
-def in_buckets(requests: DataFrame, run) -> DataFrame:
+def in_buckets(requests: DataFrame, buckets: int, run) -> DataFrame:
     """``run(bucket, slices, kinds, data, words)`` for each bucket, its rows in order of kind and slice; batches that it yields."""
     def call(bucket: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(parts)
@@ -239,7 +231,7 @@ def in_buckets(requests: DataFrame, run) -> DataFrame:
                 parts.append(b.slice(start, end - start))
         if parts:
             yield from call(bucket, parts)
-    return requests.repartition(shuffle_partitions(requests.sparkSession), "bucket") \
+    return requests.repartition(buckets, "bucket") \
         .sortWithinPartitions("bucket", "kind", "slice").mapInArrow(task, ROWS)
 
 
@@ -268,20 +260,6 @@ def answered(keys: np.ndarray, answers: list[dict] | None, kinds: str) -> list[n
 
 # --- words ---
 
-def word_hash(words: pa.Array) -> np.ndarray:
-    """A 63-bit hash of each word's bytes; it only deals the words to buckets."""
-    raw = words.cast(pa.large_binary())
-    ends = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
-    data = np.frombuffer(raw.buffers()[2], np.uint8)[ends[0]:ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
-    sizes = np.diff(ends)
-    inside = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], sizes)
-    parts = mixed(inside * 257 + data + 1)
-    sums = np.zeros(len(sizes), np.int64)
-    if len(data):
-        sums[sizes > 0] = np.add.reduceat(parts, (ends[:-1] - ends[0])[sizes > 0])
-    return mixed(sums)
-
-
 def _ask_words(buckets: int):
     def run(batches):
         for b in batches:
@@ -554,7 +532,7 @@ def train_and_score(docs: DataFrame, held: Column | None = None, key: str = "doc
     word_buckets, buckets = max(p, tokens // WORDS_A_BUCKET), max(p, tokens // PAIRS_A_BUCKET)
     hot = max(1, tokens // (4 * buckets))
 
-    counted = saved(in_buckets(cut.select("slice", "words", "n").mapInArrow(_ask_words(word_buckets), ROWS), _count_words), "words")
+    counted = saved(in_buckets(cut.select("slice", "words", "n").mapInArrow(_ask_words(word_buckets), ROWS), word_buckets, _count_words), "words")
     vocabulary = counted.where("kind = 1")
     runs = saved(vocabulary.select("bucket", "data").mapInArrow(_count_runs, "bucket long, c long, n long"), "runs")
     histogram = {r["c"]: r["n"] for r in runs.groupBy("c").agg(F.sum("n").alias("n")).collect()}      # at most sqrt(2 N) rows
@@ -568,14 +546,14 @@ def train_and_score(docs: DataFrame, held: Column | None = None, key: str = "doc
     numbered = saved(numbered, "numbered", compression="none")
 
     asked = numbered.mapInArrow(_ask_pairs(shared, buckets, hot), ROWS)
-    pairs = saved(in_buckets(asked, _count_pairs), "pairs", compression="none")
+    pairs = saved(in_buckets(asked, buckets, _count_pairs), "pairs", compression="none")
     listed = pairs.where("kind = 1")
     n = {r["c"]: r["n"] for r in listed.select("data").mapInArrow(_count_counts, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
     d = discounts(n)
     context_buckets = word_buckets
     sums = saved(listed.select("bucket", "data").mapInArrow(_sum_contexts(shared, d, context_buckets), ROWS), "contexts")
     asked = numbered.select("slice", "ids").mapInArrow(_ask_contexts(shared, context_buckets), ROWS)
-    contexts = in_buckets(sums.unionByName(asked), _answer_contexts(shared))
+    contexts = in_buckets(sums.unionByName(asked), context_buckets, _answer_contexts(shared))
     scored = numbered.join(by_slice(pairs.where("kind = 2"), "pair_counts"), "slice", "left") \
         .join(by_slice(contexts, "contexts"), "slice", "left") \
         .mapInArrow(_score(shared, d, buckets, context_buckets, hot), SCORES)

@@ -5,9 +5,10 @@ as one space) hashed to 2^16 buckets, weighted by TF-IDF (1 + log tf, smoothed i
 length).  Document frequencies and class counts come from all training documents.  The weights are
 trained by follow-the-regularised-leader (FTRL-proximal) with an elastic net: the L1
 part keeps weights at exactly zero until their gradients add up, the L2 part shrinks the rest.
-They are fitted on a sample bounded by ``sample`` documents (the same share of each class's
-allowance, chosen by a hash of doc_id); a fifth of it is left out of the training and sets
-the temperature that divides the logits.
+They are fitted on a sample of at most ``sample`` documents (the same share of each class's
+allowance, the first by a hash of doc_id); a fifth of it is left out of the training and sets
+the temperature that divides the logits.  Only buckets with a weight other than zero are kept and sent to the tasks;
+at most ``MOST_CLASSES`` languages, the most frequent ones, are learned.
 
 Training uses text and lang of documents that are not held out; a prediction uses the text
 only and covers the whole text.
@@ -15,8 +16,8 @@ only and covers the whole text.
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without
 lang are predicted but not learned from; rows without doc_id take no part; very long
 texts are counted in pieces of 2^20 characters; equal probabilities go to the first class
-by name; repeated rows get the same answer; without training rows everything is ``und``;
-an empty table gives an empty result.
+by name; repeated rows get the same answer; without training rows everything is ``und`` (and ``keep_languages``
+keeps every text with a letter, since nothing speaks against it); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from parcelwise.llm.common import slices, table
 
 BUCKETS = 1 << 16
 PIECE = 1 << 20
+MOST_CLASSES = 256
 
 
 @lru_cache(maxsize=1)
@@ -72,16 +74,27 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     classes: list[str]
     idf: np.ndarray            # by bucket
-    weights: np.ndarray        # (buckets + 1, classes), the last row is the bias
     temperature: float = 1.0
 
+    def __post_init__(self) -> None:
+        self.set_weights(np.zeros(0, np.int64), np.zeros((0, len(self.classes))))
+
+    def set_weights(self, buckets: np.ndarray, weights: np.ndarray) -> None:
+        """Weights of some buckets (BUCKETS: the bias); rows of zeros are dropped."""
+        used = np.flatnonzero(np.any(weights != 0, axis=1))
+        self.row = np.zeros(BUCKETS + 1, np.int32)             # row of each bucket, 0: all zero
+        self.row[buckets[used]] = np.arange(1, len(used) + 1)
+        self.weights = np.concatenate([np.zeros((1, len(self.classes))), weights[used]])
+
     def features(self, where: np.ndarray, counts: np.ndarray) -> np.ndarray:
         x = (1 + np.log(counts)) * self.idf[where]
         norm = np.sqrt(x @ x)
         return x / norm if norm else x
 
     def logits(self, where: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.features(where, counts) @ self.weights[where] + self.weights[-1]
+        row = self.row[where]
+        some = row > 0
+        return self.features(where, counts)[some] @ self.weights[row[some]] + self.weights[self.row[BUCKETS]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         where, counts = ngram_counts(text) if text else (np.zeros(0, np.int64), None)
@@ -99,16 +112,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], model: Model, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0,
          l1: float = 0.02, l2: float = 0.5) -> None:
-    """Fit ``model.weights`` on (buckets, counts, class) rows, in their order, ``epochs`` times."""
+    """Fit the model's weights on (buckets, counts, class) rows, in their order, ``epochs`` times."""
     k = len(model.classes)
-    z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
+    met = np.unique(np.concatenate([[BUCKETS], *(w for w, _, _ in rows)])).astype(np.int64)      # buckets of the rows, and the bias
+    z, n = np.zeros((len(met), k)), np.zeros((len(met), k))
 
     def weights(at):
         zs = z[at]
         w = -(zs - np.sign(zs) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2)
         return np.where(np.abs(zs) <= l1, 0.0, w)
 
-    prepared = [(np.r_[w, BUCKETS], np.r_[model.features(w, c), 1.0], y) for w, c, y in rows]
+    prepared = [(np.searchsorted(met, np.r_[w, BUCKETS]), np.r_[model.features(w, c), 1.0], y) for w, c, y in rows]
     for _ in range(epochs):
         for at, x, y in prepared:
             w = weights(at)
@@ -118,7 +132,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], model: Model, epochs: i
             squares = n[at] + g * g
             z[at] += g - (np.sqrt(squares) - np.sqrt(n[at])) / alpha * w
             n[at] = squares
-    model.weights = weights(np.arange(BUCKETS + 1))
+    model.set_weights(met, weights(np.arange(len(met))))
 
 
 def calibrate(rows: list[tuple[np.ndarray, np.ndarray, int]], model: Model) -> None:
@@ -174,11 +188,12 @@ def train(labelled: DataFrame, sample: int = 4000) -> Model:
         .groupBy("bucket", "lang").agg(F.sum("n").alias("n")).collect()      # one row for each bucket and class
     langs = {r["lang"]: r["n"] for r in stats if r["lang"] is not None}
     total = sum(langs.values())
+    langs = dict(sorted(langs.items(), key=lambda x: (-x[1], x[0]))[:MOST_CLASSES])
     df = np.zeros(BUCKETS)
     for r in stats:
         if r["bucket"] is not None:
             df[r["bucket"]] = r["n"]
-    model = Model(sorted(langs), np.log((1 + total) / (1 + df)) + 1, np.zeros((BUCKETS + 1, len(langs))))
+    model = Model(sorted(langs), np.log((1 + total) / (1 + df)) + 1)
     if not langs:
         return model
     key = F.xxhash64("doc_id", F.lit(7))
@@ -186,10 +201,11 @@ def train(labelled: DataFrame, sample: int = 4000) -> Model:
     for lang, n in langs.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / len(langs) / n))).otherwise(share)
     chosen = labelled.withColumn("key", key).where(F.pmod("key", F.lit(1 << 30)) < share * (1 << 30)).select("key", "text", "lang")
-    rows = chosen.mapInArrow(_sample, "key long, lang string, buckets binary, counts binary").limit(2 * sample).collect()
+    rows = chosen.mapInArrow(_sample, "key long, lang string, buckets binary, counts binary") \
+        .orderBy("key", "lang", "buckets", "counts").limit(sample).collect()
     index = {c: i for i, c in enumerate(model.classes)}
     data = [(np.frombuffer(r["buckets"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4").astype(np.int64), index[r["lang"]], r["key"])
-            for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))]
+            for r in rows]
     ftrl([d[:3] for d in data if d[3] % 5], model)
     calibrate([d[:3] for d in data if d[3] % 5 == 0], model)
     return model
@@ -201,18 +217,20 @@ def held_out(key: Column) -> Column:
 
 
 def _predict(shared):
-    """Rows (text, row) to (lang_pred, score, row); the text is not sent back."""
+    """Rows (text, row) to (lang_pred, score, letters, row); the text is not sent back."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in slices(batches, 0, 16 << 20):
-            found = [model.predict(t) for t in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
+            found = [model.predict(t) for t in texts]
+            letter = [x != "und" or any(map(str.isalpha, t or "")) for t, (x, _) in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64()),
-                                              b.column(1)], names=["lang_pred", "score", "row"])
+                                              pa.array(letter, pa.bool_()), b.column(1)], names=["lang_pred", "score", "letters", "row"])
     return run
 
 
 def predicted(docs: DataFrame, carried: Column, sample: int = 4000) -> DataFrame:
-    """lang_pred, score and ``row``, the struct ``carried``, of each document (doc_id, text, lang)."""
+    """lang_pred, score, letters (whether the text has one) and ``row``, the struct ``carried``, of each document (doc_id, text, lang)."""
     spark = docs.sparkSession
     docs = docs.where(F.col("doc_id").isNotNull())
     key = F.col("doc_id").cast("long")
@@ -221,7 +239,7 @@ def predicted(docs: DataFrame, carried: Column, sample: int = 4000) -> DataFrame
     shared = spark.sparkContext.broadcast(train(labelled, sample))
     rows = docs.select(F.col("text").cast("string").alias("text"), carried.alias("row"))
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-                         T.StructField("row", rows.schema["row"].dataType)])
+                         T.StructField("letters", T.BooleanType()), T.StructField("row", rows.schema["row"].dataType)])
     return rows.mapInArrow(_predict(shared), kind)
 
 
@@ -232,7 +250,10 @@ def language_id(docs: DataFrame, sample: int = 4000) -> DataFrame:
         .select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
-def keep_languages(docs: DataFrame, least_score: float = 0.5, sample: int = 4000) -> DataFrame:
-    """The documents, all their columns, whose language is known: not ``und`` and not under ``least_score``."""
-    return predicted(docs, F.struct(*[docs[c] for c in docs.columns]), sample) \
-        .where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
+def keep_languages(docs: DataFrame, wanted: list[str] | None = None, sample: int = 4000) -> DataFrame:
+    """The documents, all their columns, that nothing speaks against: the text has a letter and its
+    language, where one could be learned, is a wanted one (None: any)."""
+    found = predicted(docs, F.struct(*[docs[c] for c in docs.columns]), sample).where("letters")
+    if wanted is not None:
+        found = found.where(F.col("lang_pred").isin([*wanted, "und"]))
+    return found.select("row.*")

@@ -9,13 +9,11 @@ depends on these bytes alone: equal prefixes always meet in one bucket.  Neighbo
 positions mostly share that minimum, so each bucket receives runs of positions with their
 bytes (about 3.4 bytes for each byte of text, compressed to less than half).
 
-In a bucket, positions whose prefix hash occurs in one document only are set aside; the
-others are sorted by their prefix, equal prefixes by doc_id: that is the suffix order as
-far as ``length`` bytes decide it.  The previous smaller position in this order is the
-first member of the run of equal prefixes whenever that member belongs to a smaller
-document, and then its common prefix, hence the longest previous factor, reaches
-``length``; a next smaller position outside the run always has a shorter one.  Positions
-with a previous factor of that length mark their bytes.
+In a bucket, positions whose prefix hash occurs in one document only are set aside (their longest previous
+factor is shorter than ``length``); the others are sorted by their prefix: that is the suffix order as
+far as ``length`` bytes decide it.  The common prefixes of neighbours are counted, the previous and the next
+suffix of a smaller document are found for every suffix by pointer jumping, and the larger of the smallest common prefixes on
+the way to them is its longest previous factor.  Positions whose factor reaches ``length`` mark their bytes.
 
 Groups of copies: a run of positions identical to one of a smaller document is marked at
 once, and what it would match the other one does too.  This is done in each map chunk, where
@@ -33,9 +31,8 @@ prefixes that differ are spread over all buckets.  Marks and texts meet by doc_i
 
 Defined cases: a null text is the empty text; texts shorter than ``length`` lose nothing;
 matches never cross documents; very long texts are cut into overlapping pieces that give
-the same positions; rows without doc_id take no part; rows that repeat a doc_id share the
-marks of that id (bytes beyond the shorter text are ignored); an empty table gives an
-empty result.
+the same positions; rows without doc_id take no part; rows that repeat a doc_id are one document to
+the rule (none is smaller than the other) and keep their own marks; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import group_ends, keyed_texts, ranges, saved, shuffle_partitions, slices, table, utf8
+from parcelwise.llm.merkle import positions
 
 CHUNK = 6 << 20          # bytes of text in a map chunk
 PIECE = 1 << 20          # positions of a long text that are taken at once
@@ -228,11 +226,11 @@ def hot_positions(data: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np
         who, place = owner[here], places[here]
         chosen, found = _shared(hashes[place], docs, who), np.zeros(len(here), bool)
         if len(chosen):
-            found[chosen] = previous_factors(prefix_words(data, place[chosen], length), docs[who[chosen]])
+            found[chosen] = longest_previous_factors(prefix_words(data, place[chosen], length), docs[who[chosen]], length) == length
         yield who, place, found
 
 
-def _send(length: int, anchor: int, buckets: int, parts: int, slots: np.ndarray):
+def _send(length: int, anchor: int, buckets: int, parts: int, slots: np.ndarray, shift: int = 0):
     """Map side: runs, and positions of hot ones (of ``slots``), to their buckets; marks of what repeats
     a smaller document of the chunk (marks = true) to the part of their doc_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +242,11 @@ def _send(length: int, anchor: int, buckets: int, parts: int, slots: np.ndarray)
             low, piece, pos, at, count = runs
             docs, pos = ids[piece], pos + base[piece]
             hashes = prefix_hashes(data, length)
-            copy = copies(data, hashes, docs, at, count, length)
+            copy = copies(data, hashes, docs >> shift, at, count, length)
             hot = ~copy & np.isin((low % np.uint64(SLOTS)).astype(np.int32), slots)
             text = data.tobytes()
             yield from sent(text, low, docs, pos, at, count, np.flatnonzero(copy), np.flatnonzero(~copy & ~hot))
-            for who, place, found in hot_positions(data, hashes, docs, at, count, np.flatnonzero(hot), length):
+            for who, place, found in hot_positions(data, hashes, docs >> shift, at, count, np.flatnonzero(hot), length):
                 yield from sent(text, _mix(hashes[place]), docs[who], pos[who] + place - at[who], place, np.ones(len(place), np.int64),
                                 np.flatnonzero(found), np.flatnonzero(~found))
 
@@ -288,35 +286,63 @@ def prefix_words(data: np.ndarray, places: np.ndarray, length: int) -> list[np.n
     return out
 
 
-def previous_factors(prefixes: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix words and doc_id; whether each suffix has a previous
-    factor of full length: an equal prefix in a smaller document."""
-    order = np.lexsort((docs, *prefixes[::-1]))
-    equal = np.r_[False, np.ones(len(order) - 1, bool)]     # common prefix with the suffix before reaches full length
-    for word in prefixes:
+def common_prefixes(prefixes: list[np.ndarray], order: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that each suffix in ``order`` has in common with the one before it, ``length`` at most; the first has 0."""
+    out, equal = np.zeros(len(order), np.int64), np.ones(max(len(order) - 1, 0), bool)
+    for i, word in enumerate(prefixes):
         ranked = word[order]
-        equal[1:] &= ranked[1:] == ranked[:-1]
-    starts = np.flatnonzero(~equal)
-    first = np.repeat(docs[order][starts], np.diff(np.r_[starts, len(order)]))
-    out = np.zeros(len(order), bool)
-    out[order] = docs[order] > first
+        differ = ranked[1:] ^ ranked[:-1]
+        size = min(8, length - 8 * i)
+        same = np.full(len(differ), size)
+        for j in range(size):            # bytes from the first on, until one differs
+            same = np.where((differ >> np.uint64(8 * (size - 1 - j)) > 0) & (same == size), j, same)
+        out[1:] += np.where(equal, same, 0)
+        equal &= differ == 0
+    return out
+
+
+def factor_to_smaller(docs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For suffixes in order: the common prefix with the nearest earlier suffix of a smaller document (0: none).
+    ``common``: with the suffix before."""
+    at, least = np.arange(len(docs)) - 1, common.copy()
+    going = np.flatnonzero(at >= 0)
+    while len(going):
+        going = going[(least[going] > 0) & (docs[at[going]] >= docs[going])]
+        next_at, next_least = at[at[going]], np.minimum(least[going], least[at[going]])
+        at[going], least[going] = next_at, next_least
+        ended = at[going] < 0
+        least[going[ended]] = 0
+        going = going[~ended]
+    least[at < 0] = 0
+    return least
+
+
+def longest_previous_factors(prefixes: list[np.ndarray], docs: np.ndarray, length: int) -> np.ndarray:
+    """For each suffix (by its prefix words) the longest prefix, ``length`` at most, that a suffix of a smaller document shares:
+    the larger one of its common prefixes with the previous and with the next smaller document in suffix order."""
+    order = np.lexsort((docs, *prefixes[::-1]))
+    common, ranked = common_prefixes(prefixes, order, length), docs[order]
+    before = factor_to_smaller(ranked, common)
+    after = factor_to_smaller(ranked[::-1], np.r_[0, common[1:][::-1]] if len(common) else common)[::-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def repeated_in_bucket(docs: np.ndarray, pos: np.ndarray, count: np.ndarray, data: np.ndarray, length: int):
-    """(doc, start, end) of the byte ranges of the bucket's runs that repeat a smaller document."""
+def repeated_in_bucket(docs: np.ndarray, pos: np.ndarray, count: np.ndarray, data: np.ndarray, length: int, shift: int = 0):
+    """(doc, start, end) of the byte ranges of the bucket's runs that repeat a smaller document (``docs >> shift``)."""
     docs, pos, count = (x.astype(np.int64) for x in (docs, pos, count))
     sizes = count + length - 1
     begin = np.cumsum(sizes) - sizes
     hashes = prefix_hashes(data, length)
-    copy = copies(data, hashes, docs, begin, count, length)
+    copy = copies(data, hashes, docs >> shift, begin, count, length)
     rest = np.flatnonzero(~copy)
     places = ranges(begin[rest], count[rest])
     owner = np.repeat(rest, count[rest])
-    chosen = _shared(hashes[places], docs, owner)
+    chosen = _shared(hashes[places], docs >> shift, owner)
     found = np.zeros(len(places), bool)
     if len(chosen):
-        found[chosen] = previous_factors(prefix_words(data, places[chosen], length), docs[owner[chosen]])
+        found[chosen] = longest_previous_factors(prefix_words(data, places[chosen], length), docs[owner[chosen]] >> shift, length) == length
     hits = np.flatnonzero(found)
     new = np.r_[True, (hits[1:] != hits[:-1] + 1) | (owner[hits[1:]] != owner[hits[:-1]])] if len(hits) else np.zeros(0, bool)
     first, last = hits[new], hits[np.r_[new[1:], True]] if len(hits) else hits
@@ -344,7 +370,7 @@ def _shared(h: np.ndarray, docs: np.ndarray, owner: np.ndarray) -> np.ndarray:
 HELD = 1 << 20           # marks that a search task gathers before it sends them
 
 
-def _search(length: int, parts: int):
+def _search(length: int, parts: int, shift: int = 0):
     """Reduce side: rows of a bucket come together (sorted by bucket); marks of the map side go on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -364,7 +390,7 @@ def _search(length: int, parts: int):
                     continue
                 docs, pos, count = (np.concatenate(x) for x in zip(*(_unpack(m, 2) for m, _ in blocks)))
                 data = np.frombuffer(b"".join([open_.decompress(x) for _, x in blocks]), np.uint8)
-                held.append(repeated_in_bucket(docs, pos, count, data, length))
+                held.append(repeated_in_bucket(docs, pos, count, data, length, shift))
                 if sum(len(x[0]) for x in held) > HELD:
                     yield from flush()
 
@@ -390,7 +416,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_ = zstandard.ZstdDecompressor()
     for whole in batches:
         out = []
-        for key, doc, block in zip(*(c.to_pylist() for c in whole.columns)):
+        for key, doc, own, block in zip(*(c.to_pylist() for c in whole.columns)):
             if key != part:
                 part, marks, found = key, [], None
             if doc is None:
@@ -403,7 +429,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found, marks = [x[order] for x in found], []
             text = open_.decompress(block) if block else b""
             lo, hi = np.searchsorted(found[0], [doc, doc + 1])
-            out.append((doc, len(text), *cut_out(text, found[1][lo:hi].tolist(), found[2][lo:hi].tolist())))
+            out.append((own, len(text), *cut_out(text, found[1][lo:hi].tolist(), found[2][lo:hi].tolist())))
         if out:
             cols = list(zip(*out))
             yield table({"doc_id": (cols[0], pa.int64()), "n_bytes": (cols[1], pa.int64()), "n_removed": (cols[2], pa.int64()),
@@ -428,9 +454,25 @@ def cut_out(text: bytes, starts: list[int], ends: list[int]) -> tuple[int, int,
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
-    for b in slices(batches, 2, 16 << 20):
-        yield table({"part": (b.column(0), pa.int32()), "doc_id": (b.column(1), pa.int64()),
-                     "block": ([press.compress(t) if t else b"" for t in utf8(b.column(2))], pa.binary())})
+    for b in slices(batches, 3, 16 << 20):
+        yield table({"part": (b.column(0), pa.int32()), "key": (b.column(1), pa.int64()), "doc_id": (b.column(2), pa.int64()),
+                     "block": ([press.compress(t) if t else b"" for t in utf8(b.column(3))], pa.binary())})
+
+
+BUCKET_BYTES, PART_BYTES = 128 << 20, 64 << 20      # sent to a bucket (of SUB parts), texts of a part
+
+
+def keyed(texts: DataFrame, repeats: int) -> tuple[DataFrame, int]:
+    """(key, doc_id, text) and a shift: ``key`` is unique and ``key >> shift`` stands for the doc_id in its order.
+    Without repeated doc_ids the key is the doc_id; otherwise rows are numbered (rows times ``repeats`` must stay below 2^62)."""
+    if repeats < 2:
+        return texts.select(F.col("doc_id").alias("key"), "doc_id", "text"), 0
+    shift = (repeats - 1).bit_length()
+    rows = texts.select(F.lit("").alias("grp"), "doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = saved(positions(rows, ["doc_id"]).select("pos", "doc_id", "text"), "numbered")
+    first = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min("pos").alias("first"))
+    key = F.shiftleft("first", shift) + F.col("pos") - F.col("first")
+    return saved(rows.join(first, F.col("doc_id") == F.col("id")).select(key.alias("key"), "doc_id", "text"), "keyed"), shift
 
 
 def lpf_dedup(docs: DataFrame, length: int = 50, anchor: int = 12, hot: int = 1 << 16, share: int = 64) -> DataFrame:
@@ -438,16 +480,22 @@ def lpf_dedup(docs: DataFrame, length: int = 50, anchor: int = 12, hot: int = 1
     removed runs in turn), kept (the remaining bytes)."""
     spark = docs.sparkSession
     texts = keyed_texts(docs)
+    size, repeats = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")) \
+        .agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    texts, shift = keyed(texts, repeats)
     p = shuffle_partitions(spark)
-    buckets, parts = 4 * p, p
-    slots = hot_slots(texts, length, anchor, hot, share)
-    sent = texts.mapInArrow(_send(length, anchor, buckets, parts, slots), SENT)
-    marks = sent.repartition(p, "bucket").sortWithinPartitions("bucket") \
-        .mapInArrow(_search(length, parts), "part int, block binary")
-    blocks = texts.select(F.pmod("doc_id", F.lit(parts)).cast("int").alias("part"), "doc_id", "text") \
-        .mapInArrow(_compressed, "part int, doc_id long, block binary")
-    meeting = marks.select("part", F.lit(None).cast("long").alias("doc_id"), "block").unionByName(blocks)
-    return meeting.repartition(p, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first()) \
+    buckets, parts = max(4 * p, 4 * size // BUCKET_BYTES), max(p, size // PART_BYTES)       # about 3.4 bytes are sent for one of text
+    tasks = max(p, buckets // 4)
+    sent_texts = texts.select(F.col("key").alias("doc_id"), "text")
+    slots = hot_slots(sent_texts, length, anchor, hot, share)
+    sent = sent_texts.mapInArrow(_send(length, anchor, buckets, parts, slots, shift), SENT)
+    marks = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket") \
+        .mapInArrow(_search(length, parts, shift), "part int, block binary")
+    blocks = texts.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "key", "doc_id", "text") \
+        .mapInArrow(_compressed, "part int, key long, doc_id long, block binary")
+    none = F.lit(None).cast("long")
+    meeting = marks.select("part", none.alias("key"), none.alias("doc_id"), "block").unionByName(blocks)
+    return meeting.repartition(parts, "part").sortWithinPartitions("part", F.col("key").asc_nulls_first()) \
         .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<int>, kept binary")
 
 

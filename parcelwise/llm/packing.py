@@ -153,9 +153,9 @@ def _place(plan: list[tuple[int, int, int, int, int, int]]):
 
 
 def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 0, capacity: int = 2048,
-         remembered: int = 1_200_000) -> DataFrame:
+         remembered: int = 32 << 20) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
-    ``remembered``: chunks that a worker's encoder keeps (memory and time only)."""
+    ``remembered``: bytes of a generation of chunks that a worker's encoder keeps (memory and time only)."""
     pieces = saved(keyed_texts(docs).mapInArrow(_pieces(tokenizer, kind, end, capacity, remembered), PIECES), "pieces")
     lengths = pieces.groupBy("length").count()            # at most ``capacity`` rows
     plan, _ = best_fit_decreasing({r["length"]: r["count"] for r in lengths.collect()}, capacity)

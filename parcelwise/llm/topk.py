@@ -14,8 +14,9 @@ gives at most k rows per query, and a window over these gives the result.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part;
 rows without id take no part; a shorter vector counts as filled up with zeros; equal scores
-go to the smaller id; repeated rows are separate candidates, but no row is a candidate of
-a query with its own id; an empty table gives an empty result.  Scores are 64-bit integers.
+go to the smaller id; repeated rows are separate rows: each is a query of its own and a candidate, but no row is a
+candidate of a query with its own id; an empty table gives an empty result.  Scores are 64-bit integers (products that
+do not fit wrap around: components of at most 2^20 and 2^20 dimensions are safe).
 """
 
 from __future__ import annotations
@@ -30,15 +31,15 @@ from pyspark.sql import Window
 
 from parcelwise.llm.common import saved, table
 
-ROWS, QUERIES, BLOCK = 4096, 2048, 8     # rows of a row block, queries of a query block, dimensions of a step
+ROWS, QUERIES, BLOCK = 4096, 16_384, 8     # rows of a row block, queries of a query block, dimensions of a step
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<long>) of the vectors that take part."""
+    """(row, id, v array<long>) of the vectors that take part; ``row`` is unique."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     return vectors.where(F.col(key).isNotNull() & v.isNotNull() & finite) \
-        .select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(1024.0))).alias("v"))
+        .select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(1024.0))).alias("v"))
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
@@ -93,9 +94,9 @@ def _search(k: int):
         cell, queries, best = None, [], {}
 
         def result():
-            rows = [(q, i, s) for q, found in best.items() for s, i in found]
-            q, i, s = zip(*rows) if rows else ((), (), ())
-            return table({"query_id": (q, pa.int64()), "vec_id": (i, pa.int64()), "score": (s, pa.int64())})
+            rows = [(row, q, i, s) for (row, q), found in best.items() for s, i in found]
+            row, q, i, s = zip(*rows) if rows else ((), (), (), ())
+            return table({"row": (row, pa.int64()), "query_id": (q, pa.int64()), "vec_id": (i, pa.int64()), "score": (s, pa.int64())})
 
         for b in batches:
             for key, ids, values in zip(*(b.column(n).to_pylist() for n in ("cell", "ids", "values"))):
@@ -105,21 +106,21 @@ def _search(k: int):
                     cell, queries, best = key, [], {}
                 if ids is None:              # queries of a cell come before its rows
                     q = np.frombuffer(values, np.int64)
-                    queries.append((int(q[0]), q[1:]))
+                    queries.append((int(q[0]), int(q[1]), q[2:]))
                     continue
                 ids = np.frombuffer(ids, np.int64)
                 m = np.frombuffer(values, np.int64).reshape(-1, len(ids))
                 rest = _rest(m)
-                for qid, q in queries:
+                for row, qid, q in queries:
                     wide = np.zeros(m.shape[0], np.int64)
                     wide[:min(len(q), m.shape[0])] = q[:m.shape[0]]
-                    found = best.get(qid, [])
+                    found = best.get((row, qid), [])
                     floor = float(found[-1][0]) if len(found) == k else -np.inf
                     at, scores = bounded_scores(wide, _rest(wide[:, None])[:, 0], m, rest, np.flatnonzero(ids != qid), k, floor)
                     if len(at) > k:      # the k best, ties to the smaller id
                         top = np.lexsort((ids[at], -scores))[:k]
                         at, scores = at[top], scores[top]
-                    best[qid] = sorted(found + list(zip(scores.tolist(), ids[at].tolist())), key=lambda x: (-x[0], x[1]))[:k]
+                    best[row, qid] = sorted(found + list(zip(scores.tolist(), ids[at].tolist())), key=lambda x: (-x[0], x[1]))[:k]
         if best:
             yield result()
     return run
@@ -135,26 +136,26 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vector
     groups, qblocks = max(1, -(-n // group_rows)), max(1, -(-nq // QUERIES))
     spread = max(groups, min(n // ROWS, spark.sparkContext.defaultParallelism))    # small tables still use all cores
     groups = spread
-    wide = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(qblocks)).alias("qb")).select(
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "qb", "id", "v")
-    asked = wide.select((F.col("g") * qblocks + F.col("qb")).alias("cell"), "id", "v") \
+    wide = queries.select("row", "id", "v", F.pmod(F.xxhash64("row"), F.lit(qblocks)).alias("qb")).select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "qb", "row", "id", "v")
+    asked = wide.select((F.col("g") * qblocks + F.col("qb")).alias("cell"), "row", "id", "v") \
         .mapInArrow(_query_rows, "cell long, first long, ids binary, values binary")
-    blocks = rows.mapInArrow(_blocks, "first long, ids binary, values binary") \
+    blocks = rows.select("id", "v").mapInArrow(_blocks, "first long, ids binary, values binary") \
         .withColumn("g", F.pmod(F.xxhash64("first"), F.lit(groups))) \
         .select(F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qb"), "g", "first", "ids", "values") \
         .select((F.col("g") * qblocks + F.col("qb")).alias("cell"), "first", "ids", "values")
     cells = asked.unionByName(blocks).repartition(groups * qblocks, "cell") \
         .sortWithinPartitions("cell", F.col("ids").asc_nulls_first())
-    found = cells.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = cells.mapInArrow(_search(k), "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids = b.column(1).to_pylist()
-        ends, flat = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(zero_copy_only=False).astype(np.int64)
-        values = [np.r_[np.int64(i), flat[s:e]].astype(np.int64).tobytes() for i, s, e in zip(ids, ends[:-1], ends[1:])]
-        yield table({"cell": (b.column(0), pa.int64()), "first": (ids, pa.int64()),
+        rows, ids = (b.column(n).to_pylist() for n in ("row", "id"))
+        ends, flat = b.column("v").offsets.to_numpy(), b.column("v").values.to_numpy(zero_copy_only=False).astype(np.int64)
+        values = [np.r_[np.int64(r), np.int64(i), flat[s:e]].astype(np.int64).tobytes() for r, i, s, e in zip(rows, ids, ends[:-1], ends[1:])]
+        yield table({"cell": (b.column("cell"), pa.int64()), "first": (ids, pa.int64()),
                      "ids": ([None] * len(ids), pa.binary()), "values": (values, pa.binary())})

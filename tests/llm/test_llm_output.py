@@ -38,7 +38,7 @@ def brute_ids(kind, text, end):
 @pytest.fixture(scope="module", params=["word", "byte"])
 def encoders(request):
     path = Q.tokenizer(FILES[request.param])
-    return ChunkEncoder(path, request.param, remembered=50), Tokenizer.from_file(path)
+    return ChunkEncoder(path, request.param, remembered=2000), Tokenizer.from_file(path)
 
 
 @settings(max_examples=300, deadline=None)

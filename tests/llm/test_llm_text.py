@@ -54,11 +54,11 @@ def test_elastic_net_and_temperature():
     rows = [(*G.ngram_counts(t), int(y)) for t, y in texts]
     sizes = []
     for l1 in (0.0, 0.05, 1e6):
-        model = G.Model(["a", "b"], np.ones(G.BUCKETS), np.zeros((G.BUCKETS + 1, 2)))
+        model = G.Model(["a", "b"], np.ones(G.BUCKETS))
         G.ftrl(rows, model, l1=l1)
         sizes.append(np.count_nonzero(model.weights))
     assert sizes[0] > sizes[1] > sizes[2] == 0
-    model = G.Model(["a", "b"], np.ones(G.BUCKETS), np.zeros((G.BUCKETS + 1, 2)))
+    model = G.Model(["a", "b"], np.ones(G.BUCKETS))
     G.ftrl(rows, model)
     noisy = [(w, c, y if i % 4 else 1 - y) for i, (w, c, y) in enumerate(rows)]      # a quarter wrong: scores must come down
     G.calibrate(noisy, model)
