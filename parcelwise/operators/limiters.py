@@ -135,41 +135,44 @@ def rate_limit_token_bucket(requests: DataFrame, rate: int = 1000, per: float =
 
 
 STREAM_SCHEMA = OUT_SCHEMA + ", nth long, revision long, late boolean"
-HELD_SCHEMA = ", base_us long, held_us array<long>, held_id array<long>, revision long, late long"
+HELD_SCHEMA = ", base_us long, held_us array<long>, held_id array<long>, held_ok array<boolean>, revision long, late long"
 
 
 def state_function(rule, delay_us: int):
     """The rule for ``applyInPandasWithState``, whatever the order and cutting of the micro-batches.
 
     State: the rule's state after the requests up to ``base_us`` (the client's newest request less
-    the delay) and the requests since.  A micro-batch's requests are merged into these in (ts, id)
-    order and all are decided again, so a request is emitted once for each revision; ``latest``
+    the delay) and the requests since, with their decisions.  A micro-batch's requests are merged into these in (ts, id)
+    order and decided again, and a request is emitted when it is new or its decision has changed; ``latest``
     keeps the last one.  A request at or before ``base_us`` on arrival is late: it is decided
     with the state of that time, once, and marked."""
     def fold(key, frames, state):
-        *stored, base, times, ids, revision, late = state.get if state.exists else (None, None, [], [], 0, 0)
+        *stored, base, times, ids, told, revision, late = state.get if state.exists else (None, None, [], [], [], 0, 0)
         settled = rule.load(tuple(stored) if state.exists and stored[0] is not None else None)
-        held, out, client = list(zip(times, ids)), [], key[0]
+        held, out, client = list(zip(times, ids, told)), [], key[0]
         for pdf in frames:
             for now, rid in zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["request_id"].tolist()):
                 if base is None or now > base:
-                    held.append((now, rid))
+                    held.append((now, rid, None))
                 else:
                     late += 1
                     out.append((rid, now, rule.admit(settled, base), -late, 0, True))
-        held.sort()
+        held.sort(key=lambda x: x[:2])           # stable: of equal requests those already told come first
         revision += 1
         newest = held[-1][0] - delay_us if held else base
         base = newest if base is None else max(base, newest)
         cut = bisect_right(held, base, key=lambda x: x[0])
-        open_ = None
-        for i, (now, rid) in enumerate(held):
+        open_, nth, decided = None, 0, []
+        for i, (now, rid, before) in enumerate(held):
             if i == cut:
                 open_ = rule.load(rule.dump(settled)) if settled else rule.load(None)
-            nth = out[-1][3] + 1 if i and held[i - 1] == held[i] else 0
-            out.append((rid, now, rule.admit(settled if open_ is None else open_, now), nth, revision, False))
+            nth = nth + 1 if i and held[i - 1][:2] == (now, rid) else 0
+            decided.append(rule.admit(settled if open_ is None else open_, now))
+            if before is None or bool(before) != decided[-1]:
+                out.append((rid, now, decided[-1], nth, revision, False))
         rest = held[cut:]
-        state.update((*(rule.dump(settled) if settled else (None,)), base, [t for t, _ in rest], [r for _, r in rest], revision, late))
+        state.update((*(rule.dump(settled) if settled else (None,)), base, [t for t, _, _ in rest], [r for _, r, _ in rest], decided[cut:],
+                      revision, late))
         for at in range(0, len(out), 100_000):
             rid, ts, admitted, nth, rev, was_late = zip(*out[at:at + 100_000])
             yield pd.DataFrame({"client": [client] * len(rid), "request_id": rid, "ts": pd.to_datetime(list(ts), unit="us"),

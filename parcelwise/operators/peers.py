@@ -39,13 +39,15 @@ T_CELL = [f"t_{c}" for c in CELL]
 
 
 def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per building with normalised match keys and its 2-dp score in cents."""
+    """One row per building with normalised match keys and its 2-dp score in cents.  A building without a parcel
+    key is a parcel of its own: only itself is left out of its peers."""
     y, u = F.col("year_built"), F.col("units")
     if "building_class" not in properties.columns:
         properties = properties.withColumn("building_class", F.lit(None).cast("string"))
     p = properties.join(scores.select("property_id", "risk_score"), "property_id", "left")
     return p.select(
-        "property_id", "bbl", "tenant_id", "borough", "units", "year_built", "building_class", "risk_score",
+        "property_id", F.coalesce("bbl", F.concat(F.lit("#"), F.col("property_id").cast("string"))).alias("bbl"),
+        "tenant_id", "borough", "units", "year_built", "building_class", "risk_score",
         F.lower(F.coalesce(F.col("borough"), F.lit(""))).alias("borough_l"),
         F.when(y.isNotNull() & (y != 0), y).alias("y_key"),
         F.when(u.isNotNull() & (u > 0), u).alias("u_key"),

@@ -75,7 +75,7 @@ SELECT bbl, violation_number, violation_type, substr(issue_date, 1, 10) AS issue
 FROM r WHERE rank <= 50""")
 def q_src_dob(spark, d):
     v = _v(spark, d)
-    return FD.dob_violations(FD.dob_feed(v.violations(), v.properties()), 50)
+    return FD.dob_violations(FD.dob_feed(v.violations(), v.properties(), newest=50), 50)
 
 
 @query("per_property_latest_n", f"""
@@ -440,3 +440,24 @@ def q_portfolio_semi(spark, d):
     members = (L.tenant_scope(v.properties(), TENANT).filter(F.col("council_district").isNotNull())
                .select("property_id"))
     return L.semi(v.violations(), members, "property_id")
+
+
+# ------------------------------------------------------- base tables
+@query("src_users", "SELECT * FROM users")
+def q_src_users(spark, d):
+    return Tables(spark, d).views.users()
+
+
+@query("src_tenants", "SELECT * FROM tenants")
+def q_src_tenants(spark, d):
+    return Tables(spark, d).views.tenants()
+
+
+@query("src_audit_logs", "SELECT * FROM audit_logs")
+def q_src_audit_logs(spark, d):
+    return Tables(spark, d).views.audit_logs()
+
+
+@query("src_api_keys", "SELECT * FROM api_keys")
+def q_src_api_keys(spark, d):
+    return Tables(spark, d).views.api_keys()

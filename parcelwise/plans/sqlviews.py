@@ -116,6 +116,28 @@ SELECT o_custkey AS connection, o_custkey // (1 + o_orderkey % 10) AS property_i
        CASE WHEN o_orderstatus IN ('O', 'P') THEN 'SUBSCRIBE' WHEN o_orderstatus = 'F' THEN 'UNSUBSCRIBE' END AS action,
        o_orderdate AS ts, o_orderkey AS seq
 FROM orders""",
+    "protocol_messages": """
+SELECT event_id AS message_id, user_id AS connection, ts,
+       CASE event_type WHEN 'click' THEN 'SUBSCRIBE' WHEN 'view' THEN 'UNSUBSCRIBE' WHEN 'signup' THEN 'AUTHENTICATE' WHEN 'purchase' THEN 'PING' END AS type,
+       CASE WHEN floor(value)::BIGINT % 3 <> 0 THEN 'p-' || (floor(value)::BIGINT % 7) END AS property_id
+FROM events""",
+    "users": """
+SELECT c_custkey AS user_id, 't-' || c_nationkey AS tenant_id, lower(c_name) AS email,
+       CASE WHEN c_acctbal > 5000 THEN 'admin' ELSE 'member' END AS role, c_acctbal >= 0 AS is_active
+FROM customer""",
+    "tenants": """
+SELECT 't-' || n_nationkey AS tenant_id, n_name AS name,
+       CASE n_nationkey % 3 WHEN 0 THEN 'enterprise' WHEN 1 THEN 'pro' ELSE 'free' END AS plan
+FROM nation""",
+    "audit_logs": """
+SELECT event_id AS log_id, user_id, ts AS created_at,
+       CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'update' WHEN 'signup' THEN 'create' ELSE 'other' END AS action,
+       'property/' || (event_id % 500) AS resource
+FROM events""",
+    "api_keys": """
+SELECT c_custkey AS key_id, c_custkey AS user_id, sha256('key-' || c_custkey) AS key_hash, c_custkey % 4 <> 0 AS is_active,
+       CASE WHEN c_custkey % 2 = 0 THEN 1000 ELSE 100 END AS daily_limit
+FROM customer""",
     "accounts": """
 SELECT c_custkey AS account_key, c_name AS email,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'free'

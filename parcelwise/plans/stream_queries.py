@@ -18,6 +18,8 @@ from parcelwise.functions import dims as D
 from parcelwise.plans.batch_queries import FEED_SCORED_SQL, VIOLATION_AS_OF, feed_sources
 from parcelwise.plans.registry import query
 from parcelwise.sources.tables import Tables
+from parcelwise.streaming import connections as C
+from parcelwise.streaming import incremental as I
 from parcelwise.streaming import jobs as J
 
 SUBS_SQL = """
@@ -75,13 +77,66 @@ def q_subscription_stats(spark, d):
                  F.count_distinct(F.when(F.col("_auth"), F.col("connection"))).alias("authenticated_connections"))
 
 
+# ------------------------------------------------------------ connection state
+PING_LIMIT_S = 3 * 86_400        # registered runs: connections ping every few days in these tables
+
+CONNECTIONS_SQL = f"""
+WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY connection ORDER BY ts, message_id) AS rn FROM protocol_messages
+                     WHERE ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM protocol_messages)),
+r AS (
+  SELECT connection, rn, ts, type, property_id, ts AS last_ping, COALESCE(type = 'AUTHENTICATE', false) AS auth, 1 AS life FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.connection, m.rn, m.ts, m.type, m.property_id,
+         CASE WHEN m.type = 'PING' OR m.ts > r.last_ping + INTERVAL {PING_LIMIT_S} SECOND THEN m.ts ELSE r.last_ping END,
+         COALESCE(m.type = 'AUTHENTICATE', false) OR (r.auth AND m.ts <= r.last_ping + INTERVAL {PING_LIMIT_S} SECOND),
+         r.life + CASE WHEN m.ts > r.last_ping + INTERVAL {PING_LIMIT_S} SECOND THEN 1 ELSE 0 END
+  FROM r JOIN m ON m.connection = r.connection AND m.rn = r.rn + 1),
+e AS (SELECT * FROM r QUALIFY rn = max(rn) OVER (PARTITION BY connection)),
+alive AS (SELECT * FROM e WHERE last_ping + INTERVAL {PING_LIMIT_S} SECOND >= (SELECT max(ts) - INTERVAL 1 DAY FROM protocol_messages)),
+s AS (SELECT r.connection, r.property_id, max_by(r.type, r.rn) AS type FROM r JOIN alive a ON a.connection = r.connection AND a.life = r.life
+      WHERE r.property_id IS NOT NULL AND (r.type = 'UNSUBSCRIBE' OR r.type = 'SUBSCRIBE' AND r.auth) GROUP BY 1, 2)"""
+
+
+def _connection_changes(spark, d, name):
+    changes = C.connection_changes(_s(spark, d).protocol_messages(), PING_LIMIT_S)
+    return _read(spark, J.run_available_now(spark, changes, name))
+
+
+@query("connection_subscriptions", f"""{CONNECTIONS_SQL}
+SELECT connection, property_id FROM s WHERE type = 'SUBSCRIBE'""")
+def q_connection_subscriptions(spark, d):
+    """ST1: subscriptions after authentication, unsubscribing and dropped connections, from the stream's changes."""
+    return C.subscriptions_of(_connection_changes(spark, d, "connections"))
+
+
+@query("connection_stats", f"""{CONNECTIONS_SQL}
+SELECT CAST((SELECT count(*) FROM alive) AS BIGINT) AS active_connections,
+       CAST((SELECT count(*) FROM alive WHERE auth) AS BIGINT) AS authenticated_connections,
+       CAST(count(*) AS BIGINT) AS total_subscriptions, CAST(count(DISTINCT property_id) AS BIGINT) AS unique_properties
+FROM s WHERE type = 'SUBSCRIBE'""")
+def q_connection_stats(spark, d):
+    """A21 from the connection state: open and authenticated connections."""
+    return C.connection_stats(_connection_changes(spark, d, "connection-stats"))
+
+
+@query("stream_queue", f"""
+WITH s AS ({SUBS_SQL}), u AS (SELECT * FROM updates),
+f AS (SELECT s.connection, u.property_id, u.update_id, u.severity, u.ts FROM u JOIN s ON u.property_id = s.property_id)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY connection ORDER BY ts DESC, update_id DESC) <= 100""")
+def q_stream_queue(spark, d):
+    """ST5 in a stream: a ring of 100 undelivered messages a connection."""
+    sent = J.fanout(_s(spark, d).updates(), _current_subs_batch(spark, d)).withColumn("kind", F.lit("MESSAGE"))
+    changes = _read(spark, J.run_available_now(spark, C.undelivered(sent, 100), "queue", "update", J.append_sink))
+    return C.queue_of(changes).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("stream_fanout", f"""
 WITH s AS ({SUBS_SQL}), u AS (SELECT * FROM updates)
 SELECT u.property_id, u.update_id, u.update_type, u.severity, u.ts, s.connection FROM u JOIN s ON u.property_id = s.property_id""")
 def q_stream_fanout(spark, d):
-    """ST2/K5: update stream ⋈ current subscriptions (static) → one row per subscriber."""
-    fan = J.fanout(_s(spark, d).updates(), _current_subs_batch(spark, d))
-    return _read(spark, J.run_available_now(spark, fan, "fanout"))
+    """ST2/K5: update stream ⋈ current subscriptions (static) → one row per subscriber; hot properties in slices."""
+    sink = J.fanout_sink(_current_subs_batch(spark, d))
+    return _read(spark, J.run_available_now(spark, _s(spark, d).updates(), "fanout", "append", sink))
 
 
 @query("queue_last_100", f"""
@@ -110,22 +165,26 @@ SELECT update_id, connection, property_id, severity, ts, quiet, channel,
 FROM c"""
 
 
-def _routing_stream(spark, d):
-    fan = J.fanout(_s(spark, d).updates(), _current_subs_batch(spark, d))
-    return J.alert_routing(fan, J.alert_settings(_b(spark, d).accounts()))
+def _route(spark, d, name, status=None):
+    settings = J.alert_settings(_b(spark, d).accounts())
+
+    def then(sent):
+        rows = J.alert_routing(sent, settings)
+        return rows if status is None else rows.filter(F.col("status") == status)
+    sink = J.fanout_sink(_current_subs_batch(spark, d), then)
+    return _read(spark, J.run_available_now(spark, _s(spark, d).updates(), name, "append", sink))
 
 
 @query("alert_routing", ROUTING_SQL)
 def q_alert_routing(spark, d):
     """ST9: class toggles by plan, quiet hours 22→7 wrapping midnight (SMS held, email sent)."""
-    return _read(spark, J.run_available_now(spark, _routing_stream(spark, d), "routing"))
+    return _route(spark, d, "routing")
 
 
 @query("alert_outbox", f"SELECT * FROM ({ROUTING_SQL}) WHERE status = 'send'")
 def q_alert_outbox(spark, d):
     """K6: the deliverable (event, channel, target) rows, appended per micro-batch."""
-    rows = _routing_stream(spark, d).filter(F.col("status") == "send")
-    return _read(spark, J.run_available_now(spark, rows, "outbox", "append", J.append_sink))
+    return _route(spark, d, "outbox", "send")
 
 
 # ------------------------------------------------------------------- limiters
@@ -200,7 +259,9 @@ def q_connection_sessions(spark, d):
 @query("stream_new_violations", "SELECT DISTINCT source, order_key, line_no FROM violations")
 def q_stream_new_violations(spark, d):
     """ST7: records unseen by (source, external id), for all time."""
-    return _read(spark, J.run_available_now(spark, J.new_violations(_s(spark, d).violations()), "new-violations"))
+    keys = ["source", "order_key", "line_no"]
+    out = J.run_available_now(spark, _s(spark, d).violations().select(*keys), "new-violations", "append", I.new_records_sink(keys))
+    return I.table(spark, out).select(*keys)
 
 
 HEAT_WIN_SQL = """
@@ -216,7 +277,8 @@ SELECT * FROM a WHERE complaints >= 3
 @query("stream_heat_alerts", HEAT_WIN_SQL)
 def q_stream_heat_alerts(spark, d):
     """ST8: 30-day complaint velocity per property, sliding by a day; alert at ≥ 3."""
-    return _read(spark, J.run_available_now(spark, J.heat_alerts(_s(spark, d).complaints()), "heat-alerts"))
+    out = J.run_available_now(spark, J.heat_panes(_s(spark, d).complaints()), "heat-panes")
+    return J.heat_alerts(_read(spark, out), J.final_watermark(spark, out))
 
 
 @query("weekly_digest", """
@@ -286,9 +348,9 @@ SELECT window_start, CAST(count(*) AS BIGINT) AS requests, quantile_disc(latency
 FROM w GROUP BY window_start
 HAVING window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE""")
 def q_p95_latency_5m(spark, d):
-    """ST13: the stream keeps counts per window and latency; the percentile of a closed window is exact."""
-    counts = J.run_available_now(spark, J.latency_histogram_5m(_s(spark, d).requests()), "p95")
-    return J.p95_latency(_read(spark, counts), BREACH_THRESHOLD)
+    """ST13: the stream keeps a sketch per window; the percentile of a closed window is exact."""
+    sketches = _read(spark, J.run_available_now(spark, J.latency_sketch_5m(_s(spark, d).requests()), "p95"))
+    return J.p95_from_sketches(sketches, _b(spark, d).requests(), BREACH_THRESHOLD)
 
 
 @query("sustained_breach", f"""
@@ -306,32 +368,67 @@ def q_sustained_breach(spark, d):
     return J.sustained_breach(J.p95_latency(counts, BREACH_THRESHOLD), "alert", "window_start", 300, 2)
 
 
-@query("stream_rescore", FEED_SCORED_SQL)
-def q_stream_rescore(spark, d):
-    """ST15: the violation stream keeps per-property counts (complete mode); every
-    epoch re-scores the feed from them and replaces the published table."""
-    sv = FE.recent_hpd(_s(spark, d).violations(), VIOLATION_AS_OF, D.FEED_DAYS_BACK)
-    counts = sv.groupBy("property_id").agg(F.count(F.lit(1)).alias("every"),
-                                           F.count_if(F.col("violation_class").isin("A", "B", "C")).alias("classed"),
-                                           F.count_if(F.col("violation_class") == "B").alias("nb"))
-    b = _b(spark, d)
-    props = b.properties()
-    complaints = feed_sources(b)[1]
+@query("stream_sustained_breach", f"""
+WITH w AS ({WIN5_SQL}),
+p AS (SELECT 'p95_latency' AS rule, window_start FROM w GROUP BY window_start HAVING quantile_disc(latency, 0.95) > {BREACH_THRESHOLD}
+      UNION ALL
+      SELECT 'error_rate', window_start FROM w GROUP BY window_start HAVING count(*) FILTER (WHERE is_error) / 300.0::DOUBLE > 0.05),
+g AS (SELECT *, CAST(epoch_us(window_start) / 300000000 AS BIGINT) - row_number() OVER (PARTITION BY rule ORDER BY window_start) AS grp FROM p),
+i AS (SELECT rule, min(window_start) AS breach_start, max(window_start) + INTERVAL 300 SECOND AS breach_end,
+             CAST(count(*) AS BIGINT) AS windows FROM g GROUP BY rule, grp)
+SELECT * FROM i WHERE windows >= 2 AND breach_end + INTERVAL 450 SECOND <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE""")
+def q_stream_sustained_breach(spark, d):
+    """ST14 in a stream: window aggregate, then a session window for each alert rule."""
+    rows = J.breach_stream(_s(spark, d).requests(), J.breach_rules(BREACH_THRESHOLD), 2)
+    return _read(spark, J.run_available_now(spark, rows, "breach"))
+
+
+def rescore_sink(props, complaints):
+    """ST15: counts of changed properties in, the feed's buckets of their parcels out."""
+    from parcelwise.functions import rules as R
+    known: dict[str, bool] = {}      # whether any record has a class; until then the class filter is dropped
+
+    def classed(rows):
+        return bool(rows.agg(F.max(F.col("classed") > 0)).first()[0])
+
+    def flips(batch, epoch, old):
+        before = classed(old)
+        known["some"] = before or classed(batch)
+        return known["some"] != before
+
+    def derive(rows, buckets):
+        some = known.get("some", classed(rows) if "some" not in known else False)
+        keyed = rows.withColumn("n", F.col("classed") if some else F.col("every")).filter("n > 0") \
+            .groupBy("bbl").agg(F.sum("n").alias("total_violations"), F.sum("nb").alias("class_b_violations"))
+        mine = props.filter(I.bucket_of("bbl").isin(buckets))
+        return FE.feed_joined(keyed, FE.complaints_agg(complaints, mine)).withColumn(
+            "compliance_risk_score", R.compliance_score("class_b_violations", "relevant_311_complaints", "total_violations")) \
+            .withColumns({"data_freshness_date": F.lit(VIOLATION_AS_OF).cast("date"), "data_coverage_days": F.lit(D.FEED_DAYS_BACK),
+                          "bucket": I.bucket_of("bbl")})
+
+    upsert = I.upsert_sink("property_id", I.bucket_of("bbl"), derive, flips)
 
     def publish(batch, epoch, out):
-        some = F.coalesce(batch.agg(F.max(F.col("classed") > 0)).scalar(), F.lit(False))   # else the class filter is dropped
-        keyed = (batch.withColumn("n", F.when(some, F.col("classed")).otherwise(F.col("every"))).filter("n > 0")
-                 .join(props.select("property_id", "bbl"), "property_id").groupBy("bbl")
-                 .agg(F.sum("n").alias("total_violations"), F.sum("nb").alias("class_b_violations")))
-        ca = FE.complaints_agg(complaints, props)
-        from parcelwise.functions import rules as R
-        scored = FE.feed_joined(keyed, ca).withColumn(
-            "compliance_risk_score",
-            R.compliance_score("class_b_violations", "relevant_311_complaints", "total_violations")) \
-            .withColumns({"data_freshness_date": F.lit(VIOLATION_AS_OF).cast("date"), "data_coverage_days": F.lit(D.FEED_DAYS_BACK)})
-        scored.write.mode("overwrite").parquet(out)
+        known.pop("some", None)
+        upsert(batch.join(props.select("property_id", "bbl"), "property_id"), epoch, out)
+    return publish
 
-    return _read(spark, J.run_available_now(spark, counts, "rescore", "complete", publish))
+
+def rescore_counts(violations):
+    """Per property: records of the feed's period, those with a class of A to C, and those of class B."""
+    return FE.recent_hpd(violations, VIOLATION_AS_OF, D.FEED_DAYS_BACK).groupBy("property_id").agg(
+        F.count(F.lit(1)).alias("every"), F.count_if(F.col("violation_class").isin("A", "B", "C")).alias("classed"),
+        F.count_if(F.col("violation_class") == "B").alias("nb"))
+
+
+@query("stream_rescore", FEED_SCORED_SQL)
+def q_stream_rescore(spark, d):
+    """ST15: the stream emits the counts of changed properties (update mode); an epoch re-scores and writes the
+    buckets of their parcels only."""
+    b = _b(spark, d)
+    sink = rescore_sink(b.properties(), feed_sources(b)[1])
+    out = J.run_available_now(spark, rescore_counts(_s(spark, d).violations()), "rescore", "update", sink)
+    return I.latest(spark, f"{out}/published").drop("epoch", "bucket")
 
 
 @query("stream_complaint_conversion", """
@@ -351,6 +448,20 @@ def q_stream_complaint_conversion(spark, d):
     return J.conversion_result(_read(spark, J.run_available_now(spark, st, "conversion")))
 
 
+@query("stream_conversion_join", """
+WITH h AS (SELECT unique_key, property_id, created FROM complaints WHERE complaint_type = 'HEAT/HOT WATER'),
+f AS (SELECT h.*, (SELECT min(issued) FROM class_c_events v WHERE v.property_id = h.property_id
+                   AND v.issued >= h.created AND v.issued <= h.created + INTERVAL 14 DAY) AS first_violation FROM h),
+wm AS (SELECT least((SELECT max(created) FROM h), (SELECT max(issued) FROM class_c_events)) - INTERVAL 1 DAY AS wm)
+SELECT unique_key, property_id, created, first_violation, first_violation IS NOT NULL AS converted
+FROM f, wm WHERE first_violation IS NOT NULL OR created + INTERVAL 14 DAY < wm.wm""")
+def q_stream_conversion_join(spark, d):
+    """J13 as a native stream-stream interval join; a complaint is decided by its first record or its horizon."""
+    s = _s(spark, d)
+    rows = J.conversion_join(s.complaints(), s.class_c_events(), 14)
+    return J.conversion_result(_read(spark, J.run_available_now(spark, rows, "conversion-join")))
+
+
 # ------------------------------------------------------------------ messages
 def _messages(v):
     """Inbound protocol messages derived from the event log (JSON text, as received)."""

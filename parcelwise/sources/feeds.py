@@ -40,29 +40,37 @@ def dataset_slice(df: DataFrame, date_col: str, since: str, limit: int | None =
     return out if limit is None else out.limit(limit)
 
 
-def dob_feed(violations: DataFrame, properties: DataFrame) -> DataFrame:
-    """The building-department feed projection: 8 string-ish columns per parcel."""
+def dob_feed(violations: DataFrame, properties: DataFrame, newest: int | None = None) -> DataFrame:
+    """The building-department feed projection: 8 string-ish columns per parcel.  ``newest``: only so many of a
+    property's newest records, cut before the join, when no more of a parcel are wanted."""
     cat = (F.when(F.col("violation_class") == "C", "IMMEDIATELY HAZARDOUS")
            .when(F.col("violation_class") == "B", "HAZARDOUS").otherwise("NON-HAZARDOUS"))
-    p = properties.select("property_id", "bbl", "address")
-    return (violations.filter(F.col("source") == "DOB").join(p, "property_id").select(
-        "bbl",
+    p = properties.select("property_id", "bbl", F.col("address").alias("respondent_name"))
+    rows = violations.filter(F.col("source") == "DOB").select(
+        "property_id",
         F.concat_ws("-", "order_key", "line_no").alias("violation_number"),
         F.col("violation_class").alias("violation_type"),
         F.col("issued_date").cast("string").alias("issue_date"),
         cat.alias("violation_category"),
-        F.col("address").alias("respondent_name"),
         F.col("resolved_date").cast("string").alias("disposition_date"),
         F.when(F.col("is_resolved"), "RESOLVED").alias("disposition"),
-        F.col("fine_amount").cast("string").alias("penalty_imposed")))
+        F.col("fine_amount").cast("string").alias("penalty_imposed"))
+    if newest is not None:
+        rows = top_n_per_key(rows, ["property_id"], [F.col(c).desc() if c == "issue_date" else F.col(c).asc() for c in DOB_ORDER
+                                                     if c != "respondent_name"], newest, rank_col=None)
+    return rows.join(p, "property_id").select(
+        "bbl", "violation_number", "violation_type", "issue_date", "violation_category", "respondent_name", "disposition_date",
+        "disposition", "penalty_imposed")
+
+
+DOB_ORDER = ["issue_date", "violation_number", "violation_category", "penalty_imposed", "respondent_name", "disposition_date"]
 
 
 def dob_violations(feed: DataFrame, limit: int = 50) -> DataFrame:
     """S4 for every parcel: reject keys that are not 10 chars, newest ``limit`` per
     parcel, date prefix, title-cased respondent, class from the category."""
     valid = feed.filter(F.length("bbl") == 10)
-    order = [F.desc("issue_date"), F.asc("violation_number"), F.asc("violation_category"),
-             F.asc("penalty_imposed"), F.asc("respondent_name"), F.asc("disposition_date")]
+    order = [F.col(c).desc() if c == "issue_date" else F.col(c).asc() for c in DOB_ORDER]
     top = top_n_per_key(valid, ["bbl"], order, limit)
     return top.select(
         "bbl", "violation_number", "violation_type",

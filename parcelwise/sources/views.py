@@ -52,6 +52,9 @@ def _case(col: Column, mapping: dict) -> Column:
     return out
 
 
+MESSAGE_OF = {"click": "SUBSCRIBE", "view": "UNSUBSCRIBE", "signup": "AUTHENTICATE", "purchase": "PING"}
+
+
 class Views:
     def __init__(self, tables):
         self.t = tables
@@ -149,6 +152,42 @@ class Views:
             F.col("o_orderkey").alias("seq"),
         )
 
+    def protocol_messages(self) -> DataFrame:
+        """Inbound messages of connections, in the protocol's types; a third of them name no property."""
+        et, v = F.col("event_type"), F.floor("value").cast("long")
+        return self.t.events.select(
+            F.col("event_id").alias("message_id"), F.col("user_id").alias("connection"), "ts",
+            _case(et, MESSAGE_OF).alias("type"),
+            F.when(v % 3 != 0, F.concat(F.lit("p-"), (v % 7).cast("string"))).alias("property_id"))
+
+    def users(self) -> DataFrame:
+        """A user per customer, in the tenant of its nation; admins by account balance."""
+        return self.t.customer.select(
+            F.col("c_custkey").alias("user_id"), F.concat(F.lit("t-"), F.col("c_nationkey").cast("string")).alias("tenant_id"),
+            F.lower("c_name").alias("email"), F.when(F.col("c_acctbal") > 5000, "admin").otherwise("member").alias("role"),
+            (F.col("c_acctbal") >= 0).alias("is_active"))
+
+    def tenants(self) -> DataFrame:
+        """A tenant per nation."""
+        return self.t.nation.select(
+            F.concat(F.lit("t-"), F.col("n_nationkey").cast("string")).alias("tenant_id"), F.col("n_name").alias("name"),
+            F.when(F.col("n_nationkey") % 3 == 0, "enterprise").when(F.col("n_nationkey") % 3 == 1, "pro").otherwise("free").alias("plan"))
+
+    def audit_logs(self) -> DataFrame:
+        """What a user did to which resource, from the request log."""
+        return self.t.events.select(
+            F.col("event_id").alias("log_id"), F.col("user_id"), F.col("ts").alias("created_at"),
+            F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "click", "update")
+             .when(F.col("event_type") == "signup", "create").otherwise("other").alias("action"),
+            F.concat(F.lit("property/"), (F.col("event_id") % 500).cast("string")).alias("resource"))
+
+    def api_keys(self) -> DataFrame:
+        """The keys of a user, as digests; every fourth one is revoked."""
+        return self.t.customer.select(
+            F.col("c_custkey").alias("key_id"), F.col("c_custkey").alias("user_id"),
+            F.sha2(F.concat(F.lit("key-"), F.col("c_custkey").cast("string")), 256).alias("key_hash"),
+            (F.col("c_custkey") % 4 != 0).alias("is_active"), F.when(F.col("c_custkey") % 2 == 0, 1000).otherwise(100).alias("daily_limit"))
+
     def accounts(self) -> DataFrame:
         seg = F.col("c_mktsegment")
         return self.t.customer.select(

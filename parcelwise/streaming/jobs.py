@@ -11,6 +11,8 @@ scheduler lives here).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,10 +30,31 @@ def event_time(df: DataFrame, col: str, out: str = "event_time") -> DataFrame:
     return df.withColumn(out, F.col(col).cast("timestamp"))
 
 
+AUDIT = ("epoch long, input_rows long, state_rows long, dropped_by_watermark long, watermark string")
+
+
+def audit_rows(progress) -> list[tuple]:
+    """§2.10: per micro-batch the input, the rows in state, the rows that came behind the watermark, and the watermark."""
+    return [(p["batchId"], p["numInputRows"], sum(o["numRowsTotal"] for o in p["stateOperators"]),
+             sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]), p["eventTime"].get("watermark"))
+            for p in ({"eventTime": {}, **json.loads(x.json)} for x in progress)]
+
+
+def audit(spark: SparkSession, out: str) -> DataFrame:
+    """The audit table of a run, by its output path."""
+    return spark.read.schema(AUDIT).parquet(f"{out.removesuffix('/out')}/audit")
+
+
+def final_watermark(spark: SparkSession, out: str):
+    """The last watermark of a run as a timestamp column value (NULL when there was none)."""
+    return audit(spark, out).agg(F.max(F.to_timestamp("watermark").cast("timestamp_ntz"))).first()[0]
+
+
 def run_available_now(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                      foreach_batch=None) -> str:
-    """Drain the stream into parquet under the checkpoint folder; return the output path."""
-    base = scratch_path(spark, name)
+                      foreach_batch=None, base: str | None = None) -> str:
+    """Drain the stream into parquet under the checkpoint folder; return the output path.  ``base``: folder of an
+    earlier run to go on from.  The progress of the run's micro-batches is appended to ``base/audit``."""
+    base = base or scratch_path(spark, name)
     out, ckpt = f"{base}/out", f"{base}/_checkpoint"
     w = stream.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
     if foreach_batch is not None:
@@ -39,6 +62,7 @@ def run_available_now(spark: SparkSession, stream: DataFrame, name: str, mode: s
     else:
         q = w.format("parquet").start(out)
     q.awaitTermination()
+    spark.createDataFrame(audit_rows(q.recentProgress), AUDIT).coalesce(1).write.mode("append").parquet(f"{base}/audit")
     return out
 
 
@@ -69,16 +93,48 @@ def fanout(updates: DataFrame, subs: DataFrame) -> DataFrame:
     return updates.join(subs, "property_id")
 
 
+def sliced_fanout(updates: DataFrame, subs: DataFrame, rows: int = 100_000) -> DataFrame:
+    """ST2/K5 of a micro-batch with hot properties spread over tasks.  A directory names the properties with more than
+    ``rows`` subscribers or updates; their subscribers are cut into numbered slices and each update goes
+    once to each slice, their updates are cut into numbered parts and each slice goes once to each part.  The directory has at most
+    (updates + subscriptions) / rows rows, so it is broadcast."""
+    pieces = lambda df, name: df.groupBy("property_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).alias(name)).filter(F.col(name) > 1)
+    directory = F.broadcast(pieces(subs, "slices").join(pieces(updates, "parts"), "property_id", "full"))
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)).cast("long") - 1))
+    u = updates.join(directory, "property_id", "left")
+    u = u.select(*updates.columns, number("update_id", F.col("parts")).alias("_part"), every(F.col("slices")).alias("_slice"))
+    s = subs.join(directory, "property_id", "left")
+    s = s.select(*subs.columns, number("connection", F.col("slices")).alias("_slice"), every(F.col("parts")).alias("_part"))
+    return u.join(s, ["property_id", "_slice", "_part"]).drop("_slice", "_part")
+
+
+def fanout_sink(subs: DataFrame, then=None, rows: int = 100_000):
+    """Append the fan-out of each micro-batch (``then``: what is made of its rows)."""
+    def publish(batch: DataFrame, epoch: int, out: str) -> None:
+        sent = sliced_fanout(batch, subs, rows)
+        append_sink(then(sent) if then else sent, epoch, out)
+    return publish
+
+
 # ------------------------------------------------------------------ alerts
-def heat_alerts(complaints: DataFrame, threshold: int = 3) -> DataFrame:
-    """ST8: 30-day sliding window by 1 day per property; alert at ≥ threshold."""
+def heat_panes(complaints: DataFrame) -> DataFrame:
+    """ST8: heat complaints per property and day, one state row each, emitted once the watermark closes the day."""
     c = event_time(complaints.filter(F.col("complaint_type") == "HEAT/HOT WATER"), "created")
-    agg = (c.withWatermark("event_time", WATERMARK)
-           .groupBy("property_id", F.window("event_time", "30 days", "1 day"))
+    agg = (c.withWatermark("event_time", WATERMARK).groupBy("property_id", F.window("event_time", "1 day"))
            .agg(F.count(F.lit(1)).alias("complaints")))
-    return (agg.filter(F.col("complaints") >= threshold)
-            .select("property_id", F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window.end").cast("timestamp_ntz").alias("window_end"), "complaints"))
+    return agg.select("property_id", F.col("window.start").cast("timestamp_ntz").alias("day"), "complaints")
+
+
+def heat_alerts(panes: DataFrame, closed_until, days: int = 30, threshold: int = 3) -> DataFrame:
+    """ST8: ``days``-day windows sliding by a day, combined from the panes; alert at ≥ threshold once the window is closed."""
+    starts = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("back")
+    w = (panes.select("property_id", "day", "complaints", starts)
+         .select("property_id", (F.col("day") - F.make_dt_interval("back")).alias("window_start"), "complaints")
+         .groupBy("property_id", "window_start").agg(F.sum("complaints").alias("complaints")))
+    end = F.col("window_start") + F.make_dt_interval(F.lit(days))
+    return (w.filter((F.col("complaints") >= threshold) & (end <= F.lit(closed_until)))
+            .select("property_id", "window_start", end.alias("window_end"), "complaints"))
 
 
 def weekly_digest(complaints: DataFrame) -> DataFrame:
@@ -180,6 +236,61 @@ def p95_latency(histogram: DataFrame, threshold: float) -> DataFrame:
         "window_start", "requests", "p95_latency", (F.col("p95_latency") > threshold).alias("alert"))
 
 
+def latency_sketch_5m(requests: DataFrame) -> DataFrame:
+    """ST13: one KLL sketch of the latencies per 5-minute window: one state row a window."""
+    r = event_time(requests, "ts")
+    agg = (r.withWatermark("event_time", "10 minutes").groupBy(F.window("event_time", "5 minutes"))
+           .agg(F.count(F.lit(1)).alias("requests"), F.count("latency").alias("known"),
+                F.kll_sketch_agg_double(F.col("latency").cast("double")).alias("sketch")))
+    return agg.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "requests", "known", "sketch")
+
+
+def p95_from_sketches(sketches: DataFrame, requests: DataFrame, threshold: float, margin: float = 0.03) -> DataFrame:
+    """ST13: exact nearest-rank p95 of closed windows.  The sketch names the value range that holds the rank (with
+    ``margin``, above its error); one pass over the requests counts what is below the range and the values inside it.
+    Windows whose rank turns out to lie outside are counted over all their values."""
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    start = F.window(F.col("ts").cast("timestamp"), "5 minutes")["start"].cast("timestamp_ntz")
+    raw = requests.filter(F.col("latency").isNotNull()).select(start.alias("window_start"), F.col("latency").cast("double").alias("latency"))
+    bounds = sketches.filter("known > 0").select("window_start", "known", at(max(0.0, 0.95 - margin)).alias("low"), at(min(1.0, 0.95 + margin)).alias("high"))
+
+    def ranked(ranges: DataFrame) -> DataFrame:
+        inside = F.when(F.col("latency") >= F.col("low"), F.col("latency"))         # NULL: below the range
+        counts = (raw.join(ranges, "window_start").filter(F.col("latency") <= F.col("high"))
+                  .groupBy("window_start", "known", inside.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+        upto = Window.partitionBy("window_start").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = counts.withColumn("upto", F.sum("n").over(upto)).filter(F.col("upto") * 100 >= F.col("known") * 95)
+        return hit.groupBy("window_start").agg(F.min("value").alias("p95_latency"), F.max(F.col("value").isNull()).alias("below"))
+
+    first = ranked(bounds).filter("not below")
+    missed = bounds.join(first, "window_start", "left_anti").withColumns(
+        {"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+    p95 = first.select("window_start", "p95_latency").unionByName(ranked(missed).select("window_start", "p95_latency"))
+    return sketches.join(p95, "window_start", "left").select(
+        "window_start", "requests", "p95_latency", (F.col("p95_latency") > threshold).alias("alert"))
+
+
+def breach_rules(p95_threshold: float, errors_per_second: float = 0.05) -> dict:
+    """ST14: alert rules over a 5-minute window's requests.  The p95 exceeds the threshold exactly when less than
+    95 % of the latencies are at or below it."""
+    return {"p95_latency": F.count_if(F.col("latency") <= p95_threshold) * 100 < F.count("latency") * 95,
+            "error_rate": F.count_if("is_error") > errors_per_second * 300}
+
+
+def breach_stream(requests: DataFrame, rules: dict, min_steps: int = 2) -> DataFrame:
+    """ST14 in a stream, two chained stateful operators: 5-minute windows that break a rule, then a session window
+    for each rule that joins consecutive ones."""
+    r = event_time(requests, "ts").withWatermark("event_time", "10 minutes")
+    broken = F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]).alias("broken")
+    w = r.groupBy(F.window("event_time", "5 minutes").alias("step")).agg(broken)
+    s = (w.select(F.window_time("step").alias("at"), F.col("step.start").alias("start"), F.explode("broken").alias("rule"))
+         .filter(F.col("rule").isNotNull()).groupBy("rule", F.session_window("at", "450 seconds"))       # steps are 300 seconds apart
+         .agg(F.min("start").alias("first"), F.max("start").alias("last"), F.count(F.lit(1)).alias("windows")))
+    return s.filter(F.col("windows") >= min_steps).select(
+        "rule", F.col("first").cast("timestamp_ntz").alias("breach_start"),
+        (F.col("last").cast("timestamp_ntz") + F.expr("INTERVAL 300 SECONDS")).alias("breach_end"), "windows")
+
+
 def sustained_breach(series: DataFrame, flag: str, ts: str, step_seconds: int, min_steps: int) -> DataFrame:
     """ST14: gaps-and-islands over consecutive breaching windows; an island counts
     when it spans ≥ ``min_steps`` consecutive windows.  The window runs over one
@@ -313,3 +424,21 @@ def stream_conversion_state(complaints: DataFrame, violations: DataFrame, within
     return (u.groupBy("property_id")
             .applyInPandasWithState(conversion_state_fn(within_days, delay_seconds * 1_000_000), CONVERSION_SCHEMA, CONVERSION_STATE,
                                     "append", GroupStateTimeout.EventTimeTimeout))
+
+
+# ----------------------------------------------- conversion as an interval join
+def conversion_join(complaints: DataFrame, violations: DataFrame, within_days: int = 14, delay: str = "1 day") -> DataFrame:
+    """Stream-stream left outer time-interval join with a watermark on both sides.  State of a key is bounded by
+    ``within_days`` plus the delay.  A property's rows are spread along time: a complaint meets the records of its own and
+    the following ``within_days`` block, so a hot property is as many keys as it has blocks.  A complaint gives a row
+    for each record that follows it in time, and rows without a record once the watermark has passed its horizon."""
+    block = int(within_days) * 86_400
+    c = event_time(complaints.filter(F.col("complaint_type") == "HEAT/HOT WATER"), "created").withWatermark("event_time", delay)
+    first = F.floor(F.unix_seconds("event_time") / block)
+    c = c.select("unique_key", "property_id", "created", "event_time", F.explode(F.array(first, first + 1)).alias("block"))
+    v = event_time(violations, "issued", "issued_time").withWatermark("issued_time", delay)
+    v = v.select(F.col("property_id").alias("v_property"), "issued", "issued_time", F.floor(F.unix_seconds("issued_time") / block).alias("v_block"))
+    follows = (F.col("property_id") == F.col("v_property")) & (F.col("block") == F.col("v_block")) \
+        & (F.col("issued_time") >= F.col("event_time")) & (F.col("issued_time") <= F.col("event_time") + F.expr(f"INTERVAL {int(within_days)} DAYS"))
+    return c.join(v, follows, "leftOuter").select(
+        "unique_key", "property_id", "created", F.col("issued").alias("first_violation"), F.col("issued").isNotNull().alias("converted"))
