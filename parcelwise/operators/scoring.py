@@ -131,6 +131,27 @@ def heat_forecast(properties: DataFrame, complaints: DataFrame, as_of: str,
         R.seasonal_note(_as_date(as_of)).alias("seasonal_note"))
 
 
+def heat_forecast_scenarios(properties: DataFrame, complaints: DataFrame, scenarios: list[tuple[str, float | None]],
+                            days: int = 30) -> DataFrame:
+    """R9 and R8 for several (date, average temperature) scenarios in one pass: a property's complaints are counted for
+    all dates at once, then each scenario is a row."""
+    dates = sorted({as_of for as_of, _ in scenarios})
+    since = lambda as_of: F.col("created") >= _as_ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    counts = complaints.filter((F.col("complaint_type") == "HEAT/HOT WATER") & since(dates[0])).groupBy("property_id") \
+        .agg(F.array(*[F.count_if(since(as_of)) for as_of in dates]).alias("_counts"))
+    rows = F.array(*[F.struct(_as_date(as_of).alias("as_of"), F.lit(temp).cast("double").alias("temperature"),
+                              F.lit(dates.index(as_of)).alias("_at")) for as_of, temp in scenarios])
+    base = properties.select("property_id", "year_built").join(counts, "property_id", "left") \
+        .select("property_id", "year_built", "_counts", F.inline(rows))
+    base = base.withColumn("heat_complaints_30d", F.coalesce(F.get("_counts", F.col("_at")), F.lit(0)).cast("long"))
+    raw = R.heat_raw_multiplier(F.col("heat_complaints_30d"), F.col("temperature"), F.col("as_of"))
+    urg = R.heat_urgency(raw)
+    return base.select("property_id", "as_of", "temperature", "heat_complaints_30d", F.bround(raw, 1).alias("risk_multiplier"), urg.alias("urgency"),
+                       R.heat_urgency_field(urg, 0).alias("days_to_violation"), R.heat_urgency_field(urg, 1).alias("fine_range"),
+                       R.heat_urgency_field(urg, 2).alias("action"), R.is_heat_season("as_of").alias("is_heat_season"),
+                       R.seasonal_note("as_of").alias("seasonal_note"))
+
+
 def winter_risk(forecast: DataFrame, violations: DataFrame, service_as_of: str) -> DataFrame:
     """Rounded forecast × age factor × service factor.
 

@@ -154,6 +154,28 @@ def q_property_bundle_partial(spark, d):
                     F.size("complaints").alias("n_complaints"))
 
 
+@query("property_bundle_pages", """
+WITH r AS (
+  SELECT property_id, source AS feed, CAST(issued_date AS TIMESTAMP) AS ts,
+         concat_ws('/', strftime(issued_date, '%Y-%m-%d'), order_key, line_no, violation_class, is_resolved) AS record FROM violations
+  UNION ALL
+  SELECT property_id, 'complaints', created, concat_ws('/', strftime(created, '%Y-%m-%d'), unique_key, complaint_type) FROM complaints),
+n AS (SELECT p.bbl, r.feed, r.ts, r.record, row_number() OVER (PARTITION BY p.bbl, r.feed ORDER BY r.ts DESC, r.record) - 1 AS place
+      FROM r JOIN properties p ON p.property_id = r.property_id)
+SELECT bbl, feed, place // 25 AS page, CAST(count(*) AS BIGINT) AS n_records, string_agg(record, ',' ORDER BY place) AS records
+FROM n GROUP BY bbl, feed, place // 25""")
+def q_property_bundle_pages(spark, d):
+    """S7/J7 as pages of 25 records: no parcel's records are ever in one place."""
+    v = _v(spark, d)
+    text = lambda ts, fields: F.concat_ws("/", F.date_format(ts, "yyyy-MM-dd"), *[F.col(c).cast("string") for c in fields])
+    vio = v.violations().select("property_id", F.col("source").alias("feed"), F.col("issued_date").cast("timestamp_ntz").alias("ts"),
+                                text("issued_date", VIO_FIELDS).alias("record"))
+    comp = v.complaints().select("property_id", F.lit("complaints").alias("feed"), F.col("created").alias("ts"),
+                                 text("created", COMPLAINT_FIELDS).alias("record"))
+    pages = FD.bundle_pages(v.properties(), vio.unionByName(comp), 25)
+    return pages.withColumn("records", F.array_join("records", ","))
+
+
 @query("src_feed_csv", FEED_SCORED_SQL)
 def q_src_feed_csv(spark, d):
     """K1 sink + S8 source: write the scored feed as CSV to the shared folder, read it back typed."""

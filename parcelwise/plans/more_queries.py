@@ -173,6 +173,43 @@ def q_heat_forecast(spark, d):
     return S.heat_forecast(v.properties(), v.complaints(types=["HEAT/HOT WATER"]), EVENT_AS_OF, AVG_TEMP)
 
 
+# Dates at both sides of each season edge, temperatures at both sides of each step; texts written out, not taken from the rules' tables.
+SCENARIOS = [("2024-01-10", 54.9), ("2024-01-15", 55.0), ("2024-01-31", None), ("2024-02-01", 61.9), ("2024-02-20", 62.0),
+             ("2024-03-16", 40.0), ("2024-04-15", 75.0), ("2024-04-16", 50.0), ("2024-07-15", 75.0), ("2024-10-14", 58.0), ("2024-11-01", 30.0)]
+
+
+@query("heat_forecast_scenarios", """
+WITH s(as_of, temperature) AS (VALUES """ + ", ".join(
+    f"(DATE '{d}', {'NULL' if t is None else t}::DOUBLE)" for d, t in SCENARIOS) + """),
+n AS (SELECT p.property_id, s.as_of, s.temperature,
+             (SELECT count(*) FROM complaints c WHERE c.property_id = p.property_id AND c.complaint_type = 'HEAT/HOT WATER'
+              AND c.created >= s.as_of - INTERVAL 30 DAY) AS n, month(s.as_of) * 100 + day(s.as_of) AS md
+      FROM properties p, s),
+r AS (SELECT *, CASE WHEN md BETWEEN 115 AND 315 THEN 2.0::DOUBLE WHEN md BETWEEN 1101 AND 1231 OR md BETWEEN 401 AND 415 OR md >= 1015 THEN 1.5::DOUBLE
+                     WHEN md >= 1001 OR md < 601 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END
+             * CASE WHEN temperature < 55 THEN 2.0::DOUBLE WHEN temperature < 62 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END
+             * CASE WHEN n >= 5 THEN 3.0::DOUBLE WHEN n >= 3 THEN 2.0::DOUBLE WHEN n >= 1 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS raw FROM n)
+SELECT property_id, as_of, temperature, CAST(n AS BIGINT) AS heat_complaints_30d, round_even(raw, 1) AS risk_multiplier,
+       CASE WHEN raw >= 4 THEN 'CRITICAL' WHEN raw >= 2.5 THEN 'HIGH' WHEN raw >= 1.5 THEN 'MODERATE' ELSE 'LOW' END AS urgency,
+       CASE WHEN raw >= 4 THEN 7 WHEN raw >= 2.5 THEN 14 WHEN raw >= 1.5 THEN 21 ELSE 30 END AS days_to_violation,
+       CASE WHEN raw >= 4 THEN '$10K-$25K Class C' WHEN raw >= 2.5 THEN '$5K-$15K Class B/C' WHEN raw >= 1.5 THEN '$1K-$5K Class A/B'
+            ELSE 'Low risk' END AS fine_range,
+       CASE WHEN raw >= 4 THEN 'IMMEDIATE HVAC inspection required. Class C violation imminent.'
+            WHEN raw >= 2.5 THEN 'HVAC inspection within 7 days. Monitor complaints daily.'
+            WHEN raw >= 1.5 THEN 'Schedule preventive maintenance. Review heat complaints.'
+            ELSE 'Monitor weather and complaints. Standard schedule OK.' END AS action,
+       md >= 1001 OR md < 601 AS is_heat_season,
+       CASE WHEN md BETWEEN 115 AND 315 THEN 'PEAK HEAT SEASON: 62% of annual $10K+ fines occur in this period'
+            WHEN md >= 1101 OR md BETWEEN 401 AND 415 THEN 'Active heat season: Elevated complaint and violation risk'
+            WHEN md >= 1001 OR md < 601 THEN 'Heat season: Monitor temperatures and complaints'
+            ELSE 'Off season: Low heat-related risk' END AS seasonal_note
+FROM r""")
+def q_heat_forecast_scenarios(spark, d):
+    """R8, R9 at several dates and temperatures."""
+    v = _v(spark, d)
+    return S.heat_forecast_scenarios(v.properties(), v.complaints(types=["HEAT/HOT WATER"]), SCENARIOS)
+
+
 @query("complaints_lookback", """
 SELECT property_id, CAST(count(*) AS BIGINT) AS heat_complaints FROM complaints
 WHERE complaint_type = 'HEAT/HOT WATER' AND created >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY

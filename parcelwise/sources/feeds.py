@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from parcelwise.functions import rules as R
@@ -106,6 +107,26 @@ def property_bundle(keys: DataFrame, feeds: dict[str, DataFrame | None], limit:
     return out
 
 
+def bundle_pages(keys: DataFrame, records: DataFrame, page_rows: int = 100) -> DataFrame:
+    """S7/J7 in long form: (bbl, feed, page, records), each page at most ``page_rows`` records, newest first.
+
+    ``keys``: (property_id, bbl); ``records``: (property_id, feed, ts, record text).  A parcel's records are numbered in two
+    levels, running counts over its days and a rank inside each day, and no array holds more than a page, so
+    a parcel with a third of all records is spread over its days and pages."""
+    rows = records.join(keys.select("property_id", "bbl"), "property_id").select("bbl", "feed", "ts", "record") \
+        .withColumn("_day", F.to_date("ts"))
+    key = ["bbl", "feed"]
+    newer = Window.partitionBy(*key).orderBy(F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*key, "_day").agg(F.count(F.lit(1)).alias("_n")) \
+        .select(*[F.col(c).alias(f"_{c}") for c in key], F.col("_day").alias("_at"), F.coalesce(F.sum("_n").over(newer), F.lit(0)).alias("_before"))
+    same = F.col("bbl").eqNullSafe(F.col("_bbl")) & F.col("feed").eqNullSafe(F.col("_feed")) & F.col("_day").eqNullSafe(F.col("_at"))
+    inside = Window.partitionBy(*key, "_day").orderBy(F.col("ts").desc_nulls_last(), "record")
+    at = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(days, same).withColumn("_place", F.col("_before") + F.col("_rank"))
+    pages = at.groupBy(*key, F.floor(F.col("_place") / page_rows).cast("long").alias("page")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.sort_array(F.collect_list(F.struct("_place", "record"))).alias("records"))
+    return pages.withColumn("records", F.transform("records", lambda r: r["record"]))
+
+
 def read_feed_csv(spark: SparkSession, path: str, fallback: str | None = None) -> DataFrame:
     """Read the landed feed with its schema; a missing file falls back to the demo file."""
     try:

@@ -295,3 +295,24 @@ def test_null_hot_key_is_cut_before_the_shuffle(spark):
     nulls = sorted([r for r in rows if r[1] is None], key=lambda r: (r[2], r[0]))
     got = {r.id: r.position for r in flags.filter("k is null").collect()}
     assert got == {r[0]: (n + 1 if n < 20 else None) for n, r in enumerate(nulls)} and flags.count() == 3000
+
+
+def test_bundle_pages_of_a_crowded_parcel(spark):
+    """One parcel with most records, many of one moment; null feeds and times; pages against plain Python."""
+    import datetime as dt
+    from parcelwise.sources import feeds as FD
+    keys = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "property_id long, bbl string")
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1 + (i % 2), "x" if i % 5 else None, t + dt.timedelta(hours=i // 40), f"r{i:04d}") for i in range(900)]
+    rows += [(3, "x", None, "late"), (3, "x", t, "early"), (4, "x", t, "no key"), (1, "x", t, "r0001")]
+    recs = spark.createDataFrame(rows, "property_id long, feed string, ts timestamp_ntz, record string")
+    bbl = {1: "a", 2: "a", 3: "b", 4: None}
+    want = {}
+    for p, f, ts, r in sorted(rows, key=lambda x: (x[2] is None, -(x[2] - t).total_seconds() if x[2] else 0, x[3])):
+        want.setdefault((bbl[p], f), []).append(r)
+    pages = FD.bundle_pages(keys, recs, 7).collect()
+    assert all(r["n_records"] == len(r["records"]) <= 7 for r in pages)
+    got = {}
+    for r in sorted(pages, key=lambda r: r["page"]):
+        got.setdefault((r["bbl"], r["feed"]), []).extend(r["records"])
+    assert got == want
