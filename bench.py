@@ -42,6 +42,10 @@ HEADLINE = [
     "queue_last_100",          # newest 100 a connection
     "property_bundle",         # four feeds' records per parcel
     "src_dob_violations",      # newest 50 per parcel
+    "stream_conversion_join",  # stream-stream interval join
+    "stream_rescore",          # incremental re-scoring by buckets
+    "p95_latency_5m",          # sketched p95 with an exact pass
+    "connection_subscriptions",  # connection state machine
 ]
 
 
