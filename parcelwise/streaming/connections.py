@@ -142,11 +142,12 @@ def connection_stats(changes: DataFrame) -> DataFrame:
     """Open and authenticated connections, subscriptions and their properties."""
     last = changes.filter(F.col("change").isin(CONNECTED, DROPPED, AUTHENTICATED)).groupBy("connection") \
         .agg(F.max_by("change", "seq").alias("change"))
-    open_ = last.agg(F.count_if(F.col("change") != DROPPED).alias("active_connections"),
-                     F.count_if(F.col("change") == AUTHENTICATED).alias("authenticated_connections"))
-    subs = subscriptions_of(changes).agg(F.count(F.lit(1)).alias("total_subscriptions"),
-                                         F.count_distinct("property_id").alias("unique_properties"))
-    return open_.crossJoin(subs)          # one row each
+    rows = last.select("change", F.lit(None).cast("string").alias("property_id")) \
+        .unionByName(subscriptions_of(changes).select(F.lit("SUBSCRIBE").alias("change"), "property_id"))
+    return rows.agg(F.count_if(F.col("change").isin(CONNECTED, AUTHENTICATED)).alias("active_connections"),
+                    F.count_if(F.col("change") == AUTHENTICATED).alias("authenticated_connections"),
+                    F.count_if(F.col("change") == "SUBSCRIBE").alias("total_subscriptions"),
+                    F.count_distinct("property_id").alias("unique_properties"))
 
 
 QUEUED, EVICTED, DRAINED = "queued", "evicted", "drained"
