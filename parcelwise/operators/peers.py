@@ -35,7 +35,7 @@ from parcelwise.functions import rules as R
 YEAR_BUCKET = 5      # a target emits exactly the year buckets covering [year − 15, year + 15]
 UNIT_BUCKET = 0.1    # ln(units) buckets; a target emits those covering [ln 0.7u, ln 1.3u], ±1 for float safety
 CELL = ["borough_l", "y_key", "u_key"]
-T_CELL = [f"t_{c}" for c in CELL]
+MISSING = -(1 << 62)  # stands for "no score" where cents are a key
 
 
 def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
@@ -84,15 +84,6 @@ def _unit_tokens(u: Column, target: bool) -> Column:
     return F.array(F.coalesce(b.cast("string"), F.lit("W")), F.lit("A"))
 
 
-def _token_rows(df: DataFrame, prefix: str, target: bool, keep: list[str], extra: list[str] = ()) -> DataFrame:
-    """One row per (cell, year token, units token): every qualifying (target, candidate)
-    cell pair shares exactly one token pair."""
-    return (df.select(*[F.col(c).alias(f"{prefix}{c}") for c in keep], *extra,
-                      F.explode(_year_tokens(F.col("y_key"), target)).alias("ytok"),
-                      _unit_tokens(F.col("u_key"), target).alias("_ut"))
-            .select("*", F.explode("_ut").alias("utok")).drop("_ut"))
-
-
 def _eq_null_safe(cols_a: list[str], cols_b: list[str]) -> Column:
     cond = None
     for a, b in zip(cols_a, cols_b):
@@ -101,122 +92,148 @@ def _eq_null_safe(cols_a: list[str], cols_b: list[str]) -> Column:
     return cond
 
 
+def _named(prepared: DataFrame, keys: list[str], name: str, *aggs: Column) -> DataFrame:
+    """The groups of ``keys``, each with the smallest property_id in it as its id: one plain key for the joins
+    and windows that follow, where the keys themselves hold nulls."""
+    return prepared.groupBy(*keys).agg(F.min("property_id").alias(name), *aggs)
+
+
+def _look_up(df: DataFrame, names: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    side = names.select(*[F.col(k).alias(f"_n_{k}") for k in keys], *cols)
+    return df.join(side, _eq_null_safe(keys, [f"_n_{k}" for k in keys])).drop(*[f"_n_{k}" for k in keys])
+
+
 def merged_scores(prepared: DataFrame, scores: bool = True) -> DataFrame:
-    """(target cell, cents, cnt): the scores of all buildings that the cell's peer predicate
-    admits, the cell itself included; NULL cents counts the unscored ones.
+    """(cell, v, cnt): the scores of all buildings that the cell's peer predicate admits, the cell itself
+    included; ``cell`` is the id of ``_named`` and v the score in cents, ``MISSING`` for the unscored ones.
 
     The predicate is a year test and a unit test, so the sum runs over one axis at a time:
     first over the candidates' years for each target year, then over their unit counts for
     each target cell.  The work per cell is the sum of the two ranges, not their product, and
     the intermediate is at most one row per (borough, year, units, score).  With ``scores``
-    off only scored and unscored buildings are told apart (cents 0 and NULL)."""
-    cents = F.col("cents") if scores else F.when(F.col("cents").isNotNull(), F.lit(0).cast("long"))
-    entries = prepared.groupBy(*CELL, cents.alias("cents")).agg(F.count(F.lit(1)).alias("cnt"))
-    t_cells = prepared.select(*CELL).distinct()
-    years = (t_cells.select(F.col("borough_l").alias("t_borough_l"), F.col("y_key").alias("t_y_key")).distinct()
-             .withColumn("t_ytok", F.explode(_year_tokens(F.col("t_y_key"), True))))
+    off only scored and unscored buildings are told apart (v 0 and ``MISSING``)."""
+    v = F.col("cents") if scores else F.when(F.col("cents").isNotNull(), F.lit(0).cast("long"))
+    entries = prepared.groupBy(*CELL, F.coalesce(v, F.lit(MISSING)).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    cells = _named(prepared, CELL, "cell")
+    lines = cells.groupBy("borough_l", "y_key").agg(F.min("cell").alias("line"))
+    years = lines.select("line", F.col("borough_l").alias("t_borough_l"), F.col("y_key").alias("t_y_key"),
+                         F.explode(_year_tokens(F.col("y_key"), True)).alias("t_ytok"))
     c = entries.withColumn("ytok", F.explode(_year_tokens(F.col("y_key"), False)))
     by_year = (years.join(c, (F.col("t_borough_l") == F.col("borough_l")) & (F.col("t_ytok") == F.col("ytok")))
                .filter(_year_ok(F.col("t_y_key"), F.col("y_key")))
-               .groupBy("t_borough_l", "t_y_key", "u_key", "cents").agg(F.sum("cnt").alias("cnt")))
-    targets = (t_cells.select(F.col("borough_l").alias("b"), F.col("y_key").alias("y"), F.col("u_key").alias("t_u_key"))
-               .withColumn("t_utok", F.explode(_unit_tokens(F.col("t_u_key"), True))))
+               .groupBy("line", "u_key", "v").agg(F.sum("cnt").alias("cnt")))
+    targets = (_look_up(cells, lines, ["borough_l", "y_key"], ["line"])
+               .select("cell", F.col("line").alias("t_line"), F.col("u_key").alias("t_u_key"),
+                       F.explode(_unit_tokens(F.col("u_key"), True)).alias("t_utok")))
     c = by_year.withColumn("utok", F.explode(_unit_tokens(F.col("u_key"), False)))
-    return (targets.join(c, _eq_null_safe(["b", "y"], ["t_borough_l", "t_y_key"]) & (F.col("t_utok") == F.col("utok")))
+    return (targets.join(c, (F.col("t_line") == F.col("line")) & (F.col("t_utok") == F.col("utok")))
             .filter(_unit_ok(F.col("t_u_key"), F.col("u_key")))
-            .groupBy("t_borough_l", "t_y_key", "t_u_key", "cents").agg(F.sum("cnt").alias("cnt")))
+            .groupBy("cell", "v").agg(F.sum("cnt").alias("cnt")))
 
 
-def _totals(merged: DataFrame) -> DataFrame:
-    """Per target cell: all, scored and cent sum of its peer set (the cell's own buildings included)."""
-    return merged.groupBy(*T_CELL).agg(
-        F.sum("cnt").alias("m_n"), F.coalesce(F.sum(F.when(F.col("cents").isNotNull(), F.col("cnt"))), F.lit(0)).alias("m_ns"),
-        F.coalesce(F.sum(F.col("cents") * F.col("cnt")), F.lit(0)).alias("m_sc"))
+def _lots(prepared: DataFrame) -> DataFrame:
+    """One row per (parcel, cell), a *lot*: its buildings leave the same ones out of their peers."""
+    lots = _named(prepared, ["bbl", *CELL], "lot", F.count(F.lit(1)).alias("g_n"), F.count("cents").alias("g_ns"),
+                  F.sum("cents").alias("g_sc"))
+    return _look_up(lots, _named(prepared, CELL, "cell"), CELL, ["cell"])
 
 
-def _parcel_pairs(prepared: DataFrame) -> DataFrame:
-    """(building, cell of its parcel that it would match): what its peer set leaves out, the
-    building itself included; a crowded parcel is one row per cell."""
-    grp = prepared.groupBy("bbl", *CELL).agg(F.count(F.lit(1)).alias("g_n"), F.count("cents").alias("g_ns"),
-                                             F.sum("cents").alias("g_sc"))
-    g = grp.select(F.col("bbl").alias("g_bbl"), *[F.col(c).alias(f"g_{c}") for c in CELL], "g_n", "g_ns", "g_sc")
-    return (prepared.select("property_id", "bbl", "cents", *CELL)
+def _left_out_pairs(lots: DataFrame) -> DataFrame:
+    """(lot, lot of the same parcel that it would match, itself included): what its buildings' peer sets leave out."""
+    g = lots.select(F.col("bbl").alias("g_bbl"), *[F.col(c).alias(f"g_{c}") for c in CELL], F.col("lot").alias("e_lot"),
+                    F.col("g_n").alias("x_n"), F.col("g_ns").alias("x_ns"), F.col("g_sc").alias("x_sc"))
+    return (lots.select("lot", "cell", "bbl", *CELL)
             .join(g, (F.col("bbl") == F.col("g_bbl")) & (F.col("borough_l") == F.col("g_borough_l")))
-            .filter(_year_ok(F.col("y_key"), F.col("g_y_key")) & _unit_ok(F.col("u_key"), F.col("g_u_key"))))
+            .filter(_year_ok(F.col("y_key"), F.col("g_y_key")) & _unit_ok(F.col("u_key"), F.col("g_u_key")))
+            .select("lot", "cell", "e_lot", "x_n", "x_ns", "x_sc"))
 
 
 def _left_out(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("property_id").agg(F.sum("g_n").alias("e_n"), F.sum("g_ns").alias("e_ns"),
-                                            F.coalesce(F.sum("g_sc"), F.lit(0)).alias("e_sc"))
+    return pairs.groupBy("lot", "cell").agg(F.sum("x_n").alias("e_n"), F.sum("x_ns").alias("e_ns"),
+                                            F.coalesce(F.sum("x_sc"), F.lit(0)).alias("e_sc"))
+
+
+def _with_lot(prepared: DataFrame, lots: DataFrame) -> DataFrame:
+    return _look_up(prepared.select("property_id", "bbl", "cents", *CELL), lots, ["bbl", *CELL], ["lot", "cell"]) \
+        .select("property_id", "cents", "lot", "cell")
 
 
 def peer_counts(prepared: DataFrame) -> DataFrame:
     """J4 per building: similar_count (all peers) and scored_peers, without histograms."""
-    tot = _totals(merged_scores(prepared, scores=False))
-    return (prepared.select("property_id", *CELL).join(tot, _eq_null_safe(CELL, T_CELL))
-            .join(_left_out(_parcel_pairs(prepared)), "property_id")
-            .select("property_id", (F.col("m_n") - F.col("e_n")).alias("similar_count"),
-                    (F.col("m_ns") - F.col("e_ns")).alias("scored_peers")))
+    lots = _lots(prepared)
+    tot = merged_scores(prepared, scores=False).groupBy("cell").agg(
+        F.sum("cnt").alias("m_n"), F.coalesce(F.sum(F.when(F.col("v") != MISSING, F.col("cnt"))), F.lit(0)).alias("m_ns"))
+    per_lot = _left_out(_left_out_pairs(lots)).join(tot, "cell").select(
+        "lot", (F.col("m_n") - F.col("e_n")).alias("similar_count"), (F.col("m_ns") - F.col("e_ns")).alias("scored_peers"))
+    return _with_lot(prepared, lots).join(per_lot, "lot").select("property_id", "similar_count", "scored_peers")
 
 
 def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     """Per building: similar_count (all peers), scored peers, cent sum, strictly-below
     count and exact median (in cents) of scored peers.
 
-    The merged histogram and the exclusions feed several joins; with ``materialize``
-    they are persisted (memory, spilling to disk) so each is computed once — a lost
-    executor's blocks are recomputed from lineage."""
+    A cell's merged histogram is read once: a window gives running counts, and only the
+    values that are asked for go on, the cell's own scores (strictly-below counts) and those
+    whose ranks can hold a median.  These few points and the exclusions feed several joins;
+    with ``materialize`` they are persisted (memory, spilling to disk) so each is computed
+    once — a lost executor's blocks are recomputed from lineage."""
     def keep(df):
         return df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
 
-    merged = keep(merged_scores(prepared))
-    w = Window.partitionBy(*T_CELL).orderBy("cents")
-    hist = (merged.filter(F.col("cents").isNotNull())
-            .withColumn("cum_le", F.sum("cnt").over(w)).withColumn("cum_lt", F.col("cum_le") - F.col("cnt"))
-            .withColumnRenamed("cents", "v").drop("cnt"))
-    ex_pairs = keep(_parcel_pairs(prepared))
-    g_hist = prepared.filter(F.col("cents").isNotNull()).groupBy("bbl", *CELL, "cents") \
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    ex_hist = keep(ex_pairs.select("property_id", "g_bbl", *[f"g_{c}" for c in CELL])
-                   .join(g_hist.select(F.col("bbl").alias("h_bbl"), *[F.col(c).alias(f"h_{c}") for c in CELL],
-                                       F.col("cents").alias("e_cents"), F.col("cnt").alias("e_cnt")),
-                         _eq_null_safe(["g_bbl"] + [f"g_{c}" for c in CELL], ["h_bbl"] + [f"h_{c}" for c in CELL]))
-                   .groupBy("property_id", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")))
+    lots = keep(_lots(prepared))
+    pairs = _left_out_pairs(lots)
+    out_of = _left_out(pairs)
+    buildings = keep(_with_lot(prepared, lots))
+    asked = buildings.groupBy("cell", F.coalesce("cents", F.lit(MISSING)).alias("v")).agg(F.lit(True).alias("own"))
+    merged = merged_scores(prepared).join(asked, ["cell", "v"], "left")
+    whole = Window.partitionBy("cell")
+    scored = F.when(F.col("v") != MISSING, F.col("cnt")).otherwise(F.lit(0))
+    ranked = merged.select(
+        "cell", "v", "own", F.sum(scored).over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("cum_le"),
+        scored.alias("at"), F.sum("cnt").over(whole).alias("m_n"), F.sum(scored).over(whole).alias("m_ns"),
+        F.sum(scored * F.col("v")).over(whole).alias("m_sc"))
+    # The scored peers of a cell's buildings number m_ns - e_ns, and ranks shift by at most e_ns.
+    spread = out_of.groupBy("cell").agg(F.min("e_ns").alias("e_least"), F.max("e_ns").alias("e_most"))
+    central = (F.col("v") != MISSING) & (F.col("cum_le") >= F.floor((F.col("m_ns") - F.col("e_most") + 1) / 2)) \
+        & (F.col("cum_le") - F.col("at") < F.floor((F.col("m_ns") - F.col("e_least")) / 2) + 1 + F.col("e_most"))
+    points = keep(ranked.join(spread, "cell").withColumn("central", central).filter(F.col("own") | F.col("central"))
+                  .select("cell", "v", "own", "central", "cum_le", (F.col("cum_le") - F.col("at")).alias("cum_lt"),
+                          "m_n", "m_ns", "m_sc"))
+    totals = points.groupBy("cell").agg(*[F.max(c).alias(c) for c in ("m_n", "m_ns", "m_sc")])
     n2 = F.col("m_ns") - F.col("e_ns")
-    base = keep(prepared.select("property_id", "cents", *CELL).join(_totals(merged), _eq_null_safe(CELL, T_CELL))
-                .join(_left_out(ex_pairs), "property_id")
-                .select("property_id", "cents", *CELL, (F.col("m_n") - F.col("e_n")).alias("similar_count"),
-                        n2.alias("scored_peers"), (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"),
-                        F.floor((n2 + 1) / 2).cast("long").alias("j1"), (F.floor(n2 / 2) + 1).cast("long").alias("j2"),
-                        F.col("e_ns").alias("k")))
-    # Strictly below: the building's own score is in its cell's histogram, an equi-lookup.
-    below_m = (base.join(hist, _eq_null_safe([*CELL, "cents"], [*T_CELL, "v"]))
-               .select("property_id", F.col("cum_lt").alias("m_below")))
-    below_e = (base.select("property_id", "cents").join(ex_hist, "property_id")
-               .groupBy("property_id").agg(F.sum(F.when(F.col("e_cents") < F.col("cents"), F.col("e_cnt")))
-                                           .alias("e_below")))
+    base = out_of.join(totals, "cell").select(
+        "lot", "cell", (F.col("m_n") - F.col("e_n")).alias("similar_count"), n2.alias("scored_peers"),
+        (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"), F.floor((n2 + 1) / 2).cast("long").alias("j1"),
+        (F.floor(n2 / 2) + 1).cast("long").alias("j2"), F.col("e_ns").alias("k"))
+    lot_hist = buildings.filter(F.col("cents").isNotNull()).groupBy(F.col("lot").alias("e_lot"), F.col("cents").alias("e_cents")) \
+        .agg(F.count(F.lit(1)).alias("e_cnt"))
+    ex_hist = keep(pairs.select("lot", "e_lot").join(lot_hist, "e_lot")
+                   .groupBy("lot", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")))
+    # Strictly below: the building's own score is in its cell's and its lot's histogram, two equi-lookups.
+    up_to = Window.partitionBy("lot").orderBy("e_cents")
+    below_e = ex_hist.select("lot", "e_cents", (F.sum("e_cnt").over(up_to) - F.col("e_cnt")).alias("e_below"))
+    own = points.filter("own").select("cell", F.col("v").alias("cents"), F.col("cum_lt").alias("m_below"))
+    below = (buildings.join(own, ["cell", "cents"])
+             .join(below_e.withColumnRenamed("e_cents", "cents"), ["lot", "cents"])
+             .select("property_id", (F.col("m_below") - F.col("e_below")).alias("below")))
     # Median: P = M \ E; P_j = min v in M with cumM(v) - cumE(v) >= j, and only values whose
-    # ranks lie in [j1, j2 + k) can hold it.  Buildings of a cell mostly share (j1, j2, k), so
-    # the histogram is searched once for each of these, then handed to the buildings.
+    # ranks lie in [j1, j2 + k) can hold it.  Lots of a cell mostly share (j1, j2, k), so
+    # the points are searched once for each of these, then handed to the lots.
     rank = ["j1", "j2", "k"]
-    near = (base.filter(F.col("scored_peers") > 0).select(*CELL, *rank).distinct()
-            .join(hist, _eq_null_safe(CELL, T_CELL) & (F.col("cum_le") >= F.col("j1"))
-                  & (F.col("cum_lt") < F.col("j2") + F.col("k")))
-            .select(*T_CELL, *[F.col(c).alias(f"n_{c}") for c in rank], "v", "cum_le"))
-    cum_e = (base.select("property_id", *CELL, *rank)
-             .join(near, _eq_null_safe([*CELL, *rank], [*T_CELL, *[f"n_{c}" for c in rank]]))
-             .join(ex_hist, "property_id", "left")
-             .groupBy("property_id", "j1", "j2", "v", "cum_le")
+    near = (base.filter(F.col("scored_peers") > 0).select("cell", *rank).distinct()
+            .join(points.filter("central").select("cell", "v", "cum_le", "cum_lt"), "cell")
+            .filter((F.col("cum_le") >= F.col("j1")) & (F.col("cum_lt") < F.col("j2") + F.col("k"))))
+    cum_e = (base.select("lot", "cell", *rank).join(near, ["cell", *rank]).join(ex_hist, "lot", "left")
+             .groupBy("lot", "j1", "j2", "v", "cum_le")
              .agg(F.coalesce(F.sum(F.when(F.col("e_cents") <= F.col("v"), F.col("e_cnt"))), F.lit(0)).alias("ce")))
     rank_p = F.col("cum_le") - F.col("ce")
-    med = cum_e.groupBy("property_id").agg(
+    med = cum_e.groupBy("lot").agg(
         F.min(F.when(rank_p >= F.col("j1"), F.col("v"))).alias("p1"),
         F.min(F.when(rank_p >= F.col("j2"), F.col("v"))).alias("p2"))
-    out = (base.join(below_m, "property_id", "left").join(below_e, "property_id", "left")
-           .join(med, "property_id", "left"))
-    return out.select("property_id", "similar_count", "scored_peers", "sum_cents",
-                      (F.coalesce("m_below", F.lit(0)) - F.coalesce("e_below", F.lit(0))).alias("below"),
-                      F.when(F.col("scored_peers") > 0, (F.col("p1") + F.col("p2")) / 2.0).alias("median_cents"))
+    per_lot = base.join(med, "lot", "left")
+    return (buildings.select("property_id", "lot").join(per_lot, "lot").join(below, "property_id", "left")
+            .select("property_id", "similar_count", "scored_peers", "sum_cents", F.coalesce("below", F.lit(0)).alias("below"),
+                    F.when(F.col("scored_peers") > 0, (F.col("p1") + F.col("p2")) / 2.0).alias("median_cents")))
 
 
 def _fmt0(x: Column) -> Column:
@@ -325,6 +342,9 @@ def portfolio_peer_ranking(prepared: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- k nearest
 KCELL = CELL + ["class_l"]
+#: Nested boxes around a cell: years, and width in ln(units) (0: the same unit count).  All buildings of one box are
+#: peers of each other: 14 years and a ratio of exp(0.26) < 1.3 at most.
+RINGS = [(1, 0), (3, 0.06), (6, 0.12), (15, 0.26)]
 
 
 def _distance(t_y: Column, t_u: Column, t_cls: Column, c_y: Column, c_u: Column, c_cls: Column) -> Column:
@@ -336,47 +356,95 @@ def _distance(t_y: Column, t_u: Column, t_cls: Column, c_y: Column, c_u: Column,
     return dy + du + dc
 
 
+def _rings(cells: DataFrame, k: int) -> DataFrame:
+    """Per cell a distance within which k peers of any of its buildings must lie, null where none is known.
+
+    Nested grid boxes (``RINGS``) hold a cell; all buildings of its box are peers at most that
+    ring's distance away (one more for another class).  The smallest ring whose box holds k
+    buildings besides the most crowded parcel of the cell is the one to search.  A box holds at
+    most its years times its unit counts times the classes."""
+    need, out, least = F.col("most") + k, cells, []
+    for i, (years, width) in enumerate(RINGS):
+        reach = (years - 1) / 15.0 + (math.exp(width) - 1 if width else 0.0)
+        out = out.withColumn("b_y", F.floor(F.col("y_key") / years)) \
+            .withColumn("b_u", F.floor(F.log(F.col("u_key").cast("double")) / width) if width else F.col("u_key"))
+        box = ["borough_l", "b_y", "b_u"]
+        out = out.withColumn(f"all_{i}", F.sum("n").over(Window.partitionBy(*box))) \
+            .withColumn(f"same_{i}", F.sum("n").over(Window.partitionBy(*box, "class_l")))
+        least += [F.when(F.col(f"same_{i}") >= need, F.lit(reach)), F.when(F.col(f"all_{i}") >= need, F.lit(1.0 + reach))]
+    return out.select(*cells.columns, F.least(*least).alias("reach"))
+
+
+def _near_tokens(y: Column, u: Column, reach: Column) -> tuple[Column, Column]:
+    """Year and unit tokens of a target that only looks ``reach`` far: at most the whole ranges."""
+    years = F.least(F.lit(15.0), F.coalesce(reach * 15.0, F.lit(15.0)) + 0.001)
+    share = F.least(F.lit(0.3), F.coalesce(reach, F.lit(0.3)) + 0.001)
+    lo, hi = F.floor((y - years) / YEAR_BUCKET), F.floor((y + years) / YEAR_BUCKET)
+    ln = u.cast("double")
+    ulo, uhi = F.floor(F.log(ln * (1 - share)) / UNIT_BUCKET - 0.001), F.floor(F.log(ln * (1 + share)) / UNIT_BUCKET + 0.001)
+
+    def tokens(a, b, key):
+        return F.when(key.isNull(), F.array(F.lit("A"))).otherwise(
+            F.concat(F.transform(F.sequence(a, b), lambda x: x.cast("string")), F.array(F.lit("W"))))
+    return tokens(lo, hi, y), tokens(ulo, uhi, u)
+
+
 def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     """The k most similar peers of every building (ties → smaller id).
 
-    Exact and bounded: candidate *cells* are ranked by distance per target cell and
-    kept for a building while fewer than k + m buildings are strictly closer (m = the number
-    of buildings on its own parcel, which bounds its exclusions); each kept cell
-    contributes its 2 k lowest-id buildings, at most k of one parcel: of those, at most k are
-    on the target's parcel.  The final top-k per building is ``top_n_per_key``."""
+    Exact and bounded.  Each target cell searches the (year, units) grid only as far as the
+    ring that must hold its k-th peer (``_rings``), cells of its own class and, where the ring
+    goes beyond the class's distance of 1, of the others that much nearer.  One window then ranks
+    the candidate cells by distance and keeps them while fewer than k + m buildings are strictly
+    closer (m = the number of buildings on a building's own parcel, which bounds its exclusions);
+    each kept cell contributes its 2 k lowest-id buildings, at most k of one parcel: of those, at
+    most k are on the target's parcel.  The final top-k per building is ``top_n_per_key``."""
     from parcelwise.operators.windows import top_n_per_key
 
+    def keep(df):
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     p = prepared.withColumn("class_l", F.col("building_class"))
     mates = p.groupBy("bbl").agg(F.count(F.lit(1)).alias("mates"))
-    targets = p.select("property_id", "bbl", "cents", *KCELL).join(mates, "bbl")
-    crowd = targets.groupBy(*[F.col(x).alias(f"w_{x}") for x in KCELL]).agg(F.max("mates").alias("most"))
-    cdf = p.groupBy(*KCELL).agg(F.count(F.lit(1)).alias("n"))
-    t = _token_rows(cdf, "t_", True, KCELL)
-    c = _token_rows(cdf, "c_", False, KCELL, ["n"])
-    pairs = (t.join(c, (F.col("t_borough_l") == F.col("c_borough_l")) & (t.ytok == c.ytok) & (t.utok == c.utok))
-             .filter(_year_ok(F.col("t_y_key"), F.col("c_y_key")) & _unit_ok(F.col("t_u_key"), F.col("c_u_key")))
-             .withColumn("d", _distance(F.col("t_y_key"), F.col("t_u_key"), F.col("t_class_l"),
-                                        F.col("c_y_key"), F.col("c_u_key"), F.col("c_class_l"))))
-    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)   # ranked per distance and joined back
-    tk = [f"t_{x}" for x in KCELL]
-    per_d = pairs.groupBy(*tk, "d").agg(F.sum("n").alias("nd"))
-    w = Window.partitionBy(*tk).orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    keep_d = (per_d.withColumn("closer", F.coalesce(F.sum("nd").over(w), F.lit(0)))
-              .join(crowd, _eq_null_safe(tk, [f"w_{x}" for x in KCELL])).filter(F.col("closer") < k + F.col("most")))
-    kd = keep_d.select(*[F.col(x).alias(f"k_{x}") for x in tk], F.col("d").alias("k_d"), "closer")
-    kept = pairs.join(kd, _eq_null_safe(tk + ["d"], [f"k_{x}" for x in tk] + ["k_d"]))
-    of_parcel = top_n_per_key(p.select(*KCELL, F.col("property_id").alias("peer_id"), F.col("bbl").alias("peer_bbl"),
-                                       F.col("cents").alias("peer_cents")),
-                              [*KCELL, "peer_bbl"], [F.asc("peer_id")], k, rank_col=None)
-    members = top_n_per_key(of_parcel, KCELL, [F.asc("peer_id")], 2 * k, rank_col=None)
-    expanded = (kept.select(*tk, *[F.col(f"c_{x}") for x in KCELL], "d", "closer")
-                .join(members.select(*[F.col(x).alias(f"m_{x}") for x in KCELL], "peer_id", "peer_bbl", "peer_cents"),
-                      _eq_null_safe([f"c_{x}" for x in KCELL], [f"m_{x}" for x in KCELL])))
-    tj = (targets.join(expanded, _eq_null_safe(KCELL, tk))
+    names = _named(p, KCELL, "cell")
+    buildings = keep(_look_up(p.select("property_id", "bbl", "cents", *KCELL), names, KCELL, ["cell"]).join(mates, "bbl"))
+    cells = buildings.groupBy("cell", *KCELL).agg(F.count(F.lit(1)).alias("n"), F.max("mates").alias("most"))
+    # A target makes many more rows than its own bytes tell: as many partitions as the session shuffles into.
+    parts = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ringed = keep(_rings(cells, k).repartition(parts, "cell"))
+    y, u, reach = F.col("y_key"), F.col("u_key"), F.col("reach")
+
+    def search(targets, how_far, extra, same_class):
+        ytok, utok = _near_tokens(y, u, how_far)
+        t = (targets.select(F.col("cell").alias("t_cell"), F.col("most"), *[F.col(x).alias(f"t_{x}") for x in KCELL],
+                            (F.coalesce(how_far, F.lit(9.0)) + 1e-9).alias("far"), F.explode(ytok).alias("ytok"), utok.alias("_u"))
+             .withColumn("utok", F.explode("_u")).drop("_u"))
+        c = (ringed.select(F.col("cell").alias("c_cell"), "n", *[F.col(x).alias(f"c_{x}") for x in KCELL],
+                          F.explode(_year_tokens(y, False)).alias("c_ytok"), _unit_tokens(u, False).alias("_u"))
+             .withColumn("c_utok", F.explode("_u")).drop("_u"))
+        on = (F.col("t_borough_l") == F.col("c_borough_l")) & (F.col("ytok") == F.col("c_ytok")) & (F.col("utok") == F.col("c_utok"))
+        alike = F.col("t_class_l").eqNullSafe(F.col("c_class_l"))
+        axes = _distance(F.col("t_y_key"), F.col("t_u_key"), F.col("t_class_l"),
+                         F.col("c_y_key"), F.col("c_u_key"), F.col("t_class_l"))
+        return (t.join(c, on & (alike if same_class else ~alike))
+                .filter(_year_ok(F.col("t_y_key"), F.col("c_y_key")) & _unit_ok(F.col("t_u_key"), F.col("c_u_key")))
+                .withColumn("_axes", axes).filter(F.col("_axes") <= F.col("far"))
+                .select("t_cell", "most", "c_cell", "n", (F.col("_axes") + extra).alias("d")))
+
+    near = search(ringed, reach, 0.0, True)
+    others = search(ringed.filter(reach.isNull() | (reach >= 1)), reach - 1.0, 1.0, False)
+    up_to = Window.partitionBy("t_cell").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
+    closer = F.sum("n").over(up_to) - F.sum("n").over(Window.partitionBy("t_cell", "d"))
+    kept = near.unionByName(others).withColumn("closer", closer).filter(F.col("closer") < k + F.col("most"))
+    of_parcel = top_n_per_key(buildings.select(F.col("cell").alias("c_cell"), F.col("property_id").alias("peer_id"),
+                                               F.col("bbl").alias("peer_bbl"), F.col("cents").alias("peer_cents")),
+                              ["c_cell", "peer_bbl"], [F.asc("peer_id")], k, rank_col=None)
+    members = top_n_per_key(of_parcel, ["c_cell"], [F.asc("peer_id")], 2 * k, rank_col=None)
+    expanded = kept.select("t_cell", "c_cell", "d", "closer").join(members, "c_cell")
+    tj = (buildings.select("property_id", "bbl", "cents", "mates", F.col("cell").alias("t_cell")).join(expanded, "t_cell")
           .filter((F.col("peer_bbl") != F.col("bbl")) & (F.col("closer") < k + F.col("mates")))
           .select("property_id", "cents", "d", "peer_id", "peer_cents"))
-    top = top_n_per_key(tj, ["property_id"], [F.asc("d"), F.asc("peer_id")], k, rank_col=None)
-    return top
+    return top_n_per_key(tj, ["property_id"], [F.asc("d"), F.asc("peer_id")], k, rank_col=None)
 
 
 def peer_topn(prepared: DataFrame, k: int = 100) -> DataFrame:

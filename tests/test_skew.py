@@ -259,6 +259,37 @@ def test_nearest_peers_hot_cell(spark, crowd, hot_year):
         assert got.get(t[0], set()) == want
 
 
+def test_nearest_peers_stop_at_the_ring(spark):
+    """Dense cells stop at small rings, thin ones search everything; both equal brute force, missing values included."""
+    rnd = random.Random(23)
+    b = []
+    for i in range(320):
+        dense = i % 2 == 0
+        b.append((i, f"3{i // 2 if i % 40 < 2 else i + 1000:05d}0001", "t", "queens", rnd.choice([40, 41, 43, 50]) if dense else rnd.choice([None, 0, 3, 9, 52, 400]),
+                  rnd.choice([1950, 1951, 1953, 1957]) if dense else rnd.choice([None, 0, 1890, 1946, 1962, 2001]),
+                  rnd.choice(["A", "A", "B", None]), None if i % 9 == 0 else rnd.randrange(10000) / 100))
+    props = spark.createDataFrame([x[:7] for x in b], "property_id long, bbl string, tenant_id string, borough string, "
+                                  "units int, year_built int, building_class string")
+    prepared = P.prepare(props, spark.createDataFrame([(x[0], x[7]) for x in b], "property_id long, risk_score double"))
+    k = 4
+    cells = prepared.withColumn("class_l", F.col("building_class")).groupBy(*P.KCELL).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(2).alias("most"))
+    rings = {None if r.reach is None else round(r.reach, 2) for r in P._rings(cells, k).collect()}
+    assert len(rings) >= 4 and None in rings and any(r is not None and r < 1 for r in rings) and any(r and r >= 1 for r in rings)
+    got = {}
+    for r in P.nearest_peers(prepared, k=k).collect():
+        got.setdefault(r.property_id, set()).add((round(r.d, 9), r.peer_id))
+    for t in b:
+        found = []
+        for c in b:
+            tu, cu, ty, cy = t[4] or None, c[4] or None, t[5] or None, c[5] or None
+            gap_u = abs(cu - tu) / tu if tu and cu else 0.0
+            gap_y = abs(cy - ty) if ty and cy else 0
+            if c[1] != t[1] and gap_y <= 15 and (not (tu and cu) or 0.7 <= cu / tu <= 1.3):
+                found.append((gap_y / 15.0 + gap_u + (0.0 if c[6] == t[6] else 1.0), c[0]))
+        assert got.get(t[0], set()) == {(round(d, 9), i) for d, i in sorted(found)[:k]}
+
+
 def test_hit_rate_with_ties(spark):
     from parcelwise.operators import usage as U
     rnd = random.Random(5)
