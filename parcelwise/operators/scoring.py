@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.functions import dims as D
 from parcelwise.functions import rules as R
+from parcelwise.operators.windows import spread_join
 
 
 def _as_ts(as_of: str):
@@ -191,10 +192,11 @@ def classify_categories(categories: DataFrame) -> DataFrame:
 
 
 def era_class_multiplier(violations: DataFrame, properties: DataFrame) -> DataFrame:
-    """R24 per violation: class-aware era multiplier of its building."""
+    """R24 per violation: class-aware era multiplier of its building; a building with very many violations is
+    spread over several tasks."""
     p = properties.select("property_id", "year_built")
-    return (violations.select("order_key", "line_no", "property_id", "violation_class")
-            .join(p, "property_id")
+    v = violations.select("order_key", "line_no", "property_id", "violation_class")
+    return (spread_join(v, p, "property_id", ["order_key", "line_no"])
             .select("order_key", "line_no", "property_id", "violation_class", "year_built",
                     R.era_class_multiplier("year_built", "violation_class").alias("era_class_multiplier")))
 

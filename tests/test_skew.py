@@ -290,6 +290,19 @@ def test_nearest_peers_stop_at_the_ring(spark):
         assert got.get(t[0], set()) == {(round(d, 9), i) for d, i in sorted(found)[:k]}
 
 
+def test_spread_join_of_a_hot_key(spark):
+    """A third of the rows on one key: dealt over parts; same rows as a plain join, null keys and unknown keys left out."""
+    rows = [(i, 7 if i % 3 == 0 else None if i % 50 == 1 else i % 40 + 100) for i in range(3000)]
+    facts = spark.createDataFrame(rows, "id long, k long")
+    dim = spark.createDataFrame([(7, "hot"), (None, "none")] + [(j, f"d{j}") for j in range(100, 130)], "k long, label string")
+    parts = {r.k: r.parts for r in W.hot_parts(facts, "k", 12).collect()}
+    assert parts == {7: 4}                               # 1000 rows, a share is 250
+    got = sorted((r.id, r.k, r.label) for r in W.spread_join(facts, dim, "k", ["id"], 12).collect())
+    labels = {7: "hot"} | {j: f"d{j}" for j in range(100, 130)}
+    assert got == [(i, k, labels[k]) for i, k in rows if k in labels]
+    assert W.spread_join(facts.limit(0), dim, "k", ["id"]).count() == 0
+
+
 def test_hit_rate_with_ties(spark):
     from parcelwise.operators import usage as U
     rnd = random.Random(5)
