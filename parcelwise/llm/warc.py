@@ -11,10 +11,14 @@ Payloads that occur more than once: of records with equal payloads of at least
 ``revisit_from`` bytes the one with the smallest page id is the response, the others become
 revisits that refer to it and hold the HTTP header only.
 
-Archives are gzip files written and read by Spark (any file system); a part file is
-written by one task and parsed as a stream by another, record by record.
-
-Defined cases: a null html is the empty payload, a null url becomes ``about:blank`` and
+Archives are gzip files written and read by Spark (any file system).  A task writes blocks of
+records of about 8 MB and begins a new archive, with its own first record, every ``BLOCKS``
+blocks, so that an archive stays near half a gigabyte whatever a task is dealt (a longer
+record makes it longer); another task parses it as a stream, record by record.
+
+Defined cases: spaces in the URL of an ARC header line belong to the URL and are
+percent-encoded in the WARC record; an ARC line without a declared length, with too few fields
+or with fewer bytes than declared ends the job with an error that says so; a null html is the empty payload, a null url becomes ``about:blank`` and
 characters that a header line cannot hold are percent-encoded; rows without page_id take
 no part; rows that repeat a page id get a record each; an empty table gives empty archives
 and an empty result.
@@ -34,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import saved, scratch, slices, table, utf8
+from parcelwise.operators.windows import spread_join
 
 # The header fields of the two ARC versions.
 ARC_FIELDS = {
@@ -42,6 +47,8 @@ ARC_FIELDS = {
 }
 RECORD = "page_id long, url string, ip string, stamp string, mime string, status string, http binary, payload binary, digest string"
 CRLF = b"\r\n"
+BLOCK_BYTES = 8 << 20
+BLOCKS = 64          # blocks of records in one archive
 WARC_INPUT = ["payload", "http", "page_id", "url", "ip", "stamp", "mime", "digest", "refers_to", "refers_url", "refers_stamp"]
 
 
@@ -62,27 +69,41 @@ def safe_url(url: str | None) -> str:
     return quote(url, safe="%/:=&?~#+!$,;'@()*[]-._") if url else "about:blank"
 
 
-def _to_arc(stamp: str, ip: str):
+def _or_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches; one None where there are none."""
+    empty = True
+    for b in batches:
+        empty = False
+        yield b
+    if empty:
+        yield None
+
+
+def _to_arc(stamp: str, ip: str, block_bytes: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        version, name = 1 + part % 2, f"part-{part}.arc.gz"
-        yield table({"value": ([arc_version_block(version, name, stamp)], pa.binary())})
-        for b in slices(batches, 2, 8 << 20):
-            rows = []
+        version = 1 + part % 2
+        for i, b in enumerate(_or_none(slices(batches, 2, block_bytes))):
+            name = f"part-{part}-{i // blocks}.arc.gz"
+            rows = [] if i % blocks else [arc_version_block(version, name, stamp)]
+            if b is None:
+                yield table({"value": (rows, pa.binary())})
+                return
             for page, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
                 body = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\n"
                         f"Content-Length: {len(html)}\r\n\r\n").encode() + html
                 rows.append(arc_header(version, safe_url(url), ip, stamp, "text/html", len(body), name=name) + b"\n" + body)
-            yield table({"value": (rows, pa.binary())})
+            yield table({"value": ([b"\n".join(rows)], pa.binary())})
     return run
 
 
-def write_arc(pages: DataFrame, target: str, stamp: str = "20240101000000", ip: str = "0.0.0.0") -> None:
+def write_arc(pages: DataFrame, target: str, stamp: str = "20240101000000", ip: str = "0.0.0.0",
+              block_bytes: int = BLOCK_BYTES, blocks: int = BLOCKS) -> None:
     """Pages as gzip ARC files, versions 1 and 2 in turn."""
     (pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-     .where("page_id is not null").mapInArrow(_to_arc(stamp, ip), "value binary")
-     .select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(target))
+     .where("page_id is not null").mapInArrow(_to_arc(stamp, ip, block_bytes, blocks), "value binary")
+     .select(F.col("value").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", blocks).option("compression", "gzip").text(target))
 
 
 def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -91,7 +112,10 @@ def parse_arc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes
     while line := stream.readline():
         if line in (b"\n", b"\r\n"):
             continue
-        values = line.decode("utf-8", "replace").rstrip("\r\n").split(" ")
+        # the URL is the first field and the only one that can hold spaces
+        values = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(fields) - 1 if fields else -1)
+        if not values[-1].isdigit():
+            raise ValueError("an ARC header line does not end with a length")
         length = int(values[-1])
         body = stream.read(length)
         if len(body) != length:
@@ -148,7 +172,7 @@ def _from_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for f, body in parse_arc(stream):
                 http, payload = http_parts(body)
                 page = header_value(http, b"X-Page-Id")
-                yield (int(page) if page else None, f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"],
+                yield (int(page) if page else None, safe_url(f["URL"]) if " " in f["URL"] else f["URL"], f["IP-address"], f["Archive-date"], f["Content-type"],
                        f.get("Result-code", "200"), http, payload, hashlib.sha256(payload).hexdigest())
     s, b = pa.string(), pa.binary()
     schema = {"page_id": pa.int64(), "url": s, "ip": s, "stamp": s, "mime": s, "status": s, "http": b, "payload": b, "digest": s}
@@ -176,40 +200,47 @@ def warc_record(kind: str, headers: dict[str, object], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + CRLF.join(x.encode() for x in lines) + b"\r\n\r\n" + block
 
 
-def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-    name = f"part-{TaskContext.get().partitionId()}.warc.gz"
-    info = b"software: arc-to-warc\r\nformat: WARC File Format 1.1\r\n"
-    first = warc_record("warcinfo", {"WARC-Record-ID": record_id(name, "", None), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Filename": name,
-                                     "Content-Type": "application/warc-fields"}, info)
-    yield table({"value": ([first], pa.binary())})
-    for b in slices(batches, 0, 8 << 20):
-        rows = []
-        for r in b.to_pylist():
-            revisit = r["refers_to"] is not None
-            kind = "revisit" if revisit else "response" if r["http"] else "resource"
-            rows.append(warc_record(kind, {
-                "WARC-Record-ID": record_id(r["url"], r["stamp"], r["page_id"]), "WARC-Date": iso(r["stamp"]), "WARC-Target-URI": r["url"],
-                "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha256:{r['digest']}", "X-Page-Id": r["page_id"],
-                "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
-                "WARC-Refers-To": record_id(r["refers_url"], r["refers_stamp"], r["refers_to"]) if revisit else None,
-                "X-Refers-To-Page-Id": r["refers_to"],
-                "Content-Type": "application/http; msgtype=response" if r["http"] else r["mime"],
-            }, r["http"] if revisit else r["http"] + r["payload"]))
-        yield table({"value": (rows, pa.binary())})
-
-
-def convert(spark: SparkSession, source: str, target: str, revisit_from: int = 100) -> None:
+def _to_warc(block_bytes: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        info = b"software: arc-to-warc\r\nformat: WARC File Format 1.1\r\n"
+        for i, b in enumerate(_or_none(slices(batches, 0, block_bytes))):
+            rows = []
+            if i % blocks == 0:
+                name = f"part-{TaskContext.get().partitionId()}-{i // blocks}.warc.gz"
+                rows.append(warc_record("warcinfo", {"WARC-Record-ID": record_id(name, "", None), "WARC-Date": "1970-01-01T00:00:00Z",
+                                                     "WARC-Filename": name, "Content-Type": "application/warc-fields"}, info))
+            if b is None:
+                yield table({"value": (rows, pa.binary())})
+                return
+            for r in b.to_pylist():
+                revisit = r["refers_to"] is not None
+                kind = "revisit" if revisit else "response" if r["http"] else "resource"
+                rows.append(warc_record(kind, {
+                    "WARC-Record-ID": record_id(r["url"], r["stamp"], r["page_id"]), "WARC-Date": iso(r["stamp"]), "WARC-Target-URI": r["url"],
+                    "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha256:{r['digest']}", "X-Page-Id": r["page_id"],
+                    "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
+                    "WARC-Refers-To": record_id(r["refers_url"], r["refers_stamp"], r["refers_to"]) if revisit else None,
+                    "X-Refers-To-Page-Id": r["refers_to"],
+                    "Content-Type": "application/http; msgtype=response" if r["http"] else r["mime"],
+                }, r["http"] if revisit else r["http"] + r["payload"]))
+            yield table({"value": ([(CRLF + CRLF).join(rows)], pa.binary())})
+    return run
+
+
+def convert(spark: SparkSession, source: str, target: str, revisit_from: int = 100,
+            block_bytes: int = BLOCK_BYTES, blocks: int = BLOCKS) -> None:
     """ARC files under ``source`` to WARC files under ``target``."""
     index = saved(read_arc(spark, source).select("page_id", "url", "stamp", "digest", F.octet_length("payload").alias("size")), "arc_index")
     large = index.where((F.col("size") >= revisit_from) & F.col("page_id").isNotNull())
     firsts = (large.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "url", "stamp")).alias("first")).where("n > 1")
               .select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"),
                       F.col("first.stamp").alias("refers_stamp")))
-    revisits = saved(large.join(firsts, "digest").where("page_id <> refers_to")
+    revisits = saved(spread_join(large, firsts, "digest", ["page_id"]).where("page_id <> refers_to")
                      .select("page_id", "digest", "refers_to", "refers_url", "refers_stamp").distinct(), "revisits")
-    (read_arc(spark, source).join(revisits, ["page_id", "digest"], "left").select(*WARC_INPUT).mapInArrow(_to_warc, "value binary")
-     .select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(target))
+    (read_arc(spark, source).join(revisits, ["page_id", "digest"], "left").select(*WARC_INPUT).mapInArrow(_to_warc(block_bytes, blocks), "value binary")
+     .select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", blocks)
+     .option("compression", "gzip").text(target))
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -261,10 +292,10 @@ def read_warc(spark: SparkSession, source: str) -> DataFrame:
                     "payload_digest string, refers_to long, refers_to_id string, payload binary")
 
 
-def warc_round_trip(pages: DataFrame, revisit_from: int = 100) -> DataFrame:
+def warc_round_trip(pages: DataFrame, revisit_from: int = 100, **cuts: int) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC records read back."""
     spark = pages.sparkSession
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
-    write_arc(pages, arc)
-    convert(spark, arc, warc, revisit_from)
+    write_arc(pages, arc, **cuts)
+    convert(spark, arc, warc, revisit_from, **cuts)
     return read_warc(spark, warc)

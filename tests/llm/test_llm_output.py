@@ -197,6 +197,37 @@ def test_warc_round_trip_odd_rows(spark):
     assert len({r["record_id"] for r in got.values()}) == 8
 
 
+def test_arc_header_lines_with_spaces_or_without_length():
+    for version in (1, 2):
+        head = A.arc_version_block(version, "f.arc", "20240101000000") + b"\n"
+        raw = head + A.arc_header(version, "http://a/b  c d", "1.2.3.4", "20240203040506", "text/html", 4) + b"\nabcd\n"
+        (f, got), = A.parse_arc(io.BytesIO(raw))
+        assert (f["URL"], f["IP-address"], f["Archive-length"], got) == ("http://a/b  c d", "1.2.3.4", "4", b"abcd")
+        for bad in (b"http://a/ 4\nabcd", b"http://a/ 1.2.3.4 2024 text/html x\nabcd"):
+            with pytest.raises(ValueError):
+                list(A.parse_arc(io.BytesIO(head + bad)))
+    (row,) = next(A._from_arc(iter([A.table({"content": ([gzip.compress(raw)], A.pa.binary())})]))).to_pylist()
+    assert row["url"] == "http://a/b%20%20c%20d" and row["payload"] == b"abcd"
+
+
+def test_archives_are_cut_by_bytes(spark):
+    """Each archive begins with its own first record and holds a bounded number of blocks; no record is lost, and a payload
+    that a third of the pages share has one response."""
+    rows = [(i, f"http://a/{i}", "same page " * 30 if i % 3 == 0 else f"page {i} " * (2000 if i == 100 else 40)) for i in range(1, 301)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
+    A.write_arc(pages, arc, block_bytes=2000, blocks=3)
+    A.convert(spark, arc, warc, block_bytes=2000, blocks=3)
+    for path, first in ((arc, b"filedesc://"), (warc, b"WARC/1.1\r\nWARC-Type: warcinfo")):
+        files = [gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+        assert len(files) > 10 and all(f.startswith(first) for f in files)
+        assert sorted(map(len, files))[-2] < 20_000 < max(map(len, files))
+    names = [r["url"] for r in A.read_arc(spark, arc).collect()]
+    assert sorted(names) == sorted(u for _, u, _ in rows)
+    got = {r["page_id"]: r for r in A.read_warc(spark, warc).collect()}
+    assert {i: r["refers_to"] for i, r in got.items()} == {i: 3 if i % 3 == 0 and i != 3 else None for i, _, _ in rows}
+
+
 def test_warc_empty(spark):
     assert A.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
