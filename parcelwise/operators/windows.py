@@ -92,15 +92,19 @@ def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "t
     return base.join(counts, same).drop("_key", "_at", "_e")
 
 
-def hot_parts(facts: DataFrame, key: str, shares: int = 4096) -> DataFrame:
-    """(key, parts) of the keys with more than 1 / ``shares`` of all rows, so at most ``shares`` rows; a part holds
+def _columns(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def hot_parts(facts: DataFrame, key: str | list[str], shares: int = 4096) -> DataFrame:
+    """(key, or its columns, and parts) of the keys with more than 1 / ``shares`` of all rows, so at most ``shares`` rows; a part holds
     at most such a share."""
     total = facts.agg(F.count(F.lit(1)).alias("n")).scalar()
     n = F.count(F.lit(1))
-    return facts.groupBy(key).agg(F.ceil(n * shares / total).cast("long").alias("parts")).filter(F.col("parts") > 1)
+    return facts.groupBy(*_columns(key)).agg(F.ceil(n * shares / total).cast("long").alias("parts")).filter(F.col("parts") > 1)
 
 
-def spread_join(facts: DataFrame, dim: DataFrame, key: str, row_id: list[str], shares: int = 4096) -> DataFrame:
+def spread_join(facts: DataFrame, dim: DataFrame, key: str | list[str], row_id: list[str], shares: int = 4096) -> DataFrame:
     """Inner join of ``facts`` with ``dim`` on ``key``.  The rows of a hot key are dealt over its ``hot_parts`` by a hash
     of ``row_id``, and its dimension rows go once to each part.  The directory has at most ``shares`` rows, so it is
     broadcast.  Rows without a key are dropped, as in any inner join."""
@@ -109,7 +113,7 @@ def spread_join(facts: DataFrame, dim: DataFrame, key: str, row_id: list[str], s
     f = facts.join(directory, key, "left").select(*facts.columns, F.pmod(F.xxhash64(*row_id), parts).alias("_part"))
     d = dim.join(directory, key, "left").select(
         *dim.columns, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"))
-    return f.join(d, [key, "_part"]).drop("_part")
+    return f.join(d, [*_columns(key), "_part"]).drop("_part")
 
 
 def date_spine(keys: DataFrame, start: str, end: str, col: str = "day") -> DataFrame:

@@ -106,11 +106,11 @@ cf AS (SELECT p.bbl, count(*) AS n,
 def _bundle_feeds(spark, d):
     v = _v(spark, d)
     keys = v.properties().select("property_id", "bbl")
-    vio = (v.violations().join(keys, "property_id")
+    vio = (W.spread_join(v.violations(), keys, "property_id", ["order_key", "line_no"])
            .select("bbl", F.col("source").alias("feed"), F.col("issued_date").alias("ts"), "order_key", "line_no",
                    "violation_class", "is_resolved"))
-    comp = (v.complaints().filter(F.col("created") >= F.lit(EVENT_AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS"))
-            .join(keys, "property_id").select("bbl", F.col("created").alias("ts"), "unique_key", "complaint_type"))
+    recent = v.complaints().filter(F.col("created") >= F.lit(EVENT_AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 30 DAYS"))
+    comp = (W.spread_join(recent, keys, "property_id", ["unique_key"]).select("bbl", F.col("created").alias("ts"), "unique_key", "complaint_type"))
     return keys, vio, comp
 
 

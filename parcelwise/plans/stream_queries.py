@@ -308,9 +308,9 @@ SELECT e.*, h.hook_id FROM e JOIN h ON e.tenant_id = h.tenant_id
 WHERE h.all_events OR e.event_type = 'violation.new'""")
 def q_webhook_match(spark, d):
     """ST11: violation events streamed from the violation table, matched to active hooks."""
-    ev = J.violation_events(_s(spark, d).violations(), _b(spark, d).properties())
-    m = J.webhook_match(ev, J.webhook_hooks(_b(spark, d).properties()))
-    return _read(spark, J.run_available_now(spark, m, "webhooks"))
+    p = _b(spark, d).properties()
+    wanted = J.wanted_events(p, J.webhook_hooks(p))
+    return _read(spark, J.run_available_now(spark, _s(spark, d).violations(), "webhooks", foreach_batch=J.webhook_sink(wanted)))
 
 
 @query("stream_counters", """

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from parcelwise.functions import rules as R
-from parcelwise.operators.windows import top_n_per_key
+from parcelwise.operators.windows import spread_join, top_n_per_key
 
 FEED_CSV_SCHEMA = T.StructType([
     T.StructField("bbl", T.StringType()),
@@ -113,7 +113,7 @@ def bundle_pages(keys: DataFrame, records: DataFrame, page_rows: int = 100) -> D
     ``keys``: (property_id, bbl); ``records``: (property_id, feed, ts, record text).  A parcel's records are numbered in two
     levels, running counts over its days and a rank inside each day, and no array holds more than a page, so
     a parcel with a third of all records is spread over its days and pages."""
-    rows = records.join(keys.select("property_id", "bbl"), "property_id").select("bbl", "feed", "ts", "record") \
+    rows = spread_join(records, keys.select("property_id", "bbl"), "property_id", ["ts", "record"]).select("bbl", "feed", "ts", "record") \
         .withColumn("_day", F.to_date("ts"))
     key = ["bbl", "feed"]
     newer = Window.partitionBy(*key).orderBy(F.col("_day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)

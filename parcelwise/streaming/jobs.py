@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from parcelwise.functions import rules as R
 from parcelwise.operators import limiters as LIM
+from parcelwise.operators.windows import spread_join
 from parcelwise.session import scratch_path
 from parcelwise.sources.tables import Tables
 
@@ -186,22 +187,32 @@ def webhook_hooks(properties: DataFrame) -> DataFrame:
                     events.alias("events"), F.lit(True).alias("is_active")))
 
 
-def webhook_match(events: DataFrame, hooks: DataFrame) -> DataFrame:
-    """ST11: active hooks whose event list contains the event type (exploded to an equi-join)."""
+def wanted_events(properties: DataFrame, hooks: DataFrame, shares: int = 4096) -> DataFrame:
+    """ST11: (property_id, event_type, tenant_id, hook_id) of the active hooks' event lists; a tenant with a large
+    share of the properties is dealt over tasks."""
     h = hooks.filter("is_active").select("hook_id", "tenant_id", F.explode("events").alias("event_type"))
-    return events.join(h, ["tenant_id", "event_type"])
-
-
-def violation_events(violations: DataFrame, properties: DataFrame) -> DataFrame:
-    """violation.new at issue, violation.resolved at resolution, per tenant."""
-    p = properties.select("property_id", "tenant_id")
-    v = violations.join(p, "property_id")
-    new = v.select("tenant_id", "property_id", "order_key", "line_no", F.lit("violation.new").alias("event_type"),
-                   F.col("issued_date").alias("event_date"))
-    res = (v.filter(F.col("resolved_date").isNotNull())
-           .select("tenant_id", "property_id", "order_key", "line_no", F.lit("violation.resolved").alias("event_type"),
-                   F.col("resolved_date").alias("event_date")))
-    return new.unionByName(res)
+    return spread_join(properties.select("property_id", "tenant_id"), h, "tenant_id", ["property_id"], shares)
+
+
+def webhook_match(events: DataFrame, wanted: DataFrame, shares: int = 4096) -> DataFrame:
+    """ST11: each event with the hooks that want it; a property's events of one type are dealt over tasks where they
+    are a large share of all."""
+    return spread_join(events, wanted, ["property_id", "event_type"], ["order_key", "line_no"], shares)
+
+
+def violation_events(violations: DataFrame) -> DataFrame:
+    """violation.new at issue, violation.resolved at resolution: one pass over the violations."""
+    event = lambda kind, at: F.struct(F.lit(kind).alias("event_type"), F.col(at).alias("event_date"))
+    both = F.array(event("violation.new", "issued_date"), event("violation.resolved", "resolved_date"))
+    return violations.select("property_id", "order_key", "line_no", F.inline(both)) \
+        .filter("event_type = 'violation.new' or event_date is not null")
+
+
+def webhook_sink(wanted: DataFrame):
+    """Append the matches of each micro-batch of violations."""
+    def publish(batch: DataFrame, epoch: int, out: str) -> None:
+        append_sink(webhook_match(violation_events(batch), wanted), epoch, out)
+    return publish
 
 
 # ------------------------------------------------------------------ monitors

@@ -360,3 +360,28 @@ def test_bundle_pages_of_a_crowded_parcel(spark):
     for r in sorted(pages, key=lambda r: r["page"]):
         got.setdefault((r["bbl"], r["feed"]), []).extend(r["records"])
     assert got == want
+
+
+def test_webhooks_of_a_hot_property_and_a_hot_tenant(spark):
+    """A third of the violations on one property, a third of the properties at one tenant: dealt over parts, same rows as a loop."""
+    from parcelwise.streaming import jobs as J
+    day = dt.date(2024, 1, 1)
+    props = [(i, None if i == 50 else "Brand#2" if i % 3 == 0 else f"Brand#{i % 5 + 10}") for i in range(60)]
+    vio = [(7 if n % 3 == 0 else n % 70 if n % 70 != 69 else None, n, n % 4, day, day if n % 2 else None) for n in range(1500)]
+    hooks = J.webhook_hooks(spark.createDataFrame(props, "property_id long, tenant_id string").filter("tenant_id is not null"))
+    wanted = J.wanted_events(spark.createDataFrame(props, "property_id long, tenant_id string"), hooks, 4)
+    violations = spark.createDataFrame(vio, "property_id long, order_key long, line_no int, issued_date date, resolved_date date")
+    events = J.violation_events(violations)
+    hot = {(r.property_id, r.event_type) for r in W.hot_parts(events, ["property_id", "event_type"], 12).collect()}
+    assert hot == {(7, "violation.new"), (7, "violation.resolved")}
+    got = sorted((r.order_key, r.event_type, r.tenant_id, r.hook_id) for r in J.webhook_match(events, wanted, 12).collect())
+    tenant = dict(props)
+    want = []
+    for p, n, _, _, resolved in vio:
+        t = tenant.get(p)
+        if t is None:
+            continue
+        want.append((n, "violation.new", t, f"hook-{t}"))
+        if resolved and int(t.split("#")[1]) % 2 == 0:
+            want.append((n, "violation.resolved", t, f"hook-{t}"))
+    assert got == sorted(want)
