@@ -99,7 +99,7 @@ s AS (SELECT r.connection, r.property_id, max_by(r.type, r.rn) AS type FROM r JO
 
 def _connection_changes(spark, d, name):
     changes = C.connection_changes(_s(spark, d).protocol_messages(), PING_LIMIT_S)
-    return _read(spark, J.run_available_now(spark, changes, name))
+    return _read(spark, J.run_available_now(spark, changes, name, keyed=True))
 
 
 @query("connection_subscriptions", f"""{CONNECTIONS_SQL}
@@ -126,7 +126,7 @@ SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY connection ORDER BY ts D
 def q_stream_queue(spark, d):
     """ST5 in a stream: a ring of 100 undelivered messages a connection."""
     sent = J.fanout(_s(spark, d).updates(), _current_subs_batch(spark, d)).withColumn("kind", F.lit("MESSAGE"))
-    changes = _read(spark, J.run_available_now(spark, C.undelivered(sent, 100), "queue", "update", J.append_sink))
+    changes = _read(spark, J.run_available_now(spark, C.undelivered(sent, 100), "queue", "update", J.append_sink, keyed=True))
     return C.queue_of(changes).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

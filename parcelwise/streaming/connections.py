@@ -13,17 +13,28 @@ for what changed.  Rows may arrive in any order within the watermark's delay.
 
 from __future__ import annotations
 
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# The driver unpickles a processor too, in a worker that has neither ``addPyFile`` archives nor the repository on its
+# path: the classes of this module travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHANGES = ("connection long, property_id string, change string, authenticated boolean, ts timestamp, seq long")
 CONNECTED, DROPPED, REFUSED, AUTHENTICATED = "CONNECTED", "DROPPED", "REFUSED", "AUTHENTICATED"
 
 
+def _missing(x) -> bool:
+    return x is None or x != x
+
+
 class Machine:
     """The rules of one connection; times in microseconds.  Yields (property or None, change, time)."""
 
@@ -74,7 +85,7 @@ class ConnectionState(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "t long, id long, kind string, prop string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(t), int(i), k, None if p is None or p != p else p) for b in rows
+        new = [(int(t), int(i), k, None if _missing(p) else p) for b in rows
                for t, i, k, p in zip(b["t_us"].tolist(), b["message_id"].tolist(), b["type"].tolist(), b["property_id"].tolist())]
         if new:
             self.waiting.appendList(new)
@@ -86,7 +97,7 @@ class ConnectionState(StatefulProcessor):
         auth, ping, seq = self.facts.get() if self.facts.exists() else (False, None, 0)
         before = {k[0] for k in self.subscribed.keys()} if self.subscribed.exists() else set()
         machine, out = Machine(self.limit_us, auth, ping, set(before)), []
-        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[0], r[1], r[2] or "", r[3] or "")) if self.waiting.exists() else []
         due, rest = [r for r in rows if r[0] <= watermark], [r for r in rows if r[0] > watermark]
         for t, _, kind, prop in due:
             out += [(*x, machine.authenticated) for x in machine.apply(t, kind, prop)]
@@ -125,9 +136,12 @@ class ConnectionState(StatefulProcessor):
 
 
 def connection_changes(messages: DataFrame, limit_seconds: int = 3 * 86_400, delay: str = "1 day") -> DataFrame:
-    """ST1: (connection, ts, message_id, type, property_id) messages to the changes of connections and subscriptions."""
+    """ST1: (connection, ts, message_id, type, property_id) messages to the changes of connections and subscriptions.
+    Messages without a connection or a time open none; the filter holds the event time, so it stays above the watermark,
+    which all messages move."""
     m = messages.select("connection", "message_id", "type", "property_id", F.col("ts").cast("timestamp").alias("event_time")) \
-        .withWatermark("event_time", delay).withColumn("t_us", F.unix_micros("event_time"))
+        .withWatermark("event_time", delay).filter(F.when(F.col("connection").isNotNull(), F.col("event_time")).isNotNull()) \
+        .withColumn("t_us", F.unix_micros("event_time"))
     return m.groupBy("connection").transformWithStateInPandas(ConnectionState(limit_seconds), CHANGES, "append", "EventTime")
 
 
@@ -151,11 +165,16 @@ def connection_stats(changes: DataFrame) -> DataFrame:
 
 
 QUEUED, EVICTED, DRAINED = "queued", "evicted", "drained"
-QUEUE = ("connection long, property_id long, update_id long, severity string, ts timestamp, change string, revision long")
+QUEUE = ("connection long, property_id long, update_id long, severity string, ts timestamp, change string, revision long, copies long")
+
+
+def _age(r: tuple) -> tuple:
+    return r[0] is not None, r[0] or 0, r[1], r[2], r[3] or ""
 
 
 class Undelivered(StatefulProcessor):
-    """The newest ``size`` undelivered messages of a connection, by (time, id); order of arrival does not matter."""
+    """The newest ``size`` undelivered messages of a connection, by (time, id); order of arrival does not matter.  Messages
+    without a time are the oldest.  A message that comes twice is queued twice: a change tells how many ``copies`` are left."""
 
     def __init__(self, size: int):
         self.size = size
@@ -174,19 +193,20 @@ class Undelivered(StatefulProcessor):
                 last = int(b.loc[drain, "t_us"].max())
                 drained = last if drained is None else max(drained, last)
             m = b[~drain]
-            all_ += zip(m["t_us"].astype("int64").tolist(), m["update_id"].astype("int64").tolist(), m["property_id"].astype("int64").tolist(),
+            all_ += zip([None if _missing(t) else int(t) for t in m["t_us"].tolist()], m["update_id"].astype("int64").tolist(), m["property_id"].astype("int64").tolist(),
                         m["severity"].tolist())
-            all_ = sorted(all_, key=lambda r: r[:2])[-self.size:]       # bounded whatever the micro-batch holds
-        kept = [r for r in all_ if drained is None or r[0] > drained]
+            all_ = sorted(all_, key=_age)[-self.size:]       # bounded whatever the micro-batch holds
+        kept = [r for r in all_ if drained is None or r[0] is not None and r[0] > drained]
         self.ring.put(kept) if kept else self.ring.clear()
         self.facts.update((drained, revision + 1))
-        before, after = set(old), set(kept)
-        out = [(r, QUEUED) for r in kept if r not in before]
-        out += [(r, DRAINED if drained is not None and r[0] <= drained else EVICTED) for r in old if r not in after]
+        before, after = Counter(old), Counter(kept)
+        gone = lambda r: DRAINED if drained is not None and (r[0] is None or r[0] <= drained) else EVICTED
+        out = [(r, QUEUED if n > before[r] else gone(r), n) for r, n in after.items() if n != before[r]]
+        out += [(r, gone(r), 0) for r in before if r not in after]
         if out:
-            yield pd.DataFrame({"connection": [int(key[0])] * len(out), "property_id": [r[2] for r, _ in out], "update_id": [r[1] for r, _ in out],
-                                "severity": [r[3] for r, _ in out], "ts": pd.to_datetime(pd.Series([r[0] for r, _ in out]), unit="us"),
-                                "change": [c for _, c in out], "revision": [revision + 1] * len(out)})
+            yield pd.DataFrame({"connection": [int(key[0])] * len(out), "property_id": [r[2] for r, *_ in out], "update_id": [r[1] for r, *_ in out],
+                                "severity": [r[3] for r, *_ in out], "ts": pd.to_datetime(pd.Series([r[0] for r, *_ in out]), unit="us"),
+                                "change": [c for _, c, _ in out], "revision": [revision + 1] * len(out), "copies": [n for *_, n in out]})
 
     def close(self) -> None:
         pass
@@ -201,5 +221,5 @@ def undelivered(messages: DataFrame, size: int = 100) -> DataFrame:
 def queue_of(changes: DataFrame) -> DataFrame:
     """The queues after all changes."""
     key = ["connection", "property_id", "update_id", "severity", "ts"]
-    last = changes.groupBy(*key).agg(F.max_by("change", "revision").alias("change"))
-    return last.filter(F.col("change") == QUEUED).select(*key)
+    last = changes.groupBy(*key).agg(F.max_by("copies", "revision").alias("copies")).filter("copies > 0")
+    return last.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*key)

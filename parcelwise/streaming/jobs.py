@@ -12,6 +12,7 @@ scheduler lives here).
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,17 +52,35 @@ def final_watermark(spark: SparkSession, out: str):
     return audit(spark, out).agg(F.max(F.to_timestamp("watermark").cast("timestamp_ntz"))).first()[0]
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """``transformWithState`` needs a state store with column families, which Spark's default one has not.  A stream
+    keeps the conf it was started with, so the caller's own is put back after the start."""
+    old = spark.conf.get(PROVIDER)
+    if old.endswith(".HDFSBackedStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, old)
+
+
 def run_available_now(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append",
-                      foreach_batch=None, base: str | None = None) -> str:
+                      foreach_batch=None, base: str | None = None, keyed: bool = False) -> str:
     """Drain the stream into parquet under the checkpoint folder; return the output path.  ``base``: folder of an
-    earlier run to go on from.  The progress of the run's micro-batches is appended to ``base/audit``."""
+    earlier run to go on from; ``keyed``: the stream holds a ``StatefulProcessor`` (``keyed_state``).  The progress of the run's micro-batches is appended to ``base/audit``."""
     base = base or scratch_path(spark, name)
     out, ckpt = f"{base}/out", f"{base}/_checkpoint"
     w = stream.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
-    if foreach_batch is not None:
-        q = w.foreachBatch(lambda df, epoch: foreach_batch(df, epoch, out)).start()
-    else:
-        q = w.format("parquet").start(out)
+    with keyed_state(spark) if keyed else nullcontext():
+        if foreach_batch is not None:
+            q = w.foreachBatch(lambda df, epoch: foreach_batch(df, epoch, out)).start()
+        else:
+            q = w.format("parquet").start(out)
     q.awaitTermination()
     spark.createDataFrame(audit_rows(q.recentProgress), AUDIT).coalesce(1).write.mode("append").parquet(f"{base}/audit")
     return out

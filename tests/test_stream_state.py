@@ -110,6 +110,24 @@ def test_undelivered_ring_over_shuffled_micro_batches(spark, tmp_path):
     assert {r[0] for r in changes.select("change").distinct().collect()} == {"queued", "evicted", "drained"}
 
 
+def test_message_that_comes_twice_and_message_without_a_time(spark, tmp_path):
+    rows = [(1, "MESSAGE", 7, i % 6, "LOW", None if i % 6 == 0 else T0 + dt.timedelta(minutes=i % 6)) for i in range(12)]
+    for size, want in ((20, [0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5]), (3, [4, 5, 5])):
+        stream = landed(spark, rows, SENT, str(tmp_path / f"in{size}"))
+        out = J.run_available_now(spark, C.undelivered(stream, size), "queue", "update", J.append_sink, keyed=True)
+        assert _rows(C.queue_of(spark.read.parquet(out)), ["update_id"]) == [(i,) for i in want]
+
+
+def test_messages_without_connection_or_time(spark, tmp_path):
+    rows = [(1, 1, T0, "AUTHENTICATE", None), (1, 2, T0 + dt.timedelta(minutes=1), "SUBSCRIBE", "a"), (1, 3, None, "UNSUBSCRIBE", "a"),
+            (None, 4, T0 + dt.timedelta(hours=1), "AUTHENTICATE", None), (None, 5, T0 + dt.timedelta(days=2), "PING", None)]
+    stream = landed(spark, rows, MESSAGES, str(tmp_path / "in"), files=1)
+    out = J.run_available_now(spark, C.connection_changes(stream, 5 * 86_400), "connections", keyed=True)
+    changes = spark.read.parquet(out)       # the last message, of no connection, moves the watermark past the others
+    assert _rows(C.subscriptions_of(changes), ["connection", "property_id"]) == [(1, "a")]
+    assert changes.select("connection").distinct().collect() == [(1,)]
+
+
 # --- J13 ---
 
 def test_conversion_join_over_shuffled_micro_batches(spark, tmp_path):
