@@ -42,24 +42,27 @@ def era_scores(properties: DataFrame, max_year: int = D.MAX_VALID_YEAR) -> DataF
         R.is_pre1974(y, max_year).alias("is_pre1974"))
 
 
-def era_detail(properties: DataFrame) -> DataFrame:
-    """R2 as literal map lookups keyed by era (no join)."""
-    k = R.era_key("year_built")
+def _era_detail(year: Column) -> dict[str, Column]:
+    k = R.era_key(year)
     det = D.ERA_DETAIL
     pick = lambda i: F.element_at(R.lit_map({e: v[i] for e, v in det.items()}), k)
     arrays = lambda i: F.element_at(F.create_map(*[x for e, v in det.items()
                                                    for x in (F.lit(e), R.lit_array(v[i]))]), k)
-    return properties.select(
-        "property_id", "year_built",
-        R.era_multiplier("year_built").alias("multiplier"),
-        pick(0).alias("era"), pick(1).alias("explanation"),
-        arrays(2).alias("risk_factors"), arrays(3).alias("action_items"))
+    return {"multiplier": R.era_multiplier(year), "era": pick(0), "explanation": pick(1),
+            "risk_factors": arrays(2), "action_items": arrays(3)}
+
+
+def era_detail(properties: DataFrame) -> DataFrame:
+    """R2 as literal map lookups keyed by era (no join)."""
+    return properties.select("property_id", "year_built", *[c.alias(n) for n, c in _era_detail(F.col("year_built")).items()])
 
 
 def property_report(properties: DataFrame, as_of: str) -> DataFrame:
     """The report of a single property, for every building; the era part only with a known year."""
-    era_part = era_detail(properties.filter(F.col("year_built") != 0)).drop("year_built")
-    p = properties.join(era_part, "property_id", "left")
+    # Only the year is looked up, by a sort-merge join; the texts of an era are made on the row and never broadcast.
+    years = properties.filter(F.col("year_built") != 0).select("property_id", F.col("year_built").alias("_year"))
+    p = properties.join(years.hint("merge"), "property_id", "left")
+    p = p.withColumns({n: F.when(F.col("_year").isNotNull(), c) for n, c in _era_detail(F.col("_year")).items()})
     rule = F.lit("-" * 70)
 
     def field(label: str, column: str, missing: str) -> Column:

@@ -385,3 +385,19 @@ def test_webhooks_of_a_hot_property_and_a_hot_tenant(spark):
         if resolved and int(t.split("#")[1]) % 2 == 0:
             want.append((n, "violation.resolved", t, f"hook-{t}"))
     assert got == sorted(want)
+
+
+def _plan_nodes(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_property_report_broadcasts_no_texts(spark):
+    from parcelwise.operators import scoring as S
+    rows = [(1, 1950), (2, 0), (3, None), (4, 2001), (5, 1700)]
+    props = spark.createDataFrame([(i, "b", "x", "a", 3, y) for i, y in rows],
+                                  "property_id long, bbl string, borough string, address string, units int, year_built int")
+    report = S.property_report(props, "2024-03-01")
+    assert "Broadcast" not in _plan_nodes(report)
+    got = {r["property_id"]: r["report"] for r in report.collect()}
+    assert {i for i, r in got.items() if "BUILDING ERA RISK ANALYSIS" in r} == {1, 4, 5}
+    assert "Risk Factors" in got[1] and "Year Built: Unknown" in got[3] and "Year Built: 0" in got[2]
