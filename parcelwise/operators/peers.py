@@ -24,18 +24,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from parcelwise.functions import dims as D
 from parcelwise.functions import rules as R
+from parcelwise.session import written
 
 YEAR_BUCKET = 5      # a target emits exactly the year buckets covering [year − 15, year + 15]
 UNIT_BUCKET = 0.1    # ln(units) buckets; a target emits those covering [ln 0.7u, ln 1.3u], ±1 for float safety
 CELL = ["borough_l", "y_key", "u_key"]
 MISSING = -(1 << 62)  # stands for "no score" where cents are a key
+BLOCK = 128           # cents of a block: medians are looked for among blocks first
 
 
 def prepare(properties: DataFrame, scores: DataFrame) -> DataFrame:
@@ -103,32 +104,38 @@ def _look_up(df: DataFrame, names: DataFrame, keys: list[str], cols: list[str])
     return df.join(side, _eq_null_safe(keys, [f"_n_{k}" for k in keys])).drop(*[f"_n_{k}" for k in keys])
 
 
-def merged_scores(prepared: DataFrame, scores: bool = True) -> DataFrame:
-    """(cell, v, cnt): the scores of all buildings that the cell's peer predicate admits, the cell itself
-    included; ``cell`` is the id of ``_named`` and v the score in cents, ``MISSING`` for the unscored ones.
-
-    The predicate is a year test and a unit test, so the sum runs over one axis at a time:
-    first over the candidates' years for each target year, then over their unit counts for
-    each target cell.  The work per cell is the sum of the two ranges, not their product, and
-    the intermediate is at most one row per (borough, year, units, score).  With ``scores``
-    off only scored and unscored buildings are told apart (v 0 and ``MISSING``)."""
-    v = F.col("cents") if scores else F.when(F.col("cents").isNotNull(), F.lit(0).cast("long"))
+def _by_year(prepared: DataFrame, v: Column) -> tuple[DataFrame, DataFrame]:
+    """(lines, by_year): the (borough, year) pairs as ``line``, and (line, u_key, v, cnt), the buildings whose years a
+    line's range admits; at most one row per (borough, year, units, v)."""
     entries = prepared.groupBy(*CELL, F.coalesce(v, F.lit(MISSING)).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    cells = _named(prepared, CELL, "cell")
-    lines = cells.groupBy("borough_l", "y_key").agg(F.min("cell").alias("line"))
+    lines = _named(prepared, CELL, "cell").groupBy("borough_l", "y_key").agg(F.min("cell").alias("line"))
     years = lines.select("line", F.col("borough_l").alias("t_borough_l"), F.col("y_key").alias("t_y_key"),
                          F.explode(_year_tokens(F.col("y_key"), True)).alias("t_ytok"))
     c = entries.withColumn("ytok", F.explode(_year_tokens(F.col("y_key"), False)))
-    by_year = (years.join(c, (F.col("t_borough_l") == F.col("borough_l")) & (F.col("t_ytok") == F.col("ytok")))
-               .filter(_year_ok(F.col("t_y_key"), F.col("y_key")))
-               .groupBy("line", "u_key", "v").agg(F.sum("cnt").alias("cnt")))
-    targets = (_look_up(cells, lines, ["borough_l", "y_key"], ["line"])
+    return lines, (years.join(c, (F.col("t_borough_l") == F.col("borough_l")) & (F.col("t_ytok") == F.col("ytok")))
+                   .filter(_year_ok(F.col("t_y_key"), F.col("y_key")))
+                   .groupBy("line", "u_key", "v").agg(F.sum("cnt").alias("cnt")))
+
+
+def _by_units(prepared: DataFrame, lines: DataFrame, sides: DataFrame, *cols: str) -> DataFrame:
+    """Each cell with the rows of ``sides`` (line, u_key, ``cols``) on its line whose unit counts its range admits."""
+    targets = (_look_up(_named(prepared, CELL, "cell"), lines, ["borough_l", "y_key"], ["line"])
                .select("cell", F.col("line").alias("t_line"), F.col("u_key").alias("t_u_key"),
                        F.explode(_unit_tokens(F.col("u_key"), True)).alias("t_utok")))
-    c = by_year.withColumn("utok", F.explode(_unit_tokens(F.col("u_key"), False)))
+    c = sides.withColumn("utok", F.explode(_unit_tokens(F.col("u_key"), False)))
     return (targets.join(c, (F.col("t_line") == F.col("line")) & (F.col("t_utok") == F.col("utok")))
-            .filter(_unit_ok(F.col("t_u_key"), F.col("u_key")))
-            .groupBy("cell", "v").agg(F.sum("cnt").alias("cnt")))
+            .filter(_unit_ok(F.col("t_u_key"), F.col("u_key"))).select("cell", "line", "u_key", *cols))
+
+
+def merged_counts(prepared: DataFrame) -> DataFrame:
+    """(cell, v, cnt): the buildings that the cell's peer predicate admits, the cell itself included, scored (v 0) and
+    unscored (``MISSING``); ``cell`` is the id of ``_named``.
+
+    The predicate is a year test and a unit test, so the sum runs over one axis at a time:
+    first over the candidates' years for each target year, then over their unit counts for
+    each target cell.  The work per cell is the sum of the two ranges, not their product."""
+    lines, by_year = _by_year(prepared, F.when(F.col("cents").isNotNull(), F.lit(0).cast("long")))
+    return _by_units(prepared, lines, by_year, "v", "cnt").groupBy("cell", "v").agg(F.sum("cnt").alias("cnt"))
 
 
 def _lots(prepared: DataFrame) -> DataFrame:
@@ -161,7 +168,7 @@ def _with_lot(prepared: DataFrame, lots: DataFrame) -> DataFrame:
 def peer_counts(prepared: DataFrame) -> DataFrame:
     """J4 per building: similar_count (all peers) and scored_peers, without histograms."""
     lots = _lots(prepared)
-    tot = merged_scores(prepared, scores=False).groupBy("cell").agg(
+    tot = merged_counts(prepared).groupBy("cell").agg(
         F.sum("cnt").alias("m_n"), F.coalesce(F.sum(F.when(F.col("v") != MISSING, F.col("cnt"))), F.lit(0)).alias("m_ns"))
     per_lot = _left_out(_left_out_pairs(lots)).join(tot, "cell").select(
         "lot", (F.col("m_n") - F.col("e_n")).alias("similar_count"), (F.col("m_ns") - F.col("e_ns")).alias("scored_peers"))
@@ -172,47 +179,66 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     """Per building: similar_count (all peers), scored peers, cent sum, strictly-below
     count and exact median (in cents) of scored peers.
 
-    A cell's merged histogram is read once: a window gives running counts, and only the
-    values that are asked for go on, the cell's own scores (strictly-below counts) and those
-    whose ranks can hold a median.  These few points and the exclusions feed several joins;
-    with ``materialize`` they are persisted (memory, spilling to disk) so each is computed
-    once — a lost executor's blocks are recomputed from lineage."""
-    def keep(df):
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if materialize else df
-
-    lots = keep(_lots(prepared))
-    pairs = _left_out_pairs(lots)
-    out_of = _left_out(pairs)
-    buildings = keep(_with_lot(prepared, lots))
-    asked = buildings.groupBy("cell", F.coalesce("cents", F.lit(MISSING)).alias("v")).agg(F.lit(True).alias("own"))
-    merged = merged_scores(prepared).join(asked, ["cell", "v"], "left")
-    whole = Window.partitionBy("cell")
+    No cell's merged histogram is made.  A *band* is the histogram of one unit count on one
+    (borough, year) line; a cell admits a few bands.  Strictly-below counts are as-of lookups
+    of a cell's own scores in its bands' running counts; medians are looked for among
+    ``BLOCK``-wide sums of the bands, then among the values of the one or two blocks whose ranks
+    can hold them.  With ``materialize`` the steps are written to the shared checkpoint folder,
+    so each is computed once and no plan holds those before it."""
+    def keep(df, name):
+        return written(df, f"peers-{name}") if materialize else df
+
+    lots = keep(_lots(prepared), "lots")
+    pairs = keep(_left_out_pairs(lots), "pairs")
+    out_of = keep(_left_out(pairs), "left-out")
+    buildings = keep(_with_lot(prepared, lots), "buildings")
+    lines, by_year = _by_year(prepared, F.col("cents"))
+    band = ["line", "band"]     # u_key is positive where it is not null
+    unit = F.coalesce("u_key", F.lit(-1)).alias("band")
+    bands = keep(by_year.select("line", "u_key", unit, "v", "cnt", F.floor(F.col("v") / BLOCK).alias("block")), "bands")
     scored = F.when(F.col("v") != MISSING, F.col("cnt")).otherwise(F.lit(0))
-    ranked = merged.select(
-        "cell", "v", "own", F.sum(scored).over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("cum_le"),
-        scored.alias("at"), F.sum("cnt").over(whole).alias("m_n"), F.sum(scored).over(whole).alias("m_ns"),
-        F.sum(scored * F.col("v")).over(whole).alias("m_sc"))
+    sums = bands.groupBy("line", "u_key").agg(F.sum("cnt").alias("n"), F.sum(scored).alias("ns"), F.sum(scored * F.col("v")).alias("sc"))
+    reach = keep(_by_units(prepared, lines, sums, "n", "ns", "sc").withColumn("band", unit), "reach")
+    totals = reach.groupBy("cell").agg(F.sum("n").alias("m_n"), F.sum("ns").alias("m_ns"), F.sum("sc").alias("m_sc"))
+    reach, bands = reach.select("cell", *band), bands.filter(F.col("v") != MISSING).select(*band, "block", "v", "cnt")
+    # Strictly below in the merged histogram: a cell's own scores against each of its bands.
+    asked = buildings.filter(F.col("cents").isNotNull()).select("cell", F.col("cents").alias("v")).distinct()
+    marks = bands.select(*band, "v", "cnt", F.lit(None).cast("long").alias("cell")).unionByName(
+        reach.join(asked, "cell").select(*band, "v", F.lit(0).cast("long").alias("cnt"), "cell"))
+    less = F.sum("cnt").over(Window.partitionBy(*band).orderBy("v").rangeBetween(Window.unboundedPreceding, -1))
+    own = (marks.withColumn("less", less).filter(F.col("cell").isNotNull())
+           .groupBy("cell", F.col("v").alias("cents")).agg(F.coalesce(F.sum("less"), F.lit(0)).alias("m_below")))
     # The scored peers of a cell's buildings number m_ns - e_ns, and ranks shift by at most e_ns.
     spread = out_of.groupBy("cell").agg(F.min("e_ns").alias("e_least"), F.max("e_ns").alias("e_most"))
-    central = (F.col("v") != MISSING) & (F.col("cum_le") >= F.floor((F.col("m_ns") - F.col("e_most") + 1) / 2)) \
-        & (F.col("cum_le") - F.col("at") < F.floor((F.col("m_ns") - F.col("e_least")) / 2) + 1 + F.col("e_most"))
-    points = keep(ranked.join(spread, "cell").withColumn("central", central).filter(F.col("own") | F.col("central"))
-                  .select("cell", "v", "own", "central", "cum_le", (F.col("cum_le") - F.col("at")).alias("cum_lt"),
-                          "m_n", "m_ns", "m_sc"))
-    totals = points.groupBy("cell").agg(*[F.max(c).alias(c) for c in ("m_n", "m_ns", "m_sc")])
+    first = F.floor((F.col("m_ns") - F.col("e_most") + 1) / 2)
+    last = F.floor((F.col("m_ns") - F.col("e_least")) / 2) + 1 + F.col("e_most")
+
+    def central(of, within, value):
+        """The values of each cell, with running counts from ``before`` on, whose ranks can hold a median."""
+        w = Window.partitionBy(*within).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        run = of.withColumn("cum_le", F.col("before") + F.sum("cnt").over(w)).withColumn("cum_lt", F.col("cum_le") - F.col("cnt"))
+        return run.filter((F.col("cum_le") >= F.col("first")) & (F.col("cum_lt") < F.col("last")))
+
+    limits = totals.join(spread, "cell").select("cell", first.alias("first"), last.alias("last"))
+    by_block = (reach.join(bands.groupBy(*band, "block").agg(F.sum("cnt").alias("cnt")), band)
+                .groupBy("cell", "block").agg(F.sum("cnt").alias("cnt")))
+    blocks = keep(central(by_block.join(limits, "cell").withColumn("before", F.lit(0).cast("long")), ["cell"], "block")
+                  .select("cell", "block", F.col("cum_lt").alias("before"), "first", "last"), "blocks")
+    by_value = (blocks.select("cell", "block").join(reach, "cell").join(bands, [*band, "block"])
+                .groupBy("cell", "block", "v").agg(F.sum("cnt").alias("cnt")).join(blocks, ["cell", "block"]))
+    points = keep(central(by_value, ["cell", "block"], "v").select("cell", "v", "cum_le", "cum_lt"), "points")
     n2 = F.col("m_ns") - F.col("e_ns")
-    base = out_of.join(totals, "cell").select(
+    base = keep(out_of.join(totals, "cell").select(
         "lot", "cell", (F.col("m_n") - F.col("e_n")).alias("similar_count"), n2.alias("scored_peers"),
         (F.col("m_sc") - F.col("e_sc")).alias("sum_cents"), F.floor((n2 + 1) / 2).cast("long").alias("j1"),
-        (F.floor(n2 / 2) + 1).cast("long").alias("j2"), F.col("e_ns").alias("k"))
+        (F.floor(n2 / 2) + 1).cast("long").alias("j2"), F.col("e_ns").alias("k")), "base")
     lot_hist = buildings.filter(F.col("cents").isNotNull()).groupBy(F.col("lot").alias("e_lot"), F.col("cents").alias("e_cents")) \
         .agg(F.count(F.lit(1)).alias("e_cnt"))
     ex_hist = keep(pairs.select("lot", "e_lot").join(lot_hist, "e_lot")
-                   .groupBy("lot", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")))
+                   .groupBy("lot", "e_cents").agg(F.sum("e_cnt").alias("e_cnt")), "left-out-scores")
     # Strictly below: the building's own score is in its cell's and its lot's histogram, two equi-lookups.
     up_to = Window.partitionBy("lot").orderBy("e_cents")
     below_e = ex_hist.select("lot", "e_cents", (F.sum("e_cnt").over(up_to) - F.col("e_cnt")).alias("e_below"))
-    own = points.filter("own").select("cell", F.col("v").alias("cents"), F.col("cum_lt").alias("m_below"))
     below = (buildings.join(own, ["cell", "cents"])
              .join(below_e.withColumnRenamed("e_cents", "cents"), ["lot", "cents"])
              .select("property_id", (F.col("m_below") - F.col("e_below")).alias("below")))
@@ -221,15 +247,16 @@ def peer_stats(prepared: DataFrame, materialize: bool = True) -> DataFrame:
     # the points are searched once for each of these, then handed to the lots.
     rank = ["j1", "j2", "k"]
     near = (base.filter(F.col("scored_peers") > 0).select("cell", *rank).distinct()
-            .join(points.filter("central").select("cell", "v", "cum_le", "cum_lt"), "cell")
+            .join(points, "cell")
             .filter((F.col("cum_le") >= F.col("j1")) & (F.col("cum_lt") < F.col("j2") + F.col("k"))))
     cum_e = (base.select("lot", "cell", *rank).join(near, ["cell", *rank]).join(ex_hist, "lot", "left")
              .groupBy("lot", "j1", "j2", "v", "cum_le")
              .agg(F.coalesce(F.sum(F.when(F.col("e_cents") <= F.col("v"), F.col("e_cnt"))), F.lit(0)).alias("ce")))
     rank_p = F.col("cum_le") - F.col("ce")
-    med = cum_e.groupBy("lot").agg(
+    med = keep(cum_e.groupBy("lot").agg(
         F.min(F.when(rank_p >= F.col("j1"), F.col("v"))).alias("p1"),
-        F.min(F.when(rank_p >= F.col("j2"), F.col("v"))).alias("p2"))
+        F.min(F.when(rank_p >= F.col("j2"), F.col("v"))).alias("p2")), "medians")
+    below = keep(below, "below")
     per_lot = base.join(med, "lot", "left")
     return (buildings.select("property_id", "lot").join(per_lot, "lot").join(below, "property_id", "left")
             .select("property_id", "similar_count", "scored_peers", "sum_cents", F.coalesce("below", F.lit(0)).alias("below"),
@@ -401,17 +428,17 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     most k are on the target's parcel.  The final top-k per building is ``top_n_per_key``."""
     from parcelwise.operators.windows import top_n_per_key
 
-    def keep(df):
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    def keep(df, name):
+        return written(df, f"peers-{name}")     # the steps after it plan on a plain scan
 
     p = prepared.withColumn("class_l", F.col("building_class"))
     mates = p.groupBy("bbl").agg(F.count(F.lit(1)).alias("mates"))
     names = _named(p, KCELL, "cell")
-    buildings = keep(_look_up(p.select("property_id", "bbl", "cents", *KCELL), names, KCELL, ["cell"]).join(mates, "bbl"))
+    buildings = keep(_look_up(p.select("property_id", "bbl", "cents", *KCELL), names, KCELL, ["cell"]).join(mates, "bbl"), "cell-buildings")
     cells = buildings.groupBy("cell", *KCELL).agg(F.count(F.lit(1)).alias("n"), F.max("mates").alias("most"))
     # A target makes many more rows than its own bytes tell: as many partitions as the session shuffles into.
     parts = int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ringed = keep(_rings(cells, k).repartition(parts, "cell"))
+    ringed = keep(_rings(cells, k), "rings").repartition(parts, "cell")
     y, u, reach = F.col("y_key"), F.col("u_key"), F.col("reach")
 
     def search(targets, how_far, extra, same_class):
@@ -435,11 +462,11 @@ def nearest_peers(prepared: DataFrame, k: int = 100) -> DataFrame:
     others = search(ringed.filter(reach.isNull() | (reach >= 1)), reach - 1.0, 1.0, False)
     up_to = Window.partitionBy("t_cell").orderBy("d").rangeBetween(Window.unboundedPreceding, 0)
     closer = F.sum("n").over(up_to) - F.sum("n").over(Window.partitionBy("t_cell", "d"))
-    kept = near.unionByName(others).withColumn("closer", closer).filter(F.col("closer") < k + F.col("most"))
+    kept = keep(near.unionByName(others).withColumn("closer", closer).filter(F.col("closer") < k + F.col("most")), "kept")
     of_parcel = top_n_per_key(buildings.select(F.col("cell").alias("c_cell"), F.col("property_id").alias("peer_id"),
                                                F.col("bbl").alias("peer_bbl"), F.col("cents").alias("peer_cents")),
                               ["c_cell", "peer_bbl"], [F.asc("peer_id")], k, rank_col=None)
-    members = top_n_per_key(of_parcel, ["c_cell"], [F.asc("peer_id")], 2 * k, rank_col=None)
+    members = keep(top_n_per_key(of_parcel, ["c_cell"], [F.asc("peer_id")], 2 * k, rank_col=None), "members")
     expanded = kept.select("t_cell", "c_cell", "d", "closer").join(members, "c_cell")
     tj = (buildings.select("property_id", "bbl", "cents", "mates", F.col("cell").alias("t_cell")).join(expanded, "t_cell")
           .filter((F.col("peer_bbl") != F.col("bbl")) & (F.col("closer") < k + F.col("mates")))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-
 from parcelwise.operators import peers as P
 from parcelwise.operators import scoring as S
 from parcelwise.plans.more_queries import PROPERTY_SCORE_SQL
 from parcelwise.plans.registry import query
+from parcelwise.session import written
 from parcelwise.sources.tables import Tables
 
 
 def _prepared(spark, d):
     v = Tables(spark, d).views
     # One row per building, used by every branch of the peer plan: computed once.
-    return P.prepare(v.properties(), S.property_scores(v.violations())).persist(StorageLevel.MEMORY_AND_DISK)
+    return written(P.prepare(v.properties(), S.property_scores(v.violations())), "peers-prepared")
 
 
 BUILDINGS_SQL = f"""

@@ -11,7 +11,7 @@ import os
 import tempfile
 
 from pyspark import SparkConf
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults applied only when the key is not already configured.
 _DEFAULTS = {
@@ -84,6 +84,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base) if base.startswith("/") else f"{base}/{name}-{os.urandom(6).hex()}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and return the written table: what follows plans on a plain scan.
+    The size of its compressed files says little about its rows in memory, so no join broadcasts it."""
+    path = f"{scratch_path(df.sparkSession, name).rstrip('/')}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
+
+
 _SHIPPED: set[int] = set()
 
 

@@ -401,3 +401,35 @@ def test_property_report_broadcasts_no_texts(spark):
     got = {r["property_id"]: r["report"] for r in report.collect()}
     assert {i for i, r in got.items() if "BUILDING ERA RISK ANALYSIS" in r} == {1, 4, 5}
     assert "Risk Factors" in got[1] and "Year Built: Unknown" in got[3] and "Year Built: 0" in got[2]
+
+
+def _scored_buildings(spark, rows):
+    props = spark.createDataFrame([(i, f"30000{i:05d}", "t", "brooklyn", u, y, "A") for i, u, y, _ in rows],
+                                  "property_id long, bbl string, tenant_id string, borough string, units int, year_built int, building_class string")
+    return P.prepare(props, spark.createDataFrame([(i, s) for i, _, _, s in rows], "property_id long, risk_score double"))
+
+
+def test_peer_topn_plans_in_small_steps(spark):
+    """The driver plans each step on a written table: the plan holds none of the steps before it."""
+    p = _scored_buildings(spark, [(i, 10 + i % 3, 1950 + i % 7, float(i)) for i in range(60)])
+    plan = _plan_nodes(P.peer_topn(p.localCheckpoint(), 5))
+    assert plan.count("Window") <= 4 and plan.count("Join") <= 6, plan
+
+
+def test_peer_stats_make_no_merged_histogram(spark, monkeypatch):
+    """No step writes a row for each cell and each score that its peers have."""
+    rows = [(i, 100 + i % 20, 1950, (i * 37 % 2000) / 20) for i in range(2000)]
+    p, sizes = _scored_buildings(spark, rows), {}
+
+    def count(df, name):
+        df = df.persist()
+        sizes[name] = df.count()
+        return df
+    monkeypatch.setattr(P, "written", count)
+    got = {r["property_id"]: r for r in P.peer_stats(p).collect()}
+    assert sizes and max(sizes.values()) <= 2 * len(rows)      # 20 cells admit 20 unit counts with 2000 scores in all
+    for i, u, _, s in rows[::97]:
+        peers = sorted(round(100 * x[3]) for x in rows if x[0] != i and 0.7 <= x[1] / u <= 1.3)
+        n = len(peers)
+        assert (got[i]["similar_count"], got[i]["below"]) == (n, sum(x < round(100 * s) for x in peers))
+        assert got[i]["median_cents"] == (peers[(n - 1) // 2] + peers[n // 2]) / 2
