@@ -1,7 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each step is an aggregate and a join on the vertex, so no vertex's neighbours are ever
-gathered in one place, and each round is written to the shared folder.
+gathered in one place, and each round is written to the shared folder.  The links read back
+are the left side of a left join, which is never broadcast: their compressed files say little
+about their rows in memory.  Each vertex has a smallest neighbour, so no row is without one.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (both.join(_to_smallest(both), "u").where(F.col("v") > F.col("u"))
+        large = (both.join(_to_smallest(both), "u", "left").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = _to_smallest(large)
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),

@@ -129,7 +129,9 @@ def mix(docs: DataFrame, mixture: Mixture, domain: Column) -> DataFrame:
         .select(*leaf, "two", running(leaf, "two").alias("base"))             # at most 256 rows of a leaf in a window
     slots = slots.withColumn("ahead", running([*leaf, "two"], "slot")).join(coarse, [*leaf, "two"]) \
         .withColumn("ahead", F.col("ahead") + F.col("base")).join(quota.select(*leaf, "part"), leaf)
-    placed = keyed.join(slots.select(*leaf, "slot", "ahead", "part", F.col("tokens").alias("slot_tokens")), [*leaf, "slot"])
+    # by merge: the files of ``keyed`` are far smaller than its rows in memory, on which Spark would broadcast it
+    slots = slots.select(*leaf, "slot", "ahead", "part", F.col("tokens").alias("slot_tokens")).hint("merge")
+    placed = keyed.join(slots, [*leaf, "slot"])
     # slots that end before the quota are taken, slots that begin at or after it are not, the one between is cut
     inside = (F.col("ahead") < F.col("part")) & (F.col("ahead") + F.col("slot_tokens") >= F.col("part"))
     cut = placed.where(inside)

@@ -18,6 +18,10 @@ smallest.  So both grids together find every link, cold cells hold at most 33 x
 rows, and no group is ever expanded into all its pairs.  A distance other than 2 widens
 the lattice balls: only 0 to 2 are offered.
 
+Spark sizes the 33 or 65 rows that a fingerprint becomes as the one row that was read: the
+cells and points are joined by merge and never broadcast on that estimate.  Neither are the
+tables read back, whose compressed files say little about their rows in memory.
+
 Defined cases: a null text is the empty text; a text without words has fingerprint zero and
 is linked like any other; texts with fewer words than a shingle use the whole word
 sequence; rows without doc_id take no part; repeated rows get the same answer; an empty
@@ -132,7 +136,7 @@ def links(reps: DataFrame, distance: int = 2, dense: int = 32) -> DataFrame:
                 .where(F.col("count") > dense).select("cell").mapInArrow(_neighbours, "cell long").distinct(), "hot_cells")
     cells = reps.mapInArrow(_emit, "cell long, fp long, rep long")
     cold = cells.join(hot, "cell", "left_anti")
-    a, b = cold.alias("a"), cold.alias("b")
+    a, b = cold.alias("a"), cold.hint("merge").alias("b")
     pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.rep") < F.col("b.rep"))
                    & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)) \
         .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
@@ -142,11 +146,11 @@ def links(reps: DataFrame, distance: int = 2, dense: int = 32) -> DataFrame:
         if fine is None:
             return pairs.distinct()
         own = crowded.select(F.col("fp").alias("point"), F.col("rep").alias("a"))
-        stars = fine.join(own, "point").where("a < rep").select("a", F.col("rep").alias("b"))
+        stars = fine.join(own.hint("merge"), "point").where("a < rep").select("a", F.col("rep").alias("b"))
     else:
         points = crowded.mapInArrow(_ball, "point long, rep long").repartition(shuffle_partitions(reps.sparkSession), "point")
         low = points.groupBy("point").agg(F.min("rep").alias("a"))
-        stars = points.join(low, "point").where("a < rep").select("a", F.col("rep").alias("b"))
+        stars = points.join(low.hint("merge"), "point").where("a < rep").select("a", F.col("rep").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
@@ -155,6 +159,6 @@ def simhash_dedup(docs: DataFrame, words: int = 3, distance: int = 2, dense: int
     fps = saved(keyed_texts(docs).mapInArrow(_fingerprints(words), "doc_id long, fp long"), "fingerprints")
     reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     found = components(links(reps, distance, dense))
-    labels = reps.join(found, reps["rep"] == found["id"], "left") \
+    labels = reps.join(found.hint("merge"), reps["rep"] == found["id"], "left") \
         .select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(labels.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

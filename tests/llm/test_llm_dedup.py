@@ -248,3 +248,42 @@ def test_registered_simhash_equals_brute_force(spark):
     want = brute_components(fps)
     got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in Q.QUERIES["op5_simhash"](spark, SMALL).collect()}
     assert got == {(i, f"{f:016x}", want[i]) for i, f in fps}
+
+
+# --- what joins may broadcast ---
+
+def broadcast_sources(df):
+    """The plan below each broadcast of a table, line by line."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [re.search(r"\w", x).start() if re.search(r"\w", x) else 0 for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i + 1:end])
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_cells_and_points_are_not_broadcast_by_the_size_before_they_are_made(spark, tmp_path, distance):
+    spark.range(2000).selectExpr("xxhash64(id) as fp", "id as rep").write.parquet(str(tmp_path / "reps"))
+    plan = S.links(spark.read.parquet(str(tmp_path / "reps")), distance)
+    assert not [x for x in broadcast_sources(plan) if "MapInArrow" in x]
+
+
+def test_tables_read_back_are_not_broadcast_by_their_file_size(spark, tmp_path, monkeypatch):
+    from parcelwise.llm import components as C
+    from parcelwise.llm import mixing as M
+    seen, real = [], C.saved
+
+    def watched(df, name, **options):
+        seen.append((name, list(broadcast_sources(df))))
+        return real(df, name, **options)
+    monkeypatch.setattr(C, "saved", watched)
+    path = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, i) for i in range(21, 40)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components(path).collect()}
+    assert got == {i: 0 for i in range(10)} | {i: 20 for i in range(20, 40)}
+    assert len(seen) > 2 and not [x for _, found in seen for x in found if "hashpartitioning" not in x]
+    docs = docs_of(spark, [f"w{i} w{i % 7} same same" for i in range(60)])
+    for df in (S.simhash_dedup(docs), S.simhash_dedup(docs).where("doc_id = component_id"),
+               M.mix(docs, M.Mixture(weights={"source": {"*": 1}}, numerator=1, denominator=2, epochs=1, seed="s"), docs["source"])):
+        unmeasured = [x for x in broadcast_sources(df) if "hashpartitioning" not in x]
+        assert not [x for x in unmeasured if "[doc_id" in x or "slot#" in x or "[fp" in x]
