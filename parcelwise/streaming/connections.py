@@ -1,23 +1,25 @@
 """Connection state as keyed state machines (ST1, ST5, A21).
 
-Both run on ``transformWithStateInPandas``: one small state a connection, event-time timers, rows only
-for what changed.  Rows may arrive in any order within the watermark's delay.
+Both run on ``transformWithStateInPandas`` and tell rows only for what changed.  Rows may arrive in any order, those of
+``ConnectionState`` (one small state a connection, event-time timers) within the watermark's delay.
 
 * ``ConnectionState`` holds a connection's messages until the watermark passes them and then applies them
   in (time, id) order: AUTHENTICATE, SUBSCRIBE (refused before authentication or without a property),
   UNSUBSCRIBE, PING.  A connection opens with its first message; when no PING follows within the limit it is
   dropped: its subscriptions end and it is no longer authenticated.
 * ``Undelivered`` is a ring of the newest ``size`` messages of a connection that could not be
-  delivered; a DRAIN row delivers everything up to its time.
+  delivered; a DRAIN row delivers everything up to its time.  Connections share states in buckets, worked on as columns.
 """
 
 from __future__ import annotations
 
 import sys
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,48 +167,170 @@ def connection_stats(changes: DataFrame) -> DataFrame:
 
 
 QUEUED, EVICTED, DRAINED = "queued", "evicted", "drained"
-QUEUE = ("connection long, property_id long, update_id long, severity string, ts timestamp, change string, revision long, copies long")
 
+# Messages travel and rest as Arrow record batches of many rows, a bucket of connections each: a row of its own for each
+# message and a state of its own for each connection cost more than the messages themselves.  The number of buckets is part
+# of a stream's state; connections that are null have the last bucket.
+BUCKETS, CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 19, 64 << 20
+MESSAGE = pa.schema([("connection", pa.int64()), ("t_us", pa.int64()), ("update_id", pa.int64()), ("property_id", pa.int64()),
+                     ("severity", pa.string()), ("drain", pa.bool_())])
+CHANGE = ("connection long, property_id long, update_id long, severity string, t_us long, change string, revision long, copies long")
+NEVER = np.iinfo(np.int64).min      # of a connection that was never drained
 
-def _age(r: tuple) -> tuple:
-    return r[0] is not None, r[0] or 0, r[1], r[2], r[3] or ""
+
+def _blob(rows: pa.Table) -> bytes:
+    batches = rows.combine_chunks().to_batches()
+    return (batches[0] if batches else pa.RecordBatch.from_pylist([], rows.schema)).serialize().to_pybytes()
+
+
+def _rows(blobs) -> pa.Table:
+    return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(b), MESSAGE) for b in blobs], MESSAGE)
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].fill_null(0).to_numpy()
+
+
+def _keys(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    """What the rows sort by, most significant first; a null is the least."""
+    out = []
+    for c in names:
+        col = rows[c].combine_chunks()
+        if col.null_count:
+            out.append(col.is_valid().to_numpy(zero_copy_only=False))
+        if pa.types.is_string(col.type):
+            codes = col.dictionary_encode()
+            place = np.empty(len(codes.dictionary), np.int64)
+            place[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(place))
+            codes = codes.indices.fill_null(0).to_numpy(zero_copy_only=False)
+            out.append(place[codes] if len(place) else np.zeros(len(codes), np.int64))
+        else:
+            out.append(col.fill_null(0).to_numpy(zero_copy_only=False))
+    return out
+
+
+def _same(keys: list[np.ndarray]) -> np.ndarray:
+    """Whether each sorted row equals the one before it."""
+    if not len(keys[0]):
+        return np.zeros(0, bool)
+    return np.r_[False, np.logical_and.reduce([k[1:] == k[:-1] for k in keys])]
+
+
+def _aged(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows by connection and age, the oldest first, and whether each equals the one before it."""
+    first = _keys(rows, "connection", "t_us", "update_id")
+    order = np.lexsort(first[::-1])
+    same = _same([k[order] for k in first])
+    if same.any():
+        keys = first + _keys(rows, "property_id", "severity")
+        order = np.lexsort(keys[::-1])
+        same = _same([k[order] for k in keys])
+    return rows.take(order), same
+
+
+def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal sorted rows start, and how long they are."""
+    starts = np.flatnonzero(~_same(keys))
+    return starts, np.diff(np.r_[starts, len(keys[0])])
+
+
+def _from_end(rows: pa.Table) -> np.ndarray:
+    """Of rows sorted by connection, how many of the same connection follow each."""
+    starts, sizes = _runs(_keys(rows, "connection"))
+    return np.repeat(starts + sizes, sizes) - np.arange(len(rows)) - 1
+
+
+def newest(rows: pa.Table, size: int) -> pa.Table:
+    """The newest ``size`` messages of each connection and its last DRAIN row."""
+    drain = rows["drain"].to_numpy()
+    if drain.any():
+        last = _aged(rows.filter(pc.and_(rows["drain"], rows["t_us"].is_valid())))[0]
+        return pa.concat_tables([newest(rows.filter(~drain), size), last.filter(_from_end(last) == 0)])
+    keys = _keys(rows, "connection")
+    order = np.lexsort(keys[::-1])
+    sizes = _runs([k[order] for k in keys])[1]
+    many = np.zeros(len(rows), bool)
+    many[order] = np.repeat(sizes, sizes) > size
+    if not many.any():
+        return rows
+    over = _aged(rows.filter(many))[0]
+    return pa.concat_tables([rows.filter(~many), over.filter(_from_end(over) < size)])
+
+
+def _packed(size: int):
+    """(bucket, rows): the messages of a bucket in one value; what a ring can no longer hold does not travel."""
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = newest(pa.Table.from_batches(held), size)
+        bucket = rows["bucket"].to_numpy().astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        starts, sizes = _runs([bucket])
+        whole = rows.select(MESSAGE.names).take(order).cast(MESSAGE).combine_chunks().to_batches()
+        blobs = [whole[0].slice(a, n).serialize().to_pybytes() for a, n in zip(starts, sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size_ = [], 0, 0
+        for b in batches:
+            held.append(b)
+            n, size_ = n + b.num_rows, size_ + b.nbytes
+            if n >= CHUNK_ROWS or size_ >= CHUNK_BYTES:
+                yield from pack(held)
+                held, n, size_ = [], 0, 0
+        if n:
+            yield from pack(held)
+    return run
 
 
 class Undelivered(StatefulProcessor):
-    """The newest ``size`` undelivered messages of a connection, by (time, id); order of arrival does not matter.  Messages
-    without a time are the oldest.  A message that comes twice is queued twice: a change tells how many ``copies`` are left."""
+    """The newest ``size`` undelivered messages of each connection of a bucket, by (time, id); order of arrival does not
+    matter.  Messages without a time are the oldest.  A message that comes twice is queued twice: a change tells how many
+    ``copies`` are left.  State: the rings in one value, and what is known of each connection (until when it is drained, its
+    number of revisions) in another."""
 
     def __init__(self, size: int):
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getListState("ring", "t long, id long, property_id long, severity string")
-        self.facts = handle.getValueState("facts", "drained_to long, revision long")
+        self.state = handle.getValueState("rings", "ring binary, facts binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        drained, revision = self.facts.get() if self.facts.exists() else (None, 0)
-        old = [tuple(r) for r in self.ring.get()] if self.ring.exists() else []
-        all_ = list(old)
+        ring, facts = self.state.get() or (None, b"")
+        old = _rows([ring] if ring else [])
+        known, drained, revision = np.frombuffer(facts, np.int64).reshape(3, -1)
+        new = _rows([])
         for b in rows:
-            drain = b["kind"] == "DRAIN"
-            if drain.any():
-                last = int(b.loc[drain, "t_us"].max())
-                drained = last if drained is None else max(drained, last)
-            m = b[~drain]
-            all_ += zip([None if _missing(t) else int(t) for t in m["t_us"].tolist()], m["update_id"].astype("int64").tolist(), m["property_id"].astype("int64").tolist(),
-                        m["severity"].tolist())
-            all_ = sorted(all_, key=_age)[-self.size:]       # bounded whatever the micro-batch holds
-        kept = [r for r in all_ if drained is None or r[0] is not None and r[0] > drained]
-        self.ring.put(kept) if kept else self.ring.clear()
-        self.facts.update((drained, revision + 1))
-        before, after = Counter(old), Counter(kept)
-        gone = lambda r: DRAINED if drained is not None and (r[0] is None or r[0] <= drained) else EVICTED
-        out = [(r, QUEUED if n > before[r] else gone(r), n) for r, n in after.items() if n != before[r]]
-        out += [(r, gone(r), 0) for r in before if r not in after]
-        if out:
-            yield pd.DataFrame({"connection": [int(key[0])] * len(out), "property_id": [r[2] for r, *_ in out], "update_id": [r[1] for r, *_ in out],
-                                "severity": [r[3] for r, *_ in out], "ts": pd.to_datetime(pd.Series([r[0] for r, *_ in out]), unit="us"),
-                                "change": [c for _, c, _ in out], "revision": [revision + 1] * len(out), "copies": [n for *_, n in out]})
+            new = newest(pa.concat_tables([new, _rows(b["rows"])]), self.size)       # bounded whatever the micro-batch holds
+        drain = new["drain"].to_numpy()
+        touched, to = _numbers(new, "connection"), _numbers(new, "t_us")
+        all_ = np.union1d(known, touched)
+        at = np.searchsorted(all_, known)
+        drained_to, revisions = np.full(len(all_), NEVER), np.zeros(len(all_), np.int64)
+        drained_to[at], revisions[at] = drained, revision
+        revisions[np.searchsorted(all_, np.unique(touched))] += 1
+        np.maximum.at(drained_to, np.searchsorted(all_, touched[drain]), to[drain])
+
+        both, same = _aged(pa.concat_tables([old, new.filter(~drain)])
+                           .append_column("old", pa.array(np.r_[np.ones(len(old), bool), np.zeros(len(new) - int(drain.sum()), bool)])))
+        at = np.searchsorted(all_, _numbers(both, "connection"))
+        gone = (drained_to[at] != NEVER) & (~both["t_us"].is_valid().to_numpy() | (_numbers(both, "t_us") <= drained_to[at]))
+        kept = (_from_end(both) < self.size) & ~gone
+        self.state.update((_blob(both.filter(kept).select(MESSAGE.names)), np.stack([all_, drained_to, revisions]).tobytes()))
+        starts = np.flatnonzero(~same)
+        if not len(starts):
+            return
+        before, after = (np.add.reduceat(x.astype(np.int64), starts) for x in (both["old"].to_numpy(), kept))
+        told = before != after
+        starts, before, after = starts[told], before[told], after[told]
+        change = np.where(after > before, QUEUED, np.where(gone[starts], DRAINED, EVICTED)).astype(object)
+        told, revision = both.take(starts), revisions[at[starts]]
+        for i in range(0, len(starts), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            t = told.slice(i, 1 << 16)
+            column = lambda c: t[c].to_pandas(integer_object_nulls=True)  # noqa: B023, E731
+            yield pd.DataFrame({"connection": column("connection") if key[0] < BUCKETS else pd.Series([None] * len(t), dtype=object),
+                                "property_id": column("property_id"), "update_id": column("update_id"), "severity": column("severity"),
+                                "t_us": column("t_us"), "change": change[part], "revision": revision[part], "copies": after[part]})
 
     def close(self) -> None:
         pass
@@ -214,8 +338,14 @@ class Undelivered(StatefulProcessor):
 
 def undelivered(messages: DataFrame, size: int = 100) -> DataFrame:
     """ST5: (connection, kind, property_id, update_id, severity, ts) rows, kind MESSAGE or DRAIN, to changes of the queues."""
-    m = messages.select("connection", "kind", "property_id", "update_id", "severity", F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
-    return m.groupBy("connection").transformWithStateInPandas(Undelivered(size), QUEUE, "update", "None")
+    bucket = F.when(F.col("connection").isNull(), F.lit(BUCKETS)).otherwise(F.pmod(F.xxhash64(F.col("connection").cast("long")), F.lit(BUCKETS)))
+    m = messages.select(bucket.cast("int").alias("bucket"), F.col("connection").cast("long").alias("connection"),
+                        F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), F.col("update_id").cast("long").alias("update_id"),
+                        F.col("property_id").cast("long").alias("property_id"), F.col("severity").cast("string").alias("severity"),
+                        F.col("kind").eqNullSafe("DRAIN").alias("drain"))
+    changes = m.mapInArrow(_packed(size), "bucket int, rows binary").groupBy("bucket") \
+        .transformWithStateInPandas(Undelivered(size), CHANGE, "update", "None")
+    return changes.select("connection", "property_id", "update_id", "severity", F.timestamp_micros("t_us").alias("ts"), "change", "revision", "copies")
 
 
 def queue_of(changes: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ plain Python or the batch queries."""
 import datetime as dt
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -332,3 +334,77 @@ def test_buildings_without_a_parcel_key_have_peers(spark):
     bench = {r["property_id"]: r["similar_count"] for r in P.peer_benchmark(p, P.peer_stats(p, materialize=False)).collect()}
     assert bench == {1: 4, 2: 4, 3: 3, 4: 3, 5: 4}
     assert {r["property_id"]: r["peer_count"] for r in P.peer_topn(p, 10).collect()} == bench
+
+
+class Kept:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def ring_changes(old, drained, rows, size):
+    """One connection's micro-batch, by plain Python: (changes, ring, drained)."""
+    drains = [r[1] for r in rows if r[5] and r[1] is not None]
+    drained = max([*drains, *([] if drained is None else [drained])], default=None)
+    age = lambda r: tuple((x is not None, x or 0) for x in r[1:4]) + ((r[4] is not None, r[4] or ""),)
+    gone = lambda r: drained is not None and (r[1] is None or r[1] <= drained)
+    ring = [r for r in sorted(old + [r[:5] for r in rows if not r[5]], key=age)[-size:] if not gone(r)]
+    changes = [(*r, "queued" if ring.count(r) > old.count(r) else "drained" if gone(r) else "evicted", ring.count(r))
+               for r in {*old, *ring} if ring.count(r) != old.count(r)]
+    return changes, ring, drained
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_rings_of_a_bucket_equal_one_ring_a_connection(size):
+    """Nulls in every column, large numbers, copies, drains and connections that come and go, over micro-batches."""
+    rng = random.Random(size)
+    big = 2**62
+    operators = {b: C.Undelivered(size) for b in (0, C.BUCKETS)}
+    for x in operators.values():
+        x.init(Kept())
+    rings, drained, revisions = {}, {}, {}
+    for _ in range(25):
+        rows = [(rng.choice([None, 0, 1, big, big + 1]), rng.choice([None, 0, 5, 6, big]), rng.choice([None, 0, 1, big + 1]),
+                 rng.choice([None, 7]), rng.choice([None, "", "LOW", "ß"]), rng.random() < 0.04) for _ in range(rng.randrange(30))]
+        packed = {}
+        for part in (rows[::2], rows[1::2]):
+            columns = dict(zip(C.MESSAGE.names, zip(*part))) if part else {c: [] for c in C.MESSAGE.names}
+            batch = pa.table({c: pa.array(columns[c], t) for c, t in zip(C.MESSAGE.names, C.MESSAGE.types)}) \
+                .append_column("bucket", pa.array([C.BUCKETS if r[0] is None else 0 for r in part], pa.int32()))
+            for b in C._packed(size)(iter(batch.to_batches())):
+                for k, blob in zip(b["bucket"].to_pylist(), b["rows"].to_pylist()):
+                    packed.setdefault(k, []).append(blob)
+        got = []
+        for k, blobs in packed.items():
+            for out in operators[k].handleInputRows((k,), iter([pd.DataFrame({"bucket": k, "rows": [x]}) for x in blobs]), None):
+                out = out[["connection", "t_us", "update_id", "property_id", "severity", "change", "copies", "revision"]]
+                got += [tuple(None if x is None or x != x else x for x in r) for r in out.astype(object).itertuples(index=False)]
+        want = []
+        for c in {r[0] for r in rows}:
+            mine = [r for r in rows if r[0] == c]
+            if all(r[5] and r[1] is None for r in mine):        # a drain without a time drains nothing
+                continue
+            revisions[c] = revisions.get(c, 0) + 1
+            changes, rings[c], drained[c] = ring_changes(rings.get(c, []), drained.get(c), mine, size)
+            want += [(*x, revisions[c]) for x in changes]
+        key = lambda r: [(x is not None, str(x)) for x in r]
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_connections_share_states(spark, tmp_path):
+    """A state of its own for each connection took most of the time: there are no more states than buckets."""
+    rows = [(c, "MESSAGE", 7, c, "LOW", T0) for c in range(10_000)] + [(0, "MESSAGE", 7, 1, "LOW", T0 + dt.timedelta(seconds=i)) for i in range(50)]
+    out = J.run_available_now(spark, C.undelivered(landed(spark, rows, SENT, str(tmp_path / "in"), files=1), 20), "queue", "update", J.append_sink, keyed=True)
+    queue = C.queue_of(spark.read.parquet(out))
+    assert queue.filter("connection > 0").count() == 9_999 and queue.filter("connection = 0").count() == 20
+    assert J.audit(spark, out).agg(F.max("state_rows")).first()[0] <= C.BUCKETS + 1
