@@ -171,16 +171,19 @@ QUEUED, EVICTED, DRAINED = "queued", "evicted", "drained"
 # Messages travel and rest as Arrow record batches of many rows, a bucket of connections each: a row of its own for each
 # message and a state of its own for each connection cost more than the messages themselves.  The number of buckets is part
 # of a stream's state; connections that are null have the last bucket.
-BUCKETS, CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 19, 64 << 20
+BUCKETS, CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 18, 32 << 20
 MESSAGE = pa.schema([("connection", pa.int64()), ("t_us", pa.int64()), ("update_id", pa.int64()), ("property_id", pa.int64()),
                      ("severity", pa.string()), ("drain", pa.bool_())])
 CHANGE = ("connection long, property_id long, update_id long, severity string, t_us long, change string, revision long, copies long")
 NEVER = np.iinfo(np.int64).min      # of a connection that was never drained
 
 
-def _blob(rows: pa.Table) -> bytes:
-    batches = rows.combine_chunks().to_batches()
-    return (batches[0] if batches else pa.RecordBatch.from_pylist([], rows.schema)).serialize().to_pybytes()
+def _kept(rows: pa.Table) -> bytes:
+    """Rows as a state value: compressed, as state stays in memory and is copied to the checkpoint."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, MESSAGE, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def _rows(blobs) -> pa.Table:
@@ -279,6 +282,8 @@ def _packed(size: int):
                 held, n, size_ = [], 0, 0
         if n:
             yield from pack(held)
+        del held
+        pa.default_memory_pool().release_unused()     # a worker lives on after its task
     return run
 
 
@@ -296,7 +301,7 @@ class Undelivered(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ring, facts = self.state.get() or (None, b"")
-        old = _rows([ring] if ring else [])
+        old = pa.ipc.open_stream(ring).read_all() if ring else _rows([])
         known, drained, revision = np.frombuffer(facts, np.int64).reshape(3, -1)
         new = _rows([])
         for b in rows:
@@ -315,7 +320,7 @@ class Undelivered(StatefulProcessor):
         at = np.searchsorted(all_, _numbers(both, "connection"))
         gone = (drained_to[at] != NEVER) & (~both["t_us"].is_valid().to_numpy() | (_numbers(both, "t_us") <= drained_to[at]))
         kept = (_from_end(both) < self.size) & ~gone
-        self.state.update((_blob(both.filter(kept).select(MESSAGE.names)), np.stack([all_, drained_to, revisions]).tobytes()))
+        self.state.update((_kept(both.filter(kept).select(MESSAGE.names)), np.stack([all_, drained_to, revisions]).tobytes()))
         starts = np.flatnonzero(~same)
         if not len(starts):
             return
